@@ -1,0 +1,5 @@
+"""Deliberately empty: all operators of this library work on bounded tables.
+
+Nothing the library sets out to compute keeps state across triggers, so there is
+no streaming operator to offer.
+"""
