@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rollspan.functions.arrays import non_decreasing
 from rollspan.functions.blocks import over_blocks, with_blocks
 from rollspan.operators.scaling import in_regions
-from rollspan.operators.windows import ATOL, PS_PER_NS, RTOL, resolve_grid
+from rollspan.operators.windows import ATOL, PS_PER_NS, RTOL, reached_before, resolve_grid
 from rollspan.tables import CELL, ROLE_SPLITS, WINDOW_KEY, feature_columns
 
 
@@ -374,10 +374,7 @@ def validate_scaler(scaler, fitted, declared):
     columns = ["trajectory_id", "start", "stop"]
     a, b = fitted.select(*columns), declared.select(*columns)
     named = F.concat_ws("|", *columns)
-    previous = Window.partitionBy("trajectory_id").orderBy("start", "stop")
-    overlap = a.withColumn("_before", F.lag("stop").over(previous)).filter(
-        F.col("_before") > F.col("start")
-    )
+    overlap = reached_before(a).filter(F.col("reached") > F.col("start"))
     covered = a.agg(F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0)).alias("_covered"))
     count = scaler.join(covered).filter(F.col("sample_count") != F.col("_covered"))
     return merge(

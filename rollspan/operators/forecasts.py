@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from rollspan.functions.arrays import let, mean, total
+from rollspan.functions.arrays import dot, let, mean, total
 from rollspan.tables import WINDOW_KEY
 
 
@@ -58,24 +58,18 @@ def autoregression1(ridge=0.0):
     def model(context, horizon):
         n = F.size(context)
         first = F.element_at(context, 1)
-        start = F.struct(*[F.lit(0.0).alias(k) for k in ("x", "y", "xx", "xy")])
-        pairs = F.zip_with(
-            F.slice(context, F.lit(1), n - 1),
-            F.slice(context, F.lit(2), n - 1),
-            lambda a, b: F.struct((a - first).alias("a"), (b - first).alias("b")),
-        )
-        sums = F.aggregate(
-            pairs,
-            start,
-            lambda s, p: F.struct(
-                (s["x"] + p["a"]).alias("x"),
-                (s["y"] + p["b"]).alias("y"),
-                (s["xx"] + p["a"] * p["a"]).alias("xx"),
-                (s["xy"] + p["a"] * p["b"]).alias("xy"),
-            ),
-        )
+
+        def sums(v):
+            x, y = F.slice(v, F.lit(1), n - 1), F.slice(v, F.lit(2), n - 1)
+            return F.struct(
+                total(x).alias("x"),
+                total(y).alias("y"),
+                F.aggregate(x, F.lit(0.0), lambda acc, a: acc + a * a).alias("xx"),
+                dot(x, y).alias("xy"),
+            )
+
         known = F.struct(
-            sums.alias("s"),
+            let(F.transform(context, lambda x: x - first), sums).alias("s"),
             (n - 1).cast("double").alias("n"),
             first.alias("f"),
             F.element_at(context, -1).alias("last"),

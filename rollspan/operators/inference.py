@@ -5,6 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import functions as F
 
 from rollspan.functions.hashing import hash_rank
+from rollspan.session import cut
 from rollspan.tables import CELL
 
 
@@ -65,10 +66,12 @@ def bootstrap_ci(values, series, policy, population=CELL):
 
     `values` has one finite `value` per series and group; every series of a
     population must cover the same groups. Both the marginal and the corrected tail
-    come from the same resampled means.
+    come from the same resampled means. Group values are read several times, so they
+    are written out first; they are one row per series and group.
     """
     population, series = list(population), list(series)
-    index = group_index(values, population)
+    values = cut(values.select(*population, *series, "group_id", "value"))
+    index = cut(group_index(values, population))
     known = values.join(index, [*population, "group_id"])
     estimate = known.groupBy(*population, *series).agg(
         F.avg("value").alias("mean"),
@@ -131,7 +134,7 @@ def _paired(left, right, keys):
 def _effects(paired, keys, policy, population, factor=1.0):
     """Mean difference, both means and both intervals per series."""
     difference = F.col("_l") - F.lit(float(factor)) * F.col("_r")
-    values = paired.select(*keys, "group_id", difference.alias("value"), "_l", "_r")
+    values = cut(paired.select(*keys, "group_id", difference.alias("value"), "_l", "_r"))
     series = [k for k in keys if k not in population]
     means = values.groupBy(*keys).agg(F.avg("_l").alias("left"), F.avg("_r").alias("right"))
     intervals = bootstrap_ci(values.drop("_l", "_r"), series, policy, population)
@@ -144,6 +147,7 @@ def compare(group_rows, reference, policy):
     A zero reference gives a null ratio. The interval is family-corrected.
     """
     keys = [*CELL, "feature_id", "step"]
+    group_rows = cut(group_rows)
     base = group_rows.filter(F.col("model") == reference).drop("model")
     models = group_rows.select("model").distinct()
     paired = _paired(group_rows, base.join(models), ["model", *keys, "group_id"])
@@ -167,7 +171,8 @@ def paired_effects(variant, reference, policy, keys=(*CELL, "step")):
     """Variant minus reference group MAE per lead, both intervals."""
     keys = list(keys)
     paired = _paired(variant, reference, [*keys, "group_id"])
-    return _effects(paired, keys, policy, [k for k in CELL if k in keys]).withColumnRenamed(
+    population = [k for k in CELL if k in keys] or keys
+    return _effects(paired, keys, policy, population).withColumnRenamed(
         "difference", "mae_difference"
     )
 
@@ -186,6 +191,7 @@ def select_statistics(metrics, models):
 def selected_effects(group_rows, choices, model, policy):
     """A model against the statistic frozen for each feature and step."""
     keys = [*CELL, "feature_id", "step"]
+    group_rows = cut(group_rows)
     chosen = choices.select(*keys, F.col("model").alias("reference"))
     base = (
         group_rows.join(chosen, keys)
@@ -212,5 +218,5 @@ def selected_effects(group_rows, choices, model, policy):
 def paired_effect(left, right, policy, factor=1.0, keys=CELL):
     """Left minus factor times right per group, both intervals."""
     keys = list(keys)
-    population = [k for k in CELL if k in keys]
+    population = [k for k in CELL if k in keys] or keys
     return _effects(_paired(left, right, [*keys, "group_id"]), keys, policy, population, factor)

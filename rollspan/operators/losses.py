@@ -4,6 +4,7 @@ import functools
 
 from pyspark.sql import functions as F
 
+from rollspan.session import cut
 from rollspan.tables import CELL, WINDOW_KEY
 
 POINT = (("mae", None, None), ("rmse", None, None), ("scaled-mae", None, None))
@@ -111,16 +112,22 @@ def trajectory_means(losses_rows):
     names = _metric_names(losses_rows)
     base = ["model", *CELL, "feature_id", "trajectory_id", "system_id", "group_id"]
     steps = _means(losses_rows, [*base, "step"], names)
-    whole = _means(steps, base, names).withColumn("step", F.lit(0))
-    both = steps.unionByName(whole)
-    return both.withColumn("rmse", F.sqrt("rmse"))
+    columns = [F.col(f"`{n}`") for n in names]
+    whole = F.struct(F.lit(0).alias("step"), *[F.avg(c).alias(n) for c, n in zip(columns, names)])
+    rows = steps.groupBy(*base).agg(
+        F.concat(F.array(whole), F.collect_list(F.struct("step", *columns))).alias("_rows")
+    )
+    return rows.select(*base, F.inline("_rows")).withColumn("rmse", F.sqrt("rmse"))
 
 
 def level_means(losses_rows):
-    """Wide means per level, each averaging the level below with equal weights."""
+    """Wide means per level, each averaging the level below with equal weights.
+
+    Four levels read the trajectory table, so it is written out once.
+    """
     names = _metric_names(losses_rows)
     base = ["model", *CELL, "feature_id", "step"]
-    trajectory = trajectory_means(losses_rows)
+    trajectory = cut(trajectory_means(losses_rows))
     system = _means(trajectory, [*base, "system_id", "group_id"], names)
     group = _means(system, [*base, "group_id"], names)
     aggregate = _means(group, base, names)
@@ -168,7 +175,9 @@ def hierarchy(losses_rows):
 
 def group_metric(losses_rows, metric="mae"):
     """Group-level values of one metric: the rows comparisons and bootstraps use."""
-    group = level_means(losses_rows)["group"]
+    base = ["model", *CELL, "feature_id", "step"]
+    system = _means(trajectory_means(losses_rows), [*base, "system_id", "group_id"], [metric])
+    group = _means(system, [*base, "group_id"], [metric])
     return group.select(
         "model", *CELL, "feature_id", "step", "group_id", F.col(f"`{metric}`").alias("value")
     )

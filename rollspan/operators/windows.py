@@ -168,51 +168,60 @@ def windows(trajectories, assignments, grid, split=None, strict=True):
     )
 
 
+def _earlier(keys, order):
+    return (
+        Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    )
+
+
+def reached_before(spans):
+    """Add `reached`: the largest stop of all intervals that start earlier.
+
+    Found inside blocks of starts; what earlier blocks reach is carried in from one
+    summary row per block, so no task orders all intervals of a trajectory.
+    """
+    rows = spans.withColumn("block", block_of(F.col("start")))
+    key = ["trajectory_id", "block"]
+    carried = (
+        rows.groupBy(*key)
+        .agg(F.max("stop").alias("_stop"))
+        .select(*key, F.max("_stop").over(_earlier(key[:1], ["block"])).alias("_carried"))
+    )
+    inside = F.max("stop").over(_earlier(key, ["start", "stop"]))
+    return (
+        rows.join(carried, key)
+        .withColumn("reached", F.greatest(inside, F.col("_carried")))
+        .drop("_carried")
+    )
+
+
 def context_regions(index):
     """Union of overlapping or touching context intervals per trajectory.
 
-    Islands are found inside blocks of starts; what earlier blocks reach is carried
-    in from one summary row per block.
+    Equal intervals of different cells are reduced first. An interval opens an
+    island when it starts after everything before it has stopped; islands are
+    numbered per block and shifted by the count of earlier blocks.
     """
     spans = index.select(
-        "trajectory_id",
-        "start",
-        (F.col("start") + F.col("context_frames")).alias("stop"),
-        block_of(F.col("start")).alias("block"),
-    )
-    before_rows = (
-        Window.partitionBy("trajectory_id", "block")
-        .orderBy("start", "stop")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    before_blocks = (
-        Window.partitionBy("trajectory_id")
-        .orderBy("block")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    reach = (
-        spans.groupBy("trajectory_id", "block")
-        .agg(F.max("stop").alias("_stop"))
-        .select("trajectory_id", "block", F.max("_stop").over(before_blocks).alias("_carried"))
-    )
-    reached = F.greatest(F.max("stop").over(before_rows), F.col("_carried"))
-    flagged = spans.join(reach, ["trajectory_id", "block"]).withColumn(
-        "_new", F.coalesce(F.col("start") > reached, F.lit(True)).cast("long")
+        "trajectory_id", "start", (F.col("start") + F.col("context_frames")).alias("stop")
+    ).distinct()
+    flagged = reached_before(spans).withColumn(
+        "_new", F.coalesce(F.col("start") > F.col("reached"), F.lit(True)).cast("long")
     )
-    upto = Window.partitionBy("trajectory_id", "block").orderBy("start", "stop")
+    key = ["trajectory_id", "block"]
     numbers = (
-        flagged.groupBy("trajectory_id", "block")
+        flagged.groupBy(*key)
         .agg(F.sum("_new").alias("_c"))
         .select(
-            "trajectory_id",
-            "block",
-            F.coalesce(F.sum("_c").over(before_blocks), F.lit(0)).alias("_earlier"),
+            *key,
+            F.coalesce(F.sum("_c").over(_earlier(key[:1], ["block"])), F.lit(0)).alias("_before"),
         )
     )
-    island = F.col("_earlier") + F.sum("_new").over(upto)
+    upto = Window.partitionBy(*key).orderBy("start", "stop")
     return (
-        flagged.join(numbers, ["trajectory_id", "block"])
-        .withColumn("_island", island)
+        flagged.withColumn("_row", F.sum("_new").over(upto))
+        .join(numbers, key)
+        .withColumn("_island", F.col("_before") + F.col("_row"))
         .groupBy("trajectory_id", "_island")
         .agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
         .drop("_island")
@@ -228,7 +237,7 @@ def packed_frames(frames, features, span):
     return packed.select(
         "trajectory_id",
         "block",
-        *[F.transform("_rows", lambda r, f=f: r[f]).alias(f"_v_{f}") for f in features],
+        *[F.col("_rows").getField(f).alias(f"_v_{f}") for f in features],
     )
 
 

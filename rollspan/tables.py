@@ -1,5 +1,6 @@
 """Fixed schemas and vocabularies of the canonical tables."""
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The vocabularies of the stored string columns.
@@ -23,24 +24,31 @@ WINDOW_KEY = ("trajectory_id", "start", "context_frames", "horizon_frames")
 CELL = ("context_frames", "horizon_frames")
 
 
-def _schema(text):
-    return T.StructType.fromDDL(text)
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType()}
+
+
+def _schema(required, optional):
+    """Fixed schema from `name:type` words."""
+    fields = []
+    for words, nullable in ((required, False), (optional, True)):
+        for word in words.split():
+            name, kind = word.split(":")
+            fields.append(T.StructField(name, _TYPES[kind], nullable))
+    return T.StructType(fields)
 
 
 TRAJECTORIES = _schema(
-    "trajectory_id string not null, dataset_id string not null, "
-    "dataset_version string, feature_set_version string, "
-    "system_id string not null, replicate_id string, split_group_id string, "
-    "entity_id string, ligand_id string, protein_id string, split string, "
-    "frame_count int not null, time_unit string not null, "
-    "sampling_status string not null, frame_interval_ps double, "
-    "duration_ns double, sampling_note string, source_record string, "
-    "source_checksum string, license_id string, provenance_uri string"
+    "trajectory_id:string dataset_id:string system_id:string frame_count:int "
+    "time_unit:string sampling_status:string",
+    "dataset_version:string feature_set_version:string replicate_id:string "
+    "split_group_id:string entity_id:string ligand_id:string protein_id:string "
+    "split:string frame_interval_ps:double duration_ns:double sampling_note:string "
+    "source_record:string source_checksum:string license_id:string provenance_uri:string",
 )
 
 FEATURES = _schema(
-    "dataset_id string not null, feature_id string not null, ordinal int not null, "
-    "unit string not null, description string, definition string"
+    "dataset_id:string feature_id:string ordinal:int unit:string",
+    "description:string definition:string",
 )
 
 
@@ -65,8 +73,6 @@ def feature_columns(frames):
 
 def conform(df, schema):
     """Select and cast to a fixed schema; absent nullable columns become null."""
-    from pyspark.sql import functions as F
-
     columns = []
     for field in schema.fields:
         if field.name in df.columns:
