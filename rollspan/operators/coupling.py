@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rollspan.functions.arrays import deviations, dot, let, total
 from rollspan.functions.quantiles import exact_quantiles
+from rollspan.session import cut
 from rollspan.tables import WINDOW_KEY
 
 
@@ -161,8 +162,13 @@ def _gain_many(lags, ridge):
 
 
 def lag_summary(diagnostics, value="correlation"):
-    """Q12: replica mean per group, then the exact median over groups, per lag."""
-    group = diagnostics.groupBy("group_id", "lag").agg(F.avg(value).alias("_v"))
+    """Q12: replica mean per group, then the exact median over groups, per lag.
+
+    Replicas weigh by their windows' mean first, as every trajectory of a group has
+    its own number of windows. One row per group and lag is written out.
+    """
+    replica = diagnostics.groupBy("group_id", "trajectory_id", "lag").agg(F.avg(value).alias("_v"))
+    group = cut(replica.groupBy("group_id", "lag").agg(F.avg("_v").alias("_v")))
     held = group.filter(F.col("_v").isNotNull())
     medians = exact_quantiles(held, ["lag"], "_v", (0.5,), "_q")
     counts = group.groupBy("lag").agg(F.count("_v").alias("groups"))

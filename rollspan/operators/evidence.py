@@ -77,7 +77,9 @@ def qc_summary(qc):
         F.inline(
             F.array(
                 F.struct(F.lit("rho").alias("_k"), F.element_at("acf", 2).alias("_v")),
-                F.struct(F.lit("decay").alias("_k"), F.col("decay_frames").cast("double")),
+                F.struct(
+                    F.lit("decay").alias("_k"), F.col("decay_frames").cast("double").alias("_v")
+                ),
             )
         ),
     )

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import functions as F
 
+from rollspan.session import cut
+
 FRAME = ["trajectory_id", "frame"]
 AXES = ("x", "y", "z")
 
@@ -104,21 +106,14 @@ def _frames(points):
     return points.select(*FRAME).distinct()
 
 
-def contacts(points, cutoff, periodic=False):
-    """Pairs within the cutoff (inclusive) per frame; frames without any count 0."""
-    found = near_pairs(points, F.lit(float(cutoff)), periodic)
+def _counts(found, frames):
     counts = found.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("contacts"))
-    return _frames(points).join(counts, FRAME, "left").select(
+    return frames.join(counts, FRAME, "left").select(
         *FRAME, F.coalesce("contacts", F.lit(0)).alias("contacts")
     )
 
 
-def reference_fraction(points, cutoff, periodic=False):
-    """Share of the frame-0 contact pairs still in contact.
-
-    A trajectory without a frame-0 contact stops the job.
-    """
-    found = near_pairs(points, F.lit(float(cutoff)), periodic)
+def _fractions(found, frames):
     initial = found.filter(F.col("frame") == 0).select("trajectory_id", "a", "b")
     kept = (
         found.join(initial, ["trajectory_id", "a", "b"], "left_semi")
@@ -128,8 +123,7 @@ def reference_fraction(points, cutoff, periodic=False):
     size = initial.groupBy("trajectory_id").agg(F.count(F.lit(1)).alias("_all"))
     share = F.coalesce("_kept", F.lit(0)) / F.col("_all")
     return (
-        _frames(points)
-        .join(kept, FRAME, "left")
+        frames.join(kept, FRAME, "left")
         .join(size, "trajectory_id", "left")
         .select(
             *FRAME,
@@ -140,8 +134,31 @@ def reference_fraction(points, cutoff, periodic=False):
     )
 
 
-def _boxes(periodic):
-    return [f"l{x}" for x in AXES] if periodic else []
+def contacts(points, cutoff, periodic=False):
+    """Pairs within the cutoff (inclusive) per frame; frames without any count 0."""
+    return _counts(near_pairs(points, F.lit(float(cutoff)), periodic), _frames(points))
+
+
+def reference_fraction(points, cutoff, periodic=False):
+    """Share of the frame-0 contact pairs still in contact.
+
+    A trajectory without a frame-0 contact stops the job.
+    """
+    return _fractions(near_pairs(points, F.lit(float(cutoff)), periodic), _frames(points))
+
+
+def contact_channels(points, cutoff, periodic=False):
+    """P2-P4 together: contacts, fraction and minimum per frame.
+
+    The pairs within the cutoff feed both counts, so they are written out once.
+    """
+    found = cut(near_pairs(points, F.lit(float(cutoff)), periodic).drop("distance"))
+    frames = _frames(points)
+    return (
+        _counts(found, frames)
+        .join(_fractions(found, frames), FRAME)
+        .join(min_distance(points, periodic), FRAME)
+    )
 
 
 def _upper_bound(points, periodic):
@@ -265,16 +282,11 @@ def periodic_audit(points, boxes, cutoff):
     boxed = points.join(boxes, FRAME)
 
     def channels(rows, periodic, tag):
-        return (
-            contacts(rows, cutoff, periodic)
-            .join(reference_fraction(rows, cutoff, periodic), FRAME)
-            .join(min_distance(rows, periodic), FRAME)
-            .select(
-                *FRAME,
-                F.col("contacts").alias(f"_c{tag}"),
-                F.col("fraction").alias(f"_f{tag}"),
-                F.col("minimum").alias(f"_m{tag}"),
-            )
+        return contact_channels(rows, cutoff, periodic).select(
+            *FRAME,
+            F.col("contacts").alias(f"_c{tag}"),
+            F.col("fraction").alias(f"_f{tag}"),
+            F.col("minimum").alias(f"_m{tag}"),
         )
 
     both = channels(points, False, 0).join(channels(boxed, True, 1), FRAME)

@@ -74,7 +74,7 @@ for _name, _model in (
 _single_model("f4_ar1_months", "ar1", MONTHS, "month")
 
 
-@query("f4_ar1_ridge_months")
+@query("f4_ar1_ridge_months", f"{pred(MONTHS, ['ar1-ridge'])} SELECT {ROW} FROM pred")
 def f4_ridge(spark, sf_dir):
     arrays = tb.month_arrays(spark, sf_dir)
     return shown(fc.predictions(fc.forecast(arrays, {"ar1-ridge": fc.autoregression(1, 10.0)})))
@@ -840,8 +840,9 @@ def g30(spark, sf_dir):
 @query(
     "g31_runtime_summary",
     f"""SELECT o_orderpriority AS model, {r("sum(o_totalprice / 1000)", 3)} AS seconds,
-  max(CASE WHEN o_orderstatus <> 'P' THEN o_orderkey END) AS peak_allocated_bytes,
-  max(CASE WHEN o_orderpriority <> '5-LOW' THEN o_custkey END) AS peak_reserved_bytes
+  coalesce(max(CASE WHEN o_orderstatus <> 'P' THEN o_orderkey END), -1) AS peak_allocated_bytes,
+  coalesce(max(CASE WHEN o_orderpriority <> '5-LOW' THEN o_custkey END), -1)
+    AS peak_reserved_bytes
 FROM orders GROUP BY ALL""",
 )
 def g31(spark, sf_dir):
@@ -851,7 +852,9 @@ def g31(spark, sf_dir):
         F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey")).alias("peak_allocated_bytes"),
         F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_custkey")).alias("peak_reserved_bytes"),
     )
-    return rounded(evi.runtime_summary(runtime), 3)
+    peaks = ("peak_allocated_bytes", "peak_reserved_bytes")
+    out = rounded(evi.runtime_summary(runtime), 3)
+    return out.select("model", "seconds", *[F.coalesce(c, F.lit(-1)).alias(c) for c in peaks])
 
 
 @query(
@@ -885,7 +888,17 @@ def g33(spark, sf_dir):
     )
 
 
-@query("g34_metric_view")
+@query(
+    "g34_metric_view",
+    f"""WITH e AS ({_summary(False)}), p AS ({_probability(False)}),
+x AS (
+  SELECT model, {CELL}, feature_id, lead, 'mae' AS metric, mae AS value FROM e
+  UNION ALL SELECT model, {CELL}, feature_id, lead, 'rmse', rmse FROM e
+  UNION ALL SELECT model, {CELL}, feature_id, lead, 'bias', bias FROM e)
+SELECT *, NULL::DOUBLE AS ci_lower, NULL::DOUBLE AS ci_upper, NULL::VARCHAR AS status FROM x
+UNION ALL SELECT model, {CELL}, feature_id, lead, metric, mean, marginal_lower, marginal_upper,
+  marginal_status FROM p""",
+)
 def g34(spark, sf_dir):
     table = cut(leads(spark, sf_dir))
     return rounded(
@@ -916,7 +929,7 @@ def v6(spark, sf_dir):
     f"""{pred(EVENTS, ["persistence", "linear"])},
 v AS (
   SELECT 'labels-differ' AS rule FROM pred WHERE model = 'linear' AND start = 5
-    AND feature_id = 'k'
+    AND feature_id = 'k' AND group_id <> 'c2'
   UNION ALL SELECT 'unpaired' FROM pred WHERE model = 'linear' AND group_id = 'c2')
 SELECT rule, count(*) AS violations FROM v GROUP BY rule""",
 )

@@ -89,6 +89,7 @@ POINTS = {
     "linear": "icept + slope * (context_frames + step - 1)",
     "ar1": "pow(b, step) * origin + (my - b * mx) * "
     "CASE WHEN b = 1 THEN step ELSE (1 - pow(b, step)) / (1 - b) END",
+    "ar1-ridge": "pow(rb, step) * origin + (my0 - rb * mx) * (1 - pow(rb, step)) / (1 - rb)",
 }
 
 
@@ -113,13 +114,13 @@ lagged AS (
     lag(x) OVER (PARTITION BY {KEY}, feature_id ORDER BY i) AS z FROM ctx),
 ar0 AS (
   SELECT {KEY}, feature_id, avg(z) AS mx, avg(y) AS my0, var_pop(z) AS v,
-    covar_pop(y, z) AS c
+    covar_pop(y, z) AS c, count(*) AS np
   FROM lagged WHERE z IS NOT NULL GROUP BY ALL),
 ar AS (
   SELECT {KEY}, feature_id,
     CASE WHEN v = 0 THEN mx * my0 / (mx * mx + 1) ELSE c / v END AS b, mx,
     CASE WHEN v = 0 THEN my0 / (mx * mx + 1) + mx * mx * my0 / (mx * mx + 1)
-      ELSE my0 END AS my
+      ELSE my0 END AS my, my0, np * c / (np * v + 10) AS rb
   FROM ar0),
 pred AS ({rows})
 """

@@ -1,6 +1,7 @@
 """Session defaults and the shared checkpoint folder."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -44,3 +45,9 @@ def cut(df):
     """Cut lineage with a reliable checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark):
+    """A fresh path in the shared checkpoint folder for a written table."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
