@@ -9,28 +9,30 @@ from per-block ones.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+# Frames per block: long enough that halos are a small share of the rows, short
+# enough that a block's arrays stay far below a task's memory.
 BLOCK = 4096
 
 
-def block_of(column, block=BLOCK):
-    return F.floor(column / F.lit(block)).cast("long")
+def block_of(column):
+    return F.floor(column / F.lit(BLOCK)).cast("long")
 
 
-def with_blocks(frames, before=0, after=0, block=BLOCK):
+def with_blocks(frames, before=0, after=0):
     """Add `block` and `own`; neighbouring frames are copied in with own = false."""
     frame = F.col("frame")
     if before == 0 and after == 0:
-        return frames.withColumn("block", block_of(frame, block)).withColumn(
+        return frames.withColumn("block", block_of(frame)).withColumn(
             "own", F.lit(True)
         )
-    first = F.greatest(F.lit(0).cast("long"), block_of(frame - after, block))
-    last = block_of(frame + before, block)
+    first = F.greatest(F.lit(0).cast("long"), block_of(frame - after))
+    last = block_of(frame + before)
     return frames.withColumn("block", F.explode(F.sequence(first, last))).withColumn(
-        "own", F.col("block") == block_of(frame, block)
+        "own", F.col("block") == block_of(frame)
     )
 
 
-def over_blocks(df, count, block=BLOCK):
+def over_blocks(df, count):
     """One copy of each per-trajectory row for every block of `count` frames.
 
     Joining frames to trajectory-level values on (trajectory_id, block) instead of
@@ -39,7 +41,7 @@ def over_blocks(df, count, block=BLOCK):
     return df.withColumn(
         "block",
         F.explode(
-            F.sequence(F.lit(0).cast("long"), block_of(F.greatest(count, F.lit(1)) - 1, block))
+            F.sequence(F.lit(0).cast("long"), block_of(F.greatest(count, F.lit(1)) - 1))
         ),
     )
 

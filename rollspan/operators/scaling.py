@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rollspan.functions.arrays import deviations, mean, total
-from rollspan.functions.blocks import BLOCK, block_of
+from rollspan.functions.blocks import block_of
 
 
 def in_regions(frames, regions):
@@ -13,7 +13,7 @@ def in_regions(frames, regions):
         F.col("start").alias("_start"),
         F.col("stop").alias("_stop"),
         F.explode(
-            F.sequence(block_of(F.col("start"), BLOCK), block_of(F.col("stop") - 1, BLOCK))
+            F.sequence(block_of(F.col("start")), block_of(F.col("stop") - 1))
         ).alias("block"),
     )
     rows = frames.withColumn("block", block_of(F.col("frame")))

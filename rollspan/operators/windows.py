@@ -5,8 +5,9 @@ from dataclasses import dataclass
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rollspan.functions import blocks as blk
 from rollspan.functions.arrays import roll
-from rollspan.functions.blocks import BLOCK, block_of, over_blocks, with_blocks
+from rollspan.functions.blocks import block_of, over_blocks, with_blocks
 from rollspan.functions.hashing import fingerprint_frame
 from rollspan.tables import WINDOW_KEY
 
@@ -150,8 +151,8 @@ def windows(trajectories, assignments, grid, split=None, strict=True):
         .repartition("trajectory_id", "block")
     )
     stride = F.lit(grid.stride).cast("long")
-    low = F.ceil(F.col("block") * BLOCK / stride) * stride
-    high = F.least(F.col("_last"), (F.col("block") + 1) * BLOCK - 1)
+    low = F.ceil(F.col("block") * blk.BLOCK / stride) * stride
+    high = F.least(F.col("_last"), (F.col("block") + 1) * blk.BLOCK - 1)
     starts = F.when(low <= high, F.sequence(low, high, stride)).otherwise(
         F.array().cast("array<bigint>")
     )
@@ -246,7 +247,7 @@ def window_channels(frames, index, features, span, with_targets=True):
     packed = packed_frames(frames, features, span)
     if "block" not in index.columns:
         index = index.withColumn("block", block_of(F.col("start")))
-    at = (F.col("start") - F.col("block") * BLOCK + 1).cast("int")
+    at = (F.col("start") - F.col("block") * blk.BLOCK + 1).cast("int")
     c, h = F.col("context_frames"), F.col("horizon_frames")
     channels = []
     for name in features:

@@ -42,9 +42,15 @@ def ensure_checkpoint_dir(spark):
 
 
 def cut(df):
-    """Cut lineage with a reliable checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage: write a table to the shared checkpoint folder and read it back.
+
+    Unlike an RDD checkpoint the copy keeps column pruning, filter pushdown and a
+    size Spark can plan with. It survives lost executors.
+    """
+    spark = df.sparkSession
+    path = scratch(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch(spark):
