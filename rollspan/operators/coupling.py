@@ -32,7 +32,7 @@ def lag_correlation(pairs, max_lag):
     def pearson(s):
         norm = F.sqrt(dot(s["a"], s["a"])) * F.sqrt(dot(s["b"], s["b"]))
         raw = dot(s["a"], s["b"]) / F.nullif(norm, F.lit(0.0))
-        return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))
+        return F.when(raw > 1, 1.0).when(raw < -1, -1.0).otherwise(raw)
 
     both = F.struct(
         deviations(F.slice("a", start_a, size)).alias("a"),

@@ -186,12 +186,17 @@ def cross_correlation(frames, features=None):
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
     aggregates = [F.min(f).alias(f"_lo_{f}") for f in features]
     aggregates += [F.max(f).alias(f"_hi_{f}") for f in features]
-    aggregates += [F.corr(a, b).alias(f"_r_{a}_{b}") for a, b in pairs if a != b]
+    aggregates += [F.stddev_pop(f).alias(f"_s_{f}") for f in features]
+    aggregates += [F.covar_pop(a, b).alias(f"_c_{a}_{b}") for a, b in pairs if a != b]
     wide = frames.groupBy("trajectory_id").agg(*aggregates)
     entries = []
     for a, b in pairs:
         varies = (F.col(f"_lo_{a}") < F.col(f"_hi_{a}")) & (F.col(f"_lo_{b}") < F.col(f"_hi_{b}"))
-        value = F.when(varies, F.lit(1.0) if a == b else F.col(f"_r_{a}_{b}"))
+        if a == b:
+            value = F.when(varies, 1.0)
+        else:
+            norm = F.nullif(F.col(f"_s_{a}") * F.col(f"_s_{b}"), F.lit(0.0))
+            value = F.when(varies, F.col(f"_c_{a}_{b}") / norm)
         for left, right in {(a, b), (b, a)}:
             entries.append(
                 F.struct(
