@@ -7,13 +7,18 @@ from pyspark.sql import SparkSession
 
 
 def build_session(cpus="*", partitions=8, app="rollspan"):
-    """Local session with the settings the operators are written for."""
+    """Local session with the settings the operators are written for.
+
+    A window plan turns each shuffled byte into many output rows, so small shuffle
+    partitions are kept apart instead of being merged into one task.
+    """
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
