@@ -260,7 +260,7 @@ def check_coverage(predictions, index, keys=WINDOW_KEY, per=("model", "feature_i
 def check_paired(predictions):
     """V7: all models hold the same labels: one row per model, one target, one origin."""
     label = ["trajectory_id", *CELL, "start", "step", "feature_id"]
-    models = predictions.select("model").distinct().agg(F.count(F.lit(1)).alias("_models"))
+    models = predictions.agg(F.count_distinct("model")).scalar()
     rows = predictions.groupBy(*label).agg(
         F.count(F.lit(1)).alias("_rows"),
         F.count_distinct("model").alias("_n"),
@@ -269,7 +269,7 @@ def check_paired(predictions):
         F.min("group_id").eqNullSafe(F.max("group_id")).alias("_group"),
     )
     return violations(
-        rows.join(models),
+        rows.withColumn("_models", models),
         F.concat_ws("|", *label),
         {
             "unpaired": (F.col("_n") != F.col("_models")) | (F.col("_rows") != F.col("_n")),
@@ -375,8 +375,8 @@ def validate_scaler(scaler, fitted, declared):
     a, b = fitted.select(*columns), declared.select(*columns)
     named = F.concat_ws("|", *columns)
     overlap = reached_before(a).filter(F.col("reached") > F.col("start"))
-    covered = a.agg(F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0)).alias("_covered"))
-    count = scaler.join(covered).filter(F.col("sample_count") != F.col("_covered"))
+    covered = a.agg(F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).scalar()
+    count = scaler.filter(F.col("sample_count") != covered)
     return merge(
         a.exceptAll(b).select(F.lit("undeclared-region").alias("rule"), named.alias("key")),
         b.exceptAll(a).select(F.lit("missing-region").alias("rule"), named.alias("key")),

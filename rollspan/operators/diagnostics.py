@@ -47,11 +47,12 @@ def forecast_diagnostics(points):
 def tag_crossings(predictions, cell=("model", *CELL, "feature_id")):
     """Flag decreasing quantiles; one crossing fails the whole cell.
 
-    The per-cell verdict is a small aggregate joined back; points are all kept.
+    The per-cell verdict has one row per declared model, cell and feature and is
+    broadcast back; points are all kept.
     """
     tagged = predictions.withColumn("quantiles_valid", non_decreasing(F.col("quantiles")))
     cells = tagged.groupBy(*cell).agg(F.bool_and("quantiles_valid").alias("cell_valid"))
-    return tagged.join(cells, list(cell))
+    return tagged.join(F.broadcast(cells), list(cell))
 
 
 def crossing_status(tagged, cell=("model", *CELL, "feature_id")):
@@ -321,7 +322,5 @@ def trial_summary(scores):
     rows = scores.groupBy("setting").agg(
         F.avg("score").alias("mean"), F.stddev_samp("score").alias("seed_std")
     )
-    best = rows.agg(F.min_by("setting", F.struct("mean", "setting")).alias("_best"))
-    return rows.join(best).select(
-        "setting", "mean", "seed_std", (F.col("setting") == F.col("_best")).alias("selected")
-    )
+    best = rows.agg(F.min_by("setting", F.struct("mean", "setting"))).scalar()
+    return rows.select("setting", "mean", "seed_std", (F.col("setting") == best).alias("selected"))

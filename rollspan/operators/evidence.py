@@ -17,29 +17,26 @@ def evidence(metrics, features):
         "|", "level", "model", "feature_id", F.col("step").cast("string"), "metric",
         F.col("lower_q").cast("string"), F.col("upper_q").cast("string"),
     )
-    mark = fingerprint_frame(
-        metrics.withColumn("value", F.round("value", 9))
-    ).select(F.col("fingerprint").alias("table_hash"))
-    return (
-        rows.join(features.select("feature_id", "unit"), "feature_id")
-        .join(mark)
-        .select(*CELL, selector.alias("selector"), "value", unit.alias("unit"), "table_hash")
+    stored = metrics.withColumn("value", F.round("value", 9))
+    mark = fingerprint_frame(stored).select("fingerprint").scalar()
+    return rows.join(F.broadcast(features.select("feature_id", "unit")), "feature_id").select(
+        *CELL, selector.alias("selector"), "value", unit.alias("unit"), mark.alias("table_hash")
     )
 
 
 def horizon_curves(metrics, trajectories):
     """Aggregate MAE by step; picoseconds only for one verified interval."""
-    axis = trajectories.agg(
-        F.bool_and(F.col("sampling_status") == "verified").alias("_verified"),
-        F.count_distinct("frame_interval_ps").alias("_intervals"),
-        F.count_if(F.col("frame_interval_ps").isNull()).alias("_missing"),
-        F.min("frame_interval_ps").alias("_interval"),
+    one = (
+        F.bool_and(F.col("sampling_status") == "verified")
+        & (F.min("frame_interval_ps") == F.max("frame_interval_ps"))
+        & (F.count_if(F.col("frame_interval_ps").isNull()) == 0)
     )
-    physical = F.col("_verified") & (F.col("_intervals") == 1) & (F.col("_missing") == 0)
+    interval = trajectories.agg(F.when(one, F.min("frame_interval_ps"))).scalar()
+    physical = F.col("_interval").isNotNull()
     rows = metrics.filter(
         (F.col("level") == "aggregate") & (F.col("metric") == "mae") & (F.col("step") > 0)
     )
-    return rows.join(axis).select(
+    return rows.withColumn("_interval", interval).select(
         "model", *CELL, "feature_id", "step",
         F.when(physical, F.col("step") * F.col("_interval"))
         .otherwise(F.col("step").cast("double"))

@@ -36,12 +36,12 @@ def group_index(values, population):
     """Zero-based index of each group of a population, in hashed order, and the count.
 
     The order only has to be fixed; hashing it keeps the numbering out of one task.
+    The counts have one row per population (a declared cell or feature).
     """
     groups = values.select(*population, "group_id").distinct()
     counts = groups.groupBy(*population).agg(F.count(F.lit(1)).alias("groups"))
-    return hash_rank(groups, F.md5("group_id"), ["group_id"], "idx", keys=population).join(
-        counts, list(population)
-    )
+    ranked = hash_rank(groups, F.md5("group_id"), ["group_id"], "idx", keys=population)
+    return ranked.join(F.broadcast(counts), list(population))
 
 
 def draws(index, population, policy):

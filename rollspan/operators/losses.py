@@ -54,7 +54,9 @@ def losses(predictions, scaler, levels=(), intervals=()):
     """One row per prediction with every element loss as a column.
 
     `rmse` holds the squared error; its root is taken at the trajectory level.
-    Crossing quantiles and errors that overflow stop the job.
+    Crossing quantiles and errors that overflow stop the job. The scaler holds one
+    row per declared feature, so it is broadcast: the join key has few values and
+    must not become a shuffle key.
     """
     metric_keys(levels, intervals)
     error = F.col("point") - F.col("target")
@@ -70,7 +72,7 @@ def losses(predictions, scaler, levels=(), intervals=()):
                 F.raise_error(F.lit("crossing quantiles cannot define intervals"))
             ),
         )
-    rows = rows.join(scaler.select("feature_id", "scale"), "feature_id")
+    rows = rows.join(F.broadcast(scaler.select("feature_id", "scale")), "feature_id")
     extra = [c for c in ("split",) if c in rows.columns]
     return rows.select(
         "model", *WINDOW_KEY, "system_id", "group_id", *extra, "step", "feature_id",
@@ -200,7 +202,7 @@ def group_mae(predictions, extra=()):
 def normalized_score(group_rows, scaler):
     """Mean over groups and features of MAE divided by the TRAIN scale."""
     return (
-        group_rows.join(scaler.select("feature_id", "scale"), "feature_id")
+        group_rows.join(F.broadcast(scaler.select("feature_id", "scale")), "feature_id")
         .groupBy("model", *CELL)
         .agg(F.avg(F.col("mae") / F.col("scale")).alias("score"))
     )

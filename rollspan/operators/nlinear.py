@@ -143,7 +143,8 @@ def fit_nlinear(arrays, scaler, context_frames, horizon_frames, ridges):
 def predict_nlinear(arrays, scaler, weights, name=None):
     """design times weights plus the last value, back in native units.
 
-    Weight rows number channels x leads x ridges; Spark broadcasts them by size.
+    Weight rows number channels x leads x ridges, all declared, so they and the
+    scaler are broadcast.
     """
     label = F.lit(name) if name else F.concat(F.lit("nlinear-"), F.col("ridge").cast("string"))
     packed = weights.groupBy("ridge", "feature_id").agg(
@@ -154,11 +155,11 @@ def predict_nlinear(arrays, scaler, weights, name=None):
         F.max(F.size("weights")).alias("_p"),
     )
     joined = (
-        arrays.join(packed, "feature_id")
+        arrays.join(F.broadcast(packed), "feature_id")
         .filter(
             (F.col("horizon_frames") == F.col("_h")) & (F.col("context_frames") + 1 == F.col("_p"))
         )
-        .join(scaler.select("feature_id", "center", "scale"), "feature_id")
+        .join(F.broadcast(scaler.select("feature_id", "center", "scale")), "feature_id")
     )
     last = F.element_at("context", -1)
     design = F.concat(

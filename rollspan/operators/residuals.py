@@ -38,12 +38,12 @@ def fit_residual_quantiles(train_predictions, levels, group_bound=None):
 def apply_residuals(predictions, offsets):
     """point plus the offsets of its lead and channel.
 
-    The offset table has one row per model, cell, lead and channel, which the
-    declared grid bounds; Spark broadcasts it by size.
+    The offset table has one row per model, cell, lead and channel. The declared
+    grid bounds it, so it is broadcast: predictions are not shuffled by so few keys.
     """
     return (
         predictions.drop("levels", "quantiles")
-        .join(offsets.select(*LEAD, "levels", "offsets"), list(LEAD))
+        .join(F.broadcast(offsets.select(*LEAD, "levels", "offsets")), list(LEAD))
         .withColumn("quantiles", F.transform("offsets", lambda o: F.col("point") + o))
         .drop("offsets")
     )

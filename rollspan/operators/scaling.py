@@ -74,9 +74,13 @@ def fit_context_scaler(arrays):
 def scale(df, scaler, columns=("value",), inverse=False, keys=("feature_id",)):
     """(x - center) / scale or back, for double and array columns alike.
 
-    A scaler holds one row per declared feature, so Spark broadcasts it by size.
+    A scaler keyed by feature alone holds one row per declared feature and is
+    broadcast; any other key is left to Spark's size check.
     """
-    joined = df.join(scaler.select(*keys, "center", "scale"), list(keys))
+    fitted = scaler.select(*keys, "center", "scale")
+    if tuple(keys) == ("feature_id",):
+        fitted = F.broadcast(fitted)
+    joined = df.join(fitted, list(keys))
     types = dict(df.dtypes)
 
     def apply(x):
