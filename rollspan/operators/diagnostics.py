@@ -5,8 +5,8 @@ import functools
 from pyspark.sql import functions as F
 
 from rollspan.functions.arrays import deviations, mean, non_decreasing, total
-from rollspan.operators.inference import Policy, bootstrap_ci, paired_effect
-from rollspan.operators.losses import metric_keys, column_of, probability_columns
+from rollspan.operators.inference import bootstrap_ci, paired_effect
+from rollspan.operators.losses import probability_columns
 from rollspan.tables import CELL, WINDOW_KEY
 
 ERRORS = {
@@ -153,11 +153,6 @@ def probability_summary(leads, policy, by_lead=False):
     return out if by_lead else out.withColumn("lead", F.lit(0))
 
 
-def crossing_free(levels, intervals):
-    """Names of the probability columns a lead table carries."""
-    return [column_of(k) for k in metric_keys(levels, intervals) if k[1] is not None]
-
-
 def decide(effects, nominal, tolerance):
     """Decision booleans from effect bounds; a null bound never passes.
 

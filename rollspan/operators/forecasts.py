@@ -223,7 +223,7 @@ def predictions(points, levels=None):
     pairs = [F.col("points").alias("p"), F.col("target").alias("t")]
     if has_quantiles:
         pairs.append(F.col("quantiles").alias("q"))
-    keep = [c for c in ("split", "block") if c in points.columns and c == "split"]
+    keep = [c for c in ("split",) if c in points.columns]
     rows = points.select(
         "model", *WINDOW_KEY, "system_id", "group_id", *keep, "feature_id", "origin",
         F.posexplode(F.arrays_zip(*pairs)).alias("_pos", "_row"),

@@ -6,10 +6,11 @@ from rollspan.operators import contracts as ct
 from rollspan.operators import scaling as sc
 from rollspan.operators import splits as sp
 from rollspan.operators import windows as wn
+from rollspan.operators.series import long_frames
 from rollspan.plans import sql
 from rollspan.plans import testbed as tb
 from rollspan.plans.registry import query, rnd, rounded
-from rollspan.plans.sql import CELL, CTX, EVENTS, GRIDS, KEY, REGIONS, SCALER, r
+from rollspan.plans.sql import CTX, EVENTS, GRIDS, KEY, REGIONS, SCALER, r
 
 WIN = f"WITH {EVENTS}, {sql.win(GRIDS[EVENTS])}"
 PS_GRID = wn.Grid(contexts=(160, 400), horizons=(160, 800), stride=5, unit="ps")
@@ -287,8 +288,6 @@ SELECT trajectory_id, frame, feature_id, {r("(x - center) / scale")} AS value,
 FROM lf JOIN scaler USING (feature_id)""",
 )
 def e3(spark, sf_dir):
-    from rollspan.operators.series import long_frames
-
     scaler = fitted_scaler(spark, sf_dir)
     rows = long_frames(tb.event_frames(spark, sf_dir), tb.EVENT_FEATURES)
     scaled = sc.scale(rows, scaler).withColumn("restored", F.col("value"))
