@@ -2,7 +2,17 @@
 
 import public_tokenizers
 
-from rollspan.llm import near_dups, packing, pivots, quality, slots, token_files
+from rollspan.llm import (
+    near_dups,
+    packing,
+    pivots,
+    pseudonyms,
+    quality,
+    slots,
+    templates,
+    token_files,
+    warc,
+)
 
 QUERIES = {}
 ORACLES = {}
@@ -47,10 +57,10 @@ def op7(spark, sf_dir):
 
 TOP_K_SQL = """
 WITH rows AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scores AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
   FROM rows q JOIN rows c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
@@ -71,3 +81,45 @@ def op10(spark, sf_dir):
     return quality.classify(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     )
+
+
+@_query("op2_template_decontamination")
+def op2(spark, sf_dir):
+    found = templates.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("key")
+
+
+PSEUDONYM_KEY = b"registered query"
+
+
+@_query("op5_feistel_pseudonyms")
+def op5(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY)
+
+
+WARC_SQL = """
+WITH rows AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS mark FROM pages
+), latest AS (
+  SELECT mark, max(page_id) AS latest, count(*) AS n FROM rows GROUP BY mark
+)
+SELECT page_id,
+       CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(1 + ((CAST('0x' || substr(mark, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT)
+           >> CAST(5 * (3 - i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN n > 1 AND page_id < latest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n > 1 AND page_id < latest THEN latest END AS refers_to
+FROM rows JOIN latest USING (mark)
+"""
+
+
+@_query("op9_warc_salvage", WARC_SQL)
+def op9(spark, sf_dir):
+    folder, files = warc.write_archives(_table(spark, sf_dir, "pages"), least_bytes=0)
+    return (
+        warc.read_archives(spark, folder, files)
+        .filter("kind = 'record'")
+        .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    )
