@@ -4,6 +4,7 @@ import public_tokenizers
 
 from rollspan.llm import (
     near_dups,
+    ngram_trie,
     packing,
     pivots,
     pseudonyms,
@@ -123,3 +124,8 @@ def op9(spark, sf_dir):
         .filter("kind = 'record'")
         .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     )
+
+
+@_query("op3_elias_fano_trie")
+def op3(spark, sf_dir):
+    return ngram_trie.score_documents(_table(spark, sf_dir, "documents"))
