@@ -17,9 +17,10 @@ import hashlib
 import re
 import string
 
-import pandas as pd
+import pyarrow as pa
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -227,18 +228,19 @@ def pseudonymise(docs, key, text="text", kinds="pii_kinds"):
 
     A column of docs that is already called `kinds` is replaced.
     """
-
-    @F.pandas_udf("text string, kinds array<string>")
-    def replace(texts: pd.Series) -> pd.DataFrame:
-        done = [replacer(key)(t) for t in texts]
-        return pd.DataFrame({"text": [d[0] for d in done], "kinds": [d[1] for d in done]})
-
-    out = "_pseudonym"
-    while out in docs.columns:
-        out += "_"
-    others = [F.col(f"`{c}`") for c in docs.columns if c != kinds]
-    rows = docs.select(*others, replace(F.col(text).cast("string")).alias(out))
-    return rows.select(
-        *[F.col(f"{out}.text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c != kinds],
-        F.col(f"{out}.kinds").alias(kinds),
+    rows = docs.select(
+        *[F.col(f"`{c}`").cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != kinds]
     )
+    names, place = [*rows.columns, kinds], rows.columns.index(text)
+
+    def run(batches):
+        replace = replacer(key)
+        for batch in batches:
+            done = [replace(t) for t in batch.column(place).to_pylist()]
+            columns = list(batch.columns)
+            columns[place] = pa.array([d[0] for d in done], pa.string())
+            columns.append(pa.array([d[1] for d in done], pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = T.StructType([*rows.schema.fields, T.StructField(kinds, T.ArrayType(T.StringType()))])
+    return rows.mapInArrow(run, schema)

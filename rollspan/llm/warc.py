@@ -19,6 +19,7 @@ Extra columns are ignored; an empty table gives no files and no rows.
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from urllib.parse import quote
@@ -175,7 +176,7 @@ def _inflate(window, start, limit=None):
 
 def _parse_header(head):
     lines = head.decode("utf-8").split("\r\n")
-    if not lines[0].startswith("WARC/1."):
+    if not re.fullmatch(r"WARC/1\.\d", lines[0]):
         raise ValueError("no version line")
     fields = dict(line.split(":", 1) for line in lines[1:] if line)
     fields = {k.strip().lower(): v.strip() for k, v in fields.items()}
@@ -240,16 +241,12 @@ def _starts(window, start, mark):
 
 def _next_start(window, start, packed):
     """The next member that opens with a version line, or plain version line with a header."""
-    last = -1
     for at in _starts(window, start, MAGIC if packed else VERSION):
-        if at == last:
-            continue
-        last = at
         try:
             if packed:
                 if _inflate(window, at, len(VERSION))[0].startswith(VERSION):
                     return at
-            elif window.read(at - 1, 1) == b"\n":
+            else:
                 head = window.read(at, min(HEADER_LIMIT, window.size - at)).partition(b"\r\n\r\n")
                 if head[1]:
                     _parse_header(head[0])

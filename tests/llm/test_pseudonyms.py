@@ -1,0 +1,73 @@
+import re
+import datetime
+
+import pytest
+
+from rollspan.llm import pseudonyms
+
+KEY = b"test key"
+
+
+def swap(text):
+    return pseudonyms.replacer(KEY)(text)
+
+
+@pytest.mark.parametrize("n", [1, 2, 10, 1000, 4097])
+def test_permutation_is_a_bijection(n):
+    p = pseudonyms.Permutation(KEY)
+    assert sorted(p("kind", v, n) for v in range(n)) == list(range(n))
+
+
+@pytest.mark.parametrize(
+    "text, kind, shape",
+    [
+        ("4111111111111111", "card", r"\d{16}"),
+        ("4111-1111-1111-1111", "card", r"\d{4}-\d{4}-\d{4}-\d{4}"),
+        ("3782 822463 10005", "card", r"\d{4} \d{6} \d{5}"),
+        ("+1 (312) 555-0199", "phone", r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}"),
+        ("42.144.35.254", "ip", r"\d+\.\d+\.\d+\.\d+"),
+        ("078-05-1120", "ssn", r"\d{3}-\d\d-\d{4}"),
+        ("2024-02-29", "date", r"\d{4}-\d\d-\d\d"),
+        ("31/12/1999", "date", r"\d\d/\d\d/\d{4}"),
+        ("31.12.1999", "date", r"\d\d\.\d\d\.\d{4}"),
+        ("GB82 WEST 1234 5698 7654 32", "iban", r"GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d"),
+        ("ab.42@mail8.example.com", "email", r"[a-z]{2}\.\d\d@[a-z]{4}\d\.[a-z]{7}\.com"),
+    ],
+)
+def test_format_and_validity_stay(text, kind, shape):
+    out, kinds = swap(f"see {text}, please")
+    value = out[4:-8]
+    assert kinds == [kind] and value != text and re.fullmatch(shape, value)
+    assert swap(out)[1] == [kind]  # it is still valid
+
+
+def test_equal_values_stay_linked():
+    a, b = swap("pay 4111111111111111 now")[0], swap("4111 1111 1111 1111")[0]
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b)
+    assert pseudonyms.replacer(b"other")("4111111111111111")[0] != swap("4111111111111111")[0]
+
+
+def test_secrets_keep_their_names():
+    out, kinds = swap('token = "1beb58b8af68854f" and password=b7db7aa4a5fcc78305')
+    assert kinds == ["secret", "secret"] and out.startswith('token = "') and "password=" in out
+    assert "1beb58b8af68854f" not in out and "b7db7aa4a5fcc78305" not in out
+
+
+@pytest.mark.parametrize("text", ["4111111111111112", "999.1.1.1", "1.2.3.4.5", "2023-02-30", "000-12-3456", "GB00 WEST 1234 5698 7654 32", "12345", "a@b", "key: short", None, ""])
+def test_invalid_candidates_stay(text):
+    assert swap(text) == (text, [])
+
+
+def test_dates_are_permuted_within_the_calendar():
+    days = [(datetime.date(2020, 1, 1) + datetime.timedelta(i)).isoformat() for i in range(400)]
+    assert len({swap(d)[0] for d in days}) == 400
+
+
+def test_table(table, odd_rows):
+    rows = odd_rows + [(7, "call (312) 555-0199"), (7, "call (312) 555-0199")]
+    docs = table(rows).withColumnRenamed("kind", "pii_kinds").withColumnRenamed("key", "_pseudonym")
+    got = pseudonyms.pseudonymise(docs, KEY).collect()
+    assert [r["doc_id"] for r in got] == [r[0] for r in rows]
+    assert [r["text"] for r in got[: len(odd_rows)]] == [r[1] for r in odd_rows]
+    assert got[-1] == got[-2] and got[-1]["pii_kinds"] == ["phone"] and "555-0199" not in got[-1]["text"]
+    assert pseudonyms.pseudonymise(table([]), KEY).count() == 0
