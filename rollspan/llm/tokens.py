@@ -2,17 +2,24 @@
 
 Both public tokenizers cut a text in front of every space that follows a non-space, so
 the ids of a text are the ids of its units in a row. Most units repeat; each is encoded
-once by the `tokenizers` library and kept in a bounded cache of id bytes.
+once by the `tokenizers` library and kept in a bounded cache of id bytes. A new unit of
+plain words and punctuation is put together from its parts, which the tokenizers also
+keep apart, so a word is not encoded again for every sign that follows it. A full stop or comma
+between a word and a space becomes a unit at once.
 """
 
 import re
+from array import array
 
 import numpy as np
 
 SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _PAIRS = tuple(c + " " for c in SPACES)
+_ASCII_PAIRS = tuple(p for p in _PAIRS if p.isascii())
 _CUT = re.compile(r"(?<=\S)(?= )")
-CACHE_LIMIT = 300_000
+_SIGN = re.compile(r"([.,])(?<=[^\W_].)(?= |$)")
+_PARTS = re.compile(r"[^\W\d_]+|[!-&(-/:-@\[-`{-~]+|\n")
+CACHE_LIMIT = 600_000
 UNIT_LIMIT = 64
 
 _ENCODERS = {}
@@ -21,6 +28,7 @@ _ENCODERS = {}
 def encoder(path):
     """The worker's encoder of a tokenizer file; it lives as long as the worker."""
     if path not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[path] = UnitEncoder(path)
     return _ENCODERS[path]
 
@@ -34,6 +42,7 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.cache = {}
 
     def end(self, token):
@@ -45,34 +54,62 @@ class UnitEncoder:
         missing = set()
         for units in cut:
             missing.update(set(units).difference(self.cache))
-        if missing:
-            if len(self.cache) + len(missing) > CACHE_LIMIT:
-                self.cache = {}
-                missing = set().union(*cut)
-            self._add(list(missing))
+        if missing and len(self.cache) + len(missing) > CACHE_LIMIT:
+            held = self.cache
+            self.cache = {u: held[u] for u in set().union(*cut).intersection(held)}
+        self._add(missing)
         out = [b"".join(map(self.cache.__getitem__, units)) for units in cut]
         for unit in missing:
-            if len(unit) > UNIT_LIMIT:
-                del self.cache[unit]
+            if len(unit) > UNIT_LIMIT or "\n" in unit:
+                self.cache.pop(unit, None)
         return out
 
     def _units(self, text):
         """Units that follow a space are kept without it, the others after a mark."""
         if not text:
             return []
-        if text[0] == " " or any(pair in text for pair in _PAIRS):
+        if "\0" in text:
+            return ["\0" + text]
+        pairs = _ASCII_PAIRS if text.isascii() else _PAIRS
+        if text[0] == " " or any(pair in text for pair in pairs):
             return [u[1:] if u[0] == " " else "\0" + u for u in _CUT.split(text)]
-        units = text.split(" ")
+        units = _SIGN.sub(" \0\\1", text).split(" ")
         units[0] = "\0" + units[0]
         return units
 
+    def _parts(self, unit):
+        """Keys whose ids in a row are the unit's; the unit itself if it is no plain text."""
+        body = unit[1:] if unit[:1] == "\0" else unit
+        parts = _PARTS.findall(body)
+        if (
+            len(parts) < 2
+            or parts[0] == "\n"
+            or "\n\n" in body
+            or sum(map(len, parts)) != len(body)
+            or not all(p.isalpha() or p.isascii() for p in parts)
+        ):
+            return [unit]
+        first = parts[0] if body is unit else "\0" + parts[0]
+        return [first, *["\0" + p for p in parts[1:]]]
+
     def _add(self, units):
-        for at in range(0, len(units), 4096):
-            some = units[at : at + 4096]
+        cache, joined, new = self.cache, {}, set()
+        for unit in units:
+            if unit.isalpha():
+                new.add(unit)
+                continue
+            parts = self._parts(unit)
+            if len(parts) > 1:
+                joined[unit] = parts
+            new.update(p for p in parts if p not in cache)
+        new, code = list(new), self.code
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
             raw = [u[1:] if u[:1] == "\0" else " " + u for u in some]
-            found = self.tokenizer.encode_batch(raw, add_special_tokens=False)
-            for unit, e in zip(some, found):
-                self.cache[unit] = np.array(e.ids, self.dtype).tobytes()
+            found = self.tokenizer.encode_batch_fast(raw, add_special_tokens=False)
+            cache.update((unit, array(code, e.ids).tobytes()) for unit, e in zip(some, found))
+        for unit, parts in joined.items():
+            cache[unit] = b"".join([cache[p] for p in parts])
 
 
 def crc32_of_ids(ids):
@@ -82,7 +119,7 @@ def crc32_of_ids(ids):
     return zlib.crc32(np.asarray(ids).astype("<u4").tobytes())
 
 
-def slices(batch, chars=2_000_000):
+def slices(batch, chars=1_500_000):
     """Row ranges of about so many characters, to bound a step's memory."""
     import pyarrow.compute as pc
 
