@@ -1,150 +1,99 @@
-"""Exact linear-interpolated quantiles for groups of any size.
-
-Spark's `percentile` is exact but holds every distinct value of a group in one task.
-That is right for bounded groups. Larger groups are narrowed first: each round
-counts a group's values in equal-width bins between the smallest and largest value
-still in play, keeps only the bin that holds the wanted rank, and repeats until the
-bin is small. Only counts, minima and maxima are shuffled, and no value is dropped
-before the rank is known, so the result is the same order statistic.
+"""Exact linear-interpolated quantiles for groups of any size, on one path.
+
+Values are turned into 64-bit integers of the same order. Three passes count a group's
+values by the upper 20 bits, then by the next 22 inside the bins that hold a wanted
+rank, then by the last 22, so the ranks are found after the same three rounds whatever
+the size or range of a group. Only counts per bin are shuffled and ordered, and a bin
+row stands for all equal values. The rows are written once and read by each pass.
+
+Null values are left out; NaN and infinite values stop the job.
 """
 
-import functools
+import numpy as np
+import pandas as pd
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rollspan.functions.checked import finite
 from rollspan.session import cut
 
-GROUP_LIMIT = 1_000_000
-BINS = 4096
+SHIFTS = (44, 22, 0)
 
 
-def exact_quantiles(df, keys, value, levels, name="quantiles", group_bound=None, limit=GROUP_LIMIT):
-    """One array of quantiles per key.
+def _ordered():
+    @F.pandas_udf("long")
+    def image(values: pd.Series) -> pd.Series:
+        bits = (values.to_numpy(dtype=float) + 0.0).view(np.int64)
+        return pd.Series(bits ^ ((bits >> 63) & np.int64(2**63 - 1)))
 
-    `group_bound` is a proven upper bound of the largest group; without one the
-    groups are counted first.
-    """
-    keys = list(keys)
-    if group_bound is not None and group_bound <= limit:
-        return _small(df, keys, value, levels, name)
-    sizes = df.groupBy(*keys).agg(
-        F.count(value).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
-    )
-    if (sizes.agg(F.max("_n")).first()[0] or 0) <= limit:
-        return _small(df, keys, value, levels, name)
-    sizes = cut(sizes)
-    small = df.join(sizes.filter(F.col("_n") <= limit).select(*keys), keys, "left_semi")
-    large = sizes.filter(F.col("_n") > limit)
-    return _small(small, keys, value, levels, name).unionByName(
-        _large(df, large, keys, value, levels, name, limit)
-    )
+    return image
 
 
-def _small(df, keys, value, levels, name):
-    return df.groupBy(*keys).agg(
-        F.percentile(value, F.array(*[F.lit(float(q)) for q in levels])).alias(name)
-    )
+def _restored():
+    @F.pandas_udf("double")
+    def value(images: pd.Series) -> pd.Series:
+        bits = images.to_numpy(dtype=np.int64)
+        return pd.Series((bits ^ ((bits >> 63) & np.int64(2**63 - 1))).view(float))
+
+    return value
 
 
-def _large(df, large, keys, value, levels, name, limit):
-    wanted = _ranks(large, keys, levels)
-    state = wanted.select(*keys, "_rank", "_lo", "_hi", F.lit(0).cast("long").alias("_base"), "_n")
-    done = []
-    while True:
-        finished = (F.col("_n") <= limit) | (F.col("_lo") == F.col("_hi"))
-        done.append(state.filter(finished))
-        open_ranks = state.filter(~finished)
-        if open_ranks.isEmpty():
-            break
-        state = cut(_narrow(df, open_ranks, keys, value))
-    found = _pick(df, functools.reduce(lambda a, b: a.unionByName(b), done), keys, value)
+def exact_quantiles(df, keys, value, levels, name="quantiles"):
+    """One array of quantiles per key."""
+    keys = list(keys)
+    held = finite(F.col(value).cast("double"), "quantiles need finite values")
+    rows = df.select(*keys, held.alias("_v")).filter(F.col("_v").isNotNull())
+    rows = cut(rows.select(*keys, _ordered()("_v").alias("_x")))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    places = [(F.col("_n") - 1) * F.lit(float(q)) for q in levels]
+    ranks = F.array_distinct(
+        F.flatten(F.array(*[F.array(F.floor(p), F.ceil(p)) for p in places]))
+    )
+    state = cut(
+        sizes.select(*keys, "_n", F.explode(ranks).alias("_rank"), F.lit(0).cast("long").alias("_base"))
+    )
+    known = keys
+    for previous, shift in zip((None, *SHIFTS), SHIFTS):
+        play = rows
+        if previous is not None:
+            play = rows.withColumn("_bin", F.shiftright("_x", previous)).join(
+                state.select(*known).distinct(), known, "left_semi"
+            ).withColumnRenamed("_bin", "_above")
+            state = state.withColumnRenamed("_bin", "_above")
+            known = [*keys, "_above"]
+        state = cut(_descend(play, state, known, keys, shift))
+        known = [*keys, "_bin"]
+    found = state.select(*keys, "_n", "_rank", _restored()("_bin").alias("_v"))
     points = found.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at")
+        F.max("_n").alias("_n"),
+        F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"),
     )
 
     def level(q):
         position = (F.col("_n") - 1) * F.lit(float(q))
         below = F.floor(position)
-        low = F.element_at("_at", below)
-        high = F.element_at("_at", F.ceil(position))
-        return low + (high - low) * (position - below)
+        part = position - below
+        low, high = F.element_at("_at", below), F.element_at("_at", F.ceil(position))
+        near = low + (high - low) * part
+        wide = F.abs(high - low) == F.lit(float("inf"))
+        return F.when(wide, low * (1 - part) + high * part).otherwise(near)
 
-    return points.join(large.select(*keys, "_n"), keys).select(
-        *keys, F.array(*[level(q) for q in levels]).alias(name)
-    )
+    return points.select(*keys, F.array(*[level(q) for q in levels]).alias(name))
 
 
-def _ranks(large, keys, levels):
-    positions = [(F.col("_n") - 1) * F.lit(float(q)) for q in levels]
-    ranks = F.array_distinct(
-        F.flatten(F.array(*[F.array(F.floor(p), F.ceil(p)) for p in positions]))
-    )
-    return large.withColumn("_rank", F.explode(ranks))
-
-
-def _bin(value):
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(BINS))
-    place = F.floor((value - F.col("_lo")) / width)
-    return F.least(F.lit(BINS - 1).cast("long"), place)
-
-
-def _in_play(df, state, keys, value):
-    spans = state.select(*keys, "_lo", "_hi").distinct()
-    rows = df.select(*keys, F.col(value).alias("_value"))
-    return rows.join(spans, keys).filter(F.col("_value").between(F.col("_lo"), F.col("_hi")))
-
-
-def _narrow(df, state, keys, value):
-    """Replace each open rank's span by the bin that holds the rank."""
-    bins = (
-        _in_play(df, state, keys, value)
-        .groupBy(*keys, "_lo", "_hi", _bin(F.col("_value")).alias("_bin"))
-        .agg(
-            F.count(F.lit(1)).alias("_c"),
-            F.min("_value").alias("_bin_lo"),
-            F.max("_value").alias("_bin_hi"),
-        )
+def _descend(play, state, known, keys, shift):
+    """Replace each rank's bin by the finer bin that holds the rank."""
+    counts = play.groupBy(*known, F.shiftright("_x", shift).alias("_bin")).agg(
+        F.count(F.lit(1)).alias("_c")
     )
     earlier = (
-        Window.partitionBy(*keys, "_lo", "_hi")
-        .orderBy("_bin")
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*known).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     )
-    bins = bins.withColumn("_before", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
     inside = F.col("_rank") - F.col("_base") - F.col("_before")
     return (
-        state.join(bins, [*keys, "_lo", "_hi"])
+        state.join(counts, known)
         .filter((inside >= 0) & (inside < F.col("_c")))
-        .select(
-            *keys,
-            "_rank",
-            F.col("_bin_lo").alias("_lo"),
-            F.col("_bin_hi").alias("_hi"),
-            (F.col("_base") + F.col("_before")).alias("_base"),
-            F.col("_c").alias("_n"),
-        )
-    )
-
-
-def _pick(df, state, keys, value):
-    """Read the wanted order statistics out of their small spans."""
-    flat = state.filter(F.col("_lo") == F.col("_hi")).select(
-        *keys, "_rank", F.col("_lo").alias("_v")
-    )
-    narrow = state.filter(F.col("_lo") < F.col("_hi"))
-    span = [*keys, "_lo", "_hi"]
-    counts = (
-        _in_play(df, narrow, keys, value)
-        .groupBy(*span, "_value")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    upto = Window.partitionBy(*span).orderBy("_value")
-    counts = counts.withColumn("_end", F.sum("_c").over(upto))
-    inside = F.col("_rank") - F.col("_base")
-    exact = (
-        narrow.join(counts, span)
-        .filter((inside < F.col("_end")) & (inside >= F.col("_end") - F.col("_c")))
-        .select(*keys, "_rank", F.col("_value").alias("_v"))
+        .select(*keys, "_n", "_rank", "_bin", (F.col("_base") + F.col("_before")).alias("_base"))
     )
-    return flat.unionByName(exact)

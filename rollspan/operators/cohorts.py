@@ -27,7 +27,8 @@ def eligible_counts(official, available, excluded):
 def select_cohort(official, available, excluded, counts, seed):
     """Ids ranked by SHA-256 inside their split; roles take consecutive ranks.
 
-    Validation and calibration share one pool in that order.
+    Validation and calibration share one pool in that order. A pool with too few ids
+    is refused.
     """
     pool = _eligible(official, available, excluded)
     digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), "split", "id"), 256)
@@ -41,9 +42,11 @@ def select_cohort(official, available, excluded, counts, seed):
     for name, split, low, high in reversed(bounds):
         inside = (F.col("rank") >= low) & (F.col("rank") < high)
         role = F.when((F.col("split") == split) & inside, name).otherwise(role)
-    return ranked.withColumn("role", role).filter(F.col("role").isNotNull()).select(
+    cohort = ranked.withColumn("role", role).filter(F.col("role").isNotNull()).select(
         "id", "split", "role", "rank"
     )
+    require_counts(cohort, counts)
+    return cohort
 
 
 def require_counts(cohort, counts):
@@ -76,6 +79,9 @@ def reserve_roles(candidates, cuts, replica_roles, seed, label="unseen", replica
         .when(rank < first + seen, "seen-replica")
         .when(rank < first + seen + extension, "extension"),
     ).filter(F.col("slice").isNotNull())
+    held = candidates.limit(first + seen + extension).count()
+    if held < first + seen + extension:
+        raise ValueError(f"too few candidates: {held}")
     numbered = reserved.withColumn(
         "replica", F.explode(F.sequence(F.lit(1), F.lit(replicas)))
     )

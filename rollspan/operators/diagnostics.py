@@ -5,6 +5,7 @@ import functools
 from pyspark.sql import functions as F
 
 from rollspan.functions.arrays import deviations, mean, non_decreasing, total
+from rollspan.functions.checked import bounded
 from rollspan.operators.inference import bootstrap_ci, paired_effect
 from rollspan.operators.losses import probability_columns
 from rollspan.tables import CELL, WINDOW_KEY
@@ -52,7 +53,7 @@ def tag_crossings(predictions, cell=("model", *CELL, "feature_id")):
     """
     tagged = predictions.withColumn("quantiles_valid", non_decreasing(F.col("quantiles")))
     cells = tagged.groupBy(*cell).agg(F.bool_and("quantiles_valid").alias("cell_valid"))
-    return tagged.join(F.broadcast(cells), list(cell))
+    return tagged.join(bounded(cells), list(cell))
 
 
 def crossing_status(tagged, cell=("model", *CELL, "feature_id")):

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from rollspan.functions.checked import bounded, required
 from rollspan.functions.hashing import fingerprint_frame
 from rollspan.functions.quantiles import exact_quantiles
 from rollspan.tables import CELL, WINDOW_KEY
@@ -11,7 +12,7 @@ def evidence(metrics, features):
     """Whole-horizon aggregate rows with selector, unit and table fingerprint."""
     rows = metrics.filter((F.col("level") == "aggregate") & (F.col("step") == 0))
     unit = F.when(F.col("metric").isin("coverage", "scaled-mae"), "dimensionless").otherwise(
-        F.col("unit")
+        required(F.col("unit"), "a feature has no unit")
     )
     selector = F.concat_ws(
         "|", "level", "model", "feature_id", F.col("step").cast("string"), "metric",
@@ -19,7 +20,7 @@ def evidence(metrics, features):
     )
     stored = metrics.withColumn("value", F.round("value", 9))
     mark = fingerprint_frame(stored).select("fingerprint").scalar()
-    return rows.join(F.broadcast(features.select("feature_id", "unit")), "feature_id").select(
+    return rows.join(bounded(features.select("feature_id", "unit")), "feature_id", "left").select(
         *CELL, selector.alias("selector"), "value", unit.alias("unit"), mark.alias("table_hash")
     )
 

@@ -116,7 +116,7 @@ def lagged_ridge(values, horizon, lags, ridge):
     windows, frames, channels = values.shape
     width = lags * channels + 1
     if frames - lags < width:
-        raise ValueError(f"need {width} lagged observations, got {frames - lags}")
+        raise ValueError(f"{frames - lags} frames after the lags cannot fit {width} weights")
     stacked = [values[:, lag : frames - lags + lag, :] for lag in range(lags)]
     design = np.concatenate(stacked + [np.ones((windows, frames - lags, 1))], axis=2)
     labels = values[:, lags:, :]

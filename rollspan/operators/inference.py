@@ -2,8 +2,10 @@
 
 from dataclasses import dataclass
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rollspan.functions.checked import bounded
 from rollspan.functions.hashing import hash_rank
 from rollspan.session import cut
 from rollspan.tables import CELL
@@ -41,7 +43,7 @@ def group_index(values, population):
     groups = values.select(*population, "group_id").distinct()
     counts = groups.groupBy(*population).agg(F.count(F.lit(1)).alias("groups"))
     ranked = hash_rank(groups, F.md5("group_id"), ["group_id"], "idx", keys=population)
-    return ranked.join(F.broadcast(counts), list(population))
+    return ranked.join(bounded(counts), list(population))
 
 
 def draws(index, population, policy):
@@ -141,6 +143,29 @@ def _effects(paired, keys, policy, population, factor=1.0):
     return intervals.join(means, list(keys)).withColumnRenamed("mean", "difference")
 
 
+def _against(group_rows, base, keys):
+    """Every model's group rows beside the reference's, on the same groups.
+
+    The reference joins on series and group; a repeated row, or a model whose groups
+    are not exactly the reference's, stops the job.
+    """
+    own = group_rows.groupBy("model", *keys, "group_id").agg(
+        F.first("value").alias("_l"), F.count(F.lit(1)).alias("_l_n")
+    )
+    series = Window.partitionBy(*keys)
+    other = (
+        base.groupBy(*keys, "group_id")
+        .agg(F.first("value").alias("_r"), F.count(F.lit(1)).alias("_r_n"))
+        .withColumn("_groups", F.count(F.lit(1)).over(series))
+    )
+    rows = own.join(other, [*keys, "group_id"], "left").withColumn(
+        "_met", F.count("_r_n").over(Window.partitionBy("model", *keys))
+    )
+    matched = (F.col("_l_n") == 1) & (F.col("_r_n") == 1) & (F.col("_met") == F.col("_groups"))
+    stop = F.raise_error(F.lit("a model's groups are not those of the reference"))
+    return rows.withColumn("_l", F.when(F.coalesce(matched, F.lit(False)), F.col("_l")).otherwise(stop))
+
+
 def compare(group_rows, reference, policy):
     """Each model's group MAE against the reference on the same groups.
 
@@ -149,8 +174,7 @@ def compare(group_rows, reference, policy):
     keys = [*CELL, "feature_id", "step"]
     group_rows = cut(group_rows)
     base = group_rows.filter(F.col("model") == reference).drop("model")
-    models = group_rows.select("model").distinct()
-    paired = _paired(group_rows, base.join(models), ["model", *keys, "group_id"])
+    paired = _against(group_rows, base, keys)
     effects = _effects(paired, ["model", *keys], policy, CELL)
     ratio = F.col("left") / F.nullif("right", F.lit(0.0))
     return effects.select(

@@ -4,6 +4,7 @@ import functools
 
 from pyspark.sql import functions as F
 
+from rollspan.functions.checked import bounded, finite, positive, required
 from rollspan.session import cut
 from rollspan.tables import CELL, WINDOW_KEY
 
@@ -54,13 +55,13 @@ def losses(predictions, scaler, levels=(), intervals=()):
     """One row per prediction with every element loss as a column.
 
     `rmse` holds the squared error; its root is taken at the trajectory level.
-    Crossing quantiles and errors that overflow stop the job. The scaler holds one
-    row per declared feature, so it is broadcast: the join key has few values and
-    must not become a shuffle key.
+    Quantiles that decrease, losses that are not finite, features without a scale and
+    scales that are not positive stop the job. The scaler holds one row per declared
+    feature, so it is broadcast: the join key has few values and must not become a
+    shuffle key.
     """
     metric_keys(levels, intervals)
     error = F.col("point") - F.col("target")
-    finite = F.abs(error) < F.lit(float("inf"))
     rows = predictions
     if levels:
         ordered = F.col("quantiles").isNull() | (
@@ -69,19 +70,24 @@ def losses(predictions, scaler, levels=(), intervals=()):
         rows = rows.withColumn(
             "quantiles",
             F.when(ordered, F.col("quantiles")).otherwise(
-                F.raise_error(F.lit("crossing quantiles cannot define intervals"))
+                F.raise_error(F.lit("a row's quantiles decrease, so it has no intervals"))
             ),
         )
-    rows = rows.join(F.broadcast(scaler.select("feature_id", "scale")), "feature_id")
+    rows = rows.join(bounded(scaler.select("feature_id", "scale")), "feature_id", "left")
+    scale = positive(
+        required(F.col("scale"), "a feature has no scale"), "a scale is not finite and positive"
+    )
+    trouble = "a loss is not a finite number"
     extra = [c for c in ("split",) if c in rows.columns]
     return rows.select(
         "model", *WINDOW_KEY, "system_id", "group_id", *extra, "step", "feature_id",
-        F.when(finite, F.abs(error))
-        .otherwise(F.raise_error(F.lit("point error is not finite")))
-        .alias("mae"),
-        (error * error).alias("rmse"),
-        (F.abs(error) / F.col("scale")).alias("scaled-mae"),
-        *[c.alias(n) for n, c in probability_columns(list(levels), intervals).items()],
+        finite(F.abs(error), trouble).alias("mae"),
+        finite(error * error, trouble).alias("rmse"),
+        finite(F.abs(error) / scale, trouble).alias("scaled-mae"),
+        *[
+            finite(c, trouble).alias(n)
+            for n, c in probability_columns(list(levels), intervals).items()
+        ],
     )
 
 
@@ -201,8 +207,11 @@ def group_mae(predictions, extra=()):
 
 def normalized_score(group_rows, scaler):
     """Mean over groups and features of MAE divided by the TRAIN scale."""
+    scale = positive(
+        required(F.col("scale"), "a feature has no scale"), "a scale is not finite and positive"
+    )
     return (
-        group_rows.join(F.broadcast(scaler.select("feature_id", "scale")), "feature_id")
+        group_rows.join(bounded(scaler.select("feature_id", "scale")), "feature_id", "left")
         .groupBy("model", *CELL)
-        .agg(F.avg(F.col("mae") / F.col("scale")).alias("score"))
+        .agg(F.avg(F.col("mae") / scale).alias("score"))
     )

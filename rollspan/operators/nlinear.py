@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from rollspan.functions.arrays import dot, let
+from rollspan.functions.checked import bounded, required
 from rollspan.operators.scaling import scale
 
 FAN_IN = 256
@@ -144,7 +145,8 @@ def predict_nlinear(arrays, scaler, weights, name=None):
     """design times weights plus the last value, back in native units.
 
     Weight rows number channels x leads x ridges, all declared, so they and the
-    scaler are broadcast.
+    scaler are broadcast. A window of another cell, or a channel without weights or
+    scaler, stops the job.
     """
     label = F.lit(name) if name else F.concat(F.lit("nlinear-"), F.col("ridge").cast("string"))
     packed = weights.groupBy("ridge", "feature_id").agg(
@@ -154,12 +156,13 @@ def predict_nlinear(arrays, scaler, weights, name=None):
         F.max("step").alias("_h"),
         F.max(F.size("weights")).alias("_p"),
     )
+    fits = (F.col("horizon_frames") == F.col("_h")) & (F.col("context_frames") + 1 == F.col("_p"))
+    stop = F.raise_error(F.lit("the weights are for another cell"))
     joined = (
-        arrays.join(F.broadcast(packed), "feature_id")
-        .filter(
-            (F.col("horizon_frames") == F.col("_h")) & (F.col("context_frames") + 1 == F.col("_p"))
-        )
-        .join(F.broadcast(scaler.select("feature_id", "center", "scale")), "feature_id")
+        arrays.join(bounded(packed), "feature_id", "left")
+        .withColumn("_w", F.when(F.coalesce(fits, F.lit(False)), F.col("_w")).otherwise(stop))
+        .join(bounded(scaler.select("feature_id", "center", "scale")), "feature_id", "left")
+        .withColumn("scale", required(F.col("scale"), "a channel has no scaler"))
     )
     last = F.element_at("context", -1)
     design = F.concat(
@@ -179,8 +182,10 @@ def select_nlinear(scores, candidates):
     ranked = scores.withColumn("ordinal", order[F.col("model")]).filter(
         F.col("ordinal").isNotNull()
     )
+    whole = (F.count_distinct(F.when(F.col("score").isNotNull(), F.col("ordinal")))) == len(candidates)
+    stop = F.raise_error(F.lit("a candidate has no validation score"))
     return ranked.agg(
-        F.min_by("model", F.struct("score", "ordinal")).alias("model"),
+        F.when(whole, F.min_by("model", F.struct("score", "ordinal"))).otherwise(stop).alias("model"),
         F.min("score").alias("score"),
     )
 

@@ -2,22 +2,22 @@
 
 from pyspark.sql import functions as F
 
+from rollspan.functions.checked import bounded, required
 from rollspan.functions.quantiles import exact_quantiles
 
 LEAD = ("model", "context_frames", "horizon_frames", "step", "feature_id")
 
 
-def fit_residual_quantiles(train_predictions, levels, group_bound=None):
+def fit_residual_quantiles(train_predictions, levels):
     """per lead and channel, quantiles of pooled TRAIN residuals.
 
     Offsets below the median are at most zero, above it at least zero, and the
-    median offset is zero, so the point forecast stays the median. `group_bound`
-    is the number of TRAIN windows where the caller knows it (W3 gives it closed).
+    median offset is zero, so the point forecast stays the median.
     """
     if 0.5 not in levels or sorted(set(levels)) != list(levels):
         raise ValueError("levels must be ordered, unique and hold 0.5")
     rows = train_predictions.select(*LEAD, (F.col("target") - F.col("point")).alias("residual"))
-    raw = exact_quantiles(rows, LEAD, "residual", levels, "_raw", group_bound)
+    raw = exact_quantiles(rows, LEAD, "residual", levels, "_raw")
     offsets = []
     for i, q in enumerate(levels, start=1):
         value = F.element_at("_raw", i)
@@ -40,10 +40,12 @@ def apply_residuals(predictions, offsets):
 
     The offset table has one row per model, cell, lead and channel. The declared
     grid bounds it, so it is broadcast: predictions are not shuffled by so few keys.
+    A prediction without offsets stops the job.
     """
     return (
         predictions.drop("levels", "quantiles")
-        .join(F.broadcast(offsets.select(*LEAD, "levels", "offsets")), list(LEAD))
+        .join(bounded(offsets.select(*LEAD, "levels", "offsets")), list(LEAD), "left")
+        .withColumn("offsets", required(F.col("offsets"), "a prediction has no residual offsets"))
         .withColumn("quantiles", F.transform("offsets", lambda o: F.col("point") + o))
         .drop("offsets")
     )

@@ -2,26 +2,26 @@
 
 from pyspark.sql import functions as F
 
+from rollspan.functions import blocks as blk
 from rollspan.functions.arrays import deviations, mean, total
 from rollspan.functions.blocks import block_of
+from rollspan.functions.checked import bounded, required
 
 
 def in_regions(frames, regions):
-    """Frames inside [start, stop) regions, joined on (trajectory_id, block)."""
-    spread = regions.select(
-        "trajectory_id",
-        F.col("start").alias("_start"),
-        F.col("stop").alias("_stop"),
-        F.explode(
-            F.sequence(block_of(F.col("start")), block_of(F.col("stop") - 1))
-        ).alias("block"),
-    )
-    rows = frames.withColumn("block", block_of(F.col("frame")))
-    return (
-        rows.join(spread, ["trajectory_id", "block"])
-        .filter((F.col("frame") >= F.col("_start")) & (F.col("frame") < F.col("_stop")))
-        .drop("block", "_start", "_stop")
+    """Frames inside [start, stop) regions, each once.
+
+    Regions are cut at the block bounds and spread to their frames, so a frame meets
+    at most the one row of its number, however many regions a block has.
+    """
+    block = F.explode(F.sequence(block_of(F.col("start")), block_of(F.col("stop") - 1)))
+    cut_up = regions.filter(F.col("start") < F.col("stop")).select(
+        "trajectory_id", "start", "stop", block.alias("_block")
     )
+    low = F.greatest(F.col("start"), F.col("_block") * blk.BLOCK)
+    high = F.least(F.col("stop"), (F.col("_block") + 1) * blk.BLOCK) - 1
+    covered = cut_up.select("trajectory_id", F.explode(F.sequence(low, high)).alias("frame"))
+    return frames.join(covered, ["trajectory_id", "frame"], "left_semi")
 
 
 def fit_scaler(frames, regions, features):
@@ -75,12 +75,15 @@ def scale(df, scaler, columns=("value",), inverse=False, keys=("feature_id",)):
     """(x - center) / scale or back, for double and array columns alike.
 
     A scaler keyed by feature alone holds one row per declared feature and is
-    broadcast; any other key is left to Spark's size check.
+    broadcast; any other key is left to Spark's size check. A row without a fitted
+    scaler stops the job.
     """
     fitted = scaler.select(*keys, "center", "scale")
     if tuple(keys) == ("feature_id",):
-        fitted = F.broadcast(fitted)
-    joined = df.join(fitted, list(keys))
+        fitted = bounded(fitted)
+    joined = df.join(fitted, list(keys), "left")
+    for name in ("center", "scale"):
+        joined = joined.withColumn(name, required(F.col(name), f"a row has no fitted {name}"))
     types = dict(df.dtypes)
 
     def apply(x):

@@ -113,18 +113,17 @@ def correlation_times(curves, max_lag):
     )
 
 
-def feature_qc(frames, cutoffs, max_lag, event_sigma, group_bound=None):
+def feature_qc(frames, cutoffs, max_lag, event_sigma):
     """Q1-Q6: distribution, dependence, drift, half shift and jumps per series.
 
     First pass: mergeable moments. Second pass, by blocks: lag products, increments
-    and halves. `cutoffs` gives the near-constant deviation per feature;
-    `group_bound` the longest series, when known.
+    and halves. `cutoffs` gives the near-constant deviation per feature.
     """
     features = list(cutoffs)
     rows = long_frames(frames, features)
     moments = _moments(rows)
     curves = decay(_curves(rows, moments, max_lag)).drop("n")
-    quantiles = exact_quantiles(rows, SERIES, "value", QUANTILES, "quantiles", group_bound)
+    quantiles = exact_quantiles(rows, SERIES, "value", QUANTILES, "quantiles")
     halves = _half_means(rows, moments)
     jumps = _jumps(rows, event_sigma)
     lookup = F.create_map(*[F.lit(x) for k, v in cutoffs.items() for x in (k, float(v))])
@@ -212,7 +211,8 @@ def dependence_summary(curves, groups, max_lag, policy):
     """Q8: replica curves averaged per group, then equal groups with intervals.
 
     Long result: one row per feature, measure and lag. Constants are counted and
-    left out; a series must be longer than max_lag.
+    left out; a feature whose series are all constant keeps one row with its counts and
+    no measure. A series must be longer than max_lag.
     """
     ready = curves.withColumn(
         "acf",
@@ -250,10 +250,11 @@ def dependence_summary(curves, groups, max_lag, policy):
     )
     out = bootstrap_ci(group, ["measure", "lag"], policy, population=["feature_id"])
     shown = F.col("measure") != "censored"
-    return out.join(counts, "feature_id").select(
+    return counts.join(out, "feature_id", "left").select(
         "feature_id", "measure", "lag",
         F.col("mean").alias("value"),
         F.when(shown, F.col("marginal_lower")).alias("ci_lower"),
         F.when(shown, F.col("marginal_upper")).alias("ci_upper"),
-        "groups", "trajectories", "constant_trajectories",
+        F.coalesce("groups", F.lit(0)).alias("groups"),
+        "trajectories", "constant_trajectories",
     )

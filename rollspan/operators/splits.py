@@ -1,9 +1,9 @@
 """Leak-free partitions over dependency groups."""
 
-import math
-
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rollspan.functions.checked import required
 from rollspan.functions.hashing import hash_rank
 from rollspan.session import cut
 from rollspan.tables import SPLITS
@@ -41,9 +41,12 @@ def components(trajectories, labels):
     Each relation becomes a star around its smallest member; alternating large-star
     and small-star rounds (Kiveris et al., 2014) shrink every component to one star
     in a logarithmic number of rounds. Each round is one min aggregate, combined
-    before the shuffle, and one equi join; lineage is cut with a reliable checkpoint.
+    before the shuffle, and one equi join of two written tables, so that Spark can
+    split the rows of a relation or node that many members share. A trajectory without
+    a label is refused.
     """
-    named = trajectories.join(labels, "trajectory_id")
+    label = required(F.col("label"), "a trajectory has no label")
+    named = trajectories.join(labels, "trajectory_id", "left").withColumn("label", label)
     members = named.select(
         F.col("trajectory_id").alias("u"),
         F.explode(
@@ -54,7 +57,7 @@ def components(trajectories, labels):
             )
         ).alias("rel"),
     ).select("u", "rel.k", "rel.r")
-    centres = members.groupBy("k", "r").agg(F.min("u").alias("v"))
+    centres = cut(members.groupBy("k", "r").agg(F.min("u").alias("v")))
     edges = members.join(centres, ["k", "r"]).filter(F.col("u") > F.col("v"))
     edges = cut(edges.select("u", "v").distinct())
     mark = _mark(edges)
@@ -74,14 +77,14 @@ def components(trajectories, labels):
 
 def _large_star(edges):
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")))
     least = least.select("u", F.least("u", "m").alias("m"))
     moved = both.filter(F.col("v") > F.col("u")).join(least, "u")
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges):
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").filter(F.col("v") != F.col("m"))
     return (
         moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -112,34 +115,49 @@ def official_split(trajectories, groups):
     return rows.select("trajectory_id", "group_id", "split")
 
 
-def partition_counts(count, ratios):
-    """Largest-remainder counts; ties go to train, validation, test in that order."""
-    if any(not 0 <= r <= 1 for r in ratios) or abs(sum(ratios) - 1) > RATIO_TOLERANCE:
-        raise ValueError("ratios must be in [0, 1] and sum to one")
-    quotas = [count * r for r in ratios]
-    counts = [math.floor(q) for q in quotas]
-    by_remainder = sorted(range(3), key=lambda i: (counts[i] - quotas[i], i))
-    for i in by_remainder[: count - sum(counts)]:
-        counts[i] += 1
-    if any(r > 0 and n == 0 for r, n in zip(ratios, counts)):
-        raise ValueError("too few dependency groups for the requested partitions")
-    return counts
+def split_quotas(spark, ratios):
+    """The declared share of each split, in their fixed order."""
+    if len(ratios) != len(SPLITS) or min(ratios) < 0 or max(ratios) > 1:
+        raise ValueError("give one share between 0 and 1 for each split")
+    if abs(1 - sum(ratios)) > RATIO_TOLERANCE:
+        raise ValueError("the shares of the splits do not add up to 1")
+    return spark.createDataFrame(
+        [(i, s, float(r)) for i, (s, r) in enumerate(zip(SPLITS, ratios))],
+        "place int, split string, ratio double",
+    )
+
+
+def apportion(quotas, groups):
+    """Groups per split (`n`) and those of the splits before it (`first`).
+
+    Every split gets the whole part of its exact share; one more goes to the splits
+    with the largest fractions, the earlier split first among equals. `groups` is a
+    table of one number. A split with a share but no group stops the job.
+    """
+    share = F.col("groups") * F.col("ratio")
+    every, order = Window.partitionBy(), Window.orderBy(F.desc(share - F.floor(share)), "place")
+    left = F.col("groups") - F.sum(F.floor(share)).over(every)
+    n = F.floor(share) + (F.row_number().over(order) <= left).cast("long")
+    rows = quotas.withColumn("groups", groups.scalar()).withColumn("n", n)
+    stop = F.raise_error(F.lit("a split would get no dependency group"))
+    rows = rows.withColumn("n", F.when((F.col("n") > 0) | (F.col("ratio") == 0), F.col("n")).otherwise(stop))
+    before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select("split", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
 
 
 def grouped_split(groups, ratios, seed):
     """C4: whole components in SHA-256 order, cut at the largest-remainder counts."""
     keys = groups.select("group_id").distinct()
-    train, validation, _ = partition_counts(keys.count(), ratios)
+    quotas = split_quotas(groups.sparkSession, ratios)
+    parts = apportion(quotas, keys.agg(F.count(F.lit(1)).alias("groups"))).collect()  # three rows
     digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), "group_id"), 256)
     ranked = hash_rank(keys, digest, ["group_id"], "_rank")
-    split = (
-        F.when(F.col("_rank") < train, SPLITS[0])
-        .when(F.col("_rank") < train + validation, SPLITS[1])
-        .otherwise(SPLITS[2])
-    )
-    return groups.join(ranked.select("group_id", split.alias("split")), "group_id").select(
-        "trajectory_id", "group_id", "split"
-    )
+    split = F.lit(None).cast("string")
+    for part in parts:
+        inside = F.col("_rank").between(part["first"], part["first"] + part["n"] - 1)
+        split = F.when(inside, part["split"]).otherwise(split)
+    placed = ranked.select("group_id", split.alias("split"))
+    return groups.join(placed, "group_id").select("trajectory_id", "group_id", "split")
 
 
 def replica_split(trajectories, groups, partitions):

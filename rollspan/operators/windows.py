@@ -127,20 +127,36 @@ def require_feasible(trajectories, grid):
         raise ValueError(f"impossible cell for {bad['trajectory_id']}: {bad['reason']}")
 
 
-def windows(trajectories, assignments, grid, split=None, strict=True):
-    """Window indices, in blocks of start frames.
+def admit(trajectories, assignments, grid, split=None):
+    """The grid cells that fit, and beside them the rejected ones with their reason."""
+    cells = resolve_grid(_selected(trajectories, assignments, split), grid)
+    rejected = cells.filter(F.col("reason").isNotNull()).select(
+        "trajectory_id", "context", "horizon", "reason"
+    )
+    return cells.filter(F.col("reason").isNull()), rejected
+
+
+def _selected(trajectories, assignments, split):
+    kept = assignments.select("trajectory_id", "group_id", "split")
+    if split is not None:
+        kept = kept.filter(F.col("split") == split)
+    return trajectories.drop("split").join(kept, "trajectory_id")
+
+
+def windows(trajectories, assignments, grid, split=None):
+    """Window indices; one cell that does not fit refuses the whole request."""
+    require_feasible(_selected(trajectories, assignments, split), grid)
+    cells, _ = admit(trajectories, assignments, grid, split)
+    return cell_windows(cells, grid.stride)
+
+
+def cell_windows(cells, stride):
+    """Window indices of admitted cells, in blocks of start frames.
 
     Starts are produced per (trajectory, block), after a small shuffle of the block
     list, so a very long trajectory is not enumerated in one task. `block` stays on
     the rows: `window_arrays` joins on it without shuffling them again.
     """
-    kept = assignments.select("trajectory_id", "group_id", "split")
-    if split is not None:
-        kept = kept.filter(F.col("split") == split)
-    records = trajectories.drop("split").join(kept, "trajectory_id")
-    if strict:
-        require_feasible(records, grid)
-    cells = resolve_grid(records, grid).filter(F.col("reason").isNull())
     last = (F.col("frame_count") - F.col("context_frames") - F.col("horizon_frames")).cast("long")
     blocks = (
         over_blocks(cells.withColumn("_last", last), F.col("_last") + 1)
@@ -150,7 +166,7 @@ def windows(trajectories, assignments, grid, split=None, strict=True):
         )
         .repartition("trajectory_id", "block")
     )
-    stride = F.lit(grid.stride).cast("long")
+    stride = F.lit(stride).cast("long")
     low = F.ceil(F.col("block") * blk.BLOCK / stride) * stride
     high = F.least(F.col("_last"), (F.col("block") + 1) * blk.BLOCK - 1)
     starts = F.when(low <= high, F.sequence(low, high, stride)).otherwise(
@@ -278,7 +294,7 @@ def window_arrays(frames, index, features, span, with_targets=True):
 
 
 def first_windows(index):
-    """The first legal window of each trajectory and cell."""
+    """The first legal window of each trajectory, of its smallest cell."""
     columns = [c for c in index.columns if c not in ("trajectory_id", "block")]
     first = F.min_by(F.struct(*columns), F.struct("start", "context_frames", "horizon_frames"))
     return index.groupBy("trajectory_id").agg(first.alias("_w")).select("trajectory_id", "_w.*")

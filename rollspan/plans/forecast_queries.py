@@ -46,7 +46,11 @@ def points(spark, sf_dir, models=ALL, split=None, source="event"):
 
 
 def rows(spark, sf_dir, models=ALL, split=None, source="event"):
-    return fc.predictions(points(spark, sf_dir, models, split, source))
+    """Predictions, written once for every query of the session that reads them."""
+    return tb.stored_as(
+        spark, sf_dir, ("predictions", tuple(models), split, source),
+        lambda: fc.predictions(points(spark, sf_dir, models, split, source)),
+    )
 
 
 def shown(predictions):
@@ -130,22 +134,18 @@ def f11(spark, sf_dir):
     return nl.conditioning(cut(factors), 40, 10, (None, 0.0, 1.0))
 
 
-def offsets(spark, sf_dir, models, predictions):
-    """Residual offsets from the TRAIN rows of `predictions`.
-
-    The bound of a group is the number of TRAIN windows, known from the metadata.
-    """
-    train = predictions.filter(F.col("split") == "train")
-    cells = wn.feasibility(
-        tb.event_trajectories(spark, sf_dir).filter(F.col("split") == "train"), tb.GRID
-    )
-    bound = cells.agg(F.sum("window_count")).first()[0]
-    return rs.fit_residual_quantiles(train, list(LEVELS), bound)
+def offsets(predictions):
+    """Residual offsets from the TRAIN rows of `predictions`."""
+    return rs.fit_residual_quantiles(predictions.filter(F.col("split") == "train"), list(LEVELS))
 
 
 def probabilistic(spark, sf_dir, models=("persistence", "linear")):
+    """Predictions with quantiles, written once; offsets come from their TRAIN rows."""
     out = rows(spark, sf_dir, list(models))
-    return rs.apply_residuals(out, offsets(spark, sf_dir, models, out))
+    return tb.stored_as(
+        spark, sf_dir, ("quantiles", tuple(models)),
+        lambda: rs.apply_residuals(out, offsets(out)),
+    )
 
 
 PROB = f"{pred(EVENTS, ['persistence', 'linear'])}, {RESIDUALS}"
@@ -158,7 +158,7 @@ PROB = f"{pred(EVENTS, ['persistence', 'linear'])}, {RESIDUALS}"
 )
 def f9(spark, sf_dir):
     models = ["persistence", "linear"]
-    fitted = offsets(spark, sf_dir, models, rows(spark, sf_dir, models))
+    fitted = offsets(rows(spark, sf_dir, models))
     return rounded(
         fitted.select(
             *rs.LEAD,

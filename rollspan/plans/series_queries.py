@@ -244,9 +244,9 @@ CLOUD = """WITH
 ats AS (
   SELECT 'e' || label AS trajectory_id, i::INTEGER AS atom,
     row_number() OVER (PARTITION BY label, i ORDER BY vec_id) - 1 AS frame,
-    embedding[3 * i + 1]::DOUBLE AS x, embedding[3 * i + 2]::DOUBLE AS y,
-    embedding[3 * i + 3]::DOUBLE AS z
-  FROM embeddings, range(21) t(i)),
+    embedding[3 * i + 1]::DOUBLE AS x, coalesce(embedding[3 * i + 2]::DOUBLE, 0) AS y,
+    coalesce(embedding[3 * i + 3]::DOUBLE, 0) AS z
+  FROM embeddings, range(22) t(i)),
 pa AS (
   SELECT trajectory_id, frame, a.atom AS a, b.atom AS b, a.x - b.x AS dx, a.y - b.y AS dy,
     a.z - b.z AS dz
@@ -269,7 +269,7 @@ def labelled(spark, sf_dir):
     "p1_heavy_sets",
     """SELECT DISTINCT 'e' || label AS system_id, i::INTEGER AS atom,
   CASE WHEN i < 14 THEN 'receptor' ELSE 'ligand' END AS side
-FROM embeddings, range(21) t(i) WHERE i % 5 <> 4""",
+FROM embeddings, range(22) t(i) WHERE i % 5 <> 4""",
 )
 def p1(spark, sf_dir):
     return pt.heavy_sets(tb.cloud_atoms(spark, sf_dir), tb.cloud_segments(spark, sf_dir))

@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rollspan.functions.blocks import ordered_index, with_blocks
-from rollspan.operators.windows import Grid, window_arrays, window_channels, windows
+from rollspan.operators.windows import Grid, admit, cell_windows, window_arrays, window_channels
 from rollspan.session import cut
 from rollspan.tables import TRAJECTORIES, conform
 
@@ -32,6 +32,14 @@ def stored(build):
     return read
 
 
+def stored_as(spark, sf_dir, name, build):
+    """A table with parameters, built and written once per application and input folder."""
+    key = (spark.sparkContext.applicationId, str(sf_dir), name)
+    if key not in _STORED:
+        _STORED[key] = cut(build())
+    return _STORED[key]
+
+
 EVENT_FEATURES = ["value", "k"]
 MONTH_FEATURES = ["quantity", "lines"]
 GRID = Grid(contexts=(20,), horizons=(5, 10), stride=5)
@@ -134,13 +142,15 @@ def event_assignments(spark, sf_dir):
 
 
 def event_windows(spark, sf_dir, split=None, grid=GRID):
-    return windows(
-        event_trajectories(spark, sf_dir),
-        event_assignments(spark, sf_dir),
-        grid,
-        split,
-        strict=False,
+    """Windows of the cells that fit; `event_rejections` lists the others."""
+    cells, _ = admit(
+        event_trajectories(spark, sf_dir), event_assignments(spark, sf_dir), grid, split
     )
+    return cell_windows(cells, grid.stride)
+
+
+def event_rejections(spark, sf_dir, grid=GRID):
+    return admit(event_trajectories(spark, sf_dir), event_assignments(spark, sf_dir), grid)[1]
 
 
 def event_arrays(spark, sf_dir, split=None, grid=GRID, features=EVENT_FEATURES):
@@ -221,10 +231,10 @@ def month_assignments(spark, sf_dir):
 
 
 def month_windows(spark, sf_dir, split=None, grid=MONTH_GRID):
-    return windows(
-        month_trajectories(spark, sf_dir), month_assignments(spark, sf_dir), grid, split,
-        strict=False,
+    cells, _ = admit(
+        month_trajectories(spark, sf_dir), month_assignments(spark, sf_dir), grid, split
     )
+    return cell_windows(cells, grid.stride)
 
 
 def month_arrays(spark, sf_dir, split=None, grid=MONTH_GRID, features=MONTH_FEATURES):
@@ -241,7 +251,7 @@ def month_channels(spark, sf_dir, split=None, grid=MONTH_GRID, features=MONTH_FE
 
 @stored
 def cloud(spark, sf_dir):
-    """One point cloud per label: 21 atoms from the first 63 numbers of each vector.
+    """One point cloud per label: 22 atoms from the 64 numbers of each vector, the last on the x axis.
 
     Vectors are numbered inside their label in runs of 4,096 ids.
     """
@@ -251,9 +261,12 @@ def cloud(spark, sf_dir):
     numbered = ordered_index(
         vectors, ["trajectory_id"], F.floor(F.col("vec_id") / 4096), ["vec_id"], "frame"
     )
-    at = [F.col("embedding")[F.col("atom") * 3 + i].cast("double") for i in range(3)]
+    at = [
+        F.coalesce(F.get("embedding", F.col("atom") * 3 + i).cast("double"), F.lit(0.0))
+        for i in range(3)
+    ]
     return (
-        numbered.withColumn("atom", F.explode(F.sequence(F.lit(0), F.lit(20))))
+        numbered.withColumn("atom", F.explode(F.sequence(F.lit(0), F.lit(21))))
         .select(
             "trajectory_id", "frame", F.col("trajectory_id").alias("system_id"), "atom",
             at[0].alias("x"), at[1].alias("y"), at[2].alias("z"),
@@ -266,7 +279,7 @@ def cloud_atoms(spark, sf_dir):
     labels = table(spark, sf_dir, "embeddings").select(
         F.concat(F.lit("e"), F.col("label")).alias("system_id")
     ).distinct()
-    return labels.withColumn("atom", F.explode(F.sequence(F.lit(0), F.lit(20)))).select(
+    return labels.withColumn("atom", F.explode(F.sequence(F.lit(0), F.lit(21)))).select(
         "system_id",
         "atom",
         F.when(F.col("atom") % 5 == 4, 1).otherwise(6).alias("atomic_number"),

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,25 +13,11 @@ from rollspan.operators import nlinear as nl
 from rollspan.operators import residuals as rs
 from rollspan.operators import windows as wn
 from tests import data
+from tests.least_squares import continued
 
 POLICY = inf.Policy(seed=1, samples=200, min_groups=2, min_tail=1)
 
 
-def solve(values, lags, ridge, horizon):
-    """Plain least squares with a free intercept, as an independent check."""
-    x = np.array([np.append(values[i - lags : i], 1.0) for i in range(lags, len(values))])
-    y = np.array(values[lags:])
-    if ridge:
-        penalty = np.sqrt(ridge) * np.eye(lags + 1)
-        penalty[-1, -1] = 0
-        x, y = np.vstack([x, penalty]), np.append(y, np.zeros(lags + 1))
-    w = np.linalg.lstsq(x, y, rcond=None)[0]
-    path = list(values)
-    for _ in range(horizon):
-        path.append(float(np.append(path[-lags:], 1.0) @ w))
-    return path[len(values):]
-
-
 def test_first_window_points(spark):
     context = [float(t) for t in range(6)]
     arrays = data.arrays(spark, (context, [6, 7]))
@@ -54,7 +41,9 @@ def test_autoregression_matches_least_squares(spark, ridge):
         out = fc.forecast(arrays, {"ar": fc.autoregression(lags, ridge)})
         got = {r["trajectory_id"]: r["points"] for r in out.collect()}
         for i, s in enumerate(series):
-            assert got[f"t{i}"] == pytest.approx(solve(s, lags, ridge, 4), abs=1e-9)
+            assert got[f"t{i}"] == pytest.approx(
+                continued(pd.DataFrame(s), lags, ridge, 4)[:, 0], abs=1e-9
+            )
 
 
 def test_vector_autoregression_recovers_a_lead(spark):
@@ -140,7 +129,7 @@ def test_residual_quantiles(spark):
     arrays = wn.window_arrays(frames, index, ["position", "constant"], grid.span)
     rows = fc.predictions(fc.forecast(arrays, {"persistence": fc.persistence}))
     train = rows.filter("split = 'train'")
-    fitted = rs.fit_residual_quantiles(train, [0.1, 0.5, 0.9], 15)
+    fitted = rs.fit_residual_quantiles(train, [0.1, 0.5, 0.9])
     got = {(r["feature_id"], r["step"]): r["offsets"] for r in fitted.collect()}
     assert got[("position", 1)] == [0, 0, 1] and got[("position", 2)] == [0, 0, 2]
     assert got[("constant", 1)] == [0, 0, 0]
@@ -270,3 +259,59 @@ def test_normalized_score(spark):
     )
     scales = spark.createDataFrame([("x", 2.0), ("y", 4.0)], "feature_id string, scale double")
     assert ls.normalized_score(rows, scales).first()["score"] == 1.5
+
+
+def _one_prediction(spark, point, feature="value"):
+    keys = ", ".join(f"{k} string" for k in ("model", "trajectory_id", "system_id", "group_id", "feature_id"))
+    rows = [("m", "t", "s", "g", feature, 0, 4, 2, 1, point, 0.0)]
+    return spark.createDataFrame(
+        rows,
+        f"{keys}, start long, context_frames int, horizon_frames int, step int, point double, target double",
+    )
+
+
+@pytest.mark.parametrize(
+    "point, feature, scale, message",
+    [
+        (1e200, "value", 1.0, "not a finite number"),
+        (1.0, "value", 0.0, "not finite and positive"),
+        (1.0, "value", -1.0, "not finite and positive"),
+        (1.0, "other", 1.0, "no scale"),
+    ],
+)
+def test_losses_refuse_unfit_rows(spark, point, feature, scale, message):
+    scaler = spark.createDataFrame([("value", scale)], "feature_id string, scale double")
+    with pytest.raises(Exception, match=message):
+        ls.losses(_one_prediction(spark, point, feature), scaler).collect()
+
+
+def test_residuals_refuse_a_prediction_without_offsets(spark):
+    offsets = spark.createDataFrame(
+        [("m", 4, 2, 1, "value", [0.5], [0.0])],
+        "model string, context_frames int, horizon_frames int, step int, feature_id string, "
+        "levels array<double>, offsets array<double>",
+    )
+    assert rs.apply_residuals(_one_prediction(spark, 1.0), offsets).first()["quantiles"] == [1.0]
+    with pytest.raises(Exception, match="no residual offsets"):
+        rs.apply_residuals(_one_prediction(spark, 1.0, "other"), offsets).collect()
+
+
+def test_comparison_refuses_a_missing_group(spark):
+    rows = [(m, 4, 2, "value", 1, g, v) for m, g, v in
+            [("a", "g1", 1.0), ("a", "g2", 2.0), ("b", "g1", 1.5), ("b", "g2", 1.0), ("c", "g1", 1.0)]]
+    table = spark.createDataFrame(
+        rows, "model string, context_frames int, horizon_frames int, feature_id string, step int, group_id string, value double"
+    )
+    with pytest.raises(Exception, match="not those of the reference"):
+        inf.compare(table, "a", POLICY).collect()
+    effects = inf.compare(table.filter("model != 'c'"), "a", POLICY)
+    assert {r["model"]: r["mae_difference"] for r in effects.collect()} == {"a": 0.0, "b": -0.25}
+    assert "CartesianProduct" not in effects._jdf.queryExecution().executedPlan().toString()
+
+
+def test_broadcast_of_a_declared_table_is_bounded(spark):
+    from rollspan.functions.checked import bounded
+
+    assert bounded(spark.range(5), 5).count() == 5
+    with pytest.raises(Exception, match="more than 4 rows"):
+        bounded(spark.range(5), 4).collect()

@@ -105,24 +105,34 @@ def test_lag_direction_and_gain(spark):
     assert {r["correlation"] for r in cp.lag_correlation(flat, 2).collect()} == {None}
 
 
-def test_quantiles_of_large_groups_are_exact(spark, monkeypatch):
-    monkeypatch.setattr(qt, "BINS", 5)
+def test_quantiles_are_exact_at_any_range(spark):
     rng = np.random.default_rng(4)
     groups = {
         "wide": np.exp(rng.normal(size=400) * 8),
         "ties": np.repeat([1.0, 2.0, 7.0], 100),
         "flat": np.full(90, 3.0),
         "tiny": np.array([4.0, 1.0]),
+        "signs": np.concatenate([-np.exp(rng.normal(size=50)), [0.0, -0.0], np.exp(rng.normal(size=50))]),
+        "small": np.array([5e-324, 1e-310, -5e-324, 2.0]),
     }
     rows = [(k, float(v)) for k, vs in groups.items() for v in vs]
     df = spark.createDataFrame(rows, "k string, v double").repartition(4)
     levels = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
-    out = qt.exact_quantiles(df, ["k"], "v", levels, limit=20)
+    out = qt.exact_quantiles(df, ["k"], "v", levels)
     got = {r["k"]: r["quantiles"] for r in out.collect()}
     for k, values in groups.items():
         assert got[k] == pytest.approx(list(np.quantile(values, levels)), rel=1e-12)
 
 
+def test_quantiles_of_extreme_and_unfit_values(spark):
+    wide = spark.createDataFrame([("k", -1e308), ("k", 1e308), ("k", None)], "k string, v double")
+    assert qt.exact_quantiles(wide, ["k"], "v", (0.0, 0.5, 1.0)).first()["quantiles"] == [-1e308, 0.0, 1e308]
+    for bad in (float("nan"), float("inf")):
+        df = spark.createDataFrame([("k", 1.0), ("k", bad)], "k string, v double")
+        with pytest.raises(Exception, match="finite"):
+            qt.exact_quantiles(df, ["k"], "v", (0.5,))
+
+
 def cloud(spark):
     x = [0.0, 10.0, 4.0, 4.0, 14.0, 0.0]
     rows = [

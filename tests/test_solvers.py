@@ -1,16 +1,11 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from rollspan.operators import coupling as cp
 from rollspan.operators import forecasts as fc
 from rollspan.operators import nlinear as nl
-
-
-def ridge_fit(x, y, ridge):
-    penalty = np.sqrt(ridge) * np.diag([1.0] * (x.shape[1] - 1) + [0.0])
-    return np.linalg.lstsq(
-        np.vstack([x, penalty]), np.vstack([y, np.zeros((x.shape[1], y.shape[1]))]), rcond=None
-    )[0]
+from tests.least_squares import continued, lag_columns, slope_and_level
 
 
 def test_vector_autoregression_against_least_squares(spark):
@@ -23,12 +18,7 @@ def test_vector_autoregression_against_least_squares(spark):
         "channels array<struct<feature_id: string, context: array<double>, target: array<double>>>",
     )
     out = fc.forecast_channels(channels, {"var2": fc.vector_autoregression(2, 0.5)}).collect()
-    x = np.array([np.append(values[i - 2 : i].ravel(), 1.0) for i in range(2, 14)])
-    w = ridge_fit(x, values[2:], 0.5)
-    path = list(values)
-    for _ in range(3):
-        path.append(np.append(np.array(path[-2:]).ravel(), 1.0) @ w)
-    want = np.array(path[14:])
+    want = continued(pd.DataFrame(values), 2, 0.5, 3)
     got = {r["feature_id"]: r["points"] for r in out}
     assert got["a"] == pytest.approx(list(want[:, 0])) and got["b"] == pytest.approx(list(want[:, 1]))
 
@@ -42,13 +32,13 @@ def test_lag_gain_against_least_squares(spark, lags, ridge):
         "system_id string, group_id string, a array<double>, b array<double>",
     )
     z = np.stack([(v - v.mean()) / v.std() for v in (b, a)], axis=1)
-    y = z[lags:, :1]
 
-    def sse(columns):
-        x = np.array([np.append(columns[i - lags : i].ravel(), 1.0) for i in range(lags, 20)])
-        return float(((x @ ridge_fit(x, y, ridge) - y) ** 2).sum())
+    def left_over(columns):
+        x, _ = lag_columns(pd.DataFrame(columns), lags)
+        slope, level = slope_and_level(x, z[lags:, :1], ridge)
+        return float(np.square(z[lags:, :1] - x @ slope - level).sum())
 
-    want = 1 - sse(z) / sse(z[:, :1])
+    want = 1 - left_over(z) / left_over(z[:, :1])
     assert cp.lag_gain(df, lags, ridge).first()["gain"] == pytest.approx(want)
 
 
@@ -58,3 +48,10 @@ def test_selection_takes_the_first_of_equals(spark):
     )
     row = nl.select_nlinear(scores, ["n-0", "n-1", "n-2"]).first()
     assert (row["model"], row["score"]) == ("n-1", 0.5)
+
+
+def test_selection_without_all_scores_is_refused(spark):
+    none = spark.createDataFrame([], "model string, score double")
+    for scores in (none, spark.createDataFrame([("n-0", 1.0), ("n-1", None)], none.schema)):
+        with pytest.raises(Exception, match="no validation score"):
+            nl.select_nlinear(scores, ["n-0", "n-1"]).collect()

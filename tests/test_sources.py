@@ -113,6 +113,8 @@ def test_cohort_rules(spark):
     assert ct.validate_cohort(roles, official, excluded, counts).count() == 0
     with pytest.raises(ValueError):
         ch.require_counts(roles, {**counts, "train": 2})
+    with pytest.raises(ValueError):
+        ch.select_cohort(official, official, excluded, {**counts, "train": 2}, 9)
     altered = roles.withColumn("role", F.lit("train"))
     rules = {r["rule"] for r in ct.validate_cohort(altered, official, excluded, counts).collect()}
     assert rules == {"official-split", "role-count"}

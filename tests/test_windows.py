@@ -130,9 +130,50 @@ def test_grouped_split_counts(spark):
     assert {r["split"]: r["count"] for r in out.groupBy("split").count().collect()} == {
         "train": 3, "validation": 2, "test": 1,
     }
-    assert sp.partition_counts(5, (0.5, 0.3, 0.2)) == [3, 1, 1]
+    five = spark.createDataFrame([(5,)], "groups long")
+    parts = sp.apportion(sp.split_quotas(spark, (0.5, 0.3, 0.2)), five).collect()
+    assert [(r["split"], r["n"], r["first"]) for r in parts] == [
+        ("train", 3, 0), ("validation", 1, 3), ("test", 1, 4),
+    ]
+    with pytest.raises(Exception, match="no dependency group"):
+        sp.grouped_split(groups.limit(1), (0.5, 0.3, 0.2), 4).collect()
     with pytest.raises(ValueError):
-        sp.partition_counts(1, (0.5, 0.3, 0.2))
+        sp.grouped_split(groups, (0.5, 0.3, 0.1), 4)
+
+
+def test_missing_label_refuses_components(spark):
+    table = data.trajectories(spark)
+    labels = table.filter("trajectory_id != 'trajectory-2'").select(
+        "trajectory_id", F.col("trajectory_id").alias("label")
+    )
+    with pytest.raises(Exception, match="no label"):
+        sp.components(table, labels).collect()
+
+
+def test_one_label_for_all_is_one_component(spark):
+    table = data.trajectories(spark)
+    labels = table.select("trajectory_id", F.lit("all").alias("label"))
+    assert sp.components(table, labels).select("group_id").distinct().count() == 1
+
+
+def test_impossible_cell_is_refused_and_listed(spark):
+    table = data.trajectories(spark)
+    grid = wn.Grid((3, 400), (2,), 1)
+    with pytest.raises(ValueError, match="impossible cell"):
+        wn.windows(table, data.assignments(table), grid)
+    cells, rejected = wn.admit(table, data.assignments(table), grid)
+    assert {r["context"] for r in rejected.collect()} == {400}
+    assert rejected.count() == cells.count() == table.count()
+
+
+def test_regions_meet_each_frame_once(spark, short_blocks):
+    frames = data.frames(spark, lambda i, t: t)
+    regions = frames.filter("frame % 2 = 0").select(
+        "trajectory_id", F.col("frame").alias("start"), (F.col("frame") + 1).alias("stop")
+    )
+    inside = sc.in_regions(frames, regions)
+    assert inside.count() == regions.count()
+    assert "frame" in inside._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_replica_split(spark):
