@@ -12,6 +12,7 @@ from rollspan.operators import inference as inf
 from rollspan.operators import losses as ls
 from rollspan.operators import nlinear as nl
 from rollspan.operators import residuals as rs
+from rollspan.operators import scaling as sc
 from rollspan.operators import windows as wn
 from rollspan.plans import flagship, sql
 from rollspan.plans import testbed as tb
@@ -84,13 +85,54 @@ def f4_ridge(spark, sf_dir):
     return shown(fc.predictions(fc.forecast(arrays, {"ar1-ridge": fc.autoregression(1, 10.0)})))
 
 
-@query("f4_ar3_months")
+PRED_KEYS = f"{KEY}, feature_id"
+AT_ORIGIN = (
+    f"origins AS (SELECT {PRED_KEYS}, arg_max(x, i) AS origin FROM ctx GROUP BY ALL)"
+)
+AR3 = f"""WITH RECURSIVE {MONTHS}, {sql.win(GRIDS[MONTHS])}, {sql.CTX}, {AT_ORIGIN},
+lg AS (
+  SELECT {PRED_KEYS}, x AS y, lag(x, 3) OVER w AS p, lag(x, 2) OVER w AS q, lag(x) OVER w AS s
+  FROM ctx WINDOW w AS (PARTITION BY {PRED_KEYS} ORDER BY i)),
+full_lg AS (SELECT * FROM lg WHERE p IS NOT NULL),
+{sql.solved("full_lg", PRED_KEYS, ("p", "q", "s"), ("y",), 1)},
+rec AS (
+  SELECT {PRED_KEYS}, 0 AS step, max(x) FILTER (WHERE i = context_frames - 3) AS p,
+    max(x) FILTER (WHERE i = context_frames - 2) AS q,
+    max(x) FILTER (WHERE i = context_frames - 1) AS s FROM ctx GROUP BY ALL
+  UNION ALL
+  SELECT {PRED_KEYS}, step + 1, q, s, w0_y + w_p_y * p + w_q_y * q + w_s_y * s
+  FROM rec JOIN ew USING ({PRED_KEYS}) WHERE step < horizon_frames),
+pred AS (
+  SELECT 'ar3' AS model, t.*, origin, s AS point
+  FROM tgt t JOIN rec USING ({PRED_KEYS}, step) JOIN origins USING ({PRED_KEYS}))
+SELECT {ROW} FROM pred"""
+VAR1 = f"""WITH RECURSIVE {MONTHS}, {sql.win(GRIDS[MONTHS])}, {sql.CTX}, {AT_ORIGIN},
+pv AS (
+  SELECT {KEY}, i, max(x) FILTER (WHERE feature_id = 'quantity') AS u,
+    max(x) FILTER (WHERE feature_id = 'lines') AS v FROM ctx GROUP BY ALL),
+lg AS (
+  SELECT {KEY}, u, v, lag(u) OVER w AS p, lag(v) OVER w AS q
+  FROM pv WINDOW w AS (PARTITION BY {KEY} ORDER BY i)),
+full_lg AS (SELECT * FROM lg WHERE p IS NOT NULL),
+{sql.solved("full_lg", KEY, ("p", "q"), ("u", "v"), 1)},
+rec AS (
+  SELECT {KEY}, 0 AS step, u, v FROM pv WHERE i = context_frames - 1
+  UNION ALL
+  SELECT {KEY}, step + 1, w0_u + w_p_u * u + w_q_u * v, w0_v + w_p_v * u + w_q_v * v
+  FROM rec JOIN ew USING ({KEY}) WHERE step < horizon_frames),
+pred AS (
+  SELECT 'var1' AS model, t.*, origin, CASE t.feature_id WHEN 'lines' THEN v ELSE u END AS point
+  FROM tgt t JOIN rec USING ({KEY}, step) JOIN origins USING ({PRED_KEYS}))
+SELECT {ROW} FROM pred"""
+
+
+@query("f4_ar3_months", AR3)
 def f4_three(spark, sf_dir):
     arrays = tb.month_arrays(spark, sf_dir)
     return shown(fc.predictions(fc.forecast(arrays, {"ar3": fc.autoregression(3, 1.0)})))
 
 
-@query("f5_var1_months")
+@query("f5_var1_months", VAR1)
 def f5(spark, sf_dir):
     channels = tb.month_channels(spark, sf_dir)
     model = {"var1": fc.vector_autoregression(1, 1.0)}
@@ -106,6 +148,79 @@ def month_weights(spark, sf_dir):
     return scaler, nl.fit_nlinear(train, scaler, 40, 10, RIDGES)
 
 
+# A short cell, whose design has two free columns: the last context value less itself
+# is zero, so its weight is zero too.
+SHORT = wn.Grid(contexts=(3,), horizons=(2,), stride=5)
+NLINEAR = f"""{{base}}, {sql.win(((3,), (2,), 5))}, {sql.CTX}, {SCALER},
+dz AS (
+  SELECT {PRED_KEYS}, any_value(group_id) AS group_id, any_value(split) AS split,
+    any_value(c.scale) AS scale, max(x) FILTER (WHERE i = 2) AS origin,
+    (max(x) FILTER (WHERE i = 0) - max(x) FILTER (WHERE i = 2)) / any_value(c.scale) AS p,
+    (max(x) FILTER (WHERE i = 1) - max(x) FILTER (WHERE i = 2)) / any_value(c.scale) AS q
+  FROM ctx JOIN scaler c USING (feature_id) GROUP BY ALL),
+dy AS (
+  SELECT d.*, (max(target) FILTER (WHERE step = 1) - any_value(d.origin)) / any_value(d.scale) AS h1,
+    (max(target) FILTER (WHERE step = 2) - any_value(d.origin)) / any_value(d.scale) AS h2
+  FROM dz d JOIN tgt USING ({PRED_KEYS}) GROUP BY ALL),
+fit AS (SELECT r.ridge, dy.* FROM dy, (VALUES (0.0::DOUBLE), (1.0), (100.0)) r(ridge) WHERE split = 'train'),
+{sql.solved("fit", "ridge, feature_id", ("p", "q"), ("h1", "h2"), "ridge")},
+wt AS (
+  SELECT ridge, feature_id, 1 AS step, w_p_h1 AS wp, w_q_h1 AS wq, w0_h1 AS w0 FROM ew
+  UNION ALL SELECT ridge, feature_id, 2, w_p_h2, w_q_h2, w0_h2 FROM ew),
+pred AS (
+  SELECT 'nlinear-' || ridge AS model, t.*, origin,
+    origin + scale * (w0 + wp * p + wq * q) AS point
+  FROM tgt t JOIN (SELECT {PRED_KEYS}, origin, scale, p, q FROM dz) d USING ({PRED_KEYS})
+    JOIN wt USING (feature_id, step))
+""".format(base=f"WITH {MONTHS}")
+
+
+def short_weights(spark, sf_dir):
+    scaler = cut(sc.fit_scaler(
+        tb.month_frames(spark, sf_dir),
+        wn.context_regions(tb.month_windows(spark, sf_dir, "train", SHORT)),
+        tb.MONTH_FEATURES,
+    ))
+    train = tb.month_arrays(spark, sf_dir, "train", SHORT)
+    return scaler, cut(nl.fit_nlinear(train, scaler, 3, 2, RIDGES))
+
+
+@query(
+    "f6_nlinear_fit_short",
+    f"""{NLINEAR} SELECT ridge, feature_id, step::INTEGER AS step, lag::INTEGER AS lag,
+  {r("CASE lag WHEN 0 THEN wp WHEN 1 THEN wq WHEN 3 THEN w0 ELSE 0 END")} AS weight
+FROM wt, range(4) t(lag)""",
+)
+def f6_short(spark, sf_dir):
+    _, weights = short_weights(spark, sf_dir)
+    rows = weights.select("ridge", "feature_id", "step", F.posexplode("weights").alias("lag", "weight"))
+    return rounded(rows, only=["weight"])
+
+
+@query("f7_nlinear_predict_short", f"{NLINEAR} SELECT {ROW} FROM pred")
+def f7_short(spark, sf_dir):
+    scaler, weights = short_weights(spark, sf_dir)
+    arrays = tb.month_arrays(spark, sf_dir, grid=SHORT)
+    return shown(fc.predictions(nl.predict_nlinear(arrays, scaler, weights)))
+
+
+@query(
+    "f8_nlinear_selection_short",
+    f"""{NLINEAR}, tm AS (
+  SELECT model, feature_id, group_id, trajectory_id, avg(abs(point - target)) AS mae
+  FROM pred WHERE split = 'validation' GROUP BY ALL),
+gm AS (SELECT model, feature_id, group_id, avg(mae) AS mae FROM tm GROUP BY ALL),
+sc AS (SELECT model, avg(mae / scale) AS score FROM gm JOIN scaler USING (feature_id) GROUP BY model)
+SELECT arg_min(model, score) AS model, {r("min(score)")} AS score FROM sc""",
+)
+def f8_short(spark, sf_dir):
+    scaler, weights = short_weights(spark, sf_dir)
+    validation = tb.month_arrays(spark, sf_dir, "validation", SHORT)
+    scored = fc.predictions(nl.predict_nlinear(validation, scaler, weights))
+    scores = ls.normalized_score(ls.group_mae(scored), scaler)
+    return rounded(nl.select_nlinear(scores, [f"nlinear-{r}" for r in RIDGES]))
+
+
 @query("f6_nlinear_fit_months")
 def f6(spark, sf_dir):
     _, weights = month_weights(spark, sf_dir)

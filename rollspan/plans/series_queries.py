@@ -11,7 +11,7 @@ from rollspan.operators import windows as wn
 from rollspan.plans import sql
 from rollspan.plans import testbed as tb
 from rollspan.plans.registry import query, rnd, rounded
-from rollspan.plans.sql import EVENTS, KEY, boot, r
+from rollspan.plans.sql import EVENTS, GRIDS, KEY, MONTHS, boot, r
 from rollspan.session import cut, scratch
 from rollspan.sources import bundle
 
@@ -222,7 +222,27 @@ def q11(spark, sf_dir):
     return rounded(out.drop("system_id", "group_id"))
 
 
-@query("q11_lag_gain_two_lags_months")
+TWO_LAGS = f"""WITH {MONTHS}, {sql.win(GRIDS[MONTHS])}, {sql.CTX},
+zs AS (
+  SELECT {KEY}, i, feature_id, (x - avg(x) OVER w)
+    / CASE WHEN stddev_pop(x) OVER w = 0 THEN 1 ELSE stddev_pop(x) OVER w END AS z
+  FROM ctx WINDOW w AS (PARTITION BY {KEY}, feature_id)),
+pv AS (
+  SELECT {KEY}, i, max(z) FILTER (WHERE feature_id = 'lines') AS a,
+    max(z) FILTER (WHERE feature_id = 'quantity') AS b FROM zs GROUP BY ALL),
+lg AS (
+  SELECT {KEY}, b AS y, lag(b, 2) OVER w AS p, lag(b) OVER w AS q, lag(a, 2) OVER w AS s,
+    lag(a) OVER w AS t FROM pv WINDOW w AS (PARTITION BY {KEY} ORDER BY i)),
+full_lg AS (SELECT * FROM lg WHERE p IS NOT NULL),
+{sql.solved("full_lg", KEY, ("p", "q"), ("y",), 1, "e")},
+{sql.solved("full_lg", KEY, ("p", "q", "s", "t"), ("y",), 1, "j")},
+alone AS (SELECT {KEY}, {sql.left_over(("p", "q"))} AS base FROM ew),
+joint AS (SELECT {KEY}, {sql.left_over(("p", "q", "s", "t"))} AS rest FROM jw)
+SELECT {KEY}, CASE WHEN base > 2.220446049250313e-16 THEN {r("1 - rest / base")} END AS gain
+FROM alone JOIN joint USING ({KEY})"""
+
+
+@query("q11_lag_gain_two_lags_months", TWO_LAGS)
 def q11_two(spark, sf_dir):
     pairs = cp.paired_contexts(tb.month_channels(spark, sf_dir), "lines", "quantity")
     return rounded(cp.lag_gain(pairs, 2, 1.0).drop("system_id", "group_id"))

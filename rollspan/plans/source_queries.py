@@ -344,6 +344,41 @@ def s18(spark, sf_dir):
     return rounded(out.drop("level", "identity", "lower_q", "upper_q"))
 
 
+@query(
+    "s15_manifest_check",
+    """SELECT n_name AS name, CASE n_nationkey % 5 WHEN 0 THEN 'digest differs'
+  WHEN 1 THEN 'size differs' ELSE 'unlisted' END AS reason
+FROM nation WHERE n_nationkey % 5 < 3
+UNION ALL SELECT 'NOWHERE', 'missing'""",
+)
+def s15_check(spark, sf_dir):
+    """Files of known text, one a nation, against a manifest with faults by rule."""
+    nations = tb.table(spark, sf_dir, "nation")
+    line = F.to_json(F.struct(*sorted(nations.columns)))
+    folder = scratch(spark)
+    known = nations.select("n_nationkey", F.col("n_name").alias("name"), line.alias("value"))
+    known.select("name", "value").repartition("name").write.partitionBy("name").text(folder)
+    digests = bundle.file_digests(
+        spark, folder, "*.txt", lambda p: F.url_decode(F.regexp_extract(p, "/name=([^/]*)/", 1))
+    )
+    text, rule = F.concat("value", F.lit("\n")), F.col("n_nationkey") % 5
+    size = F.octet_length(text).cast("long")
+    manifest = known.filter(rule != 2).select(
+        "name",
+        F.when(rule == 1, size + 1).otherwise(size).alias("size"),
+        F.when(rule == 3, "md5").otherwise("sha256").alias("algorithm"),
+        F.when(rule == 0, F.sha2(F.lit("another text"), 256))
+        .when(rule == 3, F.md5(text))
+        .otherwise(F.sha2(text, 256))
+        .alias("digest"),
+    )
+    lost = spark.range(1).select(
+        F.lit("NOWHERE").alias("name"), F.lit(1).cast("long").alias("size"),
+        F.lit("md5").alias("algorithm"), F.md5(F.lit("")).alias("digest"),
+    )
+    return bundle.verify_files(digests, manifest.unionByName(lost))
+
+
 @query("s15_file_digests")
 def s15(spark, sf_dir):
     return bundle.file_digests(spark, sf_dir, "*.parquet")

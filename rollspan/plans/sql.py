@@ -217,3 +217,61 @@ def status(groups, policy, corrected=False):
         f"CASE WHEN {groups} < {policy.min_groups} THEN 'insufficient-groups' "
         f"ELSE '{other}' END"
     )
+
+
+def solved(source, keys, names, outputs, ridge, prefix="e"):
+    """CTEs that solve penalised least squares from rows of `source` by elimination.
+
+    `names` are the regressors' columns, `outputs` the targets'. Columns are centred per
+    `keys`, so the level is free. The last CTE, `{prefix}w`, has `w_{name}_{output}`,
+    `w0_{output}`, the cross sums `s_a_b`, `t_a_y`, `y_y` and the row count.
+    """
+    cross = lambda a, b: f"count(*) * covar_pop({a}, {b})"
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    sums = [f"{cross(a, b)} AS s_{a}_{b}" for a, b in pairs]
+    sums += [f"{cross(a, y)} AS t_{a}_{y}" for a in names for y in outputs]
+    sums += [f"{cross(y, y)} AS y_{y}" for y in outputs]
+    sums += [f"avg({c}) AS m_{c}" for c in (*names, *outputs)]
+    first = [f"s_{a}_{b}{f' + {ridge}' if a == b else ''} AS a0_{a}_{b}" for a, b in pairs]
+    first += [f"t_{a}_{y} AS b0_{a}_{y}" for a in names for y in outputs]
+    steps = [
+        f"{prefix}s AS (SELECT {keys}, count(*) AS n, {', '.join(sums)} FROM {source} GROUP BY ALL)",
+        f"{prefix}0 AS (SELECT *, {', '.join(first)} FROM {prefix}s)",
+    ]
+    for k, pivot in enumerate(names[:-1]):
+        part = lambda a: f"a{k}_{pivot}_{a} / nullif(a{k}_{pivot}_{pivot}, 0)"  # noqa: B023, E731
+        later = names[k + 1 :]
+        columns = [
+            f"a{k}_{a}_{b} - coalesce({part(a)}, 0) * a{k}_{pivot}_{b} AS a{k + 1}_{a}_{b}"
+            for a, b in pairs if a in later and b in later
+        ]
+        columns += [
+            f"b{k}_{a}_{y} - coalesce({part(a)}, 0) * b{k}_{pivot}_{y} AS b{k + 1}_{a}_{y}"
+            for a in later for y in outputs
+        ]
+        steps.append(f"{prefix}{k + 1} AS (SELECT *, {', '.join(columns)} FROM {prefix}{k})")
+    source = f"{prefix}{len(names) - 1}"
+    for k in reversed(range(len(names))):
+        a = names[k]
+        columns = [
+            f"coalesce((b{k}_{a}_{y}"
+            + "".join(f" - a{k}_{a}_{b} * w_{b}_{y}" for b in names[k + 1 :])
+            + f") / nullif(a{k}_{a}_{a}, 0), 0) AS w_{a}_{y}"
+            for y in outputs
+        ]
+        steps.append(f"{prefix}r{k} AS (SELECT *, {', '.join(columns)} FROM {source})")
+        source = f"{prefix}r{k}"
+    level = [
+        f"m_{y}" + "".join(f" - w_{a}_{y} * m_{a}" for a in names) + f" AS w0_{y}" for y in outputs
+    ]
+    steps.append(f"{prefix}w AS (SELECT *, {', '.join(level)} FROM {source})")
+    return ", ".join(steps)
+
+
+def left_over(names, y="y"):
+    """The sum of squared residuals of the weights that `solved` found."""
+    out = f"y_{y}" + "".join(f" - 2 * w_{a}_{y} * t_{a}_{y}" for a in names)
+    for i, a in enumerate(names):
+        out += f" + w_{a}_{y} * w_{a}_{y} * s_{a}_{a}"
+        out += "".join(f" + 2 * w_{a}_{y} * w_{b}_{y} * s_{a}_{b}" for b in names[i + 1 :])
+    return out

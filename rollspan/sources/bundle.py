@@ -57,19 +57,27 @@ def write_acf_csv(curves, path):
     acf_rows(curves).write.mode("errorifexists").option("header", True).csv(path)
 
 
-def file_digests(spark, path, glob="*"):
+ROW_LIMIT = 2**31 - 1024
+
+
+def file_digests(spark, path, glob="*", name=None):
     """Name, size and digests of every file, hashed by the tasks that read them.
 
-    One file is one row; a file over 2 GB does not fit `binaryFile` and is covered by
-    the row fingerprint of its table instead.
+    One file is one row. A file that no row can hold keeps its size and has no digests:
+    the manifest check names it, and the row fingerprint of its table covers it.
+    `name` makes a file's name from its path; the last part is the default.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"),
-        F.col("length").alias("size"),
-        F.sha2("content", 256).alias("sha256"),
-        F.md5("content").alias("md5"),
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob)
+    files = files.option("recursiveFileLookup", True).load(path)
+    called = (name or (lambda p: F.element_at(F.split(p, "/"), -1)))(F.col("path")).alias("name")
+    size, none = F.col("length").alias("size"), F.lit(None).cast("string")
+    small = files.filter(F.col("length") <= ROW_LIMIT).select(
+        called, size, F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5")
+    )
+    large = files.filter(F.col("length") > ROW_LIMIT).select(
+        called, size, none.alias("sha256"), none.alias("md5")
     )
+    return small.unionByName(large)
 
 
 def verify_files(digests, manifest):
@@ -77,9 +85,10 @@ def verify_files(digests, manifest):
     rows = manifest.alias("m").join(digests.alias("d"), "name", "full_outer")
     actual = F.when(F.col("m.algorithm") == "md5", F.col("d.md5")).otherwise(F.col("d.sha256"))
     reason = (
-        F.when(F.col("d.sha256").isNull(), "missing")
+        F.when(F.col("d.size").isNull(), "missing")
         .when(F.col("m.digest").isNull(), "unlisted")
         .when(F.col("m.size") != F.col("d.size"), "size differs")
+        .when(F.col("d.sha256").isNull(), "too large")
         .when(F.col("m.digest") != actual, "digest differs")
     )
     return rows.select("name", reason.alias("reason")).filter(F.col("reason").isNotNull())
