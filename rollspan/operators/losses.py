@@ -5,6 +5,7 @@ import functools
 from pyspark.sql import functions as F
 
 from rollspan.functions.checked import bounded, finite, positive, required
+from rollspan.operators.inference import bootstrap_ci
 from rollspan.session import cut
 from rollspan.tables import CELL, WINDOW_KEY
 
@@ -160,8 +161,12 @@ def unpivot_metrics(df, keys, names):
     return rows.filter(F.col("value").isNotNull())
 
 
-def hierarchy(losses_rows):
-    """Metric rows for every trajectory, system, group and the aggregate."""
+def hierarchy(losses_rows, policy=None):
+    """Metric rows for every trajectory, system, group and the aggregate.
+
+    With a policy, aggregate rows carry the bootstrap interval over their groups in
+    `ci_lower` and `ci_upper`; the other levels have none.
+    """
     names = _metric_names(losses_rows)
     identity = {
         "trajectory": F.col("trajectory_id"),
@@ -178,7 +183,21 @@ def hierarchy(losses_rows):
         )
         for level, df in level_means(losses_rows).items()
     ]
-    return functools.reduce(lambda a, b: a.unionByName(b), tables)
+    rows = functools.reduce(lambda a, b: a.unionByName(b), tables)
+    return rows if policy is None else _with_intervals(cut(rows), policy)
+
+
+def _with_intervals(rows, policy):
+    series = ["model", "feature_id", "step", "metric", "lower_q", "upper_q"]
+    groups = rows.filter(F.col("level") == "group").withColumnRenamed("identity", "group_id")
+    bounds = bootstrap_ci(groups, series, policy).select(
+        *CELL, *series, F.lit("aggregate").alias("level"),
+        F.col("marginal_lower").alias("ci_lower"), F.col("marginal_upper").alias("ci_upper"),
+    )
+    keys = [*CELL, *series, "level"]
+    matched = [F.col(f"m.{k}").eqNullSafe(F.col(f"i.{k}")) for k in keys]
+    joined = rows.alias("m").join(bounds.alias("i"), functools.reduce(lambda a, b: a & b, matched), "left")
+    return joined.select("m.*", "i.ci_lower", "i.ci_upper")
 
 
 def group_metric(losses_rows, metric="mae"):

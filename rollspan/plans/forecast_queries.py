@@ -416,6 +416,24 @@ def g8(spark, sf_dir):
     return rounded(ls.hierarchy(scored(spark, sf_dir)).drop("lower_q", "upper_q"))
 
 
+AGGREGATES = f"""vals AS (
+  SELECT model, {CELL}, feature_id, step, metric, identity AS group_id, value
+  FROM metrics WHERE level = 'group')"""
+
+
+@query(
+    "g8_aggregate_intervals",
+    f"""{LOSSES}, {HIER}, {AGGREGATES},
+{boot("vals", ["context_frames", "horizon_frames"], ["model", "feature_id", "step", "metric"], POLICY)}
+SELECT model, {CELL}, feature_id, {STEP}, metric, {r("m.value")} AS value, {r("ml")} AS ci_lower,
+  {r("mu")} AS ci_upper
+FROM metrics m JOIN ci USING (model, {CELL}, feature_id, step, metric) WHERE level = 'aggregate'""",
+)
+def g8_intervals(spark, sf_dir):
+    out = ls.hierarchy(scored(spark, sf_dir), POLICY).filter("level = 'aggregate'")
+    return rounded(out.drop("lower_q", "upper_q", "level", "identity"))
+
+
 GMAE = f"""
 gt AS (SELECT model, {CELL}, feature_id, group_id, trajectory_id,
   avg(abs(point - target)) AS mae, count_if(step = 1) AS w FROM pred GROUP BY ALL),

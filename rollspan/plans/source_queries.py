@@ -310,11 +310,11 @@ UNION ALL SELECT 'comparisons', {CELL}, count(*) FROM ag GROUP BY ALL
 UNION ALL SELECT 'runtime', {CELL}, count(DISTINCT model) FROM pred GROUP BY ALL""",
 )
 def s13(spark, sf_dir):
-    predictions = cut(fq.rows(spark, sf_dir))
+    predictions = fq.rows(spark, sf_dir)
     losses = ls.losses(predictions, fq.fitted_scaler(spark, sf_dir))
     tables = {
         "predictions": predictions,
-        "metrics": ls.hierarchy(losses),
+        "metrics": ls.hierarchy(losses, fq.POLICY),
         "comparisons": fq.inf.compare(ls.group_metric(losses), "persistence", fq.POLICY),
         "runtime": predictions.select("model", "context_frames", "horizon_frames")
         .distinct()
