@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from pyspark.sql import functions as F
 
-from rollspan.llm.tokens import encoder, slices
+from rollspan.llm.tokens import SLICE, encoder, slices, with_ends
 from rollspan.session import scratch
 
 IDS_SCHEMA = "doc_id long, part int, start long, n_tokens long, width int, ids binary"
@@ -30,17 +30,20 @@ def _encode(tokenizer, end_id):
     def encode(batches):
         from pyspark import TaskContext
 
-        enc = encoder(tokenizer)
-        end, width, at = enc.end(end_id), enc.dtype.itemsize, 0
+        enc, at = encoder(tokenizer), 0
+        width = enc.dtype.itemsize
         part = TaskContext.get().partitionId()
         for batch in batches:
-            for lo, hi in slices(batch):
+            for lo, hi in slices(batch, SLICE):
                 rows = batch.slice(lo, hi - lo)
-                codes = [c + end for c in enc.encode(rows.column("text").to_pylist())]
-                sizes = np.array([len(c) // width for c in codes], np.int64)
+                ids, sizes = with_ends(*enc.encode(rows.column("text")), end_id)
                 starts = at + np.cumsum(sizes) - sizes
                 at += int(sizes.sum())
-                n = len(codes)
+                n = len(sizes)
+                bounds = np.concatenate([[0], np.cumsum(sizes) * width]).astype(np.int32)
+                codes = pa.BinaryArray.from_buffers(
+                    pa.binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(ids.tobytes())]
+                )
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column("doc_id"),
@@ -48,7 +51,7 @@ def _encode(tokenizer, end_id):
                         pa.array(starts),
                         pa.array(sizes),
                         pa.array(np.full(n, width, np.int32)),
-                        pa.array(codes, pa.binary()),
+                        codes,
                     ],
                     names=["doc_id", "part", "start", "n_tokens", "width", "ids"],
                 )

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rollspan.llm.files import attempt_name, mapped, new_folder, open_input, open_output
-from rollspan.llm.tokens import crc32_of_ids, encoder, slices
+from rollspan.llm.tokens import SLICE, crc32_of_ids, encoder, slices, with_ends
 
 NO_ID = np.iinfo(np.int64).min
 READ_IDS = 4_000_000
@@ -33,24 +33,23 @@ READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 def _writer(folder, tokenizer, end_id):
     def write(batches):
         enc = encoder(tokenizer)
-        end = enc.end(end_id)
-        offsets, ids, streams, name = [0], [], None, None
+        offsets, ids, streams, name = [np.zeros(1, np.int64)], [], None, None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             if streams is None:
                 name = attempt_name("tokens")
                 streams = open_output(folder, name + ".bin")
-            for lo, hi in slices(batch):
+            for lo, hi in slices(batch, SLICE):
                 part = batch.slice(lo, hi - lo)
                 ids.extend(NO_ID if x is None else x for x in part.column("doc_id").to_pylist())
-                for code in enc.encode(part.column("text").to_pylist()):
-                    streams.write(code)
-                    streams.write(end)
-                    offsets.append(offsets[-1] + len(code) // enc.dtype.itemsize + 1)
+                tokens, sizes = with_ends(*enc.encode(part.column("text")), end_id)
+                streams.write(tokens.tobytes())
+                offsets.append(offsets[-1][-1] + np.cumsum(sizes))
         if streams is None:
             return
         streams.close()
+        offsets = np.concatenate(offsets)
         for ending, values in ((".idx", offsets), (".doc", ids)):
             with open_output(folder, name + ending) as out:
                 out.write(np.array(values, "<i8").tobytes())
@@ -62,7 +61,7 @@ def _writer(folder, tokenizer, end_id):
                 "name": [name],
                 "width": pa.array([enc.dtype.itemsize], pa.int32()),
                 "docs": pa.array([len(ids)], pa.int64()),
-                "tokens": pa.array([offsets[-1]], pa.int64()),
+                "tokens": pa.array([int(offsets[-1])], pa.int64()),
             }
         )
 

@@ -1,26 +1,33 @@
 """Tokenizer ids of whole texts, through cached encodings of space-separated units.
 
 Both public tokenizers cut a text in front of every space that follows a non-space, so
-the ids of a text are the ids of its units in a row. Most units repeat; each is encoded
-once by the `tokenizers` library and kept in a bounded cache of id bytes. A new unit of
-plain words and punctuation is put together from its parts, which the tokenizers also
-keep apart, so a word is not encoded again for every sign that follows it. A full stop or comma
-between a word and a space becomes a unit at once.
+the ids of a text are the ids of its units in a row. A batch of texts is cut and its
+distinct units are numbered by Arrow; each new unit is encoded once by the `tokenizers`
+library and kept in a bounded cache of id bytes; ids are then gathered by number. A new
+unit of plain words and punctuation is put together from its parts, which the
+tokenizers also keep apart, and a full stop or comma between a word and a space becomes
+a unit at once, so a word is not encoded again for every sign that follows it.
 """
 
+import os
 import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
 
 SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-_PAIRS = tuple(c + " " for c in SPACES)
-_ASCII_PAIRS = tuple(p for p in _PAIRS if p.isascii())
+_ODD = "^ |\\x00|[" + "".join(f"\\x{{{ord(c):x}}}" for c in SPACES) + "] "
+_SIGN = r"([\pL\pN])([.,])( |$)"
 _CUT = re.compile(r"(?<=\S)(?= )")
-_SIGN = re.compile(r"([.,])(?<=[^\W_].)(?= |$)")
 _PARTS = re.compile(r"[^\W\d_]+|[!-&(-/:-@\[-`{-~]+|\n")
-CACHE_LIMIT = 600_000
+CACHE_LIMIT = 200_000
 UNIT_LIMIT = 64
+GATHER = 500_000  # units gathered at a time
+SLICE = 4_000_000  # characters encoded at a time
 
 _ENCODERS = {}
 
@@ -34,7 +41,11 @@ def encoder(path):
 
 
 class UnitEncoder:
-    """Little-endian id bytes of texts (two bytes an id up to 65,536 ids, else four)."""
+    """Little-endian ids of texts (two bytes an id up to 65,536 ids, else four).
+
+    The cache has two generations: units of the older one that come up again move to
+    the younger one, and the older one goes when the younger is full.
+    """
 
     def __init__(self, path):
         from tokenizers import Tokenizer
@@ -43,39 +54,92 @@ class UnitEncoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.cache = {}
-
-    def end(self, token):
-        return np.array([token], self.dtype).tobytes()
+        self.cache, self.older = {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.by_end = any(t.endswith("</w>") for t in vocabulary)
+        self.bound = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.bound[i] = token.endswith("</w>") if self.by_end else token.startswith("\u0120")
 
     def encode(self, texts):
-        """Id bytes per text; null is the empty text."""
-        cut = [self._units(text or "") for text in texts]
-        missing = set()
-        for units in cut:
-            missing.update(set(units).difference(self.cache))
-        if missing and len(self.cache) + len(missing) > CACHE_LIMIT:
-            held = self.cache
-            self.cache = {u: held[u] for u in set().union(*cut).intersection(held)}
-        self._add(missing)
-        out = [b"".join(map(self.cache.__getitem__, units)) for units in cut]
-        for unit in missing:
-            if len(unit) > UNIT_LIMIT or "\n" in unit:
-                self.cache.pop(unit, None)
-        return out
-
-    def _units(self, text):
-        """Units that follow a space are kept without it, the others after a mark."""
-        if not text:
-            return []
+        """(ids of all texts in a row, ids per text) of an Arrow array; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = np.asarray(pc.match_substring_regex(texts, _ODD))
+        if not odd.any():
+            return self._gather(*self._cut(texts))
+        plain, sizes = self._gather(*self._cut(texts.filter(pa.array(~odd))))
+        own = [self._odd(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        out = np.empty(len(texts), np.int64)
+        out[~odd], out[odd] = sizes, [len(x) for x in own]
+        ids = np.empty(int(out.sum()), self.dtype)
+        kept = np.repeat(~odd, out)
+        ids[kept] = plain
+        if len(own):
+            ids[~kept] = np.concatenate(own)
+        return ids, out
+
+    def _cut(self, texts):
+        """Units and their bounds. The first of a text is marked: no space precedes it."""
+        marked = pc.binary_join_element_wise("\0", texts, "")
+        marked = pc.replace_substring_regex(marked, _SIGN, "\\1 \0\\2\\3")
+        lists = pc.split_pattern(marked, " ")
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.combine_chunks()
+        return lists.flatten(), np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py()
+
+    def _odd(self, text):
+        """Ids of a text with runs of spaces or a null character, in Python."""
         if "\0" in text:
-            return ["\0" + text]
-        pairs = _ASCII_PAIRS if text.isascii() else _PAIRS
-        if text[0] == " " or any(pair in text for pair in pairs):
-            return [u[1:] if u[0] == " " else "\0" + u for u in _CUT.split(text)]
-        units = _SIGN.sub(" \0\\1", text).split(" ")
-        units[0] = "\0" + units[0]
-        return units
+            units = ["\0" + text]
+        else:
+            units = [u[1:] if u[0] == " " else "\0" + u for u in _CUT.split(text)]
+        return np.frombuffer(b"".join(self._codes(units)), self.dtype)
+
+    def _gather(self, units, bounds):
+        numbered = units.dictionary_encode()
+        codes = self._codes(numbered.dictionary.to_pylist())
+        width = self.dtype.itemsize
+        held = np.frombuffer(b"".join(codes), self.dtype)
+        length = np.fromiter(map(len, codes), np.int64, len(codes)) // width
+        start = np.cumsum(length) - length
+        number = np.asarray(numbered.indices)
+        before = np.concatenate([[0], np.cumsum(length[number])])
+        ids = np.empty(before[-1], self.dtype)
+        for lo in range(0, len(number), GATHER):
+            some = number[lo : lo + GATHER]
+            runs, base = length[some], before[lo]
+            shift = start[some] - (before[lo : lo + len(some)] - base)
+            at = np.repeat(shift, runs) + np.arange(runs.sum())
+            ids[base : base + len(at)] = held[at]
+        return ids, np.diff(before[bounds])
+
+    def _codes(self, units):
+        """Id bytes of each unit; new ones are encoded and kept."""
+        cache, older = self.cache, self.older
+        if len(cache) >= CACHE_LIMIT:
+            older = self.older = cache
+            cache = self.cache = {}
+        codes = [cache.get(u) for u in units]
+        new = {}
+        for i, code in enumerate(codes):
+            if code is None:
+                unit = units[i]
+                code = older.get(unit)
+                if code is None:
+                    new[unit] = i
+                else:
+                    codes[i] = cache[unit] = code
+        if new:
+            self._add(new)
+            for unit, i in new.items():
+                codes[i] = cache[unit]
+            for i, code in enumerate(codes):
+                if code is None:
+                    codes[i] = cache[units[i]]
+            for unit in new:
+                if len(unit) > UNIT_LIMIT or "\n" in unit:
+                    del cache[unit]
+        return codes
 
     def _parts(self, unit):
         """Keys whose ids in a row are the unit's; the unit itself if it is no plain text."""
@@ -93,24 +157,60 @@ class UnitEncoder:
         return [first, *["\0" + p for p in parts[1:]]]
 
     def _add(self, units):
-        cache, joined, new = self.cache, {}, set()
+        cache, older, joined, words, others = self.cache, self.older, {}, set(), set()
         for unit in units:
             if unit.isalpha():
-                new.add(unit)
+                words.add(unit)
                 continue
             parts = self._parts(unit)
             if len(parts) > 1:
                 joined[unit] = parts
-            new.update(p for p in parts if p not in cache)
-        new, code = list(new), self.code
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
+                for part in parts:
+                    if part in older:
+                        cache[part] = older[part]
+            for part in parts:
+                if part not in cache:
+                    (words if part.isalpha() else others).add(part)
+        words = list(words)
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            if not self._add_words(some):
+                others.update(some)
+        others, code = list(others), self.code
+        for at in range(0, len(others), 4096):
+            some = others[at : at + 4096]
             raw = [u[1:] if u[:1] == "\0" else " " + u for u in some]
             found = self.tokenizer.encode_batch_fast(raw, add_special_tokens=False)
             cache.update((unit, array(code, e.ids).tobytes()) for unit, e in zip(some, found))
         for unit, parts in joined.items():
             cache[unit] = b"".join([cache[p] for p in parts])
 
+    def _add_words(self, words):
+        """Encode plain words as one text, cut where the vocabulary marks words' bounds.
+
+        False if the marks are not one a word; then the words are encoded one by one.
+        """
+        text = " " + " ".join(words)
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        ids = np.array(ids, self.dtype)
+        marks = np.flatnonzero(self.bound[ids])
+        if len(marks) != len(words):
+            return False
+        cuts = np.append(0, marks + 1) if self.by_end else np.append(marks, len(ids))
+        raw, at = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
+        self.cache.update((w, raw[i:j]) for w, i, j in zip(words, at, at[1:]))
+        return True
+
+
+def with_ends(ids, sizes, end):
+    """Ids and sizes with one end id behind every text."""
+    ends = np.cumsum(sizes) + np.arange(len(sizes))
+    out = np.empty(len(ids) + len(sizes), ids.dtype)
+    text = np.ones(len(out), bool)
+    text[ends] = False
+    out[text], out[ends] = ids, end
+    return out, sizes + 1
+
 
 def crc32_of_ids(ids):
     """Unsigned CRC-32 of ids as little-endian unsigned 32-bit integers."""
@@ -121,8 +221,6 @@ def crc32_of_ids(ids):
 
 def slices(batch, chars=1_500_000):
     """Row ranges of about so many characters, to bound a step's memory."""
-    import pyarrow.compute as pc
-
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0))
     start, total = 0, 0
     for i, size in enumerate(sizes):

@@ -3,6 +3,7 @@ import random
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -23,17 +24,21 @@ def test_units_are_the_text(path):
     texts = ["don't  stop\n\nnow", "a\tb \n c", "  lead", "trail ", "½ cup_of x2 '90s isn't, so", "\0x y \0z", "<|endoftext|> hi"]
     texts += ["".join(rng.choice(" \n\t.,'aBé1_-! ") for _ in range(rng.randrange(80))) for _ in range(600)]
     encoder, tokenizer = tokens.UnitEncoder(path), plain(path)
-    for text, code in zip(texts, encoder.encode(texts)):
-        assert np.frombuffer(code, encoder.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    ids, sizes = encoder.encode(pa.array(texts + [None, ""]))
+    for text, own in zip(texts + ["", ""], np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        assert own.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert tokens.with_ends(*encoder.encode(pa.array(["", None])), 7)[0].tolist() == [7, 7]
+    assert len(encoder.encode(pa.array([], pa.string()))[0]) == 0
 
 
 def test_cache_overflow_changes_nothing(monkeypatch):
     encoder = tokens.UnitEncoder(BYTE)
     texts = [f"word{i} other{i}, again" for i in range(60)]
-    want = encoder.encode(texts)
+    want = encoder.encode(pa.array(texts))[0].tolist()
     monkeypatch.setattr(tokens, "CACHE_LIMIT", 10)
+    monkeypatch.setattr(tokens, "GATHER", 3)
     small = tokens.UnitEncoder(BYTE)
-    assert [small.encode([t])[0] for t in texts] == want
+    assert [i for t in texts for i in small.encode(pa.array([t]))[0].tolist()] == want
 
 
 def test_token_files_round_trip(spark, table, odd_rows):
