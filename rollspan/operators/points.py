@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import functions as F
 
+from rollspan.functions.blocks import block_of
 from rollspan.session import cut
 
 FRAME = ["trajectory_id", "frame"]
@@ -37,9 +38,22 @@ def heavy_sets(atoms, segments):
     )
 
 
+def _blocked(rows):
+    return rows.withColumn("_block", block_of(F.col("frame")))
+
+
+def _spread(table, rows, key):
+    """A copy of each row of a per-`key` table for every frame block that `rows` has.
+
+    Joined on key and block, a long trajectory meets its static rows in many tasks.
+    """
+    return table.join(rows.select(key, "_block").distinct(), key)
+
+
 def label_points(coords, sides):
     """Coordinates of the chosen atoms with their side."""
-    return coords.join(sides, ["system_id", "atom"]).select(
+    rows = _blocked(coords)
+    return rows.join(_spread(sides, rows, "system_id"), ["system_id", "_block", "atom"]).select(
         *FRAME, "system_id", "atom", "side", *AXES
     )
 
@@ -114,9 +128,14 @@ def _counts(found, frames):
 
 
 def _fractions(found, frames):
+    frames, found = _blocked(frames), _blocked(found)
     initial = found.filter(F.col("frame") == 0).select("trajectory_id", "a", "b")
     kept = (
-        found.join(initial, ["trajectory_id", "a", "b"], "left_semi")
+        found.join(
+            _spread(initial, frames, "trajectory_id"),
+            ["trajectory_id", "_block", "a", "b"],
+            "left_semi",
+        )
         .groupBy(*FRAME)
         .agg(F.count(F.lit(1)).alias("_kept"))
     )
@@ -124,7 +143,7 @@ def _fractions(found, frames):
     share = F.coalesce("_kept", F.lit(0)) / F.col("_all")
     return (
         frames.join(kept, FRAME, "left")
-        .join(size, "trajectory_id", "left")
+        .join(_spread(size, frames, "trajectory_id"), ["trajectory_id", "_block"], "left")
         .select(
             *FRAME,
             F.when(F.col("_all") > 0, share)
@@ -267,8 +286,10 @@ def select_regions(static_atoms, rules=RegionRules()):
 
 def radius_of_gyration(coords, regions):
     """Unweighted radius of gyration per frame and region, one aggregate."""
+    rows = _blocked(coords)
+    static = _spread(regions.select("system_id", "atom", "region"), rows, "system_id")
     return (
-        coords.join(regions.select("system_id", "atom", "region"), ["system_id", "atom"])
+        rows.join(static, ["system_id", "_block", "atom"])
         .groupBy(*FRAME, "region")
         .agg(F.sqrt(F.var_pop("x") + F.var_pop("y") + F.var_pop("z")).alias("radius"))
     )

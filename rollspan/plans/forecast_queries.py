@@ -221,6 +221,36 @@ def f8_short(spark, sf_dir):
     return rounded(nl.select_nlinear(scores, [f"nlinear-{r}" for r in RIDGES]))
 
 
+# The short design's cross products: a zero column (eigenvalue 1 under the penalty) and a
+# symmetric 3 x 3 block, whose eigenvalues have a closed form.
+CONDITIONS = f"""{NLINEAR}, cp AS (
+  SELECT feature_id, count(*) AS n, sum(p * p) + 1 AS a, sum(q * q) + 1 AS b, sum(p * q) AS d,
+    sum(p) AS e, sum(q) AS f FROM dy WHERE split = 'train' GROUP BY feature_id),
+c1 AS (SELECT *, (a + b + n) / 3 AS m FROM cp),
+c2 AS (SELECT *, sqrt(((a - m) ** 2 + (b - m) ** 2 + (n - m) ** 2
+  + 2 * (d * d + e * e + f * f)) / 6) AS s FROM c1),
+c3 AS (SELECT *, acos(((a - m) * ((b - m) * (n - m) - f * f) - d * (d * (n - m) - f * e)
+  + e * (d * f - (b - m) * e)) / (2 * s ** 3)) / 3 AS phi FROM c2),
+c4 AS (SELECT feature_id, n, m + 2 * s * cos(phi) AS top,
+  m + 2 * s * cos(phi + 2 * pi() / 3) AS low FROM c3)
+"""
+
+
+@query(
+    "f11_conditioning_short",
+    f"""{CONDITIONS} SELECT feature_id, ridge, n AS rows, 4::INTEGER AS columns,
+  CASE WHEN ridge = 1 THEN 4 ELSE 3 END::INTEGER AS rank,
+  CASE WHEN ridge = 1 THEN {r("sqrt(greatest(top, 1) / least(low, 1))", 4)} END AS condition_number,
+  8::INTEGER AS parameters
+FROM c4, (VALUES (-1.0::DOUBLE), (0.0), (1.0)) t(ridge)""",
+)
+def f11_short(spark, sf_dir):
+    scaler, _ = short_weights(spark, sf_dir)
+    train = tb.month_arrays(spark, sf_dir, "train", SHORT)
+    out = nl.conditioning(cut(nl.design_factors(train, scaler, 3, 2)), 3, 2, (None, 0.0, 1.0))
+    return rounded(out.fillna(-1.0, ["ridge"]), 4, ["condition_number"])
+
+
 @query("f6_nlinear_fit_months")
 def f6(spark, sf_dir):
     _, weights = month_weights(spark, sf_dir)

@@ -293,7 +293,10 @@ def s12(spark, sf_dir):
         .otherwise("confirmation")
     )
     roles = registry.select("system_id", role.alias("role")).distinct()
-    allowed = ss.read_for_purpose(tb.event_frames(spark, sf_dir), registry, roles, "tuning")
+    official = registry.select(F.col("system_id").alias("id"), "split").distinct()
+    allowed = ss.read_for_purpose(
+        tb.event_frames(spark, sf_dir), registry, roles, "tuning", official
+    )
     return allowed.groupBy("trajectory_id").agg(
         F.count(F.lit(1)).alias("frames"), rnd(F.sum("value"), 4).alias("value_sum")
     )
@@ -508,7 +511,7 @@ def c10_counts(spark, sf_dir):
 @query(
     "v11_transfer_guard",
     """WITH a AS (SELECT DISTINCT s_nationkey AS e FROM supplier),
-b AS (SELECT DISTINCT c_nationkey AS e FROM customer WHERE c_acctbal < -900),
+b AS (SELECT DISTINCT c_nationkey AS e FROM customer),
 v AS (
   SELECT 'shared-entity' AS rule FROM a JOIN b USING (e)
   UNION ALL SELECT 'fitted-only' UNION ALL SELECT 'target-only')
@@ -520,7 +523,7 @@ def v11(spark, sf_dir):
 
     fitted = feature_table(spark).withColumn("feature_set_version", F.lit("1"))
     target = feature_table(spark, "other").withColumn("feature_set_version", F.lit("1"))
-    customers = tb.table(spark, sf_dir, "customer").filter("c_acctbal < -900")
+    customers = tb.table(spark, sf_dir, "customer")
     return ct.counted(
         ct.check_transfer(
             fitted, target,

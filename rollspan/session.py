@@ -6,14 +6,18 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(cpus="*", partitions=8, app="rollspan"):
-    """Local session with the settings the operators are written for.
+def build_session(cpus="*", partitions=8, app="rollspan", master=None):
+    """A session with the settings the operators are written for.
 
-    A window plan turns each shuffled byte into many output rows, so small shuffle
-    partitions are kept apart instead of being merged into one task.
+    A running session is taken as it is. `master` names a cluster; without one the
+    session is local. A window plan turns each shuffled byte into many output rows, so
+    small shuffle partitions are kept apart instead of being merged into one task.
     """
+    running = SparkSession.getActiveSession()
+    if running is not None:
+        return running
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        SparkSession.builder.master(master or f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -58,6 +62,17 @@ def cut(df):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark):
+    """Delete the tables that this session wrote to its folder of the shared one.
+
+    Their DataFrames cannot be read afterwards; call it when a run is over.
+    """
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch(spark):
     """A fresh path in the shared checkpoint folder for a written table."""
     ensure_checkpoint_dir(spark)

@@ -239,9 +239,10 @@ CATALOG = (
 def scan_catalog(projects, excluded, schema=CATALOG):
     """Admissible catalogue entries, lowest accession per upper-cased id.
 
-    `projects` has one JSON document per row in `value`.
+    `projects` has one JSON document per row in `value`; a malformed one stops the job.
     """
-    rows = projects.select(F.from_json("value", schema).alias("p")).select("p.*")
+    parsed = F.from_json("value", schema, {"mode": "FAILFAST"})
+    rows = projects.select(parsed.alias("p")).select("p.*")
     ids = F.col("metadata.PDBIDS")
     return (
         rows.filter(
@@ -259,8 +260,8 @@ def scan_catalog(projects, excluded, schema=CATALOG):
 def read_for_purpose(frames, registry, roles, purpose, official=None):
     """Only series whose role the purpose allows; altered records are refused.
 
-    The allowed ids are joined to the scan as a semi join, so a table partitioned by
-    trajectory is pruned at run time.
+    A record is altered if its split is not the one in `official` (id, split). The
+    allowed ids are joined to the scan as a semi join.
     """
     if purpose not in PURPOSE_ROLES:
         raise ValueError("unknown purpose")

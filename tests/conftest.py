@@ -6,14 +6,15 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from rollspan.functions import blocks
-from rollspan.session import build_session
+from rollspan.session import build_session, clear_scratch
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(4, partitions=4, app="rollspan-tests")
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    yield session
+    clear_scratch(session)
 
 
 @pytest.fixture

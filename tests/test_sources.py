@@ -202,3 +202,20 @@ def test_catalogue_and_overlap(spark):
     b = spark.createDataFrame([("z", ["s2", "s9"])], "id string, seq array<string>")
     flags = {r["id"]: r["seq_shared"] for r in ch.overlap_audit(a, b, ["seq"]).collect()}
     assert flags == {"x": True, "y": False}
+
+
+def test_malformed_catalogue_stops(spark):
+    projects = spark.createDataFrame([("{not json",)], "value string")
+    with pytest.raises(Exception):
+        ss.scan_catalog(projects, spark.createDataFrame([], "id string")).collect()
+
+
+def test_altered_split_is_refused(spark):
+    table = data.trajectories(spark)
+    frames = data.frames(spark, lambda i, t: t)
+    roles = table.select("system_id", F.lit("train").alias("role")).distinct()
+    official = table.select(F.col("system_id").alias("id"), "split").distinct()
+    assert ss.read_for_purpose(frames, table, roles, "tuning", official).count() == frames.count()
+    altered = official.withColumn("split", F.lit("elsewhere"))
+    with pytest.raises(ValueError, match="official split"):
+        ss.read_for_purpose(frames, table, roles, "tuning", altered)
