@@ -6,7 +6,7 @@ written back in the same layout: cards stay valid cards, dates valid dates. The
 permutation depends on key, kind and format only, so equal values get equal pseudonyms
 in every document, whatever their separators, and different ones stay different.
 
-Kinds: secret (named assignment), email, iban, date, ip, phone, ssn, card. Candidates
+Kinds: secret (named assignment), key (with an issuer's prefix), email, iban, date, ip, phone, ssn, card. Candidates
 that fail validation are left alone. Null and empty texts stay as they are; repeated
 rows are treated alike; all other columns pass through.
 """
@@ -29,6 +29,7 @@ PATTERN = re.compile(
     r"""
     (?P<secret>(?P<name>(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key))
         (?P<eq>\s*[=:]\s*["']?)(?P<value>[A-Za-z0-9_\-+/]{8,}))
+  | (?P<key>(?:(?<![A-Z0-9])A[KS]IA|(?<![A-Za-z0-9])(?:ghp_|gho_|github_pat_|sk-|xox[abp]-))(?P<rest>[A-Za-z0-9_-]{16,}))
   | (?P<email>(?<![\w.+-])(?P<local>[A-Za-z0-9][\w.+-]{0,63})@(?P<host>(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}))
   | (?P<iban>\b[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?\b)
   | (?P<date>(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d))
@@ -41,11 +42,15 @@ PATTERN = re.compile(
     re.VERBOSE,
 )
 _DIGIT = re.compile(r"[0-9@]")
+# How issuers begin their access keys, as in the pattern above.
+PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "sk-", "xox")
 
 
 def _may_hold(text):
-    """Every kind has a digit or an at sign, or it is an assignment."""
-    return "=" in text or ":" in text or _DIGIT.search(text) is not None
+    """Every kind has a digit or an at sign, or is an assignment or an issued key."""
+    if "=" in text or ":" in text or _DIGIT.search(text) is not None:
+        return True
+    return any(prefix in text for prefix in PREFIXES)
 
 
 
@@ -187,6 +192,7 @@ def _iban(p, text):
     return "".join(" " if c == " " else next(following) for c in text)
 
 
+PART = {"secret": "value", "key": "rest"}  # the part of a match that is replaced
 VALIDATED = {"card": _card, "phone": _phone, "ip": _ip, "ssn": _ssn, "date": _date, "iban": _iban}
 
 
@@ -200,8 +206,8 @@ def replacer(key):
         if kind == "email":
             local, _, host = text.partition("@")
             return permute_text(permutation, "email", local) + "@" + permute_text(permutation, "host", host.rpartition(".")[0]) + "." + host.rpartition(".")[2]
-        if kind == "secret":
-            return permute_text(permutation, "secret", text)
+        if kind in ("secret", "key"):
+            return permute_text(permutation, kind, text)
         return VALIDATED[kind](permutation, text)
 
     def replace(text):
@@ -210,13 +216,13 @@ def replacer(key):
             return text, kinds
 
         def one(match):
-            kind = next(k for k in ("secret", "email", *VALIDATED) if match[k])
-            found = match["value"] if kind == "secret" else match[0]
+            kind = next(k for k in ("secret", "key", "email", *VALIDATED) if match[k])
+            found = match[PART[kind]] if kind in PART else match[0]
             out = pseudonym(kind, found)
             if out is None:
                 return match[0]
             kinds.append(kind)
-            return match["name"] + match["eq"] + out if kind == "secret" else out
+            return match[0][: -len(found)] + out if kind in PART else out
 
         return PATTERN.sub(one, text), kinds
 
