@@ -9,9 +9,9 @@
    proposal with most shared bands is checked first, by signature and then on the full
    sets. Confirmed links give components by large-star and small-star.
 4. Buckets that still hold several components are searched in blocks: nodes outside the
-   bucket's largest component meet all of its nodes, signature against signature inside
-   a task, and only pairs of different components that pass go on to the exact check.
-   So no link between components is lost, and members of one group are not paired.
+   bucket's largest component meet all of its nodes inside a task, first by signature,
+   then, for the nodes that may link, by full sets. So no link between components is
+   lost, members of one group are not compared, and no pairs are written out.
 
 The signature check passes pairs whose minima agree in 60 % or more; at similarity 0.8
 fewer agree with a probability below 1e-7.
@@ -35,7 +35,8 @@ from rollspan.session import cut
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 AGREE = 77  # of 128 minima
-BLOCK = 256
+BLOCK = 1024  # nodes of a block, and
+SET_BLOCK = 2_000_000  # shingles of a block
 BROADCAST_IDS = 1_000_000
 WORDS_KEPT = 300_000
 _WORDS = {}
@@ -194,91 +195,161 @@ def _links(percent):
     return run
 
 
-def _confirm(pairs, docs, width, percent):
-    """Links among written pairs, by the full shingle sets of the texts they name."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+def _shingle_sets(ids, docs, width):
+    """Written table of the full shingle sets of the texts with these doc_ids."""
     few = ids.count() <= BROADCAST_IDS  # eight bytes each
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(
         F.broadcast(ids) if few else ids, "doc_id", "left_semi"
     )
-    sets = cut(texts.mapInArrow(_sets(width), "id long, set binary"))
+    return cut(texts.mapInArrow(_sets(width), "id long, set binary"))
+
+
+def _confirm(pairs, docs, width, percent):
+    """Links among written pairs, by the full shingle sets of the texts they name."""
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    sets = _shingle_sets(ids, docs, width)
     a = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     b = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
     return cut(both.mapInArrow(_links(percent), "a long, b long").distinct())
 
 
-def _search(batches):
-    """Pairs of different components that agree, unit by unit of a sorted partition."""
+def _units(batches, found, schema):
+    """Apply `found` to the rows of each unit of a partition sorted by its first column."""
+    unit, held = None, []
+    names = [f.split()[0] for f in schema.split(", ")]
 
-    def found(rows):
-        x = [r for r in rows if r[3]]
-        y = [r for r in rows if not r[3]]
-        if not x or not y:
-            return
-        sx = np.frombuffer(b"".join(r[4] for r in x), "<u4").reshape(-1, HASHES)
-        sy = np.frombuffer(b"".join(r[4] for r in y), "<u4").reshape(-1, HASHES)
-        cy, ny = np.array([r[2] for r in y]), np.array([r[5] for r in y])
-        for r, s in zip(x, sx):
-            sized = 100 * np.minimum(ny, r[5]) >= 80 * np.maximum(ny, r[5])
-            for j in np.flatnonzero(sized & (cy != r[2])):
-                if int((sy[j] == s).sum()) >= AGREE:
-                    yield min(r[1], y[j][1]), max(r[1], y[j][1])
+    def batch(out):
+        return pa.RecordBatch.from_pydict({n: [r[k] for r in out] for k, n in enumerate(names)})
 
-    unit, held = None, []
-    for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in range(6)]
+    for rows in batches:
         out = []
-        for row in zip(*columns):
+        for row in zip(*[c.to_pylist() for c in rows.columns]):
             if row[0] != unit:
-                out.extend(found(held))
+                out.extend(found(held) if held else ())
                 unit, held = row[0], []
             held.append(row)
         if out:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"]
-            )
-    out = list(found(held))
+            yield batch(out)
+    out = list(found(held)) if held else []
     if out:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"]
-        )
+        yield batch(out)
+
 
+MEMBER = "unit long, id long, component long, is_x boolean"
+PAIR = "a long, b long"
 
-def _between_components(members, labels, nodes, tested):
-    """Candidate pairs of nodes that share a bucket and lie in different components."""
-    labelled = members.join(labels, "id", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("component")
+
+def _may_link(batches):
+    """The members of each unit that agree with one of another component there.
+
+    A pair counts in the first band that it shares, so it is taken up in one bucket only.
+    """
+
+    def found(rows):
+        x, y = [r for r in rows if r[3]], [r for r in rows if not r[3]]
+        if not x or not y:
+            return
+        sig = [np.frombuffer(b"".join(r[4] for r in side), "<u4").reshape(-1, HASHES) for side in (x, y)]
+        size = np.array([r[5] for r in y])
+        component, band = np.array([r[2] for r in y]), rows[0][6]
+        taken = np.zeros(len(y), bool)
+        for r, s in zip(x, sig[0]):
+            fit = 100 * np.minimum(size, r[5]) >= 80 * np.maximum(size, r[5])
+            near = np.flatnonzero(fit & (component != r[2]))
+            same = sig[1][near] == s
+            near_enough = same.sum(axis=1) >= AGREE
+            earlier = same.reshape(-1, BANDS, ROWS).all(axis=2)[:, :band].any(axis=1)
+            near = near[near_enough & ~earlier]
+            if len(near):
+                taken[near] = True
+                yield r[:4]
+        yield from (r[:4] for r, t in zip(y, taken) if t)
+
+    return _units(batches, found, MEMBER)
+
+
+def _exact(percent):
+    """One confirmed link per member and other component of a unit, by full sets."""
+
+    def found(rows):
+        x, y = [r for r in rows if r[3]], [r for r in rows if not r[3]]
+        if not x or not y:
+            return
+        sets = [np.frombuffer(r[4], "<u8") for r in y]
+        size, component = np.array([len(s) for s in sets]), np.array([r[2] for r in y])
+        keys, owner = np.concatenate(sets), np.repeat(np.arange(len(y)), size)
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], owner[order]
+        for r in x:
+            own = np.frombuffer(r[4], "<u8")
+            lo, hi = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
+            runs = hi - lo
+            at = np.repeat(lo - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
+            common = np.bincount(owner[at], minlength=len(y))
+            linked = 100 * common >= percent * (size + len(own) - common)
+            near = np.flatnonzero(linked & (component != r[2]))
+            for j in near[np.unique(component[near], return_index=True)[1]]:
+                yield min(r[1], y[j][1]), max(r[1], y[j][1])
+
+    return lambda batches: _units(batches, found, PAIR)
+
+
+def _between_components(members, labels, nodes, docs, width, percent):
+    """Confirmed links of nodes that share a bucket and lie in different components.
+
+    A unit is a block of nodes outside the bucket's largest component and a block of all
+    its nodes. Tasks give back the members that may link, then the links found on their
+    full sets, one for each member and component; no pairs are written out.
+    """
+    labelled = cut(
+        members.join(labels, "id", "left").select(
+            "key", "band", "id", "n_shingles", F.coalesce("component", "id").alias("component")
+        )
+    )
+    counts = labelled.groupBy("key", "component").agg(
+        F.count("*").alias("m"), F.sum("n_shingles").alias("s")
     )
-    labelled = cut(labelled)
-    counts = labelled.groupBy("key", "component").agg(F.count("*").alias("m"))
+    blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / SET_BLOCK)).cast("int")
     mixed = cut(
         counts.groupBy("key")
         .agg(
             F.count("*").alias("components"),
             F.sum("m").alias("n"),
-            F.max(F.struct("m", "component")).alias("main"),
+            F.sum("s").alias("s"),
+            F.max(F.struct("m", "component", "s")).alias("main"),
         )
         .filter("components > 1")
-        .select("key", F.col("main.component").alias("main"), "n", (F.col("n") - F.col("main.m")).alias("rest"))
+        .select(
+            "key",
+            F.col("main.component").alias("main"),
+            blocks(F.col("n") - F.col("main.m"), F.col("s") - F.col("main.s")).alias("xs"),
+            blocks(F.col("n"), F.col("s")).alias("ys"),
+        )
     )
-    rows = labelled.join(mixed, "key").join(nodes.select("id", "n_shingles", "signature"), "id")
-    xs = F.ceil(F.col("rest") / BLOCK).cast("int")
-    ys = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = labelled.join(mixed, "key")
     place = F.xxhash64("id", "key")
-    every = lambda n: F.sequence(F.lit(0), n - 1)
-    row = ["id", "component", "signature", "n_shingles"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    row = ["id", "component", "n_shingles", "band"]
     x = rows.filter("component != main").select(
-        "key", F.pmod(place, xs).cast("int").alias("x"), F.explode(every(ys)).alias("y"), F.lit(True).alias("is_x"), *row
+        "key", F.pmod(place, "xs").cast("int").alias("x"), every(F.col("ys")).alias("y"), F.lit(True).alias("is_x"), *row
     )
     y = rows.select(
-        "key", F.explode(every(xs)).alias("x"), F.pmod(place, ys).cast("int").alias("y"), F.lit(False).alias("is_x"), *row
+        "key", every(F.col("xs")).alias("x"), F.pmod(place, "ys").cast("int").alias("y"), F.lit(False).alias("is_x"), *row
+    )
+    units = x.unionByName(y).select(
+        F.xxhash64("key", "x", "y").alias("unit"), "id", "component", "is_x", "n_shingles", "band"
+    )
+    signed = units.join(nodes.select("id", "signature"), "id").select(
+        "unit", "id", "component", "is_x", "signature", "n_shingles", "band"
     )
-    units = x.unionByName(y).withColumn("unit", F.xxhash64("key", "x", "y")).select(
-        "unit", "id", "component", "is_x", "signature", "n_shingles"
+    some = cut(
+        signed.repartition("unit").sortWithinPartitions("unit").mapInArrow(_may_link, MEMBER)
     )
-    found = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_search, "a long, b long")
-    return cut(found.distinct().join(tested, ["a", "b"], "left_anti"))
+    sets = _shingle_sets(cut(some.select(F.col("id").alias("doc_id")).distinct()), docs, width)
+    whole = some.join(sets, "id").select("unit", "id", "component", "is_x", "set")
+    links = whole.repartition("unit").sortWithinPartitions("unit").mapInArrow(_exact(percent), PAIR)
+    return cut(links.distinct())
 
 
 def near_duplicates(docs, width=5, percent=80):
@@ -295,7 +366,7 @@ def near_duplicates(docs, width=5, percent=80):
         .dropDuplicates(["id"])
         .select("id", "n_shingles", "signature", "bands")
     )
-    rows = nodes.select("id", F.explode("bands").alias("key"))
+    rows = nodes.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
     shared = cut(
         rows.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("key", "a")
     )
@@ -311,8 +382,7 @@ def near_duplicates(docs, width=5, percent=80):
     first = cut(best)
     links = _confirm(cut(_check_signatures(first, nodes)), docs, width, percent)
     labels = star_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    more = _between_components(members.select("key", "id"), labels, nodes, first)
-    extra = _confirm(more, docs, width, percent)
+    extra = _between_components(members, labels, nodes, docs, width, percent)
     edges = labels.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(
         extra.select(F.col("a").alias("u"), F.col("b").alias("v"))
     )
