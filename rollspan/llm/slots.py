@@ -39,17 +39,10 @@ def with_slots(records, shards, slots=SLOTS):
     slot = F.pmod("key", F.lit(slots)).cast("int")
     rows = records.withColumn("virtual_slot", slot)
     sums = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    both = sums.agg(
-        F.sum("bytes").alias("all_bytes"), F.sum("n").alias("all_n")
-    )
-    hot = (
-        sums.join(F.broadcast(both))  # one row of totals
-        .filter(
-            (F.col("bytes") > F.col("all_bytes") / (4 * shards))
-            | (F.col("n") > F.greatest(F.lit(64), F.col("all_n") / 256))
-        )
-        .select("virtual_slot", F.lit(True).alias("_hot"))
-    )
+    every = Window.partitionBy()  # of at most `slots` rows
+    large = F.col("bytes") > F.sum("bytes").over(every) / (4 * shards)
+    many = F.col("n") > F.greatest(F.lit(64), F.sum("n").over(every) / 256)
+    hot = sums.withColumn("_hot", large | many).filter("_hot").select("virtual_slot", "_hot")
     again = F.pmod(F.xxhash64("doc_id", "key", F.lit("slot")), F.lit(slots)).cast("int")
     return rows.join(F.broadcast(hot), "virtual_slot", "left").select(  # at most `slots` rows
         "doc_id",
@@ -111,13 +104,11 @@ def rebalance(slot_map, sizes, shards):
     """
     known = slot_map.select("version", "virtual_slot", "shard")
     rows = known.join(sizes, "virtual_slot", "left").fillna(0, ["bytes", "n"])
-    loads = rows.agg(
-        F.array(
-            *[F.coalesce(F.sum(F.when(F.col("shard") == s, F.col("bytes"))), F.lit(0)) for s in range(shards)]
-        ).alias("loads"),
-        (F.sum("bytes") / shards).alias("share"),
+    every = Window.partitionBy()  # of at most SLOTS rows
+    held = [F.sum(F.when(F.col("shard") == s, F.col("bytes")).otherwise(0)) for s in range(shards)]
+    rows = rows.withColumn("loads", F.array(*[x.over(every) for x in held])).withColumn(
+        "share", F.sum("bytes").over(every) / shards
     )
-    rows = rows.join(F.broadcast(loads))  # one row of loads
 
     def step(state, slot):
         size = -slot["minus"]
