@@ -44,14 +44,12 @@ def encode(values):
 
 def _select_in_word(words, rank):
     """Position of the rank-th (from 0) one in each word."""
-    at = np.zeros(len(words), np.uint64)
-    rest = rank.astype(np.uint64)
-    for half in (32, 16, 8, 4, 2, 1):
-        part = (words >> at) & np.uint64((1 << half) - 1)
-        ones = np.bitwise_count(part).astype(np.uint64)
+    at, rest = np.zeros(len(words), np.uint64), rank.astype(np.uint8)
+    for bit in (5, 4, 3, 2, 1, 0):
+        ones = np.bitwise_count((words >> at) & np.uint64((1 << (1 << bit)) - 1))
         up = rest >= ones
-        rest = np.where(up, rest - ones, rest)
-        at = np.where(up, at + np.uint64(half), at)
+        rest -= ones * up
+        at |= up.astype(np.uint64) << np.uint64(bit)
     return at.astype(np.int64)
 
 

@@ -26,6 +26,7 @@ base's. Extra columns are ignored; an empty table gives no rows.
 """
 
 import json
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -204,7 +205,7 @@ class WordIds:
             self.index.update(zip(words, range(len(self.ids), len(self.ids) + len(words))))
             self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
         get, sizes = self.index.__getitem__, np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter((i for words in split for i in map(get, words)), np.int64, int(sizes.sum()))
+        at = np.fromiter(map(get, chain.from_iterable(split)), np.int64, int(sizes.sum()))
         return self.ids[at], self.counts[at], sizes
 
 
