@@ -24,7 +24,7 @@ _ODD = "^ |\\x00|[" + "".join(f"\\x{{{ord(c):x}}}" for c in SPACES) + "] "
 _SIGN = r"([\pL\pN])([.,])( |$)"
 _CUT = re.compile(r"(?<=\S)(?= )")
 _PARTS = re.compile(r"[^\W\d_]+|[!-&(-/:-@\[-`{-~]+|\n")
-CACHE_LIMIT = 200_000
+CACHE_LIMIT = 350_000
 UNIT_LIMIT = 64
 GATHER = 500_000  # units gathered at a time
 SLICE = 4_000_000  # characters encoded at a time
@@ -109,8 +109,9 @@ class UnitEncoder:
             some = number[lo : lo + GATHER]
             runs, base = length[some], before[lo]
             shift = start[some] - (before[lo : lo + len(some)] - base)
-            at = np.repeat(shift, runs) + np.arange(runs.sum())
-            ids[base : base + len(at)] = held[at]
+            at = np.repeat(shift.astype(np.int32), runs)
+            at += np.arange(len(at), dtype=np.int32)
+            np.take(held, at, out=ids[base : base + len(at)])
         return ids, np.diff(before[bounds])
 
     def _codes(self, units):
@@ -119,26 +120,22 @@ class UnitEncoder:
         if len(cache) >= CACHE_LIMIT:
             older = self.older = cache
             cache = self.cache = {}
-        codes = [cache.get(u) for u in units]
-        new = {}
-        for i, code in enumerate(codes):
+        codes = list(map(cache.get, units))
+        absent = [i for i, code in enumerate(codes) if code is None]
+        new = []
+        for i in absent:
+            code = codes[i] = older.get(units[i])
             if code is None:
-                unit = units[i]
-                code = older.get(unit)
-                if code is None:
-                    new[unit] = i
-                else:
-                    codes[i] = cache[unit] = code
+                new.append(i)
+            else:
+                cache[units[i]] = code
         if new:
-            self._add(new)
-            for unit, i in new.items():
-                codes[i] = cache[unit]
-            for i, code in enumerate(codes):
-                if code is None:
-                    codes[i] = cache[units[i]]
-            for unit in new:
-                if len(unit) > UNIT_LIMIT or "\n" in unit:
-                    del cache[unit]
+            self._add({units[i] for i in new})
+            for i in new:
+                codes[i] = cache[units[i]]
+            for i in new:
+                if len(units[i]) > UNIT_LIMIT or "\n" in units[i]:
+                    cache.pop(units[i], None)
         return codes
 
     def _parts(self, unit):
