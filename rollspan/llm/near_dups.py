@@ -74,6 +74,12 @@ def word_hashes(texts):
     return [np.fromiter(map(get, w), np.uint64, len(w)) for w in split]
 
 
+def _forget():
+    """Free a task's words: later stages use the same worker for other work."""
+    _WORDS.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def shingle_set(words, width):
     """Sorted distinct hashes of the word shingles."""
     n = len(words)
@@ -131,6 +137,7 @@ def _features(width):
                     ],
                     names=[f.split()[0] for f in FEATURES.split(", ")],
                 )
+        _forget()
 
     return run
 
@@ -176,6 +183,7 @@ def _sets(width):
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(sets, pa.binary())], names=["id", "set"]
                 )
+        _forget()
 
     return run
 

@@ -55,6 +55,7 @@ def _encode(tokenizer, end_id):
                     ],
                     names=["doc_id", "part", "start", "n_tokens", "width", "ids"],
                 )
+        pa.default_memory_pool().release_unused()
 
     return encode
 
