@@ -16,6 +16,7 @@ class the score is the prior. Repeated rows are scored alike; other columns are
 """
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -54,9 +55,9 @@ def statistics(text):
     digits = chars - len(raw.translate(None, b"0123456789"))
     marks = raw.count(b"!")
     pipes = raw.count(b"|")
-    distinct = len(set(words))
+    counts = Counter(words)
     pairs = sum(map(bytes.__eq__, words[1:], words[:-1])) if n > 1 else 0
-    top = max(words.count(w) for w in set(words[:: max(1, n // 16)])) if n else 0
+    top = max(counts.values(), default=0)
     lines = raw.count(b"\n") + 1
     stops = raw.count(b". ") + raw.count(b".\n") + raw.endswith(b".")
     capital = sum(w[:1].isupper() for w in words)
@@ -70,7 +71,7 @@ def statistics(text):
         _logit(marks, chars, 0.002, 40),
         _logit(digits, chars, 0.005, 40),
         _logit(pipes, n, 0.01, 10),
-        _logit(distinct, max(n, 1) ** 0.9, 0.7, 10) if n else 0.0,
+        _logit(len(counts), max(n, 1) ** 0.9, 0.7, 10) if n else 0.0,
         _logit(pairs, n, 0.01, 10),
         _logit(top, n, 0.1, 10),
         math.log1p(n / lines),

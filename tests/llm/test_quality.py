@@ -36,6 +36,17 @@ def test_held_out_accuracy(spark, table, odd_rows):
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.95
 
 
+@pytest.mark.parametrize("n", [32, 33, 100, 1000])
+def test_top_word_is_searched_in_the_whole_text(n):
+    step = n // 16
+    words = [f"w{i}" if i % step == 0 else "often" for i in range(n)]
+    top, distinct = max(map(words.count, words)), len(set(words))
+    got = dict(zip(quality.NAMES, quality.statistics(" ".join(words))))
+    assert "often" not in words[::step] and top == words.count("often")
+    assert got["top_word"] == quality._logit(top, n, 0.1, 10)
+    assert got["distinct"] == quality._logit(distinct, n**0.9, 0.7, 10)
+
+
 def test_one_class_and_no_labels_give_the_prior(spark, table):
     docs = table([(i, f"text {i}") for i in range(20)])
     some = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
