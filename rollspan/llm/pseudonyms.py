@@ -139,8 +139,12 @@ def _phone(p, text):
     digits = re.sub(r"\D", "", text)
     country, digits = digits[:-10], digits[-10:]
     area, exchange = int(digits[:3]), int(digits[3:6])
-    if area < 200 or exchange < 200:
-        return None
+    if area < 200 or exchange < 200:  # a domain of its own: assigned numbers stay assigned ones
+        place = area * 1000 + exchange if area < 200 else 200_000 + (area - 200) * 200 + exchange
+        value = p("phone", place * 10_000 + int(digits[6:]), (1000 * 1000 - 800 * 800) * 10_000)
+        place, line = divmod(value, 10_000)
+        area, exchange = divmod(place, 1000) if place < 200_000 else divmod(place - 160_000, 200)
+        return _spread(text, f"{country}{area:03d}{exchange:03d}{line:04d}")
     value = ((area - 200) * 800 + exchange - 200) * 10_000 + int(digits[6:])
     value = p("phone", value, 800 * 800 * 10_000)
     rest, line = divmod(value, 10_000)

@@ -65,6 +65,25 @@ def test_invalid_candidates_stay(text):
     assert swap(text) == (text, [])
 
 
+@pytest.mark.parametrize("text", ["+1 (017) 555-7713", "+1 (132) 555-7713", "(017) 132-0000", "312-017-0199", "999.199.9999", "000-000-0000"])
+def test_phones_of_any_area_and_exchange_are_replaced(text):
+    out, kinds = swap(f"call {text}, please")
+    value = out[5:-8]
+    assert kinds == ["phone"] and value != text
+    assert re.sub(r"\d", "0", value) == re.sub(r"\d", "0", text)
+    assert value.startswith("+1 (") or not text.startswith("+1 (")
+    assert swap(out)[1] == ["phone"]
+
+
+def test_phone_domains_are_permuted_apart():
+    phones = [f"{area:03d}-{exchange:03d}-0000" for area in range(0, 1000, 7) for exchange in range(0, 1000, 7)]
+    same = lambda kind, value, n: value
+    assert [pseudonyms._phone(same, x) for x in phones] == phones
+    assigned = lambda x: x[0] >= "2" and x[4] >= "2"
+    got = [pseudonyms._phone(pseudonyms.Permutation(KEY), x) for x in phones]
+    assert len(set(got)) == len(phones) and [assigned(x) for x in got] == [assigned(x) for x in phones]
+
+
 def test_dates_are_permuted_within_the_calendar():
     days = [(datetime.date(2020, 1, 1) + datetime.timedelta(i)).isoformat() for i in range(400)]
     assert len({swap(d)[0] for d in days}) == 400
