@@ -5,10 +5,13 @@ sentence), numbers and units after numbers get a typed mark, the rest is lower-c
 loses its punctuation. With the marked values cut off, windows of `WIDTH` words are
 templates. Template windows of all documents are hash-joined with those of the items; the
 hits of an item at one alignment must then agree in their slots: each value of the item
-(a name, number or unit) stands for one value of the document wherever it recurs. An item
-counts as leaked if consistent alignments cover at least min(`ENOUGH`, half of its
-windows). So questions with other names and numbers are found, and texts that share a
-frame by chance, with clashing values, are not.
+(a name, number or unit) stands for one value of the document wherever it recurs. Where
+values clash, a value's binding is what it stands for in more than half of its places
+(itself also in just half); the windows that keep to the bindings and those copied
+verbatim count, the others do not. An item counts as leaked if consistent windows cover
+at least min(`ENOUGH`, half of its windows). So questions with other names and numbers are
+found, also with one value edited, and texts that share a frame by chance, with clashing
+values, are not.
 
 A window needs LITERALS words that are no slots, unless none of the item's windows has
 them. Items shorter than a window are one window of their own length; items without words
@@ -114,6 +117,52 @@ def _windows_of(m):
     return F.when(F.size("canon") >= m, F.transform(starts, window)).otherwise(none)
 
 
+def _pairs(places):
+    """Distinct (item's value, document's value) of the slots in an alignment's windows."""
+
+    def slots(p):
+        both = F.arrays_zip(
+            F.slice("item_words", p, F.col("m")).alias("i"),
+            F.slice("doc_words", p + F.col("shift"), F.col("m")).alias("d"),
+        )
+        return F.filter(both, lambda z: _is_slot(z["i"]))
+
+    return F.array_distinct(F.flatten(F.transform(places, slots)))
+
+
+def _slots_at():
+    """(place, item's value, document's value) of every slot in an alignment's windows."""
+    covered = F.array_distinct(
+        F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("m") - 1)))
+    )
+    every = F.transform(
+        covered,
+        lambda j: F.struct(
+            j.alias("j"),
+            F.element_at("item_words", j).alias("i"),
+            F.element_at("doc_words", (j + F.col("shift")).cast("int")).alias("d"),
+        ),
+    )
+    return F.filter(every, lambda z: _is_slot(z["i"]))
+
+
+def _consistent():
+    """The windows whose slots all have their value's majority binding, and the verbatim ones."""
+
+    def stray(s):
+        same = F.filter("at", lambda z: z["i"] == s["i"])
+        twice = 2 * F.size(F.filter(same, lambda z: z["d"] == s["d"]))
+        half = (twice == F.size(same)) & (s["i"] == s["d"])
+        return ~((twice > F.size(same)) | half)
+
+    def free_of(places):
+        return F.filter("places", lambda p: ~F.exists(places, lambda j: j.between(p, p + F.col("m") - 1)))
+
+    strays = F.transform(F.filter("at", stray), lambda s: s["j"])
+    changed = F.transform(F.filter("at", lambda s: s["i"] != s["d"]), lambda s: s["j"])
+    return F.array_union(free_of(strays), free_of(changed))
+
+
 def leaks(docs, benchmark, width=WIDTH):
     """One row per document and leaked item: key, doc_id, item_id, windows, item_windows, slots."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -140,22 +189,15 @@ def leaks(docs, benchmark, width=WIDTH):
         "key", marked_words(F.col("text")).alias("doc_words")
     )
     aligned = runs.join(items, "item").join(texts, "key")
-    pairs = F.array_distinct(
-        F.flatten(
-            F.transform(
-                "places",
-                lambda p: F.filter(
-                    F.arrays_zip(
-                        F.slice("item_words", p, F.col("m")).alias("i"),
-                        F.slice("doc_words", p + F.col("shift"), F.col("m")).alias("d"),
-                    ),
-                    lambda z: _is_slot(z["i"]),
-                ),
-            )
-        )
+    judged = (
+        aligned.withColumn("pairs", _pairs(F.col("places")))
+        .withColumn("bound", F.size(F.array_distinct(F.transform("pairs", lambda z: z["i"]))) == F.size("pairs"))
+        .withColumn("at", F.when(~F.col("bound"), _slots_at()))
+        .withColumn("kept", F.when(F.col("bound"), F.col("places")).otherwise(_consistent()))
     )
-    checked = aligned.withColumn("pairs", pairs).filter(
-        F.size(F.array_distinct(F.transform("pairs", lambda z: z["i"]))) == F.size("pairs")
+    checked = judged.select(
+        "key", "doc_id", "item_id", "item_windows", F.col("kept").alias("places"),
+        F.when(F.col("bound"), F.col("pairs")).otherwise(_pairs(F.col("kept"))).alias("pairs"),
     )
     whole = checked.groupBy("key", "doc_id", "item_id", "item_windows").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("windows"),

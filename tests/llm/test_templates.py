@@ -40,6 +40,34 @@ def test_inconsistent_slots_are_no_copy(spark, table):
     assert found(spark, table, [(1, CLASHING_VALUES)], [(7, ITEM)]) == set()
 
 
+TWO_FIVES = (
+    "Every morning before the market opens the old baker puts 5 apples on the long table and "
+    "later in the day he shares all of them in equal parts among 5 friends who have come to help."
+)
+
+
+def test_one_clashing_value_loses_only_its_windows(spark, table):
+    docs = [
+        (1, ITEM.replace("does Mary", "does Nora")),
+        (2, TWO_FIVES.replace("5 apples", "7 apples").replace("5 friends", "3 friends")),
+        (3, REWORDED + " And then Peter left."),
+        (4, CLASHING_VALUES),
+    ]
+    assert found(spark, table, docs, [(7, ITEM), (8, TWO_FIVES)]) == {(1, 7), (2, 8), (3, 7)}
+
+
+def test_majority_binding_and_verbatim_windows_are_counted(spark, table):
+    n = [f"word{i} of{i} the{i} text{i} then{i}" for i in range(6)]
+    item = " ".join(f"{w} 5" for w in n)
+    edited = " ".join(f"{w} {v}" for w, v in zip(n, "777739"))
+    half = " ".join(f"{w} {v}" for w, v in zip(n, "555379"))
+    late = " ".join(f"{w} {v}" for w, v in zip(n, "557777"))
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r["doc_id"]: (r["windows"], r["slots"]) for r in templates.leaks(table([(1, edited), (2, half), (3, late)]), bench).collect()}
+    # 36 words, 29 windows; values at 6, 12, ..., 36: windows free of the stray places, and verbatim ones
+    assert got == {1: (22, 1), 2: (16, 1), 3: (27, 2)}
+
+
 def test_short_empty_and_repeated_items(spark, table):
     items = [(1, "tiny item here"), (2, None), (3, ""), (4, ITEM), (4, ITEM), (None, ITEM), (5, "$$ !!")]
     docs = [(10, "a tiny item here, in a text"), (11, "tiny item there"), (12, ITEM), (12, ITEM)]
