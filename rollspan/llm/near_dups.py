@@ -361,7 +361,12 @@ def _between_components(members, labels, nodes, docs, width, percent):
 
 
 def near_duplicates(docs, width=5, percent=80):
-    """doc_id, n_shingles, component_id (smallest doc_id in reach) and kept per row."""
+    """doc_id, n_shingles, component_id (smallest doc_id in reach) and kept per row.
+
+    Size filter, signature check and bands are made for 80 percent: a smaller one is refused.
+    """
+    if percent < 80:
+        raise ValueError("links below 80 percent would be lost: size filter, signatures and bands are made for 80")
     features = signatures(docs, width)
     classes = cut(
         features.filter("n_shingles > 0")

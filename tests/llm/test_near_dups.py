@@ -51,6 +51,12 @@ def test_chain_that_the_star_misses(table, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.components(docs, 4, 80)
 
 
+@pytest.mark.parametrize("percent", [79, 50, 0])
+def test_percent_that_would_lose_links_is_refused(table, percent):
+    with pytest.raises(ValueError, match="below 80"):
+        near_dups.near_duplicates(table([(1, "a b c d e f")]), percent=percent)
+
+
 def test_odd_rows(table, odd_rows):
     got = near_dups.near_duplicates(table(odd_rows), width=5).collect()
     assert len(got) == len(odd_rows)
