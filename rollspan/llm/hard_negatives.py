@@ -182,7 +182,7 @@ def _positives(folder, names, k):
                 i, vec, score = (np.concatenate(c) for c in zip(*found))
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "anchor": [f"{name}-{j:04d}" for j in i.tolist()],
+                        "anchor": pa.array([f"{name}-{j:04d}" for j in i.tolist()], pa.string()),
                         "anchor_id": ids[i],
                         "vec_id": vec,
                         "score": score,
