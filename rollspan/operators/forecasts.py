@@ -48,13 +48,48 @@ def linear(context, horizon):
     )
 
 
-def autoregression1(ridge=0.0):
-    """F4 with p = 1: closed form of the ridge line through (x[t-1], x[t]).
+def ar1_path(known, ridge):
+    """Recursive points of the ridge line through (x[t-1], x[t]).
 
-    With no spread in the lagged values and no penalty the minimum-norm solution
-    shares the level between slope and intercept.
+    `known` has the sums s (x, y, xx, xy) about f over n pairs, the last value, the
+    horizon h and whether all lagged values are equal (flat). With no spread in the
+    lagged values and no penalty the minimum-norm solution shares the level between
+    slope and intercept.
     """
 
+    def line(k):
+        s, m = k["s"], k["n"]
+        sxx = s["xx"] - s["x"] * s["x"] / m
+        sxy = s["xy"] - s["x"] * s["y"] / m
+        mx, my = k["f"] + s["x"] / m, k["f"] + s["y"] / m
+        flat = k["flat"] & F.lit(ridge == 0)
+        level = my / (mx * mx + 1)
+        slope = F.when(k["flat"], mx * level if ridge == 0 else F.lit(0.0)).otherwise(
+            F.coalesce(sxy / F.nullif(sxx + F.lit(float(ridge)), F.lit(0.0)), F.lit(0.0))
+        )
+        return F.struct(
+            slope.alias("b"), mx.alias("mx"), my.alias("my"), level.alias("level"),
+            flat.alias("flat"), k["last"].alias("last"), k["h"].alias("h"),
+        )
+
+    def recurse(c):
+        def step(path, _):
+            before = F.element_at(path, -1)
+            fitted = c["my"] + c["b"] * (before - c["mx"])
+            return F.concat(
+                path,
+                F.array(F.when(c["flat"], c["level"] + c["b"] * before).otherwise(fitted)),
+            )
+
+        path = F.aggregate(F.sequence(F.lit(1), c["h"]), F.array(c["last"]), step)
+        return F.slice(path, F.lit(2), c["h"])
+
+    return let(let(known, line), recurse)
+
+
+def autoregression1(ridge=0.0):
+    """F4 with p = 1: closed form over the values of a context."""
+
     def model(context, horizon):
         n = F.size(context)
         first = F.element_at(context, 1)
@@ -74,37 +109,9 @@ def autoregression1(ridge=0.0):
             first.alias("f"),
             F.element_at(context, -1).alias("last"),
             horizon.cast("int").alias("h"),
+            F.forall(F.slice(context, F.lit(1), n - 1), lambda x: x == first).alias("flat"),
         )
-
-        def line(k):
-            s, m = k["s"], k["n"]
-            sxx = s["xx"] - s["x"] * s["x"] / m
-            sxy = s["xy"] - s["x"] * s["y"] / m
-            mx, my = k["f"] + s["x"] / m, k["f"] + s["y"] / m
-            flat = (sxx <= 0) & F.lit(ridge == 0)
-            level = my / (mx * mx + 1)
-            slope = F.when(flat, mx * level).otherwise(
-                F.coalesce(sxy / F.nullif(sxx + F.lit(float(ridge)), F.lit(0.0)), F.lit(0.0))
-            )
-            return F.struct(
-                slope.alias("b"), mx.alias("mx"), my.alias("my"), level.alias("level"),
-                flat.alias("flat"), k["last"].alias("last"), k["h"].alias("h"),
-            )
-
-        def recurse(c):
-            def step(path, _):
-                before = F.element_at(path, -1)
-                fitted = c["my"] + c["b"] * (before - c["mx"])
-                return F.concat(
-                    path,
-                    F.array(F.when(c["flat"], c["level"] + c["b"] * before).otherwise(fitted)),
-                )
-
-            path = F.aggregate(F.sequence(F.lit(1), c["h"]), F.array(c["last"]), step)
-            return F.slice(path, F.lit(2), c["h"])
-
-        forecast = let(let(known, line), recurse)
-        return F.when(n >= 3, forecast).otherwise(
+        return F.when(n >= 3, ar1_path(known, ridge)).otherwise(
             F.raise_error(F.lit("too few observed frames for one lag"))
         )
 

@@ -2,8 +2,11 @@
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollspan.functions.checked import bounded
 from rollspan.functions.hashing import hash_rank
@@ -11,6 +14,9 @@ from rollspan.session import cut
 from rollspan.tables import CELL
 
 
+HELD_SUMS = 4_000_000  # weighted sums that a task holds before it hands them on
+
+
 @dataclass(frozen=True)
 class Policy:
     """Interval policy, frozen before scoring."""
@@ -63,60 +69,119 @@ def draws(index, population, policy):
     ).select(*population, "b", (number % F.col("groups")).alias("idx"))
 
 
+def _weighted_sums(samples):
+    """Per key of a task: the sum of values under each sample's multiplicities.
+
+    Behind the `samples` weighted sums stand the plain sum, the count and the number of
+    values that are no numbers. Vectors leave the task when many keys are held.
+    """
+
+    def run(batches):
+        places, groups, sums = {}, [], np.zeros((0, samples + 3))
+
+        def out():
+            return pa.RecordBatch.from_pydict(
+                {"key": list(places), "groups": groups, "sums": list(sums[: len(places)])}
+            )
+
+        for batch in batches:
+            lists = batch.column("members")
+            bounds = np.asarray(lists.offsets).tolist()
+            keys, values = (lists.values.field(i) for i in (0, 1))
+            values = np.asarray(values.cast(pa.float64()).fill_null(np.nan))
+            numbered = keys.dictionary_encode()
+            names, code = numbered.dictionary.to_pylist(), np.asarray(numbered.indices)
+            drawn = batch.column("drawn")
+            ends = np.asarray(drawn.offsets).tolist()
+            sample, held = np.asarray(drawn.values), batch.column("groups").to_pylist()
+            for row, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+                own = code[lo:hi]
+                for name in {names[c] for c in own.tolist()}.difference(places):
+                    places[name] = len(places)
+                    groups.append(held[row])
+                if len(places) > len(sums):
+                    sums = np.pad(sums, ((0, 2 * len(places) - len(sums)), (0, 0)))
+                at = np.array([places[names[c]] for c in own.tolist()])
+                v = values[lo:hi]
+                weights = np.ones(samples + 3)
+                weights[:samples] = np.bincount(sample[ends[row] : ends[row + 1]], minlength=samples)
+                weights[samples + 2] = 0
+                rows = np.where(np.isnan(v), 0, v)[:, None] * weights
+                rows[:, samples + 1], rows[:, samples + 2] = 1, ~np.isfinite(v)
+                np.add.at(sums, at, rows)
+            if len(places) * samples > HELD_SUMS:
+                yield out()
+                places, groups, sums = {}, [], np.zeros((0, samples + 3))
+        if places:
+            yield out()
+
+    return run
+
+
+def _resampled(samples, tails):
+    """One series: its vectors added up, the mean and the tails of the resampled means."""
+
+    def run(table):
+        sums = np.stack([np.asarray(v) for v in table.column("sums").to_pylist()]).sum(axis=0)
+        groups = table.column("groups")[0].as_py()
+        return pa.table(
+            {
+                "key": table.column("key").slice(0, 1),
+                "groups": pa.array([groups], pa.int64()),
+                "held": pa.array([int(sums[samples + 1])], pa.int64()),
+                "bad": pa.array([int(sums[samples + 2])], pa.int64()),
+                "mean": pa.array([sums[samples] / groups]),
+                "q": pa.array([np.quantile(sums[:samples] / groups, tails)], pa.list_(pa.float64())),
+            }
+        )
+
+    return run
+
+
 def bootstrap_ci(values, series, policy, population=CELL):
     """Percentile bounds of resampled group means, one row per series.
 
-    `values` has one finite `value` per series and group; every series of a
-    population must cover the same groups. Both the marginal and the corrected tail
-    come from the same resampled means. Group values are read several times, so they
-    are written out first; they are one row per series and group.
+    `values` has one finite `value` per series and group; every series of a population
+    must cover the same groups. A sample is a vector of multiplicities: each group gets
+    the list of samples that drew it, once for all series, and a task adds multiplicity
+    times value for all samples at once. What is shuffled of that are `samples` numbers
+    per series and task. Marginal and corrected tails come from the same means.
     """
     population, series = list(population), list(series)
-    values = cut(values.select(*population, *series, "group_id", "value"))
-    index = cut(group_index(values, population))
-    known = values.join(index, [*population, "group_id"])
-    estimate = known.groupBy(*population, *series).agg(
-        F.avg("value").alias("mean"),
-        F.count(F.lit(1)).alias("_held"),
-        F.max("groups").alias("groups"),
-        F.count_if(F.col("value").isNull() | F.isnan("value")).alias("_bad"),
-    )
-    estimate = estimate.withColumn(
-        "mean",
-        F.when((F.col("_held") == F.col("groups")) & (F.col("_bad") == 0), F.col("mean")).otherwise(
-            F.raise_error(F.lit("a series needs one finite value for each group"))
-        ),
+    key = F.to_json(F.struct(*population, *series), {"ignoreNullFields": "false"})
+    members = cut(
+        values.select(*population, "group_id", F.struct(key.alias("key"), F.col("value").cast("double").alias("value")).alias("m"))
+        .groupBy(*population, "group_id")
+        .agg(F.collect_list("m").alias("members"))
     )
-    resampled = (
-        draws(index, population, policy)
-        .join(known.select(*population, "idx", *series, "value"), [*population, "idx"])
-        .groupBy(*population, *series, "b")
-        .agg(F.avg("value").alias("_mean"))
+    index = cut(group_index(members.select(*population, "group_id"), population))
+    drawn = draws(index, population, policy).groupBy(*population, "idx").agg(F.collect_list("b").alias("drawn"))
+    rows = (
+        index.join(members, [*population, "group_id"])
+        .join(drawn, [*population, "idx"], "left")
+        .select("groups", "members", F.coalesce("drawn", F.array().cast("array<int>")).alias("drawn"))
     )
+    sums = rows.mapInArrow(_weighted_sums(policy.samples), "key string, groups long, sums array<double>")
     tails = [t for c in (False, True) for t in (policy.tail(c), 1 - policy.tail(c))]
-    bounds = resampled.groupBy(*population, *series).agg(
-        F.percentile("_mean", F.array(*[F.lit(t) for t in tails])).alias("_q")
+    found = sums.groupBy("key").applyInArrow(
+        _resampled(policy.samples, tails),
+        "key string, groups long, held long, bad long, mean double, q array<double>",
     )
-    columns = [*population, *series, "mean", "groups"]
-    matched = [F.col(f"e.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*population, *series]]
-    joined = estimate.alias("e").join(bounds.alias("r"), _all(matched), "left")
-    out = [F.col(f"e.{c}").alias(c) for c in columns]
+    whole = (F.col("held") == F.col("groups")) & (F.col("bad") == 0)
+    mean = F.when(whole, F.col("mean")).otherwise(
+        F.raise_error(F.lit("a series needs one finite value for each group"))
+    )
+    names = T.StructType([values.schema[c] for c in (*population, *series)])
+    out = [F.col(f"_key.{c}").alias(c) for c in (*population, *series)] + [mean.alias("mean"), "groups"]
     for i, label in enumerate(("marginal", "corrected")):
-        status = interval_status(F.col("e.groups"), policy, corrected=bool(i))
+        status = interval_status(F.col("groups"), policy, corrected=bool(i))
         ok = status == "descriptive-bootstrap"
         out += [
-            F.when(ok, F.element_at("r._q", 2 * i + 1)).alias(f"{label}_lower"),
-            F.when(ok, F.element_at("r._q", 2 * i + 2)).alias(f"{label}_upper"),
+            F.when(ok, F.element_at("q", 2 * i + 1)).alias(f"{label}_lower"),
+            F.when(ok, F.element_at("q", 2 * i + 2)).alias(f"{label}_upper"),
             status.alias(f"{label}_status"),
         ]
-    return joined.select(*out)
-
-
-def _all(conditions):
-    result = conditions[0]
-    for condition in conditions[1:]:
-        result = result & condition
-    return result
+    return found.withColumn("_key", F.from_json("key", names)).select(*out)
 
 
 def _paired(left, right, keys):

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from rollspan.operators.forecasts import context_mean, forecast, persistence, predictions
+from rollspan.operators.forecasts import predictions
 from rollspan.operators.losses import group_metric, losses
+from rollspan.operators.moments import context_mean, forecast, persistence
 from rollspan.plans import testbed as tb
 from rollspan.plans.registry import rounded
 from rollspan.plans.sql import CELL, EVENTS, pred, r
@@ -12,7 +13,7 @@ from rollspan.plans.sql import CELL, EVENTS, pred, r
 def mean_against_persistence(spark, sf_dir):
     """Group MAE of the context mean less persistence, per lead and feature."""
     models = {"persistence": persistence, "context-mean": context_mean}
-    rows = predictions(forecast(tb.event_arrays(spark, sf_dir), models))
+    rows = predictions(forecast(tb.event_moments(spark, sf_dir), models))
     unit = spark.range(1).select(
         F.inline(
             F.array(

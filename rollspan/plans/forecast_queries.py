@@ -10,6 +10,7 @@ from rollspan.operators import evidence as evi
 from rollspan.operators import forecasts as fc
 from rollspan.operators import inference as inf
 from rollspan.operators import losses as ls
+from rollspan.operators import moments as mm
 from rollspan.operators import nlinear as nl
 from rollspan.operators import residuals as rs
 from rollspan.operators import scaling as sc
@@ -25,10 +26,10 @@ from rollspan.session import cut
 from rollspan.sources import bundle
 
 MODELS = {
-    "persistence": fc.persistence,
-    "context-mean": fc.context_mean,
-    "linear": fc.linear,
-    "ar1": fc.autoregression(1),
+    "persistence": mm.persistence,
+    "context-mean": mm.context_mean,
+    "linear": mm.linear,
+    "ar1": mm.autoregression1(),
 }
 ALL = list(MODELS)
 LEVELS = (0.1, 0.5, 0.9)
@@ -42,8 +43,8 @@ STEP = "step::INTEGER AS step"
 
 
 def points(spark, sf_dir, models=ALL, split=None, source="event"):
-    arrays = (tb.event_arrays if source == "event" else tb.month_arrays)(spark, sf_dir, split)
-    return fc.forecast(arrays, {m: MODELS[m] for m in models})
+    moments = (tb.event_moments if source == "event" else tb.month_moments)(spark, sf_dir, split)
+    return mm.forecast(moments, {m: MODELS[m] for m in models})
 
 
 def rows(spark, sf_dir, models=ALL, split=None, source="event"):
@@ -81,8 +82,8 @@ _single_model("f4_ar1_months", "ar1", MONTHS, "month")
 
 @query("f4_ar1_ridge_months", f"{pred(MONTHS, ['ar1-ridge'])} SELECT {ROW} FROM pred")
 def f4_ridge(spark, sf_dir):
-    arrays = tb.month_arrays(spark, sf_dir)
-    return shown(fc.predictions(fc.forecast(arrays, {"ar1-ridge": fc.autoregression(1, 10.0)})))
+    moments = tb.month_moments(spark, sf_dir)
+    return shown(fc.predictions(mm.forecast(moments, {"ar1-ridge": mm.autoregression1(10.0)})))
 
 
 PRED_KEYS = f"{KEY}, feature_id"

@@ -12,6 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rollspan.functions.blocks import ordered_index, with_blocks
+from rollspan.operators.moments import context_moments
 from rollspan.operators.windows import Grid, admit, cell_windows, window_arrays, window_channels
 from rollspan.session import cut
 from rollspan.tables import TRAJECTORIES, conform
@@ -165,6 +166,13 @@ def event_channels(spark, sf_dir, split=None, grid=GRID, features=EVENT_FEATURES
     )
 
 
+def event_moments(spark, sf_dir, split=None, grid=GRID, features=EVENT_FEATURES):
+    return context_moments(
+        event_frames(spark, sf_dir), event_windows(spark, sf_dir, split, grid), features,
+        max(grid.contexts), grid.span,
+    )
+
+
 @stored
 def month_frames(spark, sf_dir):
     """Monthly series per supplier; the calendar bounds the months of a supplier."""
@@ -243,6 +251,13 @@ def month_arrays(spark, sf_dir, split=None, grid=MONTH_GRID, features=MONTH_FEAT
     )
 
 
+def month_moments(spark, sf_dir, split=None, grid=MONTH_GRID, features=MONTH_FEATURES):
+    return context_moments(
+        month_frames(spark, sf_dir), month_windows(spark, sf_dir, split, grid), features,
+        max(grid.contexts), grid.span,
+    )
+
+
 def month_channels(spark, sf_dir, split=None, grid=MONTH_GRID, features=MONTH_FEATURES):
     return window_channels(
         month_frames(spark, sf_dir), month_windows(spark, sf_dir, split, grid), features, grid.span
