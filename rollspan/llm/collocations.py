@@ -1,15 +1,15 @@
 """Phrase collocations by the stripes pattern.
 
-A stripe is keyed by (lang, prefix) and counts the next words of the prefix; the empty
-word stands for all followers that cannot matter, the end of a piece among them, so the
-stripe's sum is the prefix's own count. One level per prefix length, 1 to `longest` - 1:
+A stripe is keyed by (lang, prefix) and counts the next words of the prefix. One level
+per prefix length, 1 to `longest` - 1:
 
 1. A task splits whole texts into pieces and words, counts the stripes of a run of
-   tokens at once and writes them as parallel lists.
-2. Stripes of a key come together sorted and are merged elementwise in one pass over the
-   partition. Extensions (a phrase's count is its entry in its prefix's stripe), prefix
-   totals (the sum) and subsumption maxima (the largest entry, and the largest entry
-   over stripes whose prefix begins one word earlier) are read off the merged stripes.
+   tokens at once and writes those of a bucket of prefixes as one row.
+2. The rows of a bucket come together and its stripes are merged elementwise.
+   Extensions (a phrase's count is its entry in its prefix's stripe), prefix totals (the
+   same entry, when the phrase is a prefix itself) and subsumption maxima (the largest
+   entry, and the largest entry over stripes whose prefix begins one word earlier) are
+   read off the merged stripes.
 3. A phrase of `least` occurrences has only parts with as many. So the next level keys
    stripes by prefixes in the *size table* of this level and names a next word only if
    the phrase without its first word is in there. The size table maps the hash of a
@@ -17,9 +17,9 @@ stripe's sum is the prefix's own count. One level per prefix length, 1 to `longe
    through more, and counts are exact whatever it says. It lies in the shared folder in
    parts that tasks map into memory.
 
-A prefix counted more than CAP times has its stripe cut into segments by the next word,
-as many as its size in the table asks for, so a merged stripe stays small; the words'
-counts are merged as plain sums. Phrases that lie inside longer ones are found one word
+There are as many buckets as keep one near CAP occurrences on average, and a prefix
+counted more than CAP times has its stripe cut into segments by the next word, as many
+as its size in the table asks for, so what is merged at once stays small. Phrases that lie inside longer ones are found one word
 at a time: if a longer phrase is as frequent, so is every phrase between the two.
 
 Text: A-Z is lower-cased; pieces end at any of .,;:!? and \\n \\v \\f \\r; words are runs other
@@ -36,6 +36,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -51,7 +52,8 @@ SALTS = 64
 BROADCAST_LANGS = 100_000
 _MARKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b".......... ")
 
-STRIPE = "lang string, prefix string, segment int, next array<string>, counts array<long>"
+STRIPES = "lang string, bucket long, prefixes string, sizes binary, next string, counts binary"
+MERGED = "lang string, prefix string, next array<string>, counts array<long>"
 
 
 def _pieces(text):
@@ -167,7 +169,7 @@ def _segments(size):
     return np.left_shift(1, np.maximum(size.astype(np.int64) - CAP.bit_length(), 0))
 
 
-def _stripes(length, tables):
+def _stripes(length, tables, buckets):
     """Stripes of the prefixes of `length` words; `tables` are (folder, names, bits) per level."""
 
     def run(batches):
@@ -181,26 +183,25 @@ def _stripes(length, tables):
             key = code[at]
             for level in range(1, length):
                 at, h, size, key = _longer(level, at, h, key, code, words, sizes[level])
-            if not len(at):
-                continue
-            after = at + length
-            follower = np.where(after < len(code), code[np.minimum(after, len(code) - 1)], 0)
-            follower[~_member(at + 1, at)] = 0  # the phrase without its first word is too rare
-            yield from _as_rows(r, length, at, key, size, follower)
+            # A phrase counts if the one without its first word is frequent too.
+            named = _starts(code, at)[at + 1]
+            at, h, size, key = at[named], h[named], size[named], key[named]
+            if len(at):
+                yield _as_rows(r, length, at, h, key, size, code[at + length], buckets)
 
     return run
 
 
-def _member(wanted, ascending):
-    place = np.minimum(np.searchsorted(ascending, wanted), len(ascending) - 1)
-    return ascending[place] == wanted
+def _starts(code, at):
+    """A flag per place, one longer than the code."""
+    flags = np.zeros(len(code) + 1, bool)
+    flags[at] = True
+    return flags
 
 
 def _longer(level, at, h, key, code, words, table):
     """Places, hashes, sizes and exact numbers of the phrases one word longer."""
-    if not len(at):
-        return at, h, np.zeros(0, np.uint8), key
-    both = _member(at + 1, at)
+    both = _starts(code, at)[at + 1]
     at, h, key = at[both], h[both], key[both]
     last = code[at + level]
     h = _roll(h, words[last])
@@ -211,8 +212,22 @@ def _longer(level, at, h, key, code, words, table):
     return at, h, size, np.unique(pair, return_inverse=True)[1].astype(np.int64)
 
 
-def _as_rows(r, length, at, key, size, follower):
-    """Stripe rows of a run: one per (prefix, segment), entries in order of their codes."""
+def _gathered(bounds, order):
+    """The places of the runs between `bounds`, taken in another order, and their bounds."""
+    runs = np.diff(bounds)[order]
+    ends = np.cumsum(runs)
+    return np.repeat(bounds[:-1][order] - ends + runs, runs) + np.arange(ends[-1]), np.append(0, ends)
+
+
+def _binary(values, bounds):
+    """32-bit values between bounds as one binary value each."""
+    raw = np.ascontiguousarray(values, np.int32)
+    at = np.asarray(bounds * 4, np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(at), pa.py_buffer(raw)])
+
+
+def _as_rows(r, length, at, h, key, size, follower, buckets):
+    """The stripes of a run: one row for each lang and bucket of prefixes."""
     import zlib
 
     segments = _segments(size)
@@ -221,70 +236,85 @@ def _as_rows(r, length, at, key, size, follower):
     if len(hot):
         marks = np.array([zlib.crc32(w) for w in r.words], np.int64)
         segment[hot] = marks[follower[hot]] % segments[hot]
-    width = np.int64(len(r.words))
-    pair = (key * (segment.max() + 1) + segment) * width + follower
-    entry, first, counts = np.unique(pair, return_index=True, return_counts=True)
+    most, width = segment.max() + 1, np.int64(len(r.words))
+    entry, counts = np.unique((key * most + segment) * width + follower, return_counts=True)
     stripe = entry // width
     starts = np.flatnonzero(np.diff(stripe, prepend=-1))
-    place = at[first[starts]]
-    names = [w.decode() for w in r.words]
-    phrases = [" ".join([names[c] for c in r.code[p : p + length].tolist()]) for p in place.tolist()]
-    bounds = pa.array(np.append(starts, len(entry)).astype(np.int32))
-    following = pa.DictionaryArray.from_arrays(
-        pa.array((entry % width).astype(np.int32)), pa.array(names, pa.string())
-    ).cast(pa.string())
-    yield pa.RecordBatch.from_arrays(
+    held = np.empty(key.max() + 1, np.int64)
+    held[key] = np.arange(len(key))  # one place of each prefix
+    one = held[stripe[starts] // most]
+    place, mark = r.code[at[one]], h[one] + (stripe[starts] % most).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bucket = (_roll(mark, np.uint64(1)) >> np.uint64(1)).astype(np.int64) % buckets
+    lang = np.array(r.lang)[place]
+    order = np.lexsort((bucket, lang))
+    entries, bounds = _gathered(np.append(starts, len(entry)), order)
+    lang, bucket = lang[order], bucket[order]
+    first = np.flatnonzero((np.diff(lang, prepend=-1) != 0) | (np.diff(bucket, prepend=-1) != 0))
+    groups = np.append(first, len(order))
+    names = pa.array([w.decode() for w in r.words], pa.string())
+    begin = at[one][order]
+    phrases = pc.binary_join_element_wise(*[names.take(pa.array(r.code[begin + k])) for k in range(length)], " ")
+    joined = lambda values, ends, by: pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values), by)
+    return pa.RecordBatch.from_arrays(
         [
-            pa.array([r.langs[r.lang[c]] for c in r.code[place].tolist()], pa.string()),
-            pa.array(phrases, pa.string()),
-            pa.array(segment[first[starts]].astype(np.int32)),
-            pa.ListArray.from_arrays(bounds, following),
-            pa.ListArray.from_arrays(bounds, pa.array(counts.astype(np.int64))),
+            pa.array(r.langs, pa.string()).take(pa.array(lang[first])),
+            pa.array(bucket[first]),
+            joined(phrases, groups, "\n"),
+            _binary(np.diff(bounds), groups),
+            joined(names.take(pa.array((entry % width)[entries])), bounds[groups], " "),
+            _binary(counts[entries], bounds[groups]),
         ],
-        names=["lang", "prefix", "segment", "next", "counts"],
+        names=[f.split()[0] for f in STRIPES.split(", ")],
+    )
+
+
+def _merged(lang, rows, least):
+    """The stripes of one lang and bucket, merged elementwise; frequent entries stay."""
+    whole = pa.Table.from_batches(rows).combine_chunks()
+    words = lambda c, by: pc.split_pattern(whole.column(c), by).combine_chunks().flatten().dictionary_encode()
+    numbers = lambda c: np.frombuffer(b"".join(whole.column(c).to_pylist()), np.int32)
+    prefixes, following = words("prefixes", "\n"), words("next", " ")
+    prefix = np.repeat(np.asarray(prefixes.indices).astype(np.int64), numbers("sizes"))
+    pair, at = np.unique(prefix << 32 | np.asarray(following.indices), return_inverse=True)
+    counts = np.bincount(at, weights=numbers("counts")).astype(np.int64)  # below 2^53
+    pair, counts = pair[counts >= least], counts[counts >= least]
+    if not len(pair):
+        return None
+    starts = np.flatnonzero(np.diff(pair >> 32, prepend=-1))
+    ends = pa.array(np.append(starts, len(pair)).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([lang] * len(starts), pa.string()),
+            prefixes.dictionary.take(pa.array(pair[starts] >> 32)),
+            pa.ListArray.from_arrays(ends, following.dictionary.take(pa.array(pair & 0xFFFFFFFF))),
+            pa.ListArray.from_arrays(ends, pa.array(counts)),
+        ],
+        names=["lang", "prefix", "next", "counts"],
     )
 
 
 def _merge(least):
-    """Stripes of a key follow each other: merge them elementwise, keep frequent entries.
-
-    The empty word gets what the dropped entries held, so the sum stays whole.
-    """
-
-    def closed(key, stripe):
-        kept = {w: n for w, n in stripe.items() if w and n >= least}
-        kept[""] = sum(stripe.values()) - sum(kept.values())
-        return (*key, list(kept), list(kept.values()))
-
-    def batch(out):
-        columns = list(zip(*out))
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, kinds)],
-            names=["lang", "prefix", "segment", "next", "counts"],
-        )
+    """Merge the rows of each bucket; they follow each other in the partition."""
 
     def run(batches):
-        key, stripe = None, {}
-        for rows in batches:
-            out = []
-            keys = zip(*[rows.column(c).to_pylist() for c in ("lang", "prefix", "segment")])
-            bounds = rows.column("next").offsets.to_pylist()
-            words, counts = rows.column("next").values.to_pylist(), rows.column("counts").values.to_pylist()
-            base = rows.column("counts").offsets[0].as_py() - bounds[0]
-            for new, lo, hi in zip(keys, bounds, bounds[1:]):
+        key, held = None, []
+        for batch in batches:
+            keys = list(zip(batch.column("lang").to_pylist(), batch.column("bucket").to_pylist()))
+            lo = 0
+            for i, new in enumerate(keys):
                 if new != key:
-                    if key is not None:
-                        out.append(closed(key, stripe))
-                    key, stripe = new, {}
-                get = stripe.get
-                for i in range(lo, hi):
-                    word = words[i]
-                    stripe[word] = get(word, 0) + counts[i + base]
-            if out:
-                yield batch(out)
-        if key is not None:
-            yield batch([closed(key, stripe)])
+                    if i > lo:
+                        held.append(batch.slice(lo, i - lo))
+                    if held:
+                        found = _merged(key[0], held, least)
+                        if found is not None:
+                            yield found
+                    key, held, lo = new, [], i
+            held.append(batch.slice(lo))
+        if held:
+            found = _merged(key[0], held, least)
+            if found is not None:
+                yield found
 
     return run
 
@@ -366,11 +396,11 @@ def count_stripes(docs, least=100, longest=5):
     ).filter("text <> ''")
     words = cut(rows.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     tables = [size_table(words.filter(F.col("n") >= least).select("lang", F.col("word").alias("phrase"), F.col("n").alias("f")))]
-    levels = []
+    levels, key = [], ["lang", "bucket"]
+    buckets = 1 + (words.agg(F.sum("n")).first()[0] or 0) // CAP
     for length in range(1, longest):
-        found = rows.mapInArrow(_stripes(length, tables), STRIPE)
-        key = ["lang", "prefix", "segment"]
-        merged = cut(found.repartition(*key).sortWithinPartitions(*key).mapInArrow(_merge(least), STRIPE))
+        found = rows.mapInArrow(_stripes(length, tables, buckets), STRIPES)
+        merged = cut(found.repartition(*key).sortWithinPartitions(*key).mapInArrow(_merge(least), MERGED))
         levels.append(merged)
         if length < longest - 1:
             tables.append(size_table(entries(merged).select("lang", "phrase", "f")))
@@ -380,7 +410,7 @@ def count_stripes(docs, least=100, longest=5):
 def entries(stripes):
     """lang, prefix, word, phrase and f of every frequent extension in merged stripes."""
     flat = stripes.select("lang", "prefix", F.explode(F.arrays_zip("next", "counts")).alias("e"))
-    return flat.filter("e.next <> ''").select(
+    return flat.select(
         "lang",
         "prefix",
         F.col("e.next").alias("word"),
@@ -389,16 +419,16 @@ def entries(stripes):
     )
 
 
-def totals(stripes):
-    """lang, phrase and its count f: the sums of the stripes."""
-    own = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
-    return stripes.groupBy("lang", F.col("prefix").alias("phrase")).agg(F.sum(own).alias("f"))
-
-
 def _all(tables):
     return functools.reduce(lambda a, b: a.unionByName(b), tables)
 
 
+def totals(words, levels):
+    """lang, phrase and count f of every word and frequent prefix."""
+    single = words.select("lang", F.col("word").alias("phrase"), F.col("n").alias("f"))
+    return _all([single, *[entries(s).select("lang", "phrase", "f") for s in levels[:-1]]])
+
+
 def unsubsumed(levels):
     """lang, phrase and count a of the phrases that no longer one equals in count."""
     found = [entries(s) for s in levels]
@@ -421,7 +451,7 @@ def collocations(docs, least=100, longest=5, first=2000):
     """lang, rank, phrase, a, l, r, n, score: each lang's `first` best phrases."""
     words, levels = count_stripes(docs, least, longest)
     n = cut(words.groupBy("lang").agg(F.sum("n").alias("n")))
-    free, counts = cut(unsubsumed(levels)), cut(_all([totals(s) for s in levels]))
+    free, counts = cut(unsubsumed(levels)), cut(totals(words.filter(F.col("n") >= least), levels))
     parts = F.split("phrase", " ", -1)
     cuts = free.select("lang", "phrase", "a", F.explode(F.sequence(F.lit(1), F.size(parts) - 1)).alias("k"), parts.alias("w")).select(
         "lang",
