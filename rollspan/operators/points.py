@@ -1,19 +1,33 @@
 """Pair geometry of labelled point clouds.
 
-No operator forms all pairs of a frame. Points are hashed to cubic cells at least as
-wide as the search radius, one side is copied to the neighbouring cells, and an equi
-join on (trajectory, frame, cell) meets every pair within the radius exactly once.
+No operator forms all pairs of a frame. Per-frame channels work on packed frames: one
+row holds both sides of a frame, receptor points sorted by the key of their cell (at
+least as wide as the search radius), and each ligand point finds its neighbours by
+ordered search of the cells around it, for a whole batch of frames at once. A frame
+wider than SLAB radii is cut into slabs, with the ligand points near a slab's faces
+copied across, so a row stays small and every pair is met once. Pairs as a table
+(`near_pairs`) come from an equi join on (trajectory, frame, cell).
 """
 
+import itertools
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollspan.functions.blocks import block_of
 from rollspan.session import cut
 
 FRAME = ["trajectory_id", "frame"]
 AXES = ("x", "y", "z")
+BOX = ("lx", "ly", "lz")
+SLAB = 64  # search radii to a slab
+SALTS = 32  # copies of per-system and per-trajectory rows, so a long trajectory meets many
+AXIS_CELLS = 1 << 15
+MARGIN = 1 + 1e-9  # on radii where points are dealt out, so rounding loses no pair
 
 
 def heavy_sets(atoms, segments):
@@ -23,37 +37,29 @@ def heavy_sets(atoms, segments):
     """
     boundary = segments.groupBy("system_id").agg(F.max("start").alias("_from"))
     heavy = atoms.filter(F.col("atomic_number") > 1).join(boundary, "system_id")
-    sided = heavy.select(
-        "system_id",
-        "atom",
-        F.when(F.col("atom") < F.col("_from"), "receptor").otherwise("ligand").alias("side"),
-    )
-    counts = sided.groupBy("system_id").agg(F.count_distinct("side").alias("_sides"))
-    return sided.join(counts, "system_id").select(
-        "system_id",
-        "atom",
-        F.when(F.col("_sides") == 2, F.col("side"))
-        .otherwise(F.raise_error(F.lit("a system needs heavy receptor and ligand atoms")))
-        .alias("side"),
+    side = F.when(F.col("atom") < F.col("_from"), "receptor").otherwise("ligand")
+    system = Window.partitionBy("system_id")
+    sided = heavy.select("system_id", "atom", side.alias("side"))
+    both = (F.min("side").over(system) == "ligand") & (F.max("side").over(system) == "receptor")
+    stop = F.raise_error(F.lit("a system needs heavy receptor and ligand atoms"))
+    return sided.withColumn("_both", both).select(
+        "system_id", "atom", F.when(F.col("_both"), F.col("side")).otherwise(stop).alias("side")
     )
 
 
-def _blocked(rows):
-    return rows.withColumn("_block", block_of(F.col("frame")))
+def _salted(rows):
+    return rows.withColumn("_salt", F.pmod(block_of(F.col("frame")) + F.col("frame"), F.lit(SALTS)))
 
 
-def _spread(table, rows, key):
-    """A copy of each row of a per-`key` table for every frame block that `rows` has.
-
-    Joined on key and block, a long trajectory meets its static rows in many tasks.
-    """
-    return table.join(rows.select(key, "_block").distinct(), key)
+def _copies(table):
+    """A copy of each row of a static table for every salt."""
+    every = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    return table.withColumn("_salt", F.explode(every))
 
 
 def label_points(coords, sides):
     """Coordinates of the chosen atoms with their side."""
-    rows = _blocked(coords)
-    return rows.join(_spread(sides, rows, "system_id"), ["system_id", "_block", "atom"]).select(
+    return _salted(coords).join(_copies(sides), ["system_id", "_salt", "atom"]).select(
         *FRAME, "system_id", "atom", "side", *AXES
     )
 
@@ -116,105 +122,243 @@ def near_pairs(points, radius, periodic=False):
     )
 
 
-def _frames(points):
-    return points.select(*FRAME).distinct()
+def _wrapped(axis):
+    box = F.col(f"l{axis}")
+    return F.when(box.isNull(), F.col(axis)).otherwise(F.col(axis) - box * F.floor(F.col(axis) / box))
 
 
-def _counts(found, frames):
-    counts = found.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("contacts"))
-    return frames.join(counts, FRAME, "left").select(
-        *FRAME, F.coalesce("contacts", F.lit(0)).alias("contacts")
-    )
-
+def _with_bound(points, keys):
+    """Add `_bound`: the distance of one close pair per frame, found in linear work.
 
-def _fractions(found, frames):
-    frames, found = _blocked(frames), _blocked(found)
-    initial = found.filter(F.col("frame") == 0).select("trajectory_id", "a", "b")
-    kept = (
-        found.join(
-            _spread(initial, frames, "trajectory_id"),
-            ["trajectory_id", "_block", "a", "b"],
-            "left_semi",
+    From the first ligand atom to its nearest receptor atom, and from there to the
+    nearest ligand atom: a true pair distance, so the minimum cannot exceed it.
+    """
+    frame, place = Window.partitionBy(*keys), F.struct(*AXES)
+    ligand, receptor = F.col("side") == "ligand", F.col("side") == "receptor"
+
+    def squared(anchor):
+        gaps = []
+        for x in AXES:
+            d, box = F.col(x) - F.col(f"{anchor}.{x}"), F.col(f"l{x}")
+            gaps.append(F.when(box.isNull(), d).otherwise(d - box * F.floor(d / box + 0.5)))
+        return _squared(gaps)
+
+    started = points.withColumn(
+        "_at", F.min_by(F.when(ligand, place), F.when(ligand, F.col("atom"))).over(frame)
+    )
+    order = F.when(receptor, F.struct(squared("_at").alias("d"), F.col("atom").alias("a")))
+    closed = started.withColumn("_to", F.min_by(F.when(receptor, place), order).over(frame))
+    nearest = F.min(F.when(ligand, squared("_to"))).over(frame)
+    return closed.withColumn("_bound", F.sqrt(nearest)).drop("_at", "_to")
+
+
+def packed_frames(points, cutoff, minimum, keys):
+    """One row per frame and slab: both sides' points, the frame's bound and its box."""
+    absent = [F.lit(None).cast("double").alias(c) for c in BOX if c not in points.columns]
+    rows = points.select("*", *absent).repartition(*keys)
+    rows = _with_bound(rows, keys) if minimum else rows.withColumn("_bound", F.lit(None).cast("double"))
+    reach = F.greatest(F.lit(float(cutoff or 0.0)), F.coalesce("_bound", F.lit(0.0))) * F.lit(MARGIN)
+    thick = F.when(F.col("_reach") > 0, F.col("_reach") * SLAB)
+    slabs = F.when(F.col("lx").isNotNull(), F.greatest(F.lit(1), F.coalesce(F.floor(F.col("lx") / thick), F.lit(1))))
+    rows = rows.withColumn("_reach", reach).withColumn("_slabs", slabs)
+    rows = rows.withColumn("_thick", F.coalesce(F.col("lx") / F.col("_slabs"), thick)).withColumn("_w", _wrapped("x"))
+
+    slab = lambda place: F.coalesce(F.floor(place / F.col("_thick")), F.lit(0)).cast("long")
+    ring = lambda at: F.when(F.col("_slabs").isNull(), at).otherwise(F.pmod(at, F.col("_slabs")))
+    around = F.array_distinct(
+        F.transform(
+            F.sequence(slab(F.col("_w") - F.col("_reach")), slab(F.col("_w") + F.col("_reach"))), ring
         )
-        .groupBy(*FRAME)
-        .agg(F.count(F.lit(1)).alias("_kept"))
     )
-    size = initial.groupBy("trajectory_id").agg(F.count(F.lit(1)).alias("_all"))
-    share = F.coalesce("_kept", F.lit(0)) / F.col("_all")
+    where = F.when(F.col("side") == "receptor", F.array(ring(slab(F.col("_w"))))).otherwise(around)
+    point = F.struct("atom", *AXES)
     return (
-        frames.join(kept, FRAME, "left")
-        .join(_spread(size, frames, "trajectory_id"), ["trajectory_id", "_block"], "left")
-        .select(
-            *FRAME,
-            F.when(F.col("_all") > 0, share)
-            .otherwise(F.raise_error(F.lit("no frame-0 contacts: the fraction is undefined")))
-            .alias("fraction"),
+        rows.withColumn("_slab", F.explode(where))
+        .groupBy(*keys, "_slab")
+        .agg(
+            F.collect_list(F.when(F.col("side") == "receptor", point)).alias("receptor"),
+            F.collect_list(F.when(F.col("side") == "ligand", point)).alias("ligand"),
+            F.first("_bound").alias("bound"),
+            *[F.first(c).alias(c) for c in BOX],
         )
     )
 
 
-def contacts(points, cutoff, periodic=False):
-    """Pairs within the cutoff (inclusive) per frame; frames without any count 0."""
-    return _counts(near_pairs(points, F.lit(float(cutoff)), periodic), _frames(points))
+class _Side:
+    """One side of a batch of packed frames as flat arrays."""
 
+    def __init__(self, lists):
+        bounds = np.asarray(lists.offsets)
+        values = lists.values.slice(bounds[0], bounds[-1] - bounds[0])
+        self.row = np.repeat(np.arange(len(lists)), np.diff(bounds))
+        self.atom = np.asarray(values.field("atom")).astype(np.int64)
+        self.at = np.stack([np.asarray(values.field(x)).astype(float) for x in AXES], axis=1)
 
-def reference_fraction(points, cutoff, periodic=False):
-    """Share of the frame-0 contact pairs still in contact.
+    def cells(self, low, size, n):
+        at = (self.at - low[self.row]) / size[self.row]
+        return np.clip(np.floor(at).astype(np.int64), 0, n[self.row] - 1)
 
-    A trajectory without a frame-0 contact stops the job.
-    """
-    return _fractions(near_pairs(points, F.lit(float(cutoff)), periodic), _frames(points))
 
+def _keys(row, cells):
+    key = row.astype(np.int64)
+    for axis in range(3):
+        key = key << 16 | cells[:, axis]
+    return key
 
-def contact_channels(points, cutoff, periodic=False):
-    """P2-P4 together: contacts, fraction and minimum per frame.
 
-    The pairs within the cutoff feed both counts, so they are written out once.
+def _close_pairs(receptor, ligand, radius, box):
+    """(row, receptor place, ligand place, distance) of all pairs within their row's radius.
+
+    Receptor keys are sorted; the cells around a ligand point are looked up one offset
+    at a time. `box` is infinite for open axes; closed ones take the nearest image.
     """
-    found = cut(near_pairs(points, F.lit(float(cutoff)), periodic).drop("distance"))
-    frames = _frames(points)
+    closed, rows = np.isfinite(box), len(radius)
+    low, high = np.full((rows, 3), np.inf), np.full((rows, 3), -np.inf)
+    for side in (receptor, ligand):
+        np.minimum.at(low, side.row, side.at)
+        np.maximum.at(high, side.row, side.at)
+    with np.errstate(all="ignore"):
+        extent = np.where(closed, box, high - low)
+        n = np.floor(extent / (radius[:, None] * MARGIN))
+        n = np.clip(np.nan_to_num(n, nan=1, posinf=AXIS_CELLS, neginf=1), 1, AXIS_CELLS).astype(np.int64)
+        size = np.where((n > 1) & (extent > 0), extent / n, np.inf)
+    n[np.isinf(size)] = 1
+    low = np.where(closed | ~np.isfinite(low), 0, low)
+    for side in (receptor, ligand):
+        limits = box[side.row]
+        with np.errstate(invalid="ignore"):
+            side.at = np.where(np.isfinite(limits), side.at - limits * np.floor(side.at / limits), side.at)
+    keys = _keys(receptor.row, receptor.cells(low, size, n))
+    order = np.argsort(keys, kind="stable")
+    keys, cells = keys[order], ligand.cells(low, size, n)
+    found, shut, count = [], closed[ligand.row], n[ligand.row]
+    for step in itertools.product((-1, 0, 1), repeat=3):
+        step = np.array(step)
+        there = cells + step
+        met = np.where(shut, count >= np.where(step == -1, 3, np.where(step == 1, 2, 1)), (there >= 0) & (there < count))
+        some = np.flatnonzero(met.all(axis=1))
+        wanted = _keys(ligand.row[some], there[some] % count[some])
+        first, last = np.searchsorted(keys, wanted), np.searchsorted(keys, wanted, "right")
+        runs = last - first
+        if not runs.sum():
+            continue
+        b = np.repeat(some, runs)
+        a = order[np.repeat(first - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())]
+        gap, limits = receptor.at[a] - ligand.at[b], box[ligand.row[b]]
+        with np.errstate(invalid="ignore"):
+            gap = np.where(np.isfinite(limits), gap - limits * np.floor(gap / limits + 0.5), gap)
+        distance = np.sqrt(gap[:, 0] * gap[:, 0] + gap[:, 1] * gap[:, 1] + gap[:, 2] * gap[:, 2])
+        near = distance <= radius[ligand.row[b]]
+        found.append((ligand.row[b][near], a[near], b[near], distance[near]))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _searched(cutoff, minimum, pairs, names):
+    """Counts, smallest distances and pairs (receptor atom above ligand atom) of packed rows."""
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.num_rows
+            receptor, ligand = (_Side(batch.column(c)) for c in ("receptor", "ligand"))
+            box = np.stack([np.asarray(batch.column(c).fill_null(np.inf)) for c in BOX], axis=1)
+            bound = np.asarray(batch.column("bound").fill_null(-1.0)) if minimum else np.full(rows, -1.0)
+            reach = np.maximum(bound, -1.0 if cutoff is None else cutoff)
+            row, a, b, distance = _close_pairs(receptor, ligand, reach, box)
+            best = np.full(rows, np.inf)
+            np.minimum.at(best, row, distance)
+            best = np.minimum(best, np.where(bound < 0, np.inf, bound))
+            near = distance <= (-1.0 if cutoff is None else cutoff)
+            row, code = row[near], receptor.atom[a[near]] << 32 | ligand.atom[b[near]]
+            counts = np.bincount(row, minlength=rows)
+            order = np.argsort(row, kind="stable") if pairs else np.zeros(0, np.int64)
+            bounds = np.append(0, np.cumsum(counts if pairs else np.zeros(rows, np.int64))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(k) for k in names],
+                    pa.array(counts),
+                    pa.array(best, mask=np.isinf(best)),
+                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(code[order])),
+                ],
+                names=[*names, "contacts", "minimum", "pairs"],
+            )
+
+    return run
+
+
+def frame_channels(points, cutoff=None, minimum=False, pairs=False, keys=FRAME):
+    """Contacts within `cutoff`, the minimum distance and the contact pairs of each frame.
+
+    `points` may carry the frame's box lengths lx, ly, lz; a null box is open. A frame
+    whose points are all on one side has no contacts and a null minimum.
+    """
+    keys = list(keys)
+    packed = packed_frames(points, cutoff, minimum, keys)
+    types = T.StructType([points.schema[k] for k in keys])
+    for name, kind in (("contacts", T.LongType()), ("minimum", T.DoubleType()), ("pairs", T.ArrayType(T.LongType()))):
+        types.add(name, kind)
+    found = packed.select(*keys, "receptor", "ligand", "bound", *BOX).mapInArrow(
+        _searched(cutoff, minimum, pairs, keys), types
+    )
+    columns = [F.sum("contacts").alias("contacts"), F.min("minimum").alias("minimum")]
+    if pairs:
+        columns.append(F.flatten(F.collect_list("pairs")).alias("pairs"))
+    return found.groupBy(*keys).agg(*columns)
+
+
+def _boxed(points, periodic):
+    return points if periodic else points.drop(*BOX)
+
+
+def _fractions(found, keys):
+    """Add `fraction`: the share of the frame-0 pairs that a frame still has."""
+    series = [k for k in keys if k != "frame"]
+    initial = found.filter(F.col("frame") == 0).select(*series, F.col("pairs").alias("_initial"))
+    size = F.size("_initial")
+    share = F.size(F.array_intersect("pairs", "_initial")) / size
     return (
-        _counts(found, frames)
-        .join(_fractions(found, frames), FRAME)
-        .join(min_distance(points, periodic), FRAME)
+        _salted(found)
+        .join(_copies(initial), [*series, "_salt"], "left")
+        .withColumn(
+            "fraction",
+            F.when(size > 0, share).otherwise(
+                F.raise_error(F.lit("no frame-0 contacts: the fraction is undefined"))
+            ),
+        )
+        .drop("_salt", "_initial")
     )
 
 
-def _upper_bound(points, periodic):
-    """Distance of one close pair per frame, found in linear work.
+def contacts(points, cutoff, periodic=False):
+    """Pairs within the cutoff (inclusive) per frame; frames without any count 0."""
+    return frame_channels(_boxed(points, periodic), cutoff).select(*FRAME, "contacts")
 
-    From the first ligand atom to its nearest receptor atom, and from there to the
-    nearest ligand atom: a true pair distance, so the minimum cannot exceed it.
+
+def reference_fraction(points, cutoff, periodic=False):
+    """Share of the frame-0 contact pairs still in contact.
+
+    A trajectory without a frame-0 contact stops the job. The frames' pairs are written
+    out: they are compared with those of frame 0.
     """
-    place = F.struct(*AXES)
-    ligand = points.filter(F.col("side") == "ligand")
-    receptor = points.filter(F.col("side") == "receptor")
+    found = cut(frame_channels(_boxed(points, periodic), cutoff, pairs=True))
+    return _fractions(found, FRAME).select(*FRAME, "fraction")
 
-    def nearest(side, anchor, value):
-        gaps = [
-            _gap(F.col(x), F.col(f"_at.{x}"), F.col(f"l{x}") if periodic else None) for x in AXES
-        ]
-        found = side.join(anchor, FRAME).withColumn("_d2", _squared(gaps))
-        return found.groupBy(*FRAME).agg(value)
 
-    start = ligand.groupBy(*FRAME).agg(F.min_by(place, "atom").alias("_at"))
-    close = nearest(receptor, start, F.min_by(place, F.struct("_d2", "atom")).alias("_at"))
-    return nearest(ligand, close, F.min(F.sqrt("_d2")).alias("_bound"))
+def contact_channels(points, cutoff, periodic=False):
+    """P2-P4 together: contacts, fraction and minimum per frame, from one search."""
+    found = cut(frame_channels(_boxed(points, periodic), cutoff, minimum=True, pairs=True))
+    return _fractions(found, FRAME).select(*FRAME, "contacts", "fraction", "minimum")
 
 
 def min_distance(points, periodic=False):
-    """Exact smallest receptor-ligand distance per frame.
+    """Exact smallest receptor-ligand distance per frame that has both sides.
 
-    Cells are as wide as an upper bound of the answer, so one neighbour join holds
-    the closest pair; frames whose bound is already zero need no join.
+    Cells are as wide as an upper bound of the answer, so the neighbouring ones hold the
+    closest pair.
     """
-    bound = _upper_bound(points, periodic)
-    searched = points.join(bound.filter(F.col("_bound") > 0), FRAME)
-    found = near_pairs(searched, F.col("_bound"), periodic)
-    best = found.groupBy(*FRAME).agg(F.min("distance").alias("_best"))
-    return bound.join(best, FRAME, "left").select(
-        *FRAME, F.least("_bound", "_best").alias("minimum")
-    )
+    found = frame_channels(_boxed(points, periodic), minimum=True)
+    return found.filter(F.col("minimum").isNotNull()).select(*FRAME, "minimum")
 
 
 def region_distance(coords, regions):
@@ -286,10 +430,9 @@ def select_regions(static_atoms, rules=RegionRules()):
 
 def radius_of_gyration(coords, regions):
     """Unweighted radius of gyration per frame and region, one aggregate."""
-    rows = _blocked(coords)
-    static = _spread(regions.select("system_id", "atom", "region"), rows, "system_id")
+    static = _copies(regions.select("system_id", "atom", "region"))
     return (
-        rows.join(static, ["system_id", "_block", "atom"])
+        _salted(coords).join(static, ["system_id", "_salt", "atom"])
         .groupBy(*FRAME, "region")
         .agg(F.sqrt(F.var_pop("x") + F.var_pop("y") + F.var_pop("z")).alias("radius"))
     )
@@ -298,22 +441,25 @@ def radius_of_gyration(coords, regions):
 def periodic_audit(points, boxes, cutoff):
     """Raw against minimum-image contacts, fractions and minima per trajectory.
 
-    `boxes` holds orthorhombic lengths lx, ly, lz per frame.
+    `boxes` holds orthorhombic lengths lx, ly, lz per frame. Each point stands for its
+    open and its closed frame, so both are searched in one pass.
     """
-    boxed = points.join(boxes, FRAME)
-
-    def channels(rows, periodic, tag):
-        return contact_channels(rows, cutoff, periodic).select(
-            *FRAME,
-            F.col("contacts").alias(f"_c{tag}"),
-            F.col("fraction").alias(f"_f{tag}"),
-            F.col("minimum").alias(f"_m{tag}"),
-        )
-
-    both = channels(points, False, 0).join(channels(boxed, True, 1), FRAME)
-    return both.groupBy("trajectory_id").agg(
+    keys = [*FRAME, "closed"]
+    both = points.join(boxes, FRAME).withColumn("closed", F.explode(F.array(F.lit(False), F.lit(True))))
+    for c in BOX:
+        both = both.withColumn(c, F.when(F.col("closed"), F.col(c)))
+    found = cut(frame_channels(both, cutoff, minimum=True, pairs=True, keys=keys))
+    channels = _fractions(found, keys)
+
+    def of(name, closed):
+        return F.max(F.when(F.col("closed") == closed, F.col(name)))
+
+    frames = channels.groupBy(*FRAME).agg(
+        *[of(n, c).alias(f"_{n}{int(c)}") for n in ("contacts", "fraction", "minimum") for c in (False, True)]
+    )
+    return frames.groupBy("trajectory_id").agg(
         F.count(F.lit(1)).alias("frames"),
-        F.count_if(F.col("_c0") != F.col("_c1")).alias("count_different_frames"),
-        F.count_if(F.col("_f0") != F.col("_f1")).alias("fraction_different_frames"),
-        F.max(F.abs(F.col("_m0") - F.col("_m1"))).alias("max_minimum_difference"),
+        F.count_if(F.col("_contacts0") != F.col("_contacts1")).alias("count_different_frames"),
+        F.count_if(F.col("_fraction0") != F.col("_fraction1")).alias("fraction_different_frames"),
+        F.max(F.abs(F.col("_minimum0") - F.col("_minimum1"))).alias("max_minimum_difference"),
     )

@@ -389,4 +389,4 @@ def p8(spark, sf_dir):
     boxes = tb.cloud(spark, sf_dir).select("trajectory_id", "frame").distinct().select(
         "trajectory_id", "frame", *[F.lit(tb.BOX).alias(f"l{x}") for x in pt.AXES]
     )
-    return rounded(pt.periodic_audit(cut(labelled(spark, sf_dir)), boxes, tb.CUTOFF))
+    return rounded(pt.periodic_audit(labelled(spark, sf_dir), boxes, tb.CUTOFF))
