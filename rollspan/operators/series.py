@@ -4,16 +4,17 @@ Rows are shuffled by (trajectory, feature, block); each block carries the frames
 looks back to, so lags never gather a whole trajectory.
 """
 
-import functools
 import math
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rollspan.functions import blocks as blk
 from rollspan.functions.arrays import total
-from rollspan.functions.blocks import block_of, over_blocks, with_blocks
+from rollspan.functions.blocks import over_blocks, with_blocks
 from rollspan.functions.quantiles import exact_quantiles
 from rollspan.operators.inference import bootstrap_ci
+from rollspan.session import cut
 from rollspan.tables import feature_columns
 
 DECAY_LEVEL = math.exp(-1)
@@ -27,31 +28,102 @@ def long_frames(frames, features=None):
     return frames.unpivot(["trajectory_id", "frame"], features, "feature_id", "value")
 
 
-def _moments(rows):
-    """Mergeable moments per series; a constant has exactly zero deviation."""
-    constant = F.min("value") == F.max("value")
-    return rows.groupBy(*SERIES).agg(
+def _in_block():
+    return Window.partitionBy(*SERIES, "block").orderBy("frame")
+
+
+def block_summaries(frames, max_lag, features=None):
+    """One mergeable row per series and block, from one pass over the frames.
+
+    About `level`, the block's first value (the look-back included), u = value - level:
+    count, extremes, sums of u, u^2 and of frame terms about the block's first frame;
+    per lag k the pairs' count c, sum of products p and sum of both members w; the
+    increments about the block's first one. Pairs and increments belong to the block of
+    their later frame, which carries the frames it looks back to, so summaries of
+    neighbouring blocks add up.
+    """
+    rows = with_blocks(long_frames(frames, features), before=max(max_lag, 1)).repartition(*SERIES, "block")
+    block, u = _in_block(), F.col("value") - F.col("level")
+    upto = block.rowsBetween(Window.unboundedPreceding, 0)
+    known = rows.withColumn("level", F.first("value").over(upto)).withColumn("u", u)
+    step = F.col("value") - F.lag("value").over(block)
+    lagged = known.select(
+        *SERIES, "block", "frame", "own", "value", "level", "u", step.alias("d"),
+        *[F.lag("u", k).over(block).alias(f"l{k}") for k in range(1, max_lag + 1)],
+    ).filter("own")
+    origin = F.col("block") * blk.BLOCK
+    at = (F.col("frame") - origin).cast("double")
+    first = F.min_by("d", F.when(F.col("d").isNotNull(), F.col("frame"))).over(
+        Window.partitionBy(*SERIES, "block")
+    )
+    lagged = lagged.withColumn("at", at).withColumn("e", first).withColumn("g", F.col("d") - F.col("e"))
+    lags = range(1, max_lag + 1)
+    return lagged.groupBy(*SERIES, "block").agg(
+        F.first("level").alias("level"),
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("value").isNull() | F.isnan("value")).alias("missing"),
-        F.avg("value").alias("mean"),
-        F.when(constant, 0.0).otherwise(F.stddev_pop("value")).alias("std"),
-        constant.alias("constant"),
-        F.when(constant, 0.0).otherwise(F.regr_slope("value", F.col("frame").cast("double"))).alias(
-            "drift"
-        ),
+        F.min("value").alias("low"), F.max("value").alias("high"),
+        F.sum("u").alias("s"), F.sum(F.col("u") * F.col("u")).alias("q"),
+        F.sum("at").alias("t"), F.sum(F.col("at") * F.col("at")).alias("tt"),
+        F.sum(F.col("at") * F.col("u")).alias("tu"),
+        F.array(*[F.count(f"l{k}") for k in lags]).alias("c") if max_lag else F.array().cast("array<long>").alias("c"),
+        F.array(*[F.coalesce(F.sum(F.col("u") * F.col(f"l{k}")), F.lit(0.0)) for k in lags]).cast("array<double>").alias("p"),
+        F.array(*[F.coalesce(F.sum(F.col("u") + F.col(f"l{k}")), F.lit(0.0)) for k in lags]).cast("array<double>").alias("w"),
+        F.first("e").alias("e"), F.count("d").alias("k"),
+        F.min("d").alias("d_low"), F.max("d").alias("d_high"),
+        F.sum("g").alias("g"), F.sum(F.col("g") * F.col("g")).alias("gg"),
     )
 
 
-def _centred(rows, moments, before):
-    """Blocked rows with their series' moments, joined per block."""
-    spread = over_blocks(moments.select(*SERIES, "n", "mean", "constant"), F.col("n"))
-    return with_blocks(rows, before=before).join(spread, [*SERIES, "block"]).withColumn(
-        "c", F.when(F.col("constant"), 0.0).otherwise(F.col("value") - F.col("mean"))
-    )
-
+def merged_summaries(blocks, max_lag):
+    """The summaries of a series' blocks as one: moments, drift, lag sums, increments.
 
-def _in_block():
-    return Window.partitionBy(*SERIES, "block").orderBy("frame")
+    Levels are shifted to the series' mean before anything is added, so nothing large
+    cancels. A constant has exactly zero deviation, drift and lag sums.
+    """
+    blocks = cut(blocks)
+    start = F.col("block") * blk.BLOCK
+    centres = blocks.groupBy(*SERIES).agg(
+        F.sum("n").alias("_n"),
+        F.sum("k").alias("_k"),
+        (F.sum(F.col("s") + F.col("n") * F.col("level")) / F.sum("n")).alias("mean"),
+        (F.sum(F.col("t") + F.col("n") * start) / F.sum("n")).alias("_f"),
+        (F.sum(F.col("g") + F.col("k") * F.col("e")) / F.sum("k")).alias("step_mean"),
+        (F.min("low") == F.max("high")).alias("constant"),
+        (F.min("d_low") == F.max("d_high")).alias("_even"),
+    )
+    shift, late, rise = F.col("level") - F.col("mean"), start - F.col("_f"), F.col("e") - F.col("step_mean")
+    lag = lambda k: (
+        F.get("p", k) + shift * F.get("w", k) + F.get("c", k) * shift * shift
+    )
+    sums = blocks.join(centres, SERIES).groupBy(*SERIES).agg(
+        *[F.first(c).alias(c) for c in ("_n", "_k", "mean", "step_mean", "constant", "_even")],
+        F.sum("missing").alias("missing"),
+        F.sum(F.col("q") + 2 * shift * F.col("s") + F.col("n") * shift * shift).alias("_s0"),
+        F.sum(F.col("tu") + late * F.col("s") + shift * F.col("t") + F.col("n") * late * shift).alias("_xy"),
+        F.sum(F.col("tt") + 2 * late * F.col("t") + F.col("n") * late * late).alias("_xx"),
+        F.sum(F.col("gg") + 2 * rise * F.col("g") + F.col("k") * rise * rise).alias("_gg"),
+        F.array(*[F.sum(lag(F.lit(k))) for k in range(max_lag)]).cast("array<double>").alias("_lags"),
+    )
+    varies = lambda column: F.when(F.col("constant"), 0.0).otherwise(column)
+    return sums.select(
+        *SERIES,
+        F.col("_n").alias("n"),
+        "missing", "mean", "constant",
+        varies(F.sqrt(F.greatest(F.col("_s0"), F.lit(0.0)) / F.col("_n"))).alias("std"),
+        varies(F.col("_xy") / F.nullif(F.col("_xx"), F.lit(0.0))).alias("drift"),
+        F.when(
+            ~F.col("constant") & (F.col("_s0") > 0),
+            F.slice(
+                F.concat(F.array(F.lit(1.0)), F.transform("_lags", lambda v: v / F.col("_s0"))),
+                F.lit(1),
+                F.least(F.lit(max_lag + 1), F.col("_n")).cast("int"),
+            ),
+        ).alias("acf"),
+        "step_mean",
+        F.when(F.col("_even"), 0.0).otherwise(F.sqrt(F.col("_gg") / F.col("_k"))).alias("step_std"),
+        F.col("_k").alias("increments"),
+    )
 
 
 def acf(frames, max_lag, features=None):
@@ -59,29 +131,8 @@ def acf(frames, max_lag, features=None):
 
     Lags run to min(max_lag, T - 1); a constant series has a null curve.
     """
-    rows = long_frames(frames, features)
-    return _curves(rows, _moments(rows), max_lag)
-
-
-def _curves(rows, moments, max_lag):
-    centred = _centred(rows, moments, max_lag)
-    lagged = centred.select(
-        *SERIES, "n", "own", "c",
-        *[F.lag("c", k).over(_in_block()).alias(f"_l{k}") for k in range(1, max_lag + 1)],
-    ).filter("own")
-    sums = lagged.groupBy(*SERIES).agg(
-        F.max("n").alias("n"),
-        F.sum(F.col("c") * F.col("c")).alias("_s0"),
-        *[
-            F.coalesce(F.sum(F.col("c") * F.col(f"_l{k}")), F.lit(0.0)).alias(f"_s{k}")
-            for k in range(1, max_lag + 1)
-        ],
-    )
-    curve = F.array(*[F.col(f"_s{k}") / F.col("_s0") for k in range(max_lag + 1)])
-    length = F.least(F.lit(max_lag + 1), F.col("n")).cast("int")
-    return sums.select(
-        *SERIES, "n", F.when(F.col("_s0") > 0, F.slice(curve, F.lit(1), length)).alias("acf")
-    )
+    merged = merged_summaries(block_summaries(frames, max_lag, features), max_lag)
+    return merged.select(*SERIES, "n", "acf")
 
 
 def _first_lag(curve, test):
@@ -116,20 +167,16 @@ def correlation_times(curves, max_lag):
 def feature_qc(frames, cutoffs, max_lag, event_sigma):
     """Q1-Q6: distribution, dependence, drift, half shift and jumps per series.
 
-    First pass: mergeable moments. Second pass, by blocks: lag products, increments
-    and halves. `cutoffs` gives the near-constant deviation per feature.
+    One pass makes block summaries, which merge to moments, lags and increments; with
+    those known a second pass splits the halves and counts the jumps. Quantiles have
+    passes of their own. `cutoffs` gives the near-constant deviation per feature.
     """
     features = list(cutoffs)
-    rows = long_frames(frames, features)
-    moments = _moments(rows)
-    curves = decay(_curves(rows, moments, max_lag)).drop("n")
-    quantiles = exact_quantiles(rows, SERIES, "value", QUANTILES, "quantiles")
-    halves = _half_means(rows, moments)
-    jumps = _jumps(rows, event_sigma)
+    merged = cut(merged_summaries(block_summaries(frames, max_lag, features), max_lag))
+    quantiles = exact_quantiles(long_frames(frames, features), SERIES, "value", QUANTILES, "quantiles")
+    events = _halves_and_jumps(long_frames(frames, features), merged, event_sigma)
     lookup = F.create_map(*[F.lit(x) for k, v in cutoffs.items() for x in (k, float(v))])
-    joined = functools.reduce(
-        lambda a, b: a.join(b, SERIES, "left"), [quantiles, curves, halves, jumps], moments
-    )
+    joined = decay(merged).join(quantiles, SERIES, "left").join(events, SERIES, "left")
     return joined.select(
         *SERIES, "n", "missing", "quantiles", "mean",
         (F.col("std") * F.col("std")).alias("variance"),
@@ -139,43 +186,28 @@ def feature_qc(frames, cutoffs, max_lag, event_sigma):
         F.when(~F.col("constant"), (F.col("later") - F.col("earlier")) / F.col("std")).alias(
             "half_shift"
         ),
-        "jumps", "increments",
-    )
-
-
-def _half_means(rows, moments):
-    """Q5: means before and from frame T div 2."""
-    spread = over_blocks(moments.select(*SERIES, "n"), F.col("n"))
-    late = F.col("frame") >= F.floor(F.col("n") / 2)
-    return (
-        rows.withColumn("block", block_of(F.col("frame")))
-        .join(spread, [*SERIES, "block"])
-        .groupBy(*SERIES)
-        .agg(
-            F.avg(F.when(~late, F.col("value"))).alias("earlier"),
-            F.avg(F.when(late, F.col("value"))).alias("later"),
-        )
+        F.when(F.col("increments") > 0, F.col("jumps")).alias("jumps"),
+        F.when(F.col("increments") > 0, F.col("increments")).alias("increments"),
     )
 
 
-def _jumps(rows, event_sigma):
-    """Q6: increments further than k population deviations from their mean."""
+def _halves_and_jumps(rows, merged, event_sigma):
+    """Q5 and Q6: means before and from frame T div 2; increments further than
+    `event_sigma` population deviations from their mean."""
+    known = over_blocks(merged.select(*SERIES, "n", "step_mean", "step_std"), F.col("n"))
     steps = (
         with_blocks(rows, before=1)
+        .repartition(*SERIES, "block")
         .withColumn("d", F.col("value") - F.lag("value").over(_in_block()))
-        .filter(F.col("own") & F.col("d").isNotNull())
+        .filter("own")
+        .join(known, [*SERIES, "block"])
     )
-    spread = steps.groupBy(*SERIES).agg(
-        F.avg("d").alias("_m"),
-        F.when(F.min("d") == F.max("d"), 0.0).otherwise(F.stddev_pop("d")).alias("_s"),
-        F.count(F.lit(1)).alias("_k"),
-    )
-    known = over_blocks(spread, F.col("_k") + 1)
-    far = (F.col("_s") > 0) & (F.abs(F.col("d") - F.col("_m")) > event_sigma * F.col("_s"))
-    return (
-        steps.join(known, [*SERIES, "block"])
-        .groupBy(*SERIES)
-        .agg(F.count_if(far).alias("jumps"), F.count(F.lit(1)).alias("increments"))
+    late = F.col("frame") >= F.floor(F.col("n") / 2)
+    far = (F.col("step_std") > 0) & (F.abs(F.col("d") - F.col("step_mean")) > event_sigma * F.col("step_std"))
+    return steps.groupBy(*SERIES).agg(
+        F.avg(F.when(~late, F.col("value"))).alias("earlier"),
+        F.avg(F.when(late, F.col("value"))).alias("later"),
+        F.count_if(far).alias("jumps"),
     )
 
 
