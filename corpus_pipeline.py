@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept.
 `run` writes each stage's rows to the shared folder and reads them back for the next.
-A document is the row: repeated doc_ids with different texts are judged one by one.
+A document is the row: each is judged by its own text, whatever its doc_id, and of equal
+rows one stays. Null and empty texts have no shingles, so near-dedup keeps them.
 """
 
 import public_tokenizers
@@ -20,16 +21,13 @@ def quality_classifier(spark, docs, sf_dir):
     """Keep documents that the discriminant predicts to be of quality 1."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     measured = quality.document_statistics(docs)
-    scored = quality.score(measured, quality.fit(measured, labels, ~quality.held_out()))
-    rejected = cut(scored.filter("score < 0.3").select("doc_id").distinct())
-    return _without(docs, rejected)
+    model = quality.fit(measured, labels, ~quality.held_out())
+    return quality.keep(docs.select(*COLUMNS), model, 0.3)
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Keep the smallest doc_id of each group of near-duplicates (five-word shingles)."""
-    found = near_dups.near_duplicates(docs, width=5, percent=80)
-    dropped = cut(found.filter("not kept").select("doc_id").distinct())
-    return _without(docs, dropped)
+    """Keep one row of each group of near-duplicates (five-word shingles), smallest doc_id first."""
+    return near_dups.without_duplicates(docs.select(*COLUMNS), width=5, percent=80)
 
 
 def benchmark_decontamination(spark, docs, sf_dir):
@@ -52,12 +50,6 @@ def concatenate_and_cut(spark, docs, sf_dir):
     return packing.pack(docs, path, end_id=1, length=2048)
 
 
-def _without(docs, ids):
-    """The documents whose doc_id is not in a written table of ids."""
-    few = ids.count() <= templates.BROADCAST_IDS  # eight bytes each
-    return docs.select(*COLUMNS).join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
-
-
 STAGES = [
     ("quality classifier", quality_classifier),
     ("MinHash near-dedup", near_duplicates),

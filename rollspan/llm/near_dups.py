@@ -2,7 +2,7 @@
 
 1. A task turns each whole text into its set of word shingles (64-bit hashes), a
    fingerprint of the set and 128 minima of universal hashes (a x + b mod 2^64, upper
-   half). Equal sets become one node, named by their smallest doc_id, at once.
+   half). Equal sets become one node at once, whatever their doc_ids.
 2. The minima form 32 bands of 4. At similarity 0.8 a pair of texts shares no band with
    probability (1 - 0.8^4)^32 < 5e-8.
 3. In each bucket every node proposes itself to the bucket's smallest node; a node's
@@ -18,9 +18,10 @@ fewer agree with a probability below 1e-7.
 
 Text: A-Z is lower-cased; words are runs other than space and \\t-\\r. A text with fewer
 words than the shingle width is one shingle; null and empty texts have no shingles and
-link with nothing. Rows are judged by their own text; rows that share a doc_id are one
-node if both represent a set. A null doc_id never represents others. Extra columns are
-ignored; an empty table gives no rows.
+link with nothing. Rows are judged by their own text: a doc_id with several texts has a
+node for each. A component is named by the smallest doc_id in it; null ids take part and
+name nothing, so a component of null ids has a null name and its rows are kept. Extra
+columns are ignored; an empty table gives no rows.
 """
 
 import numpy as np
@@ -28,7 +29,9 @@ import pyarrow as pa
 
 from pyspark.sql import functions as F
 
+from rollspan.llm import worker
 from rollspan.llm.components import star_components
+from rollspan.llm.keys import content_key
 from rollspan.llm.tokens import slices
 from rollspan.session import cut
 
@@ -42,7 +45,7 @@ WORDS_KEPT = 300_000
 _WORDS = {}
 
 FEATURES = (
-    "doc_id long, n_shingles long, fp1 long, fp2 long, signature binary, bands array<long>"
+    "doc_id long, k1 long, k2 long, n_shingles long, fp1 long, fp2 long, signature binary, bands array<long>"
 )
 
 
@@ -77,7 +80,7 @@ def word_hashes(texts):
 def _forget():
     """Free a task's words: later stages use the same worker for other work."""
     _WORDS.clear()
-    pa.default_memory_pool().release_unused()
+    worker.release()
 
 
 def shingle_set(words, width):
@@ -113,6 +116,7 @@ def _band_keys(signature):
 
 def _features(width):
     def run(batches):
+        worker.enter("near_dups")
         a, b = _coefficients()
         for batch in batches:
             for lo, hi in slices(batch):
@@ -128,7 +132,7 @@ def _features(width):
                     rows["bands"].append(None if sig is None else _band_keys(sig))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"),
+                        *[part.column(c) for c in ("doc_id", "k1", "k2")],
                         pa.array(rows["n"], pa.int64()),
                         pa.array(rows["fp1"], pa.int64()),
                         pa.array(rows["fp2"], pa.int64()),
@@ -144,7 +148,9 @@ def _features(width):
 
 def signatures(docs, width=5):
     """Written table of set size, set fingerprint, minima and band keys per row."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.select(
+        F.col("doc_id").cast("long"), *content_key(F.col("text")), F.col("text").cast("string")
+    )
     return cut(rows.mapInArrow(_features(width), FEATURES))
 
 
@@ -173,7 +179,12 @@ def _check_signatures(pairs, nodes):
 
 def _sets(width):
     def run(batches):
+        worker.enter("near_dups")
+        seen = set()
         for batch in batches:
+            ids = batch.column("id").to_pylist()
+            new = [not (i in seen or seen.add(i)) for i in ids]
+            batch = batch.filter(pa.array(new, pa.bool_()))
             for lo, hi in slices(batch):
                 part = batch.slice(lo, hi - lo)
                 sets = [
@@ -181,7 +192,7 @@ def _sets(width):
                     for words in word_hashes(part.column("text").to_pylist())
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sets, pa.binary())], names=["id", "set"]
+                    [part.column("id"), pa.array(sets, pa.binary())], names=["id", "set"]
                 )
         _forget()
 
@@ -203,19 +214,29 @@ def _links(percent):
     return run
 
 
-def _shingle_sets(ids, docs, width):
-    """Written table of the full shingle sets of the texts with these doc_ids."""
-    few = ids.count() <= BROADCAST_IDS  # eight bytes each
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(
-        F.broadcast(ids) if few else ids, "doc_id", "left_semi"
-    )
-    return cut(texts.mapInArrow(_sets(width), "id long, set binary"))
-
+def _shingle_sets(ids, nodes, docs, width):
+    """Written table of the full shingle sets of these nodes, from the rows that stand for them.
 
-def _confirm(pairs, docs, width, percent):
+    A task takes a repeated row once; repeats in several tasks are taken out if there are any.
+    """
+    wanted = nodes.select("id", "row.doc_id", "row.k1", "row.k2").join(ids, "id")
+    few = ids.count() <= BROADCAST_IDS  # 32 bytes each
+    wanted = (F.broadcast(wanted) if few else wanted).alias("w")
+    rows = docs.select(
+        F.col("doc_id").cast("long"), *content_key(F.col("text")), F.col("text").cast("string")
+    ).alias("d")
+    same = [F.col("d.k1") == F.col("w.k1"), F.col("d.k2") == F.col("w.k2"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))]
+    met = rows.join(wanted, same[0] & same[1] & same[2]).select("w.id", "d.text")
+    sets = cut(met.mapInArrow(_sets(width), "id long, set binary"))
+    if sets.count() > ids.count():
+        sets = cut(sets.dropDuplicates(["id"]))
+    return sets
+
+
+def _confirm(pairs, nodes, docs, width, percent):
     """Links among written pairs, by the full shingle sets of the texts they name."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = _shingle_sets(ids, docs, width)
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    sets = _shingle_sets(ids, nodes, docs, width)
     a = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     b = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
@@ -354,30 +375,32 @@ def _between_components(members, labels, nodes, docs, width, percent):
     some = cut(
         signed.repartition("unit").sortWithinPartitions("unit").mapInArrow(_may_link, MEMBER)
     )
-    sets = _shingle_sets(cut(some.select(F.col("id").alias("doc_id")).distinct()), docs, width)
+    sets = _shingle_sets(cut(some.select("id").distinct()), nodes, docs, width)
     whole = some.join(sets, "id").select("unit", "id", "component", "is_x", "set")
     links = whole.repartition("unit").sortWithinPartitions("unit").mapInArrow(_exact(percent), PAIR)
     return cut(links.distinct())
 
 
-def near_duplicates(docs, width=5, percent=80):
-    """doc_id, n_shingles, component_id (smallest doc_id in reach) and kept per row.
+def grouped(docs, width=5, percent=80):
+    """doc_id, content key, n_shingles, group and component_id of every row.
 
-    Size filter, signature check and bands are made for 80 percent: a smaller one is refused.
+    `group` numbers the components, `component_id` is the smallest doc_id in reach; both
+    are null for rows without shingles. Size filter, signature check and bands are made
+    for 80 percent: a smaller one is refused.
     """
     if percent < 80:
         raise ValueError("links below 80 percent would be lost: size filter, signatures and bands are made for 80")
     features = signatures(docs, width)
-    classes = cut(
+    # Equal sets have equal signatures, so any row's will do; the number is fixed once written.
+    nodes = cut(
         features.filter("n_shingles > 0")
         .groupBy("fp1", "fp2", "n_shingles")
-        .agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    )
-    nodes = cut(
-        features.select(F.col("doc_id").alias("id"), "fp1", "fp2", "n_shingles", "signature", "bands")
-        .join(classes, ["fp1", "fp2", "n_shingles", "id"])
-        .dropDuplicates(["id"])
-        .select("id", "n_shingles", "signature", "bands")
+        .agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("row"),
+            F.first("signature").alias("signature"),
+            F.first("bands").alias("bands"),
+        )
+        .withColumn("id", F.monotonically_increasing_id())
     )
     rows = nodes.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
     shared = cut(
@@ -393,25 +416,58 @@ def near_duplicates(docs, width=5, percent=80):
         .select((-F.col("best.a")).alias("a"), "b")
     )
     first = cut(best)
-    links = _confirm(cut(_check_signatures(first, nodes)), docs, width, percent)
+    links = _confirm(cut(_check_signatures(first, nodes)), nodes, docs, width, percent)
     labels = star_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     extra = _between_components(members, labels, nodes, docs, width, percent)
     edges = labels.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(
         extra.select(F.col("a").alias("u"), F.col("b").alias("v"))
     )
     labels = star_components(edges)
-    named = cut(
-        classes.join(labels, "id", "left")
-        .filter("copies > 1 or component is not null")
-        .select("fp1", "fp2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    placed = nodes.join(labels, "id", "left").select(
+        "fp1", "fp2", "n_shingles", F.coalesce("component", "id").alias("group"), "row.doc_id"
     )
-    found = features.select("doc_id", "n_shingles", "fp1", "fp2").join(
+    least = placed.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    named = cut(placed.drop("doc_id").join(least, "group"))
+    return features.select("doc_id", "k1", "k2", "n_shingles", "fp1", "fp2").join(
         named, ["fp1", "fp2", "n_shingles"], "left"
-    )
-    component = F.coalesce("component_id", "doc_id")
+    ).drop("fp1", "fp2")
+
+
+def near_duplicates(docs, width=5, percent=80):
+    """doc_id, n_shingles, component_id (smallest doc_id in reach) and kept per row."""
+    found = grouped(docs, width, percent)
+    component = F.coalesce("component_id", F.when(F.col("group").isNull(), F.col("doc_id")))
     return found.select(
         "doc_id",
         "n_shingles",
         component.alias("component_id"),
-        (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"),
+        component.eqNullSafe(F.col("doc_id")).alias("kept"),
+    )
+
+
+def without_duplicates(docs, width=5, percent=80):
+    """The documents less all but one row of each component, all columns as they were.
+
+    The row with the smallest doc_id stays (null ids last), of several such the one with
+    the smallest content key, of equal rows one. Rows without shingles all stay.
+    """
+    found = cut(grouped(docs, width, percent).filter("group is not null").drop("n_shingles"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    several = found.groupBy("group").agg(F.count("*").alias("n"), F.min(row).alias("stays")).filter("n > 1")
+    verdicts = cut(
+        found.groupBy("group", "doc_id", "k1", "k2").agg(F.count("*").alias("copies"))
+        .join(several, "group")
+        .withColumn("goes", row != F.col("stays"))
+        .filter("goes or copies > 1")
+        .select("doc_id", "k1", "k2", "goes")
     )
+    columns = [F.col(f"r.`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct("*").alias("r"), F.col("doc_id").cast("long").alias("doc_id"), *content_key(F.col("text")))
+    rows = rows.select("r", F.struct(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "k1", "k2").alias("_key"))
+    keys = verdicts.select(F.struct(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "k1", "k2").alias("_key"), "goes")
+    few = keys.count() <= BROADCAST_IDS
+    keys = F.broadcast(keys) if few else keys
+    judged = rows.join(keys, "_key", "left")
+    once = judged.filter("goes is null").select("r")
+    repeated = judged.filter("not goes").groupBy("_key").agg(F.first("r").alias("r")).select("r")
+    return once.unionByName(repeated).select(*columns)

@@ -16,6 +16,7 @@ import pyarrow as pa
 
 from pyspark.sql import functions as F
 
+from rollspan.llm import worker
 from rollspan.llm.tokens import SLICE, encoder, slices, with_ends
 from rollspan.session import scratch
 
@@ -55,7 +56,7 @@ def _encode(tokenizer, end_id):
                     ],
                     names=["doc_id", "part", "start", "n_tokens", "width", "ids"],
                 )
-        pa.default_memory_pool().release_unused()
+        worker.release()
 
     return encode
 

@@ -19,6 +19,8 @@ import string
 
 import pyarrow as pa
 
+from rollspan.llm import worker
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -244,6 +246,8 @@ def pseudonymise(docs, key, text="text", kinds="pii_kinds"):
     names, place = [*rows.columns, kinds], rows.columns.index(text)
 
     def run(batches):
+        worker.enter("pseudonyms")
+        worker.keep("pseudonyms", replacer.cache_clear)
         replace = replacer(key)
         for batch in batches:
             done = [replace(t) for t in batch.column(place).to_pylist()]

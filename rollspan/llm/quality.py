@@ -23,6 +23,7 @@ import pyarrow as pa
 
 from pyspark.sql import functions as F
 
+from rollspan.llm import worker
 from rollspan.llm.tokens import slices
 from rollspan.session import cut
 
@@ -81,6 +82,7 @@ def statistics(text):
 
 
 def _measure(batches):
+    worker.enter("quality")
     for batch in batches:
         for lo, hi in slices(batch):
             part = batch.slice(lo, hi - lo)
@@ -194,6 +196,23 @@ def score(measured, model):
     return measured.mapInArrow(run, "doc_id long, score double")
 
 
+def keep(docs, model, least):
+    """The rows whose own text scores `least` or more, all columns as they were."""
+    names, place = docs.columns, docs.columns.index("text")
+
+    def run(batches):
+        worker.enter("quality")
+        for batch in batches:
+            for lo, hi in slices(batch):
+                part = batch.slice(lo, hi - lo)
+                x = np.array([statistics(t) for t in part.column(place).to_pylist()])
+                odds = np.clip(log_odds(model, x), -700, 700)
+                yield part.filter(pa.array(1 / (1 + np.exp(-odds)) >= least))
+
+    rows = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in names])
+    return rows.mapInArrow(run, rows.schema)
+
+
 def held_out():
     """Rows kept from training: crc32 of the doc_id's text divisible by 5 (null is '')."""
     text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollspan.llm import trigram_query as tq
+from rollspan.llm.keys import content_key
 from rollspan.session import cut
 
 BLOCK_TEXTS = 4096  # less than 2^14, so a delta fits two bytes
@@ -83,12 +84,6 @@ MORE = (
 RULES = BASE + MORE
 
 
-def _keyed(docs, text):
-    """Columns k1 and k2: the content key of the text."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(41), F.length(t), t).alias("k2")
-
-
 def distinct_trigrams(data, bounds, stamp):
     """(text number, code) of every distinct trigram of each text; data are folded bytes.
 
@@ -203,7 +198,7 @@ def _postings(batches):
 
 def build_index(docs, text="text"):
     """The written postings of all texts: block, trigram, docs; sorted by trigram."""
-    rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), *_keyed(docs, text))
+    rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), *content_key(F.col(text)))
     postings = rows.filter("t <> ''").mapInArrow(_postings, POSTINGS)
     return cut(postings.repartitionByRange("trigram", "block").sortWithinPartitions("trigram", "block"))
 
@@ -300,7 +295,7 @@ def scan(docs, index=None, rules=RULES, text="text"):
     rules = tuple(rules)
     free = [(i, r) for i, r in enumerate(rules) if r.query() == tq.ANY]
     narrowed = candidates(index, rules)
-    texts = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), *_keyed(docs, text))
+    texts = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), *content_key(F.col(text)))
     met = texts.join(_few(narrowed), ["k1", "k2"]).select("k1", "k2", "t", "rules")
     verified = met.mapInArrow(_verify(rules), f"k1 long, k2 long, found {FOUND}")
     found = cut(verified.groupBy("k1", "k2").agg(F.first("found").alias("found")))
@@ -308,7 +303,7 @@ def scan(docs, index=None, rules=RULES, text="text"):
     passed = [c for c in docs.columns if c not in (text, "spans")]
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in passed]).alias("row"),
-        *_keyed(docs, text),
+        *content_key(F.col(text)),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"),
     )
     names = ["row", "k1", "k2", "free"]

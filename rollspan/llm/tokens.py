@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from rollspan.llm import worker
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
 
 SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
@@ -34,6 +36,8 @@ _ENCODERS = {}
 
 def encoder(path):
     """The worker's encoder of a tokenizer file; it lives as long as the worker."""
+    worker.enter("tokens")
+    worker.keep("tokens", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[path] = UnitEncoder(path)
