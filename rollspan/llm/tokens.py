@@ -41,6 +41,7 @@ def encoder(path):
     if path not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[path] = UnitEncoder(path)
+        worker.release()
     return _ENCODERS[path]
 
 
@@ -102,11 +103,10 @@ class UnitEncoder:
     def _gather(self, units, bounds):
         numbered = units.dictionary_encode()
         codes = self._codes(numbered.dictionary.to_pylist())
-        width = self.dtype.itemsize
+        number = np.asarray(numbered.indices)
         held = np.frombuffer(b"".join(codes), self.dtype)
-        length = np.fromiter(map(len, codes), np.int64, len(codes)) // width
+        length = np.fromiter(map(len, codes), np.int64, len(codes)) // self.dtype.itemsize
         start = np.cumsum(length) - length
-        number = np.asarray(numbered.indices)
         before = np.concatenate([[0], np.cumsum(length[number])])
         ids = np.empty(before[-1], self.dtype)
         for lo in range(0, len(number), GATHER):
@@ -126,20 +126,19 @@ class UnitEncoder:
             cache = self.cache = {}
         codes = list(map(cache.get, units))
         absent = [i for i, code in enumerate(codes) if code is None]
-        new = []
-        for i in absent:
-            code = codes[i] = older.get(units[i])
-            if code is None:
-                new.append(i)
-            else:
-                cache[units[i]] = code
+        if not absent:
+            return codes
+        missing = [units[i] for i in absent]
+        if older:
+            cache.update((u, code) for u in missing if (code := older.get(u)) is not None)
+        new = [u for u in missing if u not in cache]
         if new:
-            self._add({units[i] for i in new})
-            for i in new:
-                codes[i] = cache[units[i]]
-            for i in new:
-                if len(units[i]) > UNIT_LIMIT or "\n" in units[i]:
-                    cache.pop(units[i], None)
+            self._add(new)
+        for i, unit in zip(absent, missing):
+            codes[i] = cache[unit]
+        for unit in new:
+            if len(unit) > UNIT_LIMIT or "\n" in unit:
+                del cache[unit]
         return codes
 
     def _parts(self, unit):
@@ -151,7 +150,7 @@ class UnitEncoder:
             or parts[0] == "\n"
             or "\n\n" in body
             or sum(map(len, parts)) != len(body)
-            or not all(p.isalpha() or p.isascii() for p in parts)
+            or not (body.isascii() or all([p.isalpha() or p.isascii() for p in parts]))
         ):
             return [unit]
         first = parts[0] if body is unit else "\0" + parts[0]
