@@ -1,5 +1,8 @@
 """Hash ranks, identity keys and table fingerprints."""
 
+import hashlib
+
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from rollspan.functions.blocks import ordered_index
@@ -37,22 +40,44 @@ def row_digest(df, keys=None):
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
-def fingerprint_frame(df, keys=None):
-    """One row: content identity that ignores row order and counts duplicates.
-
-    The row digests are added up limb by limb, so the state is eight numbers however
-    many rows there are, and partial sums merge before the shuffle.
-    """
-    rows = df.select(row_digest(df, keys).alias("h"))
-    limbs = [
+def _limbs(digest):
+    """The eight sums of a fingerprint, as text."""
+    return [
         F.coalesce(
             F.sum(
-                F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")
+                F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")
             ),
             F.lit(0).cast("decimal(30,0)"),
         ).cast("string")
         for i in range(8)
     ]
+
+
+def observed_fingerprint(df, keys=None):
+    """(df with an observation, function giving rows and fingerprint once df was written).
+
+    The sums are taken while the rows pass by, so the table is not read again.
+    """
+    seen = Observation()
+    sums = [s.alias(f"l{i}") for i, s in enumerate(_limbs(row_digest(df, keys)))]
+    watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), *sums)
+
+    def result():
+        found = seen.get
+        text = "|".join([str(found["rows"]), *[found[f"l{i}"] for i in range(8)]])
+        return found["rows"], hashlib.sha256(text.encode()).hexdigest()
+
+    return watched, result
+
+
+def fingerprint_frame(df, keys=None):
+    """One row: content identity that ignores row order and counts duplicates.
+
+    The row digests are added up limb by limb, so the state is eight numbers however
+    many rows there are, and partial sums merge before the shuffle.
+    """
+    rows = df.select(row_digest(df, keys).alias("h"))
+    limbs = _limbs(F.col("h"))
     return rows.agg(
         F.count(F.lit(1)).alias("rows"),
         F.sha2(

@@ -293,48 +293,131 @@ def s12(spark, sf_dir):
         .otherwise("confirmation")
     )
     roles = registry.select("system_id", role.alias("role")).distinct()
-    official = registry.select(F.col("system_id").alias("id"), "split").distinct()
     allowed = ss.read_for_purpose(
-        tb.event_frames(spark, sf_dir), registry, roles, "tuning", official
+        tb.event_frames(spark, sf_dir), registry, roles, "tuning",
+        registry.select(F.col("system_id").alias("id"), "split").distinct(),
     )
     return allowed.groupBy("trajectory_id").agg(
         F.count(F.lit(1)).alias("frames"), rnd(F.sum("value"), 4).alias("value_sum")
     )
 
 
+@query(
+    "s12_pruned_scan",
+    f"""WITH {EVENTS} SELECT trajectory_id, count(*) AS frames, {r("sum(value)", 4)} AS value_sum
+FROM ev WHERE user_id // 9 % 5 <= 3 GROUP BY ALL""",
+)
+def s12_pruned(spark, sf_dir):
+    """Tuning series from the scoped store: roles follow the official splits."""
+    registry = tb.event_trajectories(spark, sf_dir)
+    role = F.when(F.col("split") == "test", "confirmation").otherwise(F.col("split"))
+    official = registry.select(F.col("system_id").alias("id"), "split").distinct()
+    faults = ss.record_faults(registry, registry, "events", None, official)
+    allowed = ss.read_scoped(
+        spark, tb.scoped_store(spark, sf_dir), ["value", "k"], registry,
+        registry.select("system_id", role.alias("role")).distinct(), "tuning", faults,
+    )
+    return allowed.groupBy("trajectory_id").agg(
+        F.count(F.lit(1)).alias("frames"), rnd(F.sum("value"), 4).alias("value_sum")
+    )
+
+
+@query(
+    "s12_record_faults",
+    f"""WITH {EVENTS} SELECT 'u' || user_id AS trajectory_id, CASE user_id % 7
+  WHEN 0 THEN 'unknown record' WHEN 1 THEN 'dataset differs' WHEN 2 THEN 'source differs'
+  WHEN 3 THEN 'official split differs' ELSE 'altered record' END AS reason
+FROM (SELECT DISTINCT user_id FROM ev) WHERE user_id % 7 < 5""",
+)
+def s12_faults(spark, sf_dir):
+    """Records with one fault each, by the user's number, against the frozen registry."""
+    registry = tb.event_trajectories(spark, sf_dir).withColumn("source_checksum", F.lit("bytes"))
+    kind = user() % 7
+    given = (
+        registry.withColumn("dataset_id", F.when(kind == 1, "others").otherwise(F.col("dataset_id")))
+        .withColumn("source_checksum", F.when(kind == 2, "changed").otherwise(F.col("source_checksum")))
+        .withColumn("split", F.when(kind == 3, "elsewhere").otherwise(F.col("split")))
+        .withColumn("frame_count", F.when(kind == 4, F.col("frame_count") + 1).otherwise(F.col("frame_count")))
+    )
+    official = registry.select(F.col("system_id").alias("id"), "split").distinct()
+    return ss.record_faults(given, registry.filter(kind != 0), "events", "bytes", official)
+
+
 METRICS = f"{fq.LOSSES}, {fq.HIER}"
 
 
 @query(
     "s13_bundle_round_trip",
-    f"""{METRICS} SELECT 'metrics' AS "table", {CELL}, count(*) AS rows FROM metrics GROUP BY ALL
-UNION ALL SELECT 'predictions', {CELL}, count(*) FROM pred GROUP BY ALL
-UNION ALL SELECT 'comparisons', {CELL}, count(*) FROM ag GROUP BY ALL
-UNION ALL SELECT 'runtime', {CELL}, count(DISTINCT model) FROM pred GROUP BY ALL""",
+    f"""{METRICS}, t AS (
+  SELECT 'metrics' AS "table", {CELL}, value AS v FROM metrics
+  UNION ALL SELECT 'predictions', {CELL}, point FROM pred
+  UNION ALL SELECT 'comparisons', a.context_frames, a.horizon_frames, a.mae - b.mae FROM ag a JOIN ag b
+    USING ({CELL}, feature_id, step) WHERE b.model = 'persistence'
+  UNION ALL SELECT 'runtime', {CELL}, 0 FROM (SELECT DISTINCT model, {CELL} FROM pred))
+SELECT "table", {CELL}, count(*) AS rows, {r("avg(v)", 5)} AS total FROM t GROUP BY ALL""",
 )
 def s13(spark, sf_dir):
-    predictions = fq.rows(spark, sf_dir)
-    losses = ls.losses(predictions, fq.fitted_scaler(spark, sf_dir))
-    tables = {
-        "predictions": predictions,
-        "metrics": ls.hierarchy(losses, fq.POLICY),
-        "comparisons": fq.inf.compare(ls.group_metric(losses), "persistence", fq.POLICY),
-        "runtime": predictions.select("model", "context_frames", "horizon_frames")
-        .distinct()
-        .withColumn("seconds", F.lit(None).cast("double")),
+    """Row counts and mean values of the tables read back."""
+    total = {
+        "metrics": F.avg("value"), "predictions": F.avg("point"), "comparisons": F.avg("mae_difference"),
+        "runtime": F.coalesce(F.avg("seconds"), F.lit(0.0)),
     }
     path = scratch(spark)
-    bundle.write_bundle(tables, path)
+    bundle.write_bundle(bundle_tables(spark, sf_dir), path)
     stored = bundle.read_bundle(spark, path)
     counted = [
         t.groupBy("context_frames", "horizon_frames")
-        .agg(F.count(F.lit(1)).alias("rows"))
+        .agg(F.count(F.lit(1)).alias("rows"), rnd(total[name], 5).alias("total"))
         .withColumn("table", F.lit(name))
         for name, t in stored.items()
     ]
     return ct.merge(*counted)
 
 
+def bundle_tables(spark, sf_dir):
+    """The four tables of a bundle from the event models."""
+    predictions = fq.rows(spark, sf_dir)
+    losses = cut(ls.losses(predictions, fq.fitted_scaler(spark, sf_dir)))
+    return {
+        "predictions": predictions,
+        "metrics": ls.hierarchy(losses, fq.POLICY),
+        "comparisons": fq.inf.compare(ls.group_metric(losses), "persistence", fq.POLICY),
+        "runtime": predictions.select("model", "context_frames", "horizon_frames")
+        .distinct()
+        .withColumn("seconds", F.lit(None).cast("double")),
+    }
+
+
+@query(
+    "s13_altered_bundle",
+    f"""{METRICS}, n AS (
+  SELECT 'predictions' AS "table", (SELECT count(*) FROM pred) AS rows, true AS intact
+  UNION ALL SELECT 'metrics', (SELECT count(*) FROM metrics), false
+  UNION ALL SELECT 'comparisons', (SELECT count(*) FROM ag), true
+  UNION ALL SELECT 'runtime', (SELECT count(*) FROM (SELECT DISTINCT model, {CELL} FROM pred)), true)
+SELECT * FROM n""",
+)
+def s13_altered(spark, sf_dir):
+    """A bundle whose metric table has one value changed after its fingerprint was taken."""
+    tables = bundle_tables(spark, sf_dir)
+    path, other = scratch(spark), scratch(spark)
+    bundle.write_bundle(tables, path)
+    kept = spark.read.parquet(f"{path}/metrics")
+    first = kept.filter("level = 'aggregate'").agg(F.min(F.struct("model", "feature_id", "step", "metric", "horizon_frames")).alias("m")).first()["m"]
+    same = [F.col(c) == F.lit(first[c]) for c in first.asDict()] + [F.col("level") == "aggregate"]
+    one = same[0]
+    for test in same[1:]:
+        one = one & test
+    kept.withColumn("value", F.when(one, F.col("value") + 1.0).otherwise(F.col("value"))).write.partitionBy(
+        "context_frames", "horizon_frames"
+    ).parquet(f"{other}/metrics")
+    for name in bundle.TABLES:
+        if name != "metrics":
+            spark.read.parquet(f"{path}/{name}").write.partitionBy("context_frames", "horizon_frames").parquet(f"{other}/{name}")
+    spark.read.parquet(f"{path}/fingerprints").write.parquet(f"{other}/fingerprints")
+    return bundle.check_bundle(spark, other)
+
+
 @query(
     "s18_aggregate_metrics",
     f"""{METRICS} SELECT model, {CELL}, feature_id, step::INTEGER AS step, metric,
@@ -349,22 +432,25 @@ def s18(spark, sf_dir):
 
 @query(
     "s15_manifest_check",
-    """SELECT n_name AS name, CASE n_nationkey % 5 WHEN 0 THEN 'digest differs'
+    """SELECT s_name AS name, CASE s_suppkey % 5 WHEN 0 THEN 'digest differs'
   WHEN 1 THEN 'size differs' ELSE 'unlisted' END AS reason
-FROM nation WHERE n_nationkey % 5 < 3
+FROM supplier WHERE s_suppkey % 5 < 3
 UNION ALL SELECT 'NOWHERE', 'missing'""",
 )
 def s15_check(spark, sf_dir):
-    """Files of known text, one a nation, against a manifest with faults by rule."""
-    nations = tb.table(spark, sf_dir, "nation")
-    line = F.to_json(F.struct(*sorted(nations.columns)))
+    """Files of known text, one a supplier, against a manifest with faults by rule.
+
+    Files over 82 bytes are streamed, so both ways of reading meet the same manifest.
+    """
+    rows = tb.table(spark, sf_dir, "supplier")
+    line = F.to_json(F.struct(*sorted(rows.columns)))
     folder = scratch(spark)
-    known = nations.select("n_nationkey", F.col("n_name").alias("name"), line.alias("value"))
+    known = rows.select(F.col("s_suppkey").alias("number"), F.col("s_name").alias("name"), line.alias("value"))
     known.select("name", "value").repartition("name").write.partitionBy("name").text(folder)
     digests = bundle.file_digests(
-        spark, folder, "*.txt", lambda p: F.url_decode(F.regexp_extract(p, "/name=([^/]*)/", 1))
+        spark, folder, "*.txt", lambda p: F.url_decode(F.regexp_extract(p, "/name=([^/]*)/", 1)), 82
     )
-    text, rule = F.concat("value", F.lit("\n")), F.col("n_nationkey") % 5
+    text, rule = F.concat("value", F.lit("\n")), F.col("number") % 5
     size = F.octet_length(text).cast("long")
     manifest = known.filter(rule != 2).select(
         "name",

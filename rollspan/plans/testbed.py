@@ -14,12 +14,20 @@ from pyspark.sql import functions as F
 from rollspan.functions.blocks import ordered_index, with_blocks
 from rollspan.operators.moments import context_moments
 from rollspan.operators.windows import Grid, admit, cell_windows, window_arrays, window_channels
-from rollspan.session import cut
+from rollspan.session import cut, scratch, when_cleared
+from rollspan.sources.series import write_scoped
 from rollspan.tables import TRAJECTORIES, conform
 
 _STORED = {}
 
 
+@when_cleared
+def _forget(spark):
+    """Tables whose files are gone are built again when a query asks for them."""
+    for key in [k for k in _STORED if k[0] == spark.sparkContext.applicationId]:
+        del _STORED[key]
+
+
 def stored(build):
     """Build a canonical table once per application and input folder."""
 
@@ -81,6 +89,16 @@ def event_frames(spark, sf_dir):
     )
 
 
+def scoped_store(spark, sf_dir):
+    """The event frames written by split and bucket; the path of the store."""
+    key = (spark.sparkContext.applicationId, str(sf_dir), "scoped store")
+    if key not in _STORED:
+        path = scratch(spark)
+        write_scoped(event_frames(spark, sf_dir), event_trajectories(spark, sf_dir), path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 @stored
 def event_frames_with_gap(spark, sf_dir):
     """Event frames with the seconds since the user's previous event."""

@@ -62,11 +62,22 @@ def cut(df):
     return spark.read.schema(df.schema).parquet(path)
 
 
+_CLEARED = []
+
+
+def when_cleared(forget):
+    """Call `forget(spark)` whenever a session's scratch tables are deleted."""
+    _CLEARED.append(forget)
+    return forget
+
+
 def clear_scratch(spark):
     """Delete the tables that this session wrote to its folder of the shared one.
 
     Their DataFrames cannot be read afterwards; call it when a run is over.
     """
+    for forget in _CLEARED:
+        forget(spark)
     folder = spark.sparkContext.getCheckpointDir()
     if folder is not None:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)

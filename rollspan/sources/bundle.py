@@ -1,8 +1,11 @@
 """Result bundles: sinks, scans and integrity."""
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from rollspan.functions.hashing import fingerprint_frame
+from rollspan.functions.hashing import fingerprint_frame, observed_fingerprint
 from rollspan.operators.contracts import check_coverage, merge, validate_quantiles
 from rollspan.operators.splits import refuse
 from rollspan.tables import CELL
@@ -13,32 +16,41 @@ TABLES = ("predictions", "metrics", "comparisons", "runtime")
 def write_bundle(tables, path):
     """The four tables, partitioned by cell, and their fingerprints.
 
-    Every table is refused if it exists; the fingerprints come last, so a bundle
-    without them is incomplete.
+    The fingerprints are summed up while the rows are written. Every table is refused if
+    it exists; the fingerprints come last, so a bundle without them is incomplete.
     """
     if set(tables) != set(TABLES):
         raise ValueError(f"a bundle holds {TABLES}")
     marks = []
     for name in TABLES:
-        tables[name].write.partitionBy(*CELL).mode("errorifexists").parquet(f"{path}/{name}")
-        stored = tables[name].sparkSession.read.parquet(f"{path}/{name}")
-        marks.append(fingerprint_frame(stored).select(F.lit(name).alias("table"), "*"))
-    merge(*marks).coalesce(1).write.mode("errorifexists").parquet(f"{path}/fingerprints")
+        watched, mark = observed_fingerprint(tables[name])
+        watched.write.partitionBy(*CELL).mode("errorifexists").parquet(f"{path}/{name}")
+        marks.append((name, *mark()))
+    spark = tables[TABLES[0]].sparkSession
+    spark.createDataFrame(marks, "table string, rows long, fingerprint string").coalesce(1).write.mode(
+        "errorifexists"
+    ).parquet(f"{path}/fingerprints")
+
+
+def check_bundle(spark, path):
+    """Per table whether its rows are those that were written (table, rows, intact)."""
+    declared = spark.read.parquet(f"{path}/fingerprints")
+    found = merge(
+        *[
+            fingerprint_frame(spark.read.parquet(f"{path}/{name}")).select(F.lit(name).alias("table"), "*")
+            for name in TABLES
+        ]
+    )
+    same = F.col("d.rows").eqNullSafe(F.col("f.rows")) & F.col("d.fingerprint").eqNullSafe(F.col("f.fingerprint"))
+    return found.alias("f").join(declared.alias("d"), "table", "left").select("table", "f.rows", same.alias("intact"))
 
 
 def read_bundle(spark, path):
-    """The tables of a bundle whose content matches its fingerprints."""
-    declared = {
-        r["table"]: (r["rows"], r["fingerprint"])
-        for r in spark.read.parquet(f"{path}/fingerprints").collect()
-    }
-    out = {}
-    for name in TABLES:
-        out[name] = spark.read.parquet(f"{path}/{name}")
-        row = fingerprint_frame(out[name]).first()
-        if declared.get(name) != (row["rows"], row["fingerprint"]):
-            raise ValueError(f"bundle table {name} differs from its fingerprint")
-    return out
+    """The tables of a bundle; one whose content is not its fingerprint's is refused."""
+    broken = sorted(r["table"] for r in check_bundle(spark, path).filter("not intact").collect())
+    if broken:
+        raise ValueError(f"bundle table {broken[0]} differs from its fingerprint")
+    return {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
 
 
 def acf_rows(curves):
@@ -57,27 +69,50 @@ def write_acf_csv(curves, path):
     acf_rows(curves).write.mode("errorifexists").option("header", True).csv(path)
 
 
-ROW_LIMIT = 2**31 - 1024
+ROW_LIMIT = 2**30
+CHUNK = 8 << 20
+
+
+def _streamed(batches):
+    """Digests of files read chunk by chunk; only the hash states are carried."""
+    from pyarrow import fs
+
+    for batch in batches:
+        marks = []
+        for path in batch.column("path").to_pylist():
+            plain = path.removeprefix("file:")
+            local = plain != path or "://" not in path
+            store, at = (fs.LocalFileSystem(), "/" + plain.lstrip("/")) if local else fs.FileSystem.from_uri(path)
+            sha, md5 = hashlib.sha256(), hashlib.md5()
+            with store.open_input_stream(at, compression=None) as stream:
+                while chunk := stream.read(CHUNK):
+                    sha.update(chunk)
+                    md5.update(chunk)
+            marks.append((sha.hexdigest(), md5.hexdigest()))
+        columns = [pa.array([m[i] for m in marks], pa.string()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("name"), batch.column("size"), *columns], names=["name", "size", "sha256", "md5"]
+        )
 
 
-def file_digests(spark, path, glob="*", name=None):
+def file_digests(spark, path, glob="*", name=None, row_limit=ROW_LIMIT):
     """Name, size and digests of every file, hashed by the tasks that read them.
 
-    One file is one row. A file that no row can hold keeps its size and has no digests:
-    the manifest check names it, and the row fingerprint of its table covers it.
-    `name` makes a file's name from its path; the last part is the default.
+    A file of at most `row_limit` bytes is one row. A larger one is never a row: a task of
+    its own streams it in chunks. `name` makes a file's name from its path; the last part
+    is the default.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob)
     files = files.option("recursiveFileLookup", True).load(path)
     called = (name or (lambda p: F.element_at(F.split(p, "/"), -1)))(F.col("path")).alias("name")
-    size, none = F.col("length").alias("size"), F.lit(None).cast("string")
-    small = files.filter(F.col("length") <= ROW_LIMIT).select(
+    size = F.col("length").alias("size")
+    small = files.filter(F.col("length") <= row_limit).select(
         called, size, F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5")
     )
-    large = files.filter(F.col("length") > ROW_LIMIT).select(
-        called, size, none.alias("sha256"), none.alias("md5")
+    large = files.filter(F.col("length") > row_limit).select("path", called, size)
+    return small.unionByName(
+        large.repartition("path").mapInArrow(_streamed, "name string, size long, sha256 string, md5 string")
     )
-    return small.unionByName(large)
 
 
 def verify_files(digests, manifest):
@@ -88,7 +123,6 @@ def verify_files(digests, manifest):
         F.when(F.col("d.size").isNull(), "missing")
         .when(F.col("m.digest").isNull(), "unlisted")
         .when(F.col("m.size") != F.col("d.size"), "size differs")
-        .when(F.col("d.sha256").isNull(), "too large")
         .when(F.col("m.digest") != actual, "digest differs")
     )
     return rows.select("name", reason.alias("reason")).filter(F.col("reason").isNotNull())

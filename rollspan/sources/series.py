@@ -12,6 +12,7 @@ from rollspan.operators.splits import refuse
 from rollspan.tables import (
     FEATURES,
     PURPOSE_ROLES,
+    ROLE_SPLITS,
     SPLITS,
     TRAJECTORIES,
     conform,
@@ -261,11 +262,9 @@ def read_for_purpose(frames, registry, roles, purpose, official=None):
     """Only series whose role the purpose allows; altered records are refused.
 
     A record is altered if its split is not the one in `official` (id, split). The
-    allowed ids are joined to the scan as a semi join.
+    allowed ids are joined to the scan as a semi join; `read_scoped` prunes the scan.
     """
-    if purpose not in PURPOSE_ROLES:
-        raise ValueError("unknown purpose")
-    allowed = roles.filter(F.col("role").isin(*PURPOSE_ROLES[purpose]))
+    allowed = _allowed(roles, purpose)
     if official is not None:
         changed = (
             registry.alias("r")
@@ -278,6 +277,76 @@ def read_for_purpose(frames, registry, roles, purpose, official=None):
     return frames.join(ids.select("trajectory_id"), "trajectory_id", "left_semi")
 
 
+SCOPE_BUCKETS = 64
+
+
+def _allowed(roles, purpose):
+    if purpose not in PURPOSE_ROLES:
+        raise ValueError("unknown purpose")
+    return roles.filter(F.col("role").isin(*PURPOSE_ROLES[purpose]))
+
+
+def _bucket():
+    return F.pmod(F.xxhash64("trajectory_id"), F.lit(SCOPE_BUCKETS)).cast("int")
+
+
+def write_scoped(frames, registry, path):
+    """S12 store: frames in folders by the split and a hash bucket of their trajectory.
+
+    A frame without a registry row stops the job. Splits and buckets are few, and a long
+    trajectory's frames are written by many tasks.
+    """
+    known = over_blocks(registry.select("trajectory_id", "split", "frame_count"), F.col("frame_count"))
+    rows = with_blocks(frames).join(known.drop("frame_count"), ["trajectory_id", "block"], "left")
+    stop = F.raise_error(F.lit("a frame belongs to no registered trajectory"))
+    rows = rows.withColumn("split", F.coalesce("split", stop)).withColumn("bucket", _bucket())
+    rows.drop("block", "own").write.partitionBy("split", "bucket").mode("errorifexists").parquet(path)
+
+
+def record_faults(records, frozen, dataset_id, source_checksum, official):
+    """Records that may not be read (trajectory_id, reason).
+
+    `records` are the registry rows a process was given, `frozen` the registry rows of
+    the frozen cohort. A record that is not among them or differs in any column, that
+    names another dataset or other source bytes, or whose split is not the official one
+    (id, split) has a fault.
+    """
+    columns = [c for c in frozen.columns if c != "trajectory_id"]
+    same = [F.col(f"r.`{c}`").eqNullSafe(F.col(f"f.`{c}`")) for c in columns if c in records.columns]
+    whole = functools.reduce(lambda a, b: a & b, same, F.lit(len(same) == len(columns)))
+    rows = (
+        records.alias("r")
+        .join(frozen.withColumn("_known", F.lit(True)).alias("f"), "trajectory_id", "left")
+        .join(official.alias("o"), F.col("r.system_id") == F.col("o.id"), "left")
+    )
+    reason = (
+        F.when(F.col("f._known").isNull(), "unknown record")
+        .when(~F.col("r.dataset_id").eqNullSafe(F.lit(dataset_id)), "dataset differs")
+        .when(~F.col("r.source_checksum").eqNullSafe(F.lit(source_checksum)), "source differs")
+        .when(~F.col("r.split").eqNullSafe(F.col("o.split")), "official split differs")
+        .when(~whole, "altered record")
+    )
+    return rows.select("trajectory_id", reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
+def read_scoped(spark, path, features, records, roles, purpose, faults):
+    """The frames of the records whose role the purpose allows, from a scoped store.
+
+    Records of allowed systems with a fault (trajectory_id, reason) are refused before
+    any frame is read. The purpose's splits and the buckets of its trajectories (at most
+    SCOPE_BUCKETS numbers) prune the folders; ids are met inside them.
+    """
+    allowed = _allowed(roles, purpose).select("system_id").distinct()
+    mine = records.join(allowed, "system_id", "left_semi").select("trajectory_id", _bucket().alias("bucket"))
+    refuse(faults.join(mine, "trajectory_id", "left_semi"), "records are not those of the frozen cohort")
+    buckets = sorted(r["bucket"] for r in mine.select("bucket").distinct().collect())
+    splits = sorted({ROLE_SPLITS[r] for r in PURPOSE_ROLES[purpose]})
+    schema = f"trajectory_id string, frame long, time double, {', '.join(f'{f} double' for f in features)}, split string, bucket int"
+    rows = spark.read.schema(schema).parquet(path)
+    rows = rows.filter(F.col("split").isin(*splits) & F.col("bucket").isin(*buckets))
+    return rows.join(mine, ["bucket", "trajectory_id"], "left_semi").select("trajectory_id", "frame", "time", *features)
+
+
 def with_ids(df, dataset="dataset_id", source="source_system", trajectory="source_trajectory",
              replicate="replicate_id"):
     """Namespaced system and trajectory keys; blank or padded parts stop the job."""
