@@ -8,26 +8,33 @@ bound and stops when the bound falls below the query's k-th best score. Pivots a
 of the table, so their exact scores give every query a first threshold. Tasks keep k
 rows per query and batch run; the last cut is a rank over those.
 
-Queries are taken in blocks of QUERY_BLOCK, each against all rows, so what a task gets
-of the query side is bounded; the blocks are one written table, read block by block.
+Queries are packed into files of at most QUERY_BLOCK rows in the shared folder; the
+driver holds one name per file. A task takes a chunk of at most CHUNK rows through the
+files one at a time, so neither side grows in a task and the table is scanned once.
 
 Components become floor(1024 x) with x as double. Vectors that are null or empty or
 hold null or non-finite components take no part. Shorter vectors count as padded with
 zeros. Equal scores rank the smaller vec_id first; repeated vec_ids are rows of their
-own, except that a query never meets a row of its own vec_id. Rows with a null vec_id
+own, as candidates and as queries (each query row gets its k rows), except that a query
+never meets a row of its own vec_id. Rows with a null vec_id
 take no part. Scores must stay below 2^53. Extra columns are ignored.
 """
 
+import io
+import uuid
+
 import numpy as np
 import pyarrow as pa
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rollspan.llm.files import new_folder, open_input, open_output
 from rollspan.session import cut
 
 PIVOTS = 24
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 1024
+CHUNK = 16_384
 STEP = 512
 EXACT = 2.0**53
 
@@ -107,50 +114,80 @@ class _Best:
             self.score[q], self.vec[q] = s[order], v[order]
 
 
-def _scan(block, pivots, pivot_ids, k):
-    ids = np.array([r["vec_id"] for r in block])
-    q = _matrix([r["v"] for r in block], max(len(r["v"]) for r in block))
-    d = np.array([r["d"] for r in block])
-    norms = (q * q).sum(axis=1)
-    at_pivots = q[:, : pivots.shape[1]] @ pivots[:, : q.shape[1]].T
-    at_pivots = np.where(ids[:, None] == pivot_ids[None, :], -np.inf, at_pivots)
-    floor = np.full(len(ids), -np.inf)
-    if len(pivot_ids) > k:
-        floor = -np.sort(-at_pivots, axis=1)[:, k - 1]
+def _store(folder, pivots, pivot_ids, k):
+    """Write a partition's queries into files (ids, vectors, pivot distances, thresholds)."""
 
     def run(batches):
-        best = _Best(len(ids), k, floor)
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            v = batch.column("v").to_pylist()
-            x = _matrix(v, max(q.shape[1], max(map(len, v))))
-            vec = np.asarray(batch.column("vec_id"))
-            dx = np.asarray(batch.column("d").flatten()).reshape(len(vec), -1)
+            for lo in range(0, batch.num_rows, QUERY_BLOCK):
+                part = batch.slice(lo, QUERY_BLOCK)
+                ids, v = np.asarray(part.column("vec_id")), part.column("v").to_pylist()
+                q = _matrix(v, max(map(len, v)))
+                at_pivots = q[:, : pivots.shape[1]] @ pivots[:, : q.shape[1]].T
+                at_pivots = np.where(ids[:, None] == pivot_ids[None, :], -np.inf, at_pivots)
+                floor = np.full(len(ids), -np.inf)
+                if len(pivot_ids) > k:
+                    floor = -np.sort(-at_pivots, axis=1)[:, k - 1]
+                d = np.asarray(part.column("d").flatten()).reshape(len(ids), -1)
+                name = uuid.uuid4().hex
+                with open_output(folder, name) as stream:
+                    for values in (ids, q, d, floor):
+                        np.save(stream, values)
+                yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    return run
+
+
+def _load(folder, name):
+    with open_input(folder, name) as stream:
+        held = io.BytesIO(stream.read())
+    return tuple(np.load(held) for _ in range(4))
+
+
+def _chunks(batches):
+    """(ids, vectors, pivot distances) of at most CHUNK rows."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, CHUNK):
+            part = batch.slice(lo, CHUNK)
+            v = part.column("v").to_pylist()
+            ids = np.asarray(part.column("vec_id"))
+            yield ids, _matrix(v, max(map(len, v))), np.asarray(part.column("d").flatten()).reshape(len(ids), -1)
+
+
+def _scan(folder, names, k):
+    """The k best rows of a chunk for every query row, visited in bound order."""
+
+    def run(batches):
+        for vec, x, dx in _chunks(batches):
             own = (x * x).sum(axis=1)
-            if len(own) and np.sqrt(own.max()) * np.sqrt(norms.max()) >= EXACT:
-                raise ValueError("scores of 2^53 or more are not supported")
-            for i in range(len(ids)):
-                lower = np.abs(dx - d[i]).max(axis=1) - 1e-6 * (1 + d[i].max())
-                bound = (norms[i] + own - np.maximum(lower, 0) ** 2) / 2 + 1e-3
-                bound[vec == ids[i]] = -np.inf
-                order = np.argsort(-bound)
-                for lo in range(0, len(order), STEP):
-                    some = order[lo : lo + STEP]
-                    if bound[some[0]] < best.threshold(i) or bound[some[0]] == -np.inf:
-                        break
-                    some = some[bound[some] > -np.inf]
-                    best.add(i, x[some, : q.shape[1]] @ q[i], vec[some])
-        n = [len(s) for s in best.score]
-        if sum(n):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(ids, n)),
-                    pa.array(np.concatenate(best.vec)),
-                    pa.array(np.concatenate(best.score).astype(np.int64)),
-                ],
-                names=["query_id", "vec_id", "score"],
-            )
+            for name in names:
+                ids, q, d, floor = _load(folder, name)
+                norms, best = (q * q).sum(axis=1), _Best(len(ids), k, floor)
+                if np.sqrt(own.max()) * np.sqrt(norms.max()) >= EXACT:
+                    raise ValueError("scores of 2^53 or more are not supported")
+                wide = min(x.shape[1], q.shape[1])
+                for i in range(len(ids)):
+                    lower = np.abs(dx - d[i]).max(axis=1) - 1e-6 * (1 + d[i].max())
+                    bound = (norms[i] + own - np.maximum(lower, 0) ** 2) / 2 + 1e-3
+                    bound[vec == ids[i]] = -np.inf
+                    order = np.argsort(-bound)
+                    for lo in range(0, len(order), STEP):
+                        some = order[lo : lo + STEP]
+                        if bound[some[0]] < best.threshold(i) or bound[some[0]] == -np.inf:
+                            break
+                        some = some[bound[some] > -np.inf]
+                        best.add(i, x[some, :wide] @ q[i, :wide], vec[some])
+                n = [len(s) for s in best.score]
+                if sum(n):
+                    row = np.repeat(np.arange(len(ids)), n)
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "query": pa.array([f"{name}-{j}" for j in row.tolist()], pa.string()),
+                            "query_id": ids[row],
+                            "vec_id": np.concatenate(best.vec),
+                            "score": np.concatenate(best.score).astype(np.int64),
+                        }
+                    )
 
     return run
 
@@ -159,21 +196,20 @@ def top_k(embeddings, k=10, every=100, pivots=PIVOTS):
     """The k best rows of every query (vec_id divisible by `every`): query_id, rank, vec_id, score."""
     rows = scaled(embeddings)
     pivot_ids, matrix = choose_pivots(rows, max(pivots, k + 1))
-    table = pivot_table(rows, matrix) if len(pivot_ids) else rows.withColumn("d", F.lit(None))
-    asked = table.filter(F.col("vec_id") % every == 0)
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-asked.count() // (QUERY_BLOCK // 2)))))
-    queries = cut(asked.withColumn("block", block))
-    found = None
-    for b in sorted(r["block"] for r in queries.select("block").distinct().collect()):
-        members = queries.filter(F.col("block") == b).collect()
-        part = table.mapInArrow(
-            _scan(members, matrix, pivot_ids, k), "query_id long, vec_id long, score long"
+    schema = "query string, query_id long, vec_id long, score long"
+    if not len(pivot_ids):
+        found = embeddings.sparkSession.createDataFrame([], schema)
+    else:
+        table, folder = pivot_table(rows, matrix), new_folder(embeddings.sparkSession)
+        asked = table.filter(F.col("vec_id") % every == 0)
+        parts = max(1, -(-asked.count() // QUERY_BLOCK))
+        packed = asked.repartition(parts, F.xxhash64("vec_id", "v")).mapInArrow(
+            _store(folder, matrix, pivot_ids, k), "name string"
         )
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = embeddings.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
+        names = sorted(r["name"] for r in packed.collect())
+        found = table.mapInArrow(_scan(folder, names, k), schema)
     rank = F.row_number().over(
-        Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     )
     return (
         found.withColumn("rank", rank.cast("int"))

@@ -33,3 +33,13 @@ def test_few_and_no_rows(spark):
     assert pivots.top_k(spark.createDataFrame([], schema)).count() == 0
     two = spark.createDataFrame([(0, [1.0, 0.0]), (100, [0.5, 0.5])], schema)
     assert {tuple(r) for r in pivots.top_k(two).collect()} == {(0, 1, 100, 524288), (100, 1, 0, 524288)}
+
+
+def test_repeated_query_rows_get_their_rows_each(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(6)]) for i in range(80)]
+    rows += [rows[20], rows[20], rows[3]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in pivots.top_k(df, k=10, every=20).collect())
+    once = brute(rows, 10, 20)
+    assert got == sorted(list(once) + 2 * [r for r in once if r[0] == 20])
