@@ -2,7 +2,7 @@
 
 Records are hashed by their text into `SLOTS` slots, so copies of a text share a slot.
 A slot that holds too many bytes or rows (a hot text) is dealt out again over all slots
-by doc_id. Bytes are summed per slot, and the slots, heaviest first, go to the lightest
+by doc_id and the record's number, so equal rows part too. Bytes are summed per slot, and the slots, heaviest first, go to the lightest
 shard. The map is a table of SLOTS rows with a version; `rebalance` edits it by moving
 as few slots as it takes and returns the next version.
 
@@ -30,12 +30,13 @@ def digests(docs):
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("key"),
+            F.monotonically_increasing_id().alias("number"),  # fixed once it is written
         )
     )
 
 
 def with_slots(records, shards, slots=SLOTS):
-    """Add `virtual_slot`; records of a hot slot are hashed again with their doc_id."""
+    """Add `virtual_slot`; records of a hot slot are hashed again with doc_id and number."""
     slot = F.pmod("key", F.lit(slots)).cast("int")
     rows = records.withColumn("virtual_slot", slot)
     sums = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
@@ -43,12 +44,13 @@ def with_slots(records, shards, slots=SLOTS):
     large = F.col("bytes") > F.sum("bytes").over(every) / (4 * shards)
     many = F.col("n") > F.greatest(F.lit(64), F.sum("n").over(every) / 256)
     hot = sums.withColumn("_hot", large | many).filter("_hot").select("virtual_slot", "_hot")
-    again = F.pmod(F.xxhash64("doc_id", "key", F.lit("slot")), F.lit(slots)).cast("int")
+    again = F.pmod(F.xxhash64("doc_id", "key", "number", F.lit("slot")), F.lit(slots)).cast("int")
     return rows.join(F.broadcast(hot), "virtual_slot", "left").select(  # at most `slots` rows
         "doc_id",
         "size",
         "text_crc32",
         "key",
+        "number",
         F.when(F.col("_hot"), again).otherwise(F.col("virtual_slot")).alias("virtual_slot"),
     )
 
@@ -146,7 +148,7 @@ def place(records, slot_map, sizes):
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"),
     )
     rank = F.row_number().over(
-        Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "key")
+        Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "key", "number")
     )
     return (
         records.withColumn("_rank", rank)

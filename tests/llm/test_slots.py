@@ -51,3 +51,11 @@ def test_rebalance_moves_into_the_new_shard_only(table):
     for s, shard in after.items():
         sums[shard] += size[s]
     assert sums[5] > 0.9 * sum(sums.values()) / 6
+
+
+def test_repeated_rows_are_dealt_out(table):
+    rows = [(7, "r" * 1000)] * 3000 + [(5000 + i, f"other {i}") for i in range(3000)]
+    got = slots.shard_documents(table(rows), shards=16).collect()
+    sums = loads(got)
+    assert len(got) == 6000 and len(sums) == 16
+    assert max(sums.values()) - min(sums.values()) < 2002
