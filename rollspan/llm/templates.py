@@ -1,7 +1,7 @@
 """Benchmark leaks by template canonicalisation, in built-in expressions only.
 
 Benchmark items and documents are rewritten alike: names (capitalised words inside a
-sentence), numbers and units after numbers get a typed mark, the rest is lower-cased and
+sentence, and the same words at a sentence's start), numbers and units after numbers get a typed mark, the rest is lower-cased and
 loses its punctuation. With the marked values cut off, windows of `WIDTH` words are
 templates. Template windows of all documents are hash-joined with those of the items; the
 hits of an item at one alignment must then agree in their slots: each value of the item
@@ -14,8 +14,9 @@ found, also with one value edited, and texts that share a frame by chance, with
 values, are not.
 
 A window needs LITERALS words that are no slots, unless none of the item's windows has
-them. Items shorter than a window are one window of their own length; items without words
-match nothing. Null and empty texts have no windows. Documents are keyed by a hash of
+them. Items shorter than a window are one window of their own length. An item with fewer
+than LITERALS words that are no slots cannot be told from chance and is not judged
+(`unjudged_items` lists them). Null and empty texts have no windows. Documents are keyed by a hash of
 doc_id and text, so repeated doc_ids, null doc_ids and repeated rows are judged by their
 own text. Extra columns are ignored; empty tables give no rows.
 """
@@ -28,7 +29,7 @@ WIDTH, ENOUGH, LITERALS = 8, 6, 3
 BROADCAST_WINDOWS = 500_000
 BROADCAST_IDS = 1_000_000
 # Marks of the slot types: private-use characters that no text holds.
-NAME, NUMBER, UNIT = "", "", ""
+NAME, NUMBER, UNIT, INITIAL = "\ue000", "\ue001", "\ue002", "\ue003"
 # Units of measure, as they follow a number.
 UNITS = (
     "mm|cm|km|m|mg|kg|g|lb|lbs|oz|ml|cl|l|ms|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|"
@@ -39,8 +40,11 @@ UNITS = (
 
 def marked_words(text):
     """Words of a text with marks in front of names, numbers and units."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NAME}{NUMBER}{UNIT}]", "")
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NAME}{NUMBER}{UNIT}{INITIAL}]", "")
     named = F.regexp_replace(plain, r"(\p{Lu})(?<=[\p{Ll}\d][,;:]? \p{Lu})(?=\p{Ll})", NAME + "$1")
+    # Where there are names, capitals at a sentence's start may be some of them.
+    started = F.regexp_replace(named, rf"(?<![\p{{L}}{NAME}])(\p{{Lu}})(?=\p{{Ll}})", INITIAL + "$1")
+    named = F.when(F.contains(named, F.lit(NAME)), started).otherwise(named)
     numbered = F.regexp_replace(named, r"(?<![\p{L}\d.,])(\d+(?:[.,]\d+)*)", NUMBER + "$1")
     united = F.regexp_replace(
         numbered, rf"({NUMBER}[\d.,]*\d) ?(?i:({UNITS}))(?![\p{{L}}\d])", f"$1 {UNIT}$2"
@@ -48,7 +52,20 @@ def marked_words(text):
     has_digit = F.rlike(plain, F.lit("[0-9]"))
     slots = F.when(has_digit, united).otherwise(named)
     bare = F.regexp_replace(F.lower(slots), r"[\p{P}\p{S}&&[^%]]+(?!\d)|(?<!\d)[\p{P}\p{S}&&[^%]]+", "")
-    return F.filter(F.split(bare, r"[\s\u0085 ]+"), lambda w: w != "")
+    words = F.filter(F.split(bare, r"[\s\u0085 ]+"), lambda w: w != "")
+    return F.when(F.contains(named, F.lit(NAME)), _settled(words)).otherwise(words)
+
+
+def _settled(words):
+    """Words with INITIAL as names if they are names elsewhere, else without the mark."""
+    names = F.array_distinct(F.filter(words, lambda w: w.startswith(NAME)))
+    rest = lambda w: F.substring(w, 2, 1_000_000)
+    return F.transform(
+        words,
+        lambda w: F.when(~w.startswith(INITIAL), w)
+        .when(F.array_contains(names, F.concat(F.lit(NAME), rest(w))), F.concat(F.lit(NAME), rest(w)))
+        .otherwise(rest(w)),
+    )
 
 
 def templates(words):
@@ -65,11 +82,25 @@ def _is_slot(w):
     return w.startswith(NAME) | w.startswith(NUMBER) | w.startswith(UNIT)
 
 
+def _judged():
+    """The item has enough words that are no slots."""
+    return F.size(F.filter("item_words", lambda w: ~_is_slot(w))) >= LITERALS
+
+
+def _item_words(benchmark):
+    return benchmark.select(
+        F.col("item_id").cast("long"), marked_words(F.col("text").cast("string")).alias("item_words")
+    )
+
+
+def unjudged_items(benchmark):
+    """item_id of the items that are too short or have a null id."""
+    return _item_words(benchmark).filter(~_judged() | F.col("item_id").isNull()).select("item_id")
+
+
 def item_windows(benchmark, width=WIDTH):
     """Written tables: items with their marked words, and their template windows."""
-    words = benchmark.select(
-        F.col("item_id").cast("long"), marked_words(F.col("text").cast("string")).alias("item_words")
-    ).filter((F.size("item_words") > 0) & F.col("item_id").isNotNull())
+    words = _item_words(benchmark).filter(_judged() & F.col("item_id").isNotNull())
     items = cut(
         words.withColumn("item", F.xxhash64("item_id", "item_words"))
         .withColumn("m", F.least(F.lit(width), F.size("item_words")))

@@ -82,3 +82,44 @@ def test_without_leaks_keeps_columns_and_rows(spark, table):
     kept = templates.without_leaks(docs, bench)
     assert kept.columns == docs.columns
     assert {(r["doc_id"], r["text"]) for r in kept.collect()} == {(1, "clean"), (2, "clean too"), (None, None)}
+
+
+TOM = "Tom has 3 apples. Tom buys 5 more. How many apples does Tom have now? Tom eats 2 of them."
+
+
+def test_names_at_the_start_of_a_sentence(spark, table):
+    docs = [
+        (1, TOM), (2, TOM.replace("Tom", "Anna")), (3, TOM.replace("Tom", "Anna").replace("5", "9")),
+        (4, "First: " + TOM.replace("Tom", "Émile").replace("3", "12")),
+        (5, "Tom has apples. They buy more of them. How many do we have? He eats some."),
+        (6, TOM.replace("Tom has", "Anna has").replace("Tom buys", "Peter buys").replace("does Tom", "does Nora").replace("Tom eats", "Paul eats")),
+    ]
+    assert found(spark, table, docs, [(7, TOM)]) == {(1, 7), (2, 7), (3, 7), (4, 7)}
+
+
+def test_short_items_are_listed_not_judged(spark, table):
+    bench = spark.createDataFrame([(1, "yes"), (2, "Is it 5 km?"), (3, "one of them is"), (None, ITEM), (4, None)], "item_id long, text string")
+    assert {r["item_id"] for r in templates.unjudged_items(bench).collect()} == {1, 2, None, 4}
+    docs = [(1, "The council says yes to it."), (2, "is it 7 km away"), (3, "Here one of them is.")]
+    assert {(r["doc_id"], r["item_id"]) for r in templates.leaks(table(docs), bench).collect()} == {(3, 3)}
+
+
+def test_recall_on_planted_reparameterised_copies(spark, table):
+    """Benchmark items of the driver with every name and number changed consistently."""
+    import re
+    from pathlib import Path
+
+    import pytest
+
+    path = "/root/testdata/sf0.01/benchmark.parquet"
+    if not Path(path).exists():
+        pytest.skip("no driver tables")
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(path).collect()]
+    inner = re.compile(r"(?<=[^\W\d_A-Z] )([A-ZÀ-Ý][^\W\d_]+)")
+    docs = []
+    for item_id, text in items:
+        for name in set(inner.findall(text)):
+            text = re.sub(rf"\b{name}\b", "Q" + name.lower()[::-1], text)
+        docs.append((item_id, "Before it. " + re.sub(r"\d+", lambda m: str(int(m[0]) + 1), text) + " After it."))
+    got = found(spark, table, docs, items)
+    assert sum((d, d) in got for d, _ in docs) >= 0.9 * len(docs)
