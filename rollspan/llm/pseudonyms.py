@@ -6,14 +6,17 @@ written back in the same layout: cards stay valid cards, dates valid dates. The
 permutation depends on key, kind and format only, so equal values get equal pseudonyms
 in every document, whatever their separators, and different ones stay different.
 
-Kinds: secret (named assignment), key (with an issuer's prefix), email, iban, date, ip, phone, ssn, card. Candidates
-that fail validation are left alone. Null and empty texts stay as they are; repeated
+Kinds: secret (named assignment; its value has a digit or eight signs), key (with an
+issuer's prefix), email, iban, date, ip (both versions), phone (also with a country code,
+or ten digits after a word such as tel), ssn, card. Candidates that fail validation are
+left alone, dotted numbers after a word such as version too. Null and empty texts stay as they are; repeated
 rows are treated alike; all other columns pass through.
 """
 
 import datetime
 import functools
 import hashlib
+import ipaddress
 import re
 import string
 
@@ -30,14 +33,18 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 PATTERN = re.compile(
     r"""
     (?P<secret>(?P<name>(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key))
-        (?P<eq>\s*[=:]\s*["']?)(?P<value>[A-Za-z0-9_\-+/]{8,}))
+        (?P<eq>["']?\s*[=:]\s*["']?)
+        (?P<value>(?=[^\s"',;<>()\[\]{}|]*\d)[^\s"',;<>()\[\]{}|]{5,}|[A-Za-z0-9_\-+/]{8,}))
   | (?P<key>(?:(?<![A-Z0-9])A[KS]IA|(?<![A-Za-z0-9])(?:ghp_|gho_|github_pat_|sk-|xox[abp]-))(?P<rest>[A-Za-z0-9_-]{16,}))
   | (?P<email>(?<![\w.+-])(?P<local>[A-Za-z0-9][\w.+-]{0,63})@(?P<host>(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}))
   | (?P<iban>\b[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?\b)
   | (?P<date>(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d))
   | (?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d))
-  | (?P<phone>(?<![\d-])(?:\+?1[ .-]?)?(?:\(\d{3}\)\ ?|\d{3}[-.])\d{3}[-.]\d{4}(?!\d))
-  | (?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
+  | (?P<ip6>(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:.]))
+  | (?P<tel>\b(?i:tel|phone|mobile|cell|call|fax)[^\w\n]{0,3}(?P<line>\d{10})(?!\d))
+  | (?P<abroad>(?<![\d+])\+(?!1\b)[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d))
+  | (?P<phone>(?<![\d-])(?:\+?1[ .-]?)?(?:\(\d{3}\)\ ?\d{3}[-.]|\d{3}(?P<s3>[-. ])\d{3}(?:(?P=s3)|[-.]))\d{4}(?!\d))
+  | (?P<ssn>(?<![\d-])\d{3}(?P<s2>[- ])\d{2}(?P=s2)\d{4}(?![\d-]))
   | (?P<card>(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\g<-1>\d{4}\g<-1>\d{4}|\d{4}([ -])\d{6}\g<-1>\d{5})(?!\d))
     """.replace(r"([ -])\d{4}\g<-1>\d{4}\g<-1>\d{4}", r"(?P<s4>[ -])\d{4}(?P=s4)\d{4}(?P=s4)\d{4}")
     .replace(r"([ -])\d{6}\g<-1>\d{5}", r"(?P<s6>[ -])\d{6}(?P=s6)\d{5}"),
@@ -56,6 +63,11 @@ def _may_hold(text):
 
 
 
+def session_key(spark):
+    """The key named by `spark.rollspan.pseudonym.key`; the default is no secret."""
+    return spark.conf.get("spark.rollspan.pseudonym.key", "set spark.rollspan.pseudonym.key").encode()
+
+
 class Permutation:
     """A keyed bijection of range(n) per kind and format."""
 
@@ -162,8 +174,31 @@ def _ip(p, text):
     return ".".join(str(b) for b in value.to_bytes(4, "big"))
 
 
+def _ip6(p, text):
+    """An address with at least four groups or eight hexadecimal digits, else no address."""
+    try:
+        address = ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    if len(text.replace(":", "")) < 8 and sum(map(bool, text.split(":"))) < 4:
+        return None
+    return ipaddress.IPv6Address(p("ip6", int(address), 2**128)).compressed
+
+
+def _abroad(p, text):
+    """A number with a country code: the first group stays, the other digits are permuted."""
+    head = re.match(r"\+\d+", text)[0]
+    if re.fullmatch(r"\+\d+", text):
+        head = text[:3]
+    rest = re.sub(r"\D", "", text[len(head) :])
+    if not 8 <= len(rest) + len(head) - 1 <= 15 or len(rest) < 6:
+        return None
+    value = str(p(f"abroad:{head}:{len(rest)}", int(rest), 10 ** len(rest))).zfill(len(rest))
+    return head + _spread(text[len(head) :], value)
+
+
 def _ssn(p, text):
-    area, group, serial = (int(x) for x in text.split("-"))
+    area, group, serial = (int(x) for x in re.split("[- ]", text))
     if not (0 < area < 900 and area != 666 and group and serial):
         return None
     place = area - 1 - (area > 666)
@@ -171,7 +206,7 @@ def _ssn(p, text):
     rest, serial = divmod(value, 9999)
     place, group = divmod(rest, 99)
     area = place + 1 + (place >= 665)
-    return f"{area:03d}-{group + 1:02d}-{serial + 1:04d}"
+    return _spread(text, f"{area:03d}{group + 1:02d}{serial + 1:04d}")
 
 
 def _date(p, text):
@@ -198,8 +233,11 @@ def _iban(p, text):
     return "".join(" " if c == " " else next(following) for c in text)
 
 
-PART = {"secret": "value", "key": "rest"}  # the part of a match that is replaced
-VALIDATED = {"card": _card, "phone": _phone, "ip": _ip, "ssn": _ssn, "date": _date, "iban": _iban}
+PART = {"secret": "value", "key": "rest", "tel": "line"}  # the part of a match that is replaced
+SHOWN = {"tel": "phone", "abroad": "phone", "ip6": "ip"}
+# Words before a dotted number that make it a version.
+VERSION = ("version", "ver", "v", "release", "build")
+VALIDATED = {"card": _card, "phone": _phone, "tel": _phone, "abroad": _abroad, "ip6": _ip6, "ip": _ip, "ssn": _ssn, "date": _date, "iban": _iban}
 
 
 @functools.lru_cache(maxsize=4)
@@ -224,10 +262,12 @@ def replacer(key):
         def one(match):
             kind = next(k for k in ("secret", "key", "email", *VALIDATED) if match[k])
             found = match[PART[kind]] if kind in PART else match[0]
+            if kind == "ip" and match.string[max(0, match.start() - 10) : match.start()].lower().rstrip(" .:").endswith(VERSION):
+                return match[0]
             out = pseudonym(kind, found)
             if out is None:
                 return match[0]
-            kinds.append(kind)
+            kinds.append(SHOWN.get(kind, kind))
             return match[0][: -len(found)] + out if kind in PART else out
 
         return PATTERN.sub(one, text), kinds

@@ -97,3 +97,26 @@ def test_table(table, odd_rows):
     assert [r["text"] for r in got[: len(odd_rows)]] == [r[1] for r in odd_rows]
     assert got[-1] == got[-2] and got[-1]["pii_kinds"] == ["phone"] and "555-0199" not in got[-1]["text"]
     assert pseudonyms.pseudonymise(table([]), KEY).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, part",
+    [
+        ('{"password": "hunter2abc99"}', "hunter2abc99"), ("password = P@ssw0rd!2024", "P@ssw0rd!2024"),
+        ("token=abc$defghij1", "abc$defghij1"), ("pwd: a1b2c", "a1b2c"), ("call 555 123 4567 now", "555 123 4567"),
+        ("tel: 5551234567", "5551234567"), ("at +44 20 7946 0958.", "+44 20 7946 0958"), ("ssn 123 45 6789", "123 45 6789"),
+        ("from 2001:db8:85a3::8a2e:370:7334 to", "2001:db8:85a3::8a2e:370:7334"), ("host 10.1.2.3 up", "10.1.2.3"),
+    ],
+)
+def test_common_forms_are_replaced(text, part):
+    out, kinds = pseudonyms.replacer(b"k")(text)
+    assert len(kinds) == 1 and part not in out
+    assert out.startswith(text[: text.index(part)]) and (":" in part or len(out) == len(text) or kinds == ["ip"])
+    assert pseudonyms.replacer(b"k")(text) == (out, kinds)
+
+
+@pytest.mark.parametrize(
+    "text", ["version 1.2.3.4 is out", "v1.2.3.4", "at 12:34:56 sharp", "std::vector", "the token: of", "order 1700000000", "a::b"]
+)
+def test_what_only_looks_like_one_stays(text):
+    assert pseudonyms.replacer(b"k")(text) == (text, [])
