@@ -13,7 +13,6 @@ from rollspan.llm import near_dups, packing, pseudonyms, quality, templates
 from rollspan.session import cut
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-PSEUDONYM_KEY = b"corpus pipeline"
 ORACLE_SQL = None  # classifier, signatures and tokenizers have no SQL form
 
 
@@ -38,7 +37,7 @@ def benchmark_decontamination(spark, docs, sf_dir):
 
 def personal_data(spark, docs, sf_dir):
     """Replace personal numbers, dates, addresses and secrets by pseudonyms."""
-    replaced = pseudonyms.pseudonymise(docs.select(*COLUMNS), PSEUDONYM_KEY)
+    replaced = pseudonyms.pseudonymise(docs.select(*COLUMNS), pseudonyms.session_key(spark))
     changed = F.size("pii_kinds") > 0
     n_chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return replaced.withColumn("n_chars", n_chars).select(*COLUMNS)
