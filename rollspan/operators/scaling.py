@@ -1,5 +1,6 @@
 """Scalers fitted on observed TRAIN contexts only."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rollspan.functions import blocks as blk
@@ -11,17 +12,26 @@ from rollspan.functions.checked import bounded, required
 def in_regions(frames, regions):
     """Frames inside [start, stop) regions, each once.
 
-    Regions are cut at the block bounds and spread to their frames, so a frame meets
-    at most the one row of its number, however many regions a block has.
+    Regions are cut at the block bounds and laid between the frames of their block; one
+    ordered pass carries the furthest stop so far, and a frame before it is inside. So a
+    region costs one row a block, however many frames it covers.
     """
     block = F.explode(F.sequence(block_of(F.col("start")), block_of(F.col("stop") - 1)))
     cut_up = regions.filter(F.col("start") < F.col("stop")).select(
         "trajectory_id", "start", "stop", block.alias("_block")
     )
-    low = F.greatest(F.col("start"), F.col("_block") * blk.BLOCK)
-    high = F.least(F.col("stop"), (F.col("_block") + 1) * blk.BLOCK) - 1
-    covered = cut_up.select("trajectory_id", F.explode(F.sequence(low, high)).alias("frame"))
-    return frames.join(covered, ["trajectory_id", "frame"], "left_semi")
+    low = F.greatest(F.col("start"), F.col("_block") * blk.BLOCK).cast("long")
+    laid = cut_up.select(
+        "trajectory_id", "_block", low.alias("frame"), F.col("stop").cast("long").alias("_stop")
+    )
+    rows = frames.withColumn("_block", block_of(F.col("frame"))).unionByName(laid, allowMissingColumns=True)
+    order = Window.partitionBy("trajectory_id", "_block").orderBy("frame", F.desc_nulls_last("_stop"))
+    reach = F.max("_stop").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        rows.withColumn("_reach", reach)
+        .filter(F.col("_stop").isNull() & (F.col("frame") < F.col("_reach")))
+        .select(*frames.columns)
+    )
 
 
 def fit_scaler(frames, regions, features):
