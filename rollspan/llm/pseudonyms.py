@@ -23,6 +23,7 @@ import string
 import pyarrow as pa
 
 from rollspan.llm import worker
+from rollspan.llm.tokens import slices
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -290,11 +291,14 @@ def pseudonymise(docs, key, text="text", kinds="pii_kinds"):
         worker.keep("pseudonyms", replacer.cache_clear)
         replace = replacer(key)
         for batch in batches:
-            done = [replace(t) for t in batch.column(place).to_pylist()]
-            columns = list(batch.columns)
-            columns[place] = pa.array([d[0] for d in done], pa.string())
-            columns.append(pa.array([d[1] for d in done], pa.list_(pa.string())))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for lo, hi in slices(batch, column=place):
+                part = batch.slice(lo, hi - lo)
+                done = [replace(t) for t in part.column(place).to_pylist()]
+                columns = list(part.columns)
+                columns[place] = pa.array([d[0] for d in done], pa.string())
+                columns.append(pa.array([d[1] for d in done], pa.list_(pa.string())))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+        worker.release()
 
     schema = T.StructType([*rows.schema.fields, T.StructField(kinds, T.ArrayType(T.StringType()))])
     return rows.mapInArrow(run, schema)

@@ -208,6 +208,7 @@ def keep(docs, model, least):
                 x = np.array([statistics(t) for t in part.column(place).to_pylist()])
                 odds = np.clip(log_odds(model, x), -700, 700)
                 yield part.filter(pa.array(1 / (1 + np.exp(-odds)) >= least))
+        worker.release()
 
     rows = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in names])
     return rows.mapInArrow(run, rows.schema)

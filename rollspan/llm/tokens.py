@@ -219,9 +219,9 @@ def crc32_of_ids(ids):
     return zlib.crc32(np.asarray(ids).astype("<u4").tobytes())
 
 
-def slices(batch, chars=1_500_000):
+def slices(batch, chars=1_500_000, column="text"):
     """Row ranges of about so many characters, to bound a step's memory."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     start, total = 0, 0
     for i, size in enumerate(sizes):
         if total and total + size > chars:

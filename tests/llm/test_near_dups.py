@@ -73,3 +73,29 @@ def test_components_of_paths_and_stars(spark):
     got = {r["id"]: r["component"] for r in star_components(df).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{100 + i: 100 for i in range(1, 30)}}
     assert star_components(df.filter(F.lit(False))).count() == 0
+
+
+def test_a_doc_id_with_two_texts_links_through_both(table):
+    a = " ".join(f"a{i}" for i in range(40))
+    b = " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (3, b + " more"), (4, a + " more"), (None, b + " still"), (9, "x y z"), (9, "x y z")]
+    got = near_dups.near_duplicates(table(rows), width=4).collect()
+    seen = sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in got)
+    assert seen == [
+        ("1", 1, True), ("1", 1, True), ("3", 1, False), ("4", 1, False), ("9", 9, True), ("9", 9, True), ("None", 1, False),
+    ]
+    kept = sorted((r["doc_id"], r["text"]) for r in near_dups.without_duplicates(table(rows), width=4).collect())
+    assert kept == [(1, a), (1, b), (9, "x y z")]
+
+
+def test_one_row_of_each_group_stays(table, odd_rows):
+    same = " ".join(f"s{i}" for i in range(30))
+    rows = [*odd_rows, (None, same), (None, same), (8, same), (8, same), (8, same + " tail"), (7, same + " end")]
+    docs = table(rows)
+    kept = near_dups.without_duplicates(docs, width=5)
+    assert kept.columns == docs.columns
+    got = sorted((str(r["doc_id"]), r["text"] and r["text"][:9]) for r in kept.collect())
+    assert got == sorted([("1", None), ("2", ""), ("None", "no id her"), ("3", "twice the"), ("4", odd_rows[5][1][:9]), ("5", odd_rows[6][1]), ("7", same[:9])])
+    assert near_dups.without_duplicates(table([])).count() == 0
+    nulls = near_dups.without_duplicates(table([(None, same), (None, same), (None, same + " x")]), width=5)
+    assert nulls.count() == 1
