@@ -293,11 +293,20 @@ def window_arrays(frames, index, features, span, with_targets=True):
     return by_feature(window_channels(frames, index, features, span, with_targets))
 
 
-def first_windows(index):
-    """The first legal window of each trajectory, of its smallest cell."""
-    columns = [c for c in index.columns if c not in ("trajectory_id", "block")]
-    first = F.min_by(F.struct(*columns), F.struct("start", "context_frames", "horizon_frames"))
-    return index.groupBy("trajectory_id").agg(first.alias("_w")).select("trajectory_id", "_w.*")
+def first_windows(cells):
+    """The first legal window of each trajectory, of its smallest fitting cell.
+
+    `cells` are grid cells with their reason (W1). A cell that fits holds a window at
+    start 0, so no window is made to find it.
+    """
+    names = [c for c in cells.columns if c not in ("trajectory_id", "reason")]
+    first = F.min_by(F.struct(*names), F.struct("context_frames", "horizon_frames"))
+    return (
+        cells.filter(F.col("reason").isNull())
+        .groupBy("trajectory_id")
+        .agg(first.alias("_w"))
+        .select("trajectory_id", F.lit(0).cast("long").alias("start"), "_w.*")
+    )
 
 
 def export_training(arrays):

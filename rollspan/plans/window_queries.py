@@ -174,7 +174,8 @@ def w5(spark, sf_dir):
 SELECT {KEY}, group_id FROM o WHERE rn = 1""",
 )
 def w6(spark, sf_dir):
-    return wn.first_windows(tb.event_windows(spark, sf_dir)).select(*wn.WINDOW_KEY, "group_id")
+    cells, _ = wn.admit(tb.event_trajectories(spark, sf_dir), tb.event_assignments(spark, sf_dir), tb.GRID)
+    return wn.first_windows(cells).select(*wn.WINDOW_KEY, "group_id")
 
 
 @query(

@@ -99,8 +99,8 @@ def file_digests(spark, path, glob="*", name=None, row_limit=ROW_LIMIT):
     """Name, size and digests of every file, hashed by the tasks that read them.
 
     A file of at most `row_limit` bytes is one row. A larger one is never a row: a task of
-    its own streams it in chunks. `name` makes a file's name from its path; the last part
-    is the default.
+    its own streams it in chunks. Spark lists no empty file. `name` makes a file's name
+    from its path; the last part is the default.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob)
     files = files.option("recursiveFileLookup", True).load(path)

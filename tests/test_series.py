@@ -170,8 +170,11 @@ def test_contact_channels(spark):
         ).collect()
 
 
+@pytest.mark.parametrize("slab", [64, 1])
 @pytest.mark.parametrize("periodic", [False, True])
-def test_geometry_against_all_pairs(spark, periodic):
+def test_geometry_against_all_pairs(spark, monkeypatch, periodic, slab):
+    """Also with frames cut into slabs of one radius."""
+    monkeypatch.setattr(pt, "SLAB", slab)
     rng = np.random.default_rng(5)
     box = 3.0
     rows, truth = [], {}
@@ -216,3 +219,48 @@ def test_regions_and_radius(spark):
     radii = {r["region"]: r["radius"] for r in pt.radius_of_gyration(coords, regions).collect()}
     assert radii["distal"] == pytest.approx(math.sqrt(8 / 3))
     assert radii["pocket"] == pytest.approx(math.sqrt(2 / 3))
+
+
+def test_one_sided_and_coincident_frames(spark):
+    rows = [("t", 0, 0, "receptor", 1.0), ("t", 0, 1, "receptor", 2.0), ("t", 1, 0, "receptor", 1.0), ("t", 1, 5, "ligand", 1.0)]
+    points = spark.createDataFrame(
+        [(t, f, "s", a, side, x, 0.0, 0.0) for t, f, a, side, x in rows],
+        "trajectory_id string, frame long, system_id string, atom int, side string, x double, y double, z double",
+    )
+    assert {r["frame"]: r["contacts"] for r in pt.contacts(points, 0.5).collect()} == {0: 0, 1: 1}
+    assert [(r["frame"], r["minimum"]) for r in pt.min_distance(points).collect()] == [(1, 0.0)]
+
+
+@pytest.mark.parametrize("inside", [1_000_000, 20])
+def test_narrowed_quantiles(spark, monkeypatch, inside):
+    """Large groups are sketched again inside their intervals; ties end the narrowing."""
+    monkeypatch.setattr(qt, "INSIDE", inside)
+    rng = np.random.default_rng(9)
+    groups = {"n": rng.normal(size=6000), "ties": np.repeat([1.0, 5.0], 3000), "few": np.array([2.0, 9.0, 4.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "k string, v double")
+    levels = (0.0, 0.123, 0.5, 0.77, 1.0)
+    got = {r["k"]: r["quantiles"] for r in qt.exact_quantiles(df, ["k"], "v", levels).collect()}
+    for k, values in groups.items():
+        assert got[k] == pytest.approx(list(np.quantile(values, levels)), rel=1e-12)
+
+
+def test_ranks_outside_their_interval_are_found(spark, monkeypatch):
+    """A misleading sketch costs a second look, not a wrong value."""
+    monkeypatch.setattr(qt, "_grid", lambda value: F.array(*[F.lit(-5.0)] * (qt.CELLS + 1)))
+    df = spark.range(300).select(F.lit("k").alias("k"), F.col("id").cast("double").alias("v"))
+    assert qt.exact_quantiles(df, ["k"], "v", (0.25, 0.5)).first()["quantiles"] == [74.75, 149.5]
+
+
+@pytest.mark.parametrize("level, rise", [(0.0, 0.0), (1e9, 0.0), (0.0, 1e7)])
+def test_summaries_merge_like_the_whole_series(spark, short_blocks, level, rise):
+    rng = np.random.default_rng(3)
+    x = level + rise * np.arange(23) + rng.normal(size=23)
+    merged = sr.merged_summaries(sr.block_summaries(table(spark, list(map(float, x))), 6), 6).first()
+    d, c = np.diff(x), x - x.mean()
+    assert merged["n"] == 23 and merged["increments"] == 22
+    assert merged["mean"] == pytest.approx(x.mean(), rel=1e-12)
+    assert merged["std"] == pytest.approx(x.std(), rel=1e-6)
+    assert merged["drift"] == pytest.approx(np.polyfit(np.arange(23), x - level, 1)[0], rel=1e-5, abs=1e-6)
+    assert merged["acf"] == pytest.approx([float((c[k:] * c[: 23 - k]).sum() / (c * c).sum()) for k in range(7)], abs=1e-5)
+    assert merged["step_mean"] == pytest.approx(d.mean(), rel=1e-6, abs=1e-6)
+    assert merged["step_std"] == pytest.approx(d.std(), rel=1e-5)

@@ -219,3 +219,102 @@ def test_altered_split_is_refused(spark):
     altered = official.withColumn("split", F.lit("elsewhere"))
     with pytest.raises(ValueError, match="official split"):
         ss.read_for_purpose(frames, table, roles, "tuning", altered)
+
+
+def scoped(spark):
+    path = scratch(spark)
+    table = data.trajectories(spark).withColumn("source_checksum", F.lit("bytes"))
+    frames = data.frames(spark, lambda i, t: t)
+    ss.write_scoped(frames, table, path)
+    official = table.select(F.col("system_id").alias("id"), "split").distinct()
+    role = F.when(F.col("split") == "test", "confirmation").otherwise(F.col("split"))
+    return path, table, official, table.select("system_id", role.alias("role"))
+
+
+def test_scoped_reads_prune_folders(spark):
+    path, table, official, roles = scoped(spark)
+    faults = ss.record_faults(table, table, "d", "bytes", official)
+    read = lambda purpose: ss.read_scoped(spark, path, ["position", "constant"], table, roles, purpose, faults)
+    tuning, confirmed = read("tuning"), read("confirmation")
+    assert tuning.count() == 30 and {r["trajectory_id"] for r in confirmed.collect()} == {"trajectory-5"}
+    plan = confirmed._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "test" in plan
+    files = {f.split("/split=")[1].split("/")[0] for f in confirmed.inputFiles()}
+    assert files <= {"test", "train", "validation"}
+    with pytest.raises(Exception, match="no registered trajectory"):
+        ss.write_scoped(data.frames(spark, lambda i, t: t), table.filter("trajectory_id <> 'trajectory-0'"), scratch(spark))
+
+
+@pytest.mark.parametrize(
+    "column, value, reason",
+    [
+        ("trajectory_id", "elsewhere", "unknown record"), ("dataset_id", "other", "dataset differs"),
+        ("source_checksum", "changed", "source differs"), ("split", "test", "official split differs"),
+        ("frame_count", 5, "altered record"), ("license_id", "none", "altered record"),
+    ],
+)
+def test_faulty_records_are_refused_before_reading(spark, column, value, reason):
+    path, table, official, roles = scoped(spark)
+    first = F.col("trajectory_id") == "trajectory-0"
+    kind = dict(table.dtypes)[column]
+    given = table.withColumn(column, F.when(first, F.lit(value).cast(kind)).otherwise(F.col(column)))
+    faults = ss.record_faults(given, table, "d", "bytes", official)
+    assert [r["reason"] for r in faults.collect()] == [reason]
+    with pytest.raises(ValueError, match="frozen cohort"):
+        ss.read_scoped(spark, path, ["position"], given, roles, "tuning", faults)
+    assert ss.read_scoped(spark, path, ["position"], given, roles, "confirmation", faults).count() == 6
+
+
+def test_an_altered_bundle_table_is_named(spark):
+    table = spark.createDataFrame([("m", 1, 1, 0.5), ("m", 1, 2, 0.25)], "model string, context_frames int, "
+                                  "horizon_frames int, value double")
+    path, other = scratch(spark), scratch(spark)
+    bundle.write_bundle({name: table for name in bundle.TABLES}, path)
+    assert {(r["table"], r["rows"], r["intact"]) for r in bundle.check_bundle(spark, path).collect()} == {
+        (name, 2, True) for name in bundle.TABLES
+    }
+    assert spark.read.parquet(f"{path}/fingerprints").select("fingerprint").distinct().first()[0] == fingerprint(table)
+    bundle.write_bundle({name: table for name in bundle.TABLES}, other)
+    changed = table.withColumn("value", F.col("value") + 1)
+    changed.write.partitionBy("context_frames", "horizon_frames").mode("overwrite").parquet(f"{other}/runtime")
+    assert [r["table"] for r in bundle.check_bundle(spark, other).filter("not intact").collect()] == ["runtime"]
+    with pytest.raises(ValueError, match="runtime"):
+        bundle.read_bundle(spark, other)
+
+
+def test_large_files_are_streamed(spark, tmp_path):
+    import hashlib
+
+    parts = {"a b.bin": b"x" * 100_000, "small.bin": b"y"}
+    for name, content in parts.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r["name"]: r for r in bundle.file_digests(spark, str(tmp_path), "*.bin", row_limit=50).collect()}
+    for name, content in parts.items():
+        assert (got[name]["size"], got[name]["sha256"], got[name]["md5"]) == (
+            len(content), hashlib.sha256(content).hexdigest(), hashlib.md5(content).hexdigest(),
+        )
+
+
+def test_cleared_tables_are_built_again(spark):
+    from rollspan import session
+    from rollspan.plans import testbed as tb
+
+    key = (spark.sparkContext.applicationId, "folder", "name")
+    tb._STORED[key] = spark.range(1)
+    for forget in session._CLEARED:
+        forget(spark)
+    assert key not in tb._STORED
+
+
+def test_coverage_of_groups_that_lack_windows(spark):
+    table = data.trajectories(spark)
+    index = wn.windows(table, data.assignments(table), wn.Grid((2,), (1,), 1))
+    scored = index.crossJoin(spark.createDataFrame([("a",), ("b",)], "model string")).withColumn("feature_id", F.lit("x")).withColumn("step", F.lit(1))
+    assert ct.check_coverage(scored, index).count() == 0
+    gone = F.col("start") == 1
+    assert ct.check_coverage(scored.filter(~(gone & (F.col("model") == "a"))), index).count() == 0
+    rules = lambda rows, of=index: sorted({r["rule"] for r in ct.check_coverage(rows, of).collect()})
+    assert rules(scored.filter(~gone)) == ["missing"]
+    assert rules(scored, index.filter(~gone)) == ["extra"]
+    assert rules(scored.unionByName(scored.filter(gone))) == ["repeated"]
+    assert rules(scored.limit(0)) == ["missing"]

@@ -221,3 +221,19 @@ def test_series_contract_finds_each_fault(spark, short_blocks):
         rules = {r["rule"] for r in ct.validate_frames(frames, table).collect()}
         assert rule in rules, (rule, rules)
     assert ct.validate_frames(good, table).count() == 0
+
+
+def test_regions_in_one_pass(spark, short_blocks):
+    frames = spark.range(30).select(F.lit("a").alias("trajectory_id"), F.col("id").alias("frame"), F.lit(1.5).alias("x"))
+    regions = [(0, 2), (1, 3), (5, 5), (6, 15), (7, 8), (14, 17), (29, 40)]
+    df = spark.createDataFrame([("a", *r) for r in regions] + [("b", 0, 9)], "trajectory_id string, start long, stop long")
+    inside = sc.in_regions(frames, df)
+    assert inside.columns == frames.columns
+    assert sorted(r["frame"] for r in inside.collect()) == sorted({f for lo, hi in regions for f in range(lo, hi) if f < 30})
+
+
+def test_first_windows_without_windows(spark):
+    table = data.trajectories(spark)
+    cells, _ = wn.admit(table, data.assignments(table), wn.Grid((9, 3, 2), (2, 1), 1))
+    got = {(r["trajectory_id"], r["start"], r["context_frames"], r["horizon_frames"]) for r in wn.first_windows(cells).collect()}
+    assert got == {(f"trajectory-{i}", 0, 2, 1) for i in range(6)}
