@@ -23,6 +23,7 @@ own text. Extra columns are ignored; empty tables give no rows.
 
 from pyspark.sql import functions as F
 
+from rollspan.functions.arrays import let
 from rollspan.session import cut
 
 WIDTH, ENOUGH, LITERALS = 8, 6, 3
@@ -43,8 +44,11 @@ def marked_words(text):
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NAME}{NUMBER}{UNIT}{INITIAL}]", "")
     named = F.regexp_replace(plain, r"(\p{Lu})(?<=[\p{Ll}\d][,;:]? \p{Lu})(?=\p{Ll})", NAME + "$1")
     # Where there are names, capitals at a sentence's start may be some of them.
-    started = F.regexp_replace(named, rf"(?<![\p{{L}}{NAME}])(\p{{Lu}})(?=\p{{Ll}})", INITIAL + "$1")
-    named = F.when(F.contains(named, F.lit(NAME)), started).otherwise(named)
+    start = rf"(?<![\p{{L}}{NAME}])(\p{{Lu}})(?=\p{{Ll}})"
+    named = let(
+        named,
+        lambda t: F.when(F.contains(t, F.lit(NAME)), F.regexp_replace(t, start, INITIAL + "$1")).otherwise(t),
+    )
     numbered = F.regexp_replace(named, r"(?<![\p{L}\d.,])(\d+(?:[.,]\d+)*)", NUMBER + "$1")
     united = F.regexp_replace(
         numbered, rf"({NUMBER}[\d.,]*\d) ?(?i:({UNITS}))(?![\p{{L}}\d])", f"$1 {UNIT}$2"
@@ -53,18 +57,22 @@ def marked_words(text):
     slots = F.when(has_digit, united).otherwise(named)
     bare = F.regexp_replace(F.lower(slots), r"[\p{P}\p{S}&&[^%]]+(?!\d)|(?<!\d)[\p{P}\p{S}&&[^%]]+", "")
     words = F.filter(F.split(bare, r"[\s\u0085 ]+"), lambda w: w != "")
-    return F.when(F.contains(named, F.lit(NAME)), _settled(words)).otherwise(words)
+    started = lambda w: w.startswith(INITIAL)
+    return let(words, lambda w: F.when(F.exists(w, started), _settled(w)).otherwise(w))
 
 
 def _settled(words):
     """Words with INITIAL as names if they are names elsewhere, else without the mark."""
-    names = F.array_distinct(F.filter(words, lambda w: w.startswith(NAME)))
-    rest = lambda w: F.substring(w, 2, 1_000_000)
-    return F.transform(
-        words,
-        lambda w: F.when(~w.startswith(INITIAL), w)
-        .when(F.array_contains(names, F.concat(F.lit(NAME), rest(w))), F.concat(F.lit(NAME), rest(w)))
-        .otherwise(rest(w)),
+    name = lambda w: F.concat(F.lit(NAME), F.substring(w, 2, 1_000_000))
+    elsewhere = F.array_distinct(F.filter(words, lambda w: w.startswith(NAME)))
+    return let(
+        elsewhere,
+        lambda names: F.transform(
+            words,
+            lambda w: F.when(~w.startswith(INITIAL), w)
+            .when(F.array_contains(names, name(w)), name(w))
+            .otherwise(F.substring(w, 2, 1_000_000)),
+        ),
     )
 
 
