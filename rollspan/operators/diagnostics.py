@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from rollspan.functions.arrays import deviations, mean, non_decreasing, total
 from rollspan.functions.checked import bounded
-from rollspan.operators.inference import bootstrap_ci, paired_effect
+from rollspan.operators.inference import bootstrap_ci
 from rollspan.operators.losses import probability_columns
+from rollspan.session import cut
 from rollspan.tables import CELL, WINDOW_KEY
 
 ERRORS = {
@@ -204,8 +205,9 @@ def task_effects(groups, method, references, policy, reduction, interval=(0.1, 0
     """The fixed family of effects of one method against its references.
 
     `groups` is the output of `system_metrics`; `references` maps each role
-    (persistence, selected-statistic, compact) to a model. Group differences of all
-    kinds go through one bootstrap, so the draws are made once.
+    (persistence, selected-statistic, compact) to a model. All models of a group come
+    together in one aggregate, and group differences of all kinds go through one
+    bootstrap, so the draws are made once.
     """
     keys = [*CELL, "feature_id"]
     low, high = interval
@@ -216,35 +218,33 @@ def task_effects(groups, method, references, policy, reduction, interval=(0.1, 0
     wanted += [("worthwhile", r, "mae", factor) for r in references]
     wanted += [("pinball", r, "mean-pinball", 1.0) for r in references if r != "compact"]
     wanted += [("width", "selected-statistic", width, 1.0)]
-    tables = []
-    for role, model in references.items():
-        entries = [
-            F.struct(
-                F.lit(kind).alias("kind"),
-                (F.col(f"m.`{metric}`") - F.lit(scale) * F.col(f"r.`{metric}`")).alias("value"),
-            )
-            for kind, r, metric, scale in wanted
-            if r == role
-        ]
-        other = groups.filter(F.col("model") == model)
-        joined = mine.alias("m").join(other.alias("r"), [*keys, "group_id"], "full_outer")
-        stop = F.raise_error(F.lit("paired groups differ"))
-        both = F.col("m.model").isNotNull() & F.col("r.model").isNotNull()
-        tables.append(
-            joined.select(
-                *keys,
-                F.when(both, F.col("group_id")).otherwise(stop).alias("group_id"),
-                F.lit(role).alias("reference"),
-                F.inline(F.array(*entries)),
-            )
+    used = sorted({metric for _, _, metric, _ in wanted} | {coverage})
+    metrics = F.struct(*[F.col(f"`{m}`").alias(m) for m in used])
+    models = {"none": method, **references}
+    beside = groups.filter(F.col("model").isin(*models.values())).groupBy(*keys, "group_id").agg(
+        *[F.first(F.when(F.col("model") == m, metrics), ignorenulls=True).alias(f"_{role}") for role, m in models.items()]
+    )
+    whole = functools.reduce(lambda x, y: x & y, [F.col(f"`_{role}`").isNotNull() for role in models])
+    stop = F.raise_error(F.lit("paired groups differ"))
+    entries = [
+        F.struct(
+            F.lit(role).alias("reference"),
+            F.lit(kind).alias("kind"),
+            (F.col("_none")[metric] - F.lit(scale) * F.col(f"`_{role}`")[metric]).alias("value"),
+        )
+        for kind, role, metric, scale in wanted
+    ]
+    entries.append(
+        F.struct(
+            F.lit("none").alias("reference"), F.lit("coverage").alias("kind"),
+            F.col("_none")[coverage].alias("value"),
         )
-    tables.append(
-        mine.select(
-            *keys, "group_id", F.lit("none").alias("reference"), F.lit("coverage").alias("kind"),
-            F.col(f"`{coverage}`").alias("value"),
+    )
+    values = cut(
+        beside.select(
+            *keys, F.when(whole, F.col("group_id")).otherwise(stop).alias("group_id"), F.inline(F.array(*entries))
         )
     )
-    values = functools.reduce(lambda a, b: a.unionByName(b), tables)
     failed = values.filter(F.col("value").isNull()).select(*keys, "kind", "reference").distinct()
     scored = bootstrap_ci(
         values.filter(F.col("value").isNotNull()), ["feature_id", "kind", "reference"], policy
@@ -269,6 +269,7 @@ def task_effects(groups, method, references, policy, reduction, interval=(0.1, 0
 def summarize_task(groups, policy, references):
     """Per cell, feature and method, mean metrics, intervals and MAE ratios."""
     keys = ["model", *CELL, "feature_id"]
+    groups = cut(groups)
     names = [c for c in groups.columns if c not in (*keys, "group_id")]
     means = bootstrap_ci(
         _melt(groups, keys, names), ["model", "feature_id", "metric"], policy
@@ -301,15 +302,27 @@ def choose_inputs(group_rows, policy):
     choice = F.when(
         F.col("joint") < F.least("target-only", "shifted"), "joint"
     ).otherwise("target-only")
-    base = averaged.filter(F.col("condition") == "target-only").drop("condition")
-    variants = [
-        paired_effect(
-            averaged.filter(F.col("condition") == c).drop("condition"), base, policy, keys=["target"]
-        ).select("target", F.lit(c).alias("condition"), "difference", "marginal_lower",
-                 "marginal_upper", "groups")
-        for c in ("joint", "shifted")
-    ]
-    effects = variants[0].unionByName(variants[1])
+    one = lambda c: F.first(F.when(F.col("condition") == c, F.col("value")), ignorenulls=True)
+    beside = averaged.groupBy("target", "group_id").agg(
+        one("target-only").alias("_base"), one("joint").alias("_joint"), one("shifted").alias("_shifted")
+    )
+    whole = F.col("_base").isNotNull() & F.col("_joint").isNotNull() & F.col("_shifted").isNotNull()
+    stop = F.raise_error(F.lit("paired groups are unmatched"))
+    values = beside.select(
+        "target",
+        F.when(whole, F.col("group_id")).otherwise(stop).alias("group_id"),
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(c).alias("condition"), (F.col(f"_{c}") - F.col("_base")).alias("value"))
+                    for c in ("joint", "shifted")
+                ]
+            )
+        ),
+    )
+    effects = bootstrap_ci(values, ["condition"], policy, ["target"]).select(
+        "target", "condition", F.col("mean").alias("difference"), "marginal_lower", "marginal_upper", "groups"
+    )
     return effects.join(wide.select("target", choice.alias("choice")), "target")
 
 
