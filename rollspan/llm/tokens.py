@@ -5,8 +5,9 @@ the ids of a text are the ids of its units in a row. A batch of texts is cut and
 distinct units are numbered by Arrow; each new unit is encoded once by the `tokenizers`
 library and kept in a bounded cache of id bytes; ids are then gathered by number. A new
 unit of plain words and punctuation is put together from its parts, which the
-tokenizers also keep apart, and a full stop or comma between a word and a space becomes
-a unit at once, so a word is not encoded again for every sign that follows it.
+tokenizers also keep apart. Signs between a word and a space, and a line's end between
+two signs or words, become units at once, so a word is not encoded again for everything
+that follows it. Special tokens' strings give their one id, as in the library's plain call.
 """
 
 import os
@@ -23,7 +24,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are th
 
 SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _ODD = "^ |\\x00|[" + "".join(f"\\x{{{ord(c):x}}}" for c in SPACES) + "] "
-_SIGN = r"([\pL\pN])([.,])( |$)"
+_LINE = r"([\pL\pN!-~])\n([\pL\pN!-~])"
+_SIGN = r"([\pL\pN])([!-&(-/:-@\[-`{-~]+)( |$)"
 _CUT = re.compile(r"(?<=\S)(?= )")
 _PARTS = re.compile(r"[^\W\d_]+|[!-&(-/:-@\[-`{-~]+|\n")
 CACHE_LIMIT = 200_000
@@ -56,7 +58,6 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.cache, self.older = {}, {}
@@ -65,11 +66,18 @@ class UnitEncoder:
         self.bound = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.bound[i] = token.endswith("</w>") if self.by_end else token.startswith("\u0120")
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError("special tokens that take in what is around them are not supported")
+        self.special = {t.content: array(self.code, [i]).tobytes() for i, t in added.items()}
+        names = "|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))
+        self.parted = re.compile(f"({names})") if names else None
+        self.odd = f"{_ODD}|{names}" if names else _ODD
 
     def encode(self, texts):
         """(ids of all texts in a row, ids per text) of an Arrow array; null is empty."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        odd = np.asarray(pc.match_substring_regex(texts, _ODD))
+        odd = np.asarray(pc.match_substring_regex(texts, self.odd))
         if not odd.any():
             return self._gather(*self._cut(texts))
         plain, sizes = self._gather(*self._cut(texts.filter(pa.array(~odd))))
@@ -86,6 +94,7 @@ class UnitEncoder:
     def _cut(self, texts):
         """Units and their bounds. The first of a text is marked: no space precedes it."""
         marked = pc.binary_join_element_wise("\0", texts, "")
+        marked = pc.replace_substring_regex(marked, _LINE, "\\1 \0\n \0\\2")
         marked = pc.replace_substring_regex(marked, _SIGN, "\\1 \0\\2\\3")
         lists = pc.split_pattern(marked, " ")
         if isinstance(lists, pa.ChunkedArray):
@@ -93,29 +102,31 @@ class UnitEncoder:
         return lists.flatten(), np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py()
 
     def _odd(self, text):
-        """Ids of a text with runs of spaces or a null character, in Python."""
-        if "\0" in text:
-            units = ["\0" + text]
-        else:
-            units = [u[1:] if u[0] == " " else "\0" + u for u in _CUT.split(text)]
-        return np.frombuffer(b"".join(self._codes(units)), self.dtype)
+        """Ids of a text with runs of spaces, null characters or special tokens, in Python."""
+        codes = []
+        for part in self.parted.split(text) if self.parted else [text]:
+            if part in self.special:
+                codes.append(self.special[part])
+            elif "\0" in part:
+                codes += self._codes(["\0" + part])
+            elif part:
+                units = [u[1:] if u[0] == " " else "\0" + u for u in _CUT.split(part)]
+                codes += self._codes(units)
+        return np.frombuffer(b"".join(codes), self.dtype)
 
     def _gather(self, units, bounds):
         numbered = units.dictionary_encode()
-        codes = self._codes(numbered.dictionary.to_pylist())
-        number = np.asarray(numbered.indices)
-        held = np.frombuffer(b"".join(codes), self.dtype)
-        length = np.fromiter(map(len, codes), np.int64, len(codes)) // self.dtype.itemsize
-        start = np.cumsum(length) - length
-        before = np.concatenate([[0], np.cumsum(length[number])])
+        codes = self._codes(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+        held = pa.array(codes, pa.large_binary())
+        offsets = np.frombuffer(held.buffers()[1], np.int64, len(held) + 1)
+        length = np.diff(offsets) // self.dtype.itemsize
+        before = np.concatenate([[0], np.cumsum(length[np.asarray(numbered.indices)])])
         ids = np.empty(before[-1], self.dtype)
-        for lo in range(0, len(number), GATHER):
-            some = number[lo : lo + GATHER]
-            runs, base = length[some], before[lo]
-            shift = start[some] - (before[lo : lo + len(some)] - base)
-            at = np.repeat(shift.astype(np.int32), runs)
-            at += np.arange(len(at), dtype=np.int32)
-            np.take(held, at, out=ids[base : base + len(at)])
+        for lo in range(0, len(units), GATHER):
+            some = numbered.indices.slice(lo, GATHER)
+            taken = held.take(some).buffers()[2]
+            n = before[lo + len(some)] - before[lo]
+            ids[before[lo] : before[lo] + n] = np.frombuffer(taken, self.dtype, n)
         return ids, np.diff(before[bounds])
 
     def _codes(self, units):
@@ -157,7 +168,17 @@ class UnitEncoder:
         return [first, *["\0" + p for p in parts[1:]]]
 
     def _add(self, units):
-        cache, older, joined, words, others = self.cache, self.older, {}, set(), set()
+        cache, older, joined = self.cache, self.older, {}
+        words, firsts, others = set(), set(), set()
+
+        def add(unit):
+            if unit.isalpha():
+                words.add(unit)
+            elif unit[:1] == "\0" and unit[1:].isalpha():
+                firsts.add(unit)
+            else:
+                others.add(unit)
+
         for unit in units:
             if unit.isalpha():
                 words.add(unit)
@@ -170,12 +191,13 @@ class UnitEncoder:
                         cache[part] = older[part]
             for part in parts:
                 if part not in cache:
-                    (words if part.isalpha() else others).add(part)
-        words = list(words)
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            if not self._add_words(some):
-                others.update(some)
+                    add(part)
+        for kind, encode in ((words, self._add_words), (firsts, self._add_firsts)):
+            held = list(kind)
+            for at in range(0, len(held), 4096):
+                some = held[at : at + 4096]
+                if not encode(some):
+                    others.update(some)
         others, code = list(others), self.code
         for at in range(0, len(others), 4096):
             some = others[at : at + 4096]
@@ -202,6 +224,30 @@ class UnitEncoder:
         return True
 
 
+    def _add_firsts(self, units):
+        """Encode words without a space before them as the lines of one text.
+
+        Where spaces and lines' ends leave no ids, such a word is like any other.
+        """
+        if self.by_end:
+            words = [u[1:] for u in units]
+            if not self._add_words(words):
+                return False
+            self.cache.update((u, self.cache[w]) for u, w in zip(units, words))
+            return True
+        text = "\n".join(["", *(u[1:] for u in units)])
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        ids = np.array(ids, self.dtype)
+        marks = np.flatnonzero(ids == ids[0])
+        if len(marks) != len(units):
+            return False
+        raw, size = ids.tobytes(), self.dtype.itemsize
+        ends = np.append(marks[1:], len(ids)) * size
+        starts = (marks + 1) * size
+        self.cache.update((u, raw[i:j]) for u, i, j in zip(units, starts.tolist(), ends.tolist()))
+        return True
+
+
 def with_ends(ids, sizes, end):
     """Ids and sizes with one end id behind every text."""
     ends = np.cumsum(sizes) + np.arange(len(sizes))

@@ -13,15 +13,14 @@ WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe
 
 
 def plain(path):
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_units_are_the_text(path):
     rng = random.Random(5)
     texts = ["don't  stop\n\nnow", "a\tb \n c", "  lead", "trail ", "½ cup_of x2 '90s isn't, so", "\0x y \0z", "<|endoftext|> hi"]
+    texts += ["x  <|endoftext|>\n\n <|startoftext|>y.", "<|endoftext|<|endoftext|> ", "\0<|endoftext|>", "it's.\nO'Neil's '.\nx'\ny"]
     texts += ["".join(rng.choice(" \n\t.,'aBé1_-! ") for _ in range(rng.randrange(80))) for _ in range(600)]
     encoder, tokenizer = tokens.UnitEncoder(path), plain(path)
     ids, sizes = encoder.encode(pa.array(texts + [None, ""]))
