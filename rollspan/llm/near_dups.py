@@ -299,29 +299,56 @@ def _may_link(batches):
 
 
 def _exact(percent):
-    """One confirmed link per member and other component of a unit, by full sets."""
+    """Confirmed links that join the components of a task's units, by full sets.
 
-    def found(rows):
-        x, y = [r for r in rows if r[3]], [r for r in rows if not r[3]]
-        if not x or not y:
-            return
-        sets = [np.frombuffer(r[4], "<u8") for r in y]
-        size, component = np.array([len(s) for s in sets]), np.array([r[2] for r in y])
-        keys, owner = np.concatenate(sets), np.repeat(np.arange(len(y)), size)
-        order = np.argsort(keys, kind="stable")
-        keys, owner = keys[order], owner[order]
-        for r in x:
-            own = np.frombuffer(r[4], "<u8")
-            lo, hi = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
-            runs = hi - lo
-            at = np.repeat(lo - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
-            common = np.bincount(owner[at], minlength=len(y))
-            linked = 100 * common >= percent * (size + len(own) - common)
-            near = np.flatnonzero(linked & (component != r[2]))
-            for j in near[np.unique(component[near], return_index=True)[1]]:
-                yield min(r[1], y[j][1]), max(r[1], y[j][1])
-
-    return lambda batches: _units(batches, found, PAIR)
+    A link between components that earlier links of the task join adds nothing to them
+    and is left out, so a task gives fewer links than it meets components.
+    """
+
+    def run(batches):
+        joined = {}
+
+        def root(c):
+            top = c
+            while top in joined:
+                top = joined[top]
+            while c != top:
+                joined[c], c = top, joined[c]
+            return top
+
+        def found(rows):
+            x, y = [r for r in rows if r[3]], [r for r in rows if not r[3]]
+            if not x or not y:
+                return
+            names, at_name = np.unique([r[2] for r in y], return_inverse=True)
+            tops = lambda: np.array([root(int(c)) for c in names])[at_name]
+            component = tops()
+            if all(root(r[2]) == component[0] for r in x) and (component == component[0]).all():
+                return
+            sets = [np.frombuffer(r[4], "<u8") for r in y]
+            size = np.array([len(s) for s in sets])
+            keys, owner = np.concatenate(sets), np.repeat(np.arange(len(y)), size)
+            order = np.argsort(keys, kind="stable")
+            keys, owner = keys[order], owner[order]
+            for r in x:
+                if (component == root(r[2])).all():
+                    continue
+                own = np.frombuffer(r[4], "<u8")
+                lo, hi = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
+                runs = hi - lo
+                at = np.repeat(lo - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
+                common = np.bincount(owner[at], minlength=len(y))
+                linked = 100 * common >= percent * (size + len(own) - common)
+                near = np.flatnonzero(linked & (component != root(r[2])))
+                for j in near[np.unique(component[near], return_index=True)[1]]:
+                    joined[int(component[j])] = root(r[2])
+                    yield min(r[1], y[j][1]), max(r[1], y[j][1])
+                if len(near):
+                    component = tops()
+
+        yield from _units(batches, found, PAIR)
+
+    return run
 
 
 def _between_components(members, labels, nodes, docs, width, percent):
@@ -329,7 +356,7 @@ def _between_components(members, labels, nodes, docs, width, percent):
 
     A unit is a block of nodes outside the bucket's largest component and a block of all
     its nodes. Tasks give back the members that may link, then the links found on their
-    full sets, one for each member and component; no pairs are written out.
+    full sets that join components, fewer than components met; no pairs are written out.
     """
     labelled = cut(
         members.join(labels, "id", "left").select(

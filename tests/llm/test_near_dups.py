@@ -99,3 +99,19 @@ def test_one_row_of_each_group_stays(table, odd_rows):
     assert near_dups.without_duplicates(table([])).count() == 0
     nulls = near_dups.without_duplicates(table([(None, same), (None, same), (None, same + " x")]), width=5)
     assert nulls.count() == 1
+
+
+def test_links_of_one_unit_grow_with_its_components(spark):
+    """Forty linked members of forty components need 39 links, not one per pair."""
+    import numpy as np
+    import pyarrow as pa
+
+    base = np.arange(100, dtype="<u8")
+    sets = [np.append(base, np.uint64(1000 + i)).tobytes() for i in range(40)]
+    rows = [(u, i, i, side, sets[i]) for u in (1, 2) for i in range(40) for side in (True, False)]
+    names = ["unit", "id", "component", "is_x", "set"]
+    batch = pa.RecordBatch.from_pydict({n: [r[k] for r in rows] for k, n in enumerate(names)})
+    got = [(a, b) for out in near_dups._exact(80)([batch]) for a, b in zip(*(out.column(c).to_pylist() for c in ("a", "b")))]
+    assert len(got) == 39
+    found = star_components(spark.createDataFrame(got, "u long, v long")).collect()
+    assert {r["id"]: r["component"] for r in found} == {i: 0 for i in range(1, 40)}
