@@ -40,31 +40,36 @@ def row_digest(df, keys=None):
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
-def _limbs(digest):
-    """The eight sums of a fingerprint, as text."""
-    return [
-        F.coalesce(
-            F.sum(
-                F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")
-            ),
-            F.lit(0).cast("decimal(30,0)"),
-        ).cast("string")
-        for i in range(8)
+def _with_words(df, digest):
+    """Add a digest's four 64-bit words, as signed numbers, each converted once per row."""
+    rows = df.withColumn("_digest", digest)
+    words = [F.conv(F.substring("_digest", 16 * i + 1, 16), 16, -10).cast("long") for i in range(4)]
+    return rows.withColumns({f"_w{i}": w for i, w in enumerate(words)}).drop("_digest")
+
+
+def _quarter_sums():
+    """Sums of the words' 16-bit quarters: plain longs that hold 2^47 rows."""
+    quarters = [
+        F.shiftrightunsigned(f"_w{i}", 48 - 16 * j).bitwiseAND(F.lit(0xFFFF).cast("long"))
+        for i in range(4) for j in range(4)
     ]
+    return [F.coalesce(F.sum(q), F.lit(0).cast("long")).alias(f"q{n}") for n, q in enumerate(quarters)]
 
 
 def observed_fingerprint(df, keys=None):
     """(df with an observation, function giving rows and fingerprint once df was written).
 
-    The sums are taken while the rows pass by, so the table is not read again.
+    The sums are taken while the rows pass by, so the table is not read again. The digest
+    is a column below the observation, whose sums would each evaluate it anew.
     """
     seen = Observation()
-    sums = [s.alias(f"l{i}") for i, s in enumerate(_limbs(row_digest(df, keys)))]
-    watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), *sums)
+    rows = _with_words(df, row_digest(df, keys))
+    watched = rows.observe(seen, F.count(F.lit(1)).alias("rows"), *_quarter_sums()).select(*[f"`{c}`" for c in df.columns])
 
     def result():
         found = seen.get
-        text = "|".join([str(found["rows"]), *[found[f"l{i}"] for i in range(8)]])
+        limbs = [(found[f"q{2 * i}"] << 16) + found[f"q{2 * i + 1}"] for i in range(8)]
+        text = "|".join(str(v) for v in (found["rows"], *limbs))
         return found["rows"], hashlib.sha256(text.encode()).hexdigest()
 
     return watched, result
@@ -73,16 +78,18 @@ def observed_fingerprint(df, keys=None):
 def fingerprint_frame(df, keys=None):
     """One row: content identity that ignores row order and counts duplicates.
 
-    The row digests are added up limb by limb, so the state is eight numbers however
-    many rows there are, and partial sums merge before the shuffle.
+    The row digests are added up limb by limb (eight of 32 bits, each in two halves), so
+    the state is a few numbers however many rows there are, and partial sums merge before
+    the shuffle.
     """
-    rows = df.select(row_digest(df, keys).alias("h"))
-    limbs = _limbs(F.col("h"))
-    return rows.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sha2(
-            F.concat_ws("|", F.count(F.lit(1)).cast("string"), *limbs), 256
-        ).alias("fingerprint"),
+    rows = _with_words(df, row_digest(df, keys)).select(*[f"_w{i}" for i in range(4)])
+    sums = rows.agg(F.count(F.lit(1)).alias("rows"), *_quarter_sums())
+    exact = lambda name: F.col(name).cast("decimal(20,0)")
+    limbs = [
+        (exact(f"q{2 * i}") * 65536 + exact(f"q{2 * i + 1}")).cast("decimal(38,0)").cast("string") for i in range(8)
+    ]
+    return sums.select(
+        "rows", F.sha2(F.concat_ws("|", F.col("rows").cast("string"), *limbs), 256).alias("fingerprint")
     )
 
 

@@ -318,3 +318,25 @@ def test_coverage_of_groups_that_lack_windows(spark):
     assert rules(scored, index.filter(~gone)) == ["extra"]
     assert rules(scored.unionByName(scored.filter(gone))) == ["repeated"]
     assert rules(scored.limit(0)) == ["missing"]
+
+
+def test_fingerprints_digest_each_row_once(spark):
+    """One digest a row, and sums equal to those of the digests' 32-bit limbs."""
+    import hashlib
+
+    from rollspan.functions.hashing import fingerprint_frame, observed_fingerprint
+
+    table = spark.range(50).select(F.col("id").alias("n"), F.concat(F.lit("s"), "id").alias("s"))
+    digests = [hashlib.sha256(f'{{"n":{i},"s":"s{i}"}}'.encode()).hexdigest() for i in range(50)]
+    limbs = [sum(int(d[8 * i : 8 * i + 8], 16) for d in digests) for i in range(8)]
+    want = hashlib.sha256("|".join(map(str, [50, *limbs])).encode()).hexdigest()
+    assert fingerprint(table) == want
+    watched, mark = observed_fingerprint(table)
+    assert watched.columns == table.columns
+    watched.write.format("noop").mode("overwrite").save()
+    assert mark() == (50, want)
+    assert fingerprint_frame(table).first().asDict() == {"rows": 50, "fingerprint": want}
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    plan = watched._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("sha2(") == 1
