@@ -212,10 +212,35 @@ def group_metric(losses_rows, metric="mae"):
 
 def group_mae(predictions, extra=()):
     """Trajectory then group MAE, no system level, with counts."""
-    base = ["model", *CELL, "feature_id", *extra]
     error = F.abs(F.col("point") - F.col("target"))
-    trajectory = predictions.groupBy(*base, "group_id", "trajectory_id").agg(
-        F.avg(error).alias("mae"), F.count_if(F.col("step") == 1).alias("windows")
+    return _group_mae(predictions, extra, F.avg(error), F.count_if(F.col("step") == 1))
+
+
+def group_mae_of_windows(points, extra=()):
+    """G9 from forecast rows that hold a window's points and targets as arrays.
+
+    A window's errors are added up in its row, so no row per lead is made. A point that is
+    not finite stops the job, as in `predictions`; leads without a target are left out.
+    """
+    add = lambda errors: F.aggregate(errors, F.lit(0.0), lambda a, x: a + x)
+    rows = points.withColumn("_errors", F.zip_with("points", "target", lambda p, t: F.abs(p - t)))
+    rows = rows.withColumn("_sum", add(F.col("_errors")))
+    plain = F.coalesce(F.abs("_sum") < F.lit(float("inf")), F.lit(False))
+    given = F.filter("_errors", lambda x: x.isNotNull())
+    finite = F.forall("points", lambda p: F.coalesce(F.abs(p) < F.lit(float("inf")), F.lit(False)))
+    unfit = F.raise_error(F.lit("forecast point is not finite")).cast("double")
+    rows = rows.withColumns({
+        "_total": F.when(plain, F.col("_sum")).when(finite, add(given)).otherwise(unfit),
+        "_known": F.when(plain, F.size("_errors")).otherwise(F.size(given)).cast("double"),
+    })
+    mean = F.sum("_total") / F.nullif(F.sum("_known"), F.lit(0.0))
+    return _group_mae(rows, extra, mean, F.count_if(F.size("points") > 0))
+
+
+def _group_mae(rows, extra, mae, windows):
+    base = ["model", *CELL, "feature_id", *extra]
+    trajectory = rows.groupBy(*base, "group_id", "trajectory_id").agg(
+        mae.alias("mae"), windows.alias("windows")
     )
     return trajectory.groupBy(*base, "group_id").agg(
         F.avg("mae").alias("mae"),

@@ -315,3 +315,20 @@ def test_broadcast_of_a_declared_table_is_bounded(spark):
     assert bounded(spark.range(5), 5).count() == 5
     with pytest.raises(Exception, match="more than 4 rows"):
         bounded(spark.range(5), 4).collect()
+
+
+def test_group_errors_of_windows_are_those_of_their_rows(spark):
+    """Sums per window give the group table without a row per lead."""
+    arrays = data.arrays(spark, ([0.0, 1, 2], [3.0, 9.0]), ([4.0, 2, 1], [5.0, 6.0]), ([1.0, 1, 1], [2.0, 7.0]))
+    points = fc.forecast(arrays, {"persistence": fc.persistence, "linear": fc.linear})
+    gap = F.when(F.col("trajectory_id") == "t2", F.array(F.lit(2.0), F.lit(None).cast("double"))).otherwise(F.col("target"))
+    for given in (points, points.withColumn("target", gap)):
+        order = lambda df: sorted(tuple(r) for r in df.collect())
+        got, want = order(ls.group_mae_of_windows(given)), order(ls.group_mae(fc.predictions(given)))
+        assert [r[:-3] + r[-2:] for r in got] == [r[:-3] + r[-2:] for r in want]
+        assert [r[-3] for r in got] == pytest.approx([r[-3] for r in want])
+    plan = ls.group_mae_of_windows(points)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
+    broken = points.withColumn("points", F.array(F.lit(float("nan")), F.lit(1.0)))
+    with pytest.raises(Exception, match="not finite"):
+        ls.group_mae_of_windows(broken).collect()
