@@ -72,20 +72,26 @@ def crossing_status(tagged, cell=("model", *CELL, "feature_id")):
     )
 
 
-def lead_table(tagged, levels, intervals):
-    """Per-lead errors, and probability losses where the cell's quantiles are ordered."""
+def _lead_columns(levels, intervals, shown=None):
+    """Errors, then probability losses (where `shown` holds), as columns."""
     error = F.col("point") - F.col("target")
-    probability = [
-        F.when(F.col("cell_valid"), c).alias(n)
-        for n, c in probability_columns(list(levels), intervals).items()
+    return [
+        error.alias("lead_bias"),
+        F.abs(error).alias("lead_absolute_error"),
+        (error * error).alias("lead_squared_error"),
+        *[
+            (c if shown is None else F.when(shown, c)).alias(n)
+            for n, c in probability_columns(list(levels), intervals).items()
+        ],
     ]
+
+
+def lead_table(tagged, levels, intervals):
+    """Per-lead errors, and probability losses where the cell's quantiles are ordered."""
     return tagged.select(
         "model", *WINDOW_KEY, "system_id", "group_id", "feature_id",
         F.col("step").alias("lead"),
-        error.alias("lead_bias"),
-        F.abs(error).alias("lead_absolute_error"),
-        (error * error).alias("lead_squared_error"),
-        *probability,
+        *_lead_columns(levels, intervals, F.col("cell_valid")),
     )
 
 
@@ -97,13 +103,17 @@ def _avg(names):
     return [F.avg(F.col(f"`{n}`")).alias(n) for n in names]
 
 
-def system_metrics(leads, keys=("model", *CELL, "feature_id")):
-    """Trajectory then group means; RMSE rooted per trajectory; mean pinball."""
+def system_metrics(leads, keys=("model", *CELL, "feature_id"), tag=None):
+    """Trajectory then group means; RMSE rooted per trajectory; mean pinball.
+
+    `tag` names a boolean column that holds for a group if it holds for all its rows.
+    """
     keys = list(keys)
     names = [*ERRORS, *_probability_names(leads)]
-    trajectory = leads.groupBy(*keys, "group_id", "trajectory_id").agg(*_avg(names))
+    tags = [F.bool_and(tag).alias(tag)] if tag else []
+    trajectory = leads.groupBy(*keys, "group_id", "trajectory_id").agg(*_avg(names), *tags)
     rooted = trajectory.withColumn("lead_squared_error", F.sqrt("lead_squared_error"))
-    group = rooted.groupBy(*keys, "group_id").agg(*_avg(names)).withColumnsRenamed(ERRORS)
+    group = rooted.groupBy(*keys, "group_id").agg(*_avg(names), *tags).withColumnsRenamed(ERRORS)
     pinball = [F.col(f"`{n}`") for n in names if n.startswith("pinball-")]
     if pinball:
         group = group.withColumn(
@@ -112,6 +122,24 @@ def system_metrics(leads, keys=("model", *CELL, "feature_id")):
     return group
 
 
+def tagged_system_metrics(predictions, levels, intervals):
+    """G21 and G22 in one pass: `system_metrics` of the `lead_table` of tagged predictions.
+
+    Whether quantiles are ordered is gathered with the means, so a cell's verdict comes
+    from its group rows, which are written once; the predictions are read once.
+    """
+    cell = ["model", *CELL, "feature_id"]
+    leads = predictions.select(
+        *cell, "group_id", "trajectory_id",
+        *_lead_columns(levels, intervals), non_decreasing(F.col("quantiles")).alias("_ordered"),
+    )
+    groups = cut(system_metrics(leads, cell, "_ordered"))
+    cells = groups.groupBy(*cell).agg(F.bool_and("_ordered").alias("_valid"))
+    probability = [*_probability_names(groups), *(["mean-pinball"] if "mean-pinball" in groups.columns else [])]
+    shown = {n: F.when(F.col("_valid"), F.col(f"`{n}`")) for n in probability}
+    return groups.join(bounded(cells), cell).withColumns(shown).drop("_ordered", "_valid")
+
+
 def error_summary(leads, by_lead=False):
     """MAE, RMSE and bias, trajectory to group to all."""
     keys = ["model", *CELL, "feature_id", *(["lead"] if by_lead else [])]

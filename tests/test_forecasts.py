@@ -354,3 +354,28 @@ def test_points_are_stored_once_per_window(spark):
     assert sets.count() * 2 == mm.each_model(sets).count() < direct.count()
     assert got.columns == direct.columns
     assert got.exceptAll(direct).isEmpty() and direct.exceptAll(got).isEmpty()
+
+
+def test_tagged_metrics_are_those_of_the_lead_table(spark):
+    """One pass with the verdicts gathered beside the means; a crossing voids its cell only."""
+    rows = [
+        (model, t, 0, 2, 2, s, g, step, "x", p, y, [0.1, 0.5, 0.9], [p - 1.0, p, p + up])
+        for model, up in (("ordered", 1.0), ("crossing", 1.0))
+        for t, s, g, p, y in (("a1", "a", "g1", 1.0, 1.5), ("a2", "a", "g1", 2.0, 5.0), ("b1", "b", "g2", 4.0, 3.0))
+        for step in (1, 2)
+    ]
+    rows[-1] = (*rows[-1][:-1], [5.0, 4.0, 3.0])
+    predictions = spark.createDataFrame(
+        rows,
+        "model string, trajectory_id string, start int, context_frames int, horizon_frames int, "
+        "system_id string, group_id string, step int, feature_id string, point double, target double, "
+        "levels array<double>, quantiles array<double>",
+    )
+    levels, intervals = (0.1, 0.5, 0.9), ((0.1, 0.9),)
+    want = dg.system_metrics(dg.lead_table(dg.tag_crossings(predictions), levels, intervals))
+    got = dg.tagged_system_metrics(predictions, levels, intervals)
+    assert sorted(got.columns) == sorted(want.columns)
+    got, want = ({(r["model"], r["group_id"]): r.asDict() for r in t.collect()} for t in (got, want))
+    assert got == want and len(got) == 4
+    assert got["crossing", "g1"]["width-0.1-0.9"] is None and got["crossing", "g1"]["mae"] > 0
+    assert got["ordered", "g1"]["coverage-0.1-0.9"] == 0.5
