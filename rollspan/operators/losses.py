@@ -210,6 +210,96 @@ def group_metric(losses_rows, metric="mae"):
     )
 
 
+def _at(array, step):
+    return F.get(array, F.lit(step - 1))
+
+
+def lead_error(step):
+    """The absolute error at a lead of a row whose `points` and `target` are arrays.
+
+    A point or an error that is not finite stops the job; beyond the arrays it is null.
+    """
+    point = _at("points", step)
+    error = finite(F.abs(point - _at("target", step)), "a loss is not a finite number")
+    unfit = F.raise_error(F.lit("forecast point is not finite")).cast("double")
+    inside = F.lit(step) <= F.greatest(F.size("points"), F.size("target"))
+    return F.when(inside, F.when(F.abs(point) < F.lit(float("inf")), error).otherwise(unfit))
+
+
+def lead_coverage(step):
+    """1 if the target at a lead lies in the interval that `with_interval` laid about its point."""
+    point, target = _at("points", step), _at("target", step)
+    low, high = (
+        point + required(F.col(f"_{side}{step}"), "a prediction has no residual offsets") for side in ("low", "high")
+    )
+    finite_point = F.abs(point) < F.lit(float("inf"))
+    unfit = F.raise_error(F.lit("forecast point is not finite")).cast("double")
+    inside = F.lit(step) <= F.greatest(F.size("points"), F.size("target"))
+    return F.when(inside, F.when(finite_point, target.between(low, high).cast("double")).otherwise(unfit))
+
+
+def with_interval(points, offsets, levels, interval, leads):
+    """Window rows with the interval's offsets of every lead; offsets that decrease stop the job."""
+    series = ["model", *CELL, "feature_id"]
+    ordered = F.when(F.array_sort("offsets") == F.col("offsets"), F.col("offsets")).otherwise(
+        F.raise_error(F.lit("a row's quantiles decrease, so it has no intervals"))
+    )
+    sides = {side: F.element_at(ordered, list(levels).index(q) + 1) for side, q in zip(("low", "high"), interval)}
+    wide = offsets.groupBy(*series).agg(
+        *[
+            F.max(F.when(F.col("step") == step, offset)).alias(f"_{side}{step}")
+            for step in range(1, leads + 1) for side, offset in sides.items()
+        ]
+    )
+    return points.join(bounded(wide), series, "left")
+
+
+def group_steps(points, element, leads, scaler=None):
+    """Group values per step and over the whole horizon (step 0), from window rows.
+
+    `element(step)` is a loss at one lead of a row that holds a window's leads as arrays;
+    windows, trajectories, systems and groups are averaged with a column per lead, so no
+    row per lead is made or shuffled. `leads` is the grid's longest horizon; a longer one
+    stops the job. With a scaler, a feature without a scale stops it too.
+    """
+    base = ["model", *CELL, "feature_id"]
+    names = [f"_s{step}" for step in range(1, leads + 1)]
+    if scaler is not None:
+        points = points.join(bounded(scaler.select("feature_id", "scale")), "feature_id", "left")
+        scale = positive(
+            required(F.col("scale"), "a feature has no scale"), "a scale is not finite and positive"
+        )
+        points = points.filter(scale > 0)
+    fits = F.when(F.col("horizon_frames") <= leads, F.lit(True)).otherwise(
+        F.raise_error(F.lit("a horizon is longer than the declared leads"))
+    )
+    rows = points.filter(fits).select(
+        *base, "trajectory_id", "system_id", "group_id",
+        *[element(step).alias(n) for step, n in enumerate(names, start=1)],
+    )
+    trajectory = _means(rows, [*base, "trajectory_id", "system_id", "group_id"], names)
+    total = functools.reduce(lambda a, b: a + b, [F.coalesce(n, F.lit(0.0)) for n in names])
+    known = functools.reduce(lambda a, b: a + b, [F.col(n).isNotNull().cast("double") for n in names])
+    trajectory = trajectory.withColumn("_s0", total / F.nullif(known, F.lit(0.0)))
+    system = _means(trajectory, [*base, "system_id", "group_id"], ["_s0", *names])
+    group = _means(system, [*base, "group_id"], ["_s0", *names])
+    steps = [
+        F.struct(F.lit(step).alias("step"), F.col(f"_s{step}").alias("value")) for step in range(leads + 1)
+    ]
+    out = group.select(*base, "group_id", F.inline(F.array(*steps)))
+    return out.filter(F.col("step") <= F.col("horizon_frames")).select(*base, "step", "group_id", "value")
+
+
+def aggregate_rows(groups, metric, lower_q=None, upper_q=None):
+    """G8's aggregate rows of one metric from group values per step."""
+    base = ["model", *CELL, "feature_id", "step"]
+    return groups.groupBy(*base).agg(F.avg("value").alias("value")).select(
+        *base[:3], F.lit("aggregate").alias("level"), F.lit("all").alias("identity"), *base[3:],
+        F.lit(metric).alias("metric"), F.lit(lower_q).cast("double").alias("lower_q"),
+        F.lit(upper_q).cast("double").alias("upper_q"), "value",
+    ).filter(F.col("value").isNotNull())
+
+
 def group_mae(predictions, extra=()):
     """Trajectory then group MAE, no system level, with counts."""
     error = F.abs(F.col("point") - F.col("target"))

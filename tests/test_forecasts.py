@@ -379,3 +379,53 @@ def test_tagged_metrics_are_those_of_the_lead_table(spark):
     assert got == want and len(got) == 4
     assert got["crossing", "g1"]["width-0.1-0.9"] is None and got["crossing", "g1"]["mae"] > 0
     assert got["ordered", "g1"]["coverage-0.1-0.9"] == 0.5
+
+
+def window_points(spark, *points):
+    """Rows of one model's points on targets of 1.0 and 2.0, a trajectory each."""
+    held = [(f"t{i}", 0, 3, 2, f"s{i // 2}", "g", "x", "m", p, [1.0, 2.0]) for i, p in enumerate(points)]
+    return spark.createDataFrame(
+        held,
+        "trajectory_id string, start int, context_frames int, horizon_frames int, system_id string, "
+        "group_id string, feature_id string, model string, points array<double>, target array<double>",
+    ).withColumns({"origin": F.lit(0.0), "split": F.lit("train")})
+
+
+def test_group_steps_are_those_of_the_rows(spark):
+    """A column per lead gives what a row per lead gives, whatever the declared leads."""
+    points = window_points(spark, [1.0, 4.0], [3.0, 2.5], [0.5, 9.0])
+    scaler = spark.createDataFrame([("x", 2.0)], "feature_id string, scale double")
+    want = ls.group_metric(ls.losses(fc.predictions(points), scaler))
+    for leads in (2, 5):
+        got = ls.group_steps(points, ls.lead_error, leads, scaler)
+        assert got.columns == want.columns
+        assert {(r["step"], r["value"]) for r in got.collect()} == {(r["step"], r["value"]) for r in want.collect()}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and plan.count("Generate") == 1
+    for unfit, leads, scale, message in (
+        ([float("nan"), 1.0], 2, scaler, "point is not finite"),
+        ([1.0, 1.0], 1, scaler, "longer than the declared leads"),
+        ([1.0, 1.0], 2, scaler.filter("scale < 0"), "no scale"),
+        ([1.0, 1.0], 2, scaler.withColumn("scale", F.lit(0.0)), "not finite and positive"),
+    ):
+        with pytest.raises(Exception, match=message):
+            ls.group_steps(window_points(spark, unfit), ls.lead_error, leads, scale).collect()
+
+
+def test_coverage_of_windows_is_that_of_their_rows(spark):
+    points = window_points(spark, [1.0, 4.0], [3.0, 2.5], [0.5, 9.0])
+    levels, interval = [0.1, 0.5, 0.9], (0.1, 0.9)
+    rows = fc.predictions(points)
+    offsets = rs.fit_residual_quantiles(rows, levels)
+    scaler = spark.createDataFrame([("x", 2.0)], "feature_id string, scale double")
+    losses = ls.losses(rs.apply_residuals(rows, offsets), scaler, levels, [interval])
+    want = ls.hierarchy(losses).filter("level = 'aggregate' AND metric = 'coverage'")
+    inside = ls.with_interval(points, offsets, levels, interval, 2)
+    got = ls.aggregate_rows(ls.group_steps(inside, ls.lead_coverage, 2), "coverage", *interval)
+    assert {c for c, _ in got.dtypes} == {c for c, _ in want.dtypes}
+    assert {(r["step"], r["value"], r["upper_q"]) for r in got.collect()} == {
+        (r["step"], r["value"], r["upper_q"]) for r in want.collect()
+    }
+    lost = ls.with_interval(points, offsets.filter("step = 1"), levels, interval, 2)
+    with pytest.raises(Exception, match="no residual offsets"):
+        ls.group_steps(lost, ls.lead_coverage, 2).collect()
