@@ -446,10 +446,8 @@ def s15_check(spark, sf_dir):
     line = F.to_json(F.struct(*sorted(rows.columns)))
     folder = scratch(spark)
     known = rows.select(F.col("s_suppkey").alias("number"), F.col("s_name").alias("name"), line.alias("value"))
-    known.select("name", "value").repartition("name").write.partitionBy("name").text(folder)
-    digests = bundle.file_digests(
-        spark, folder, "*.txt", lambda p: F.url_decode(F.regexp_extract(p, "/name=([^/]*)/", 1)), 82
-    )
+    bundle.write_files(known, folder)
+    digests = bundle.file_digests(spark, folder, "*.txt", bundle.file_name, 82)
     text, rule = F.concat("value", F.lit("\n")), F.col("number") % 5
     size = F.octet_length(text).cast("long")
     manifest = known.filter(rule != 2).select(

@@ -1,6 +1,8 @@
 """Result bundles: sinks, scans and integrity."""
 
+import functools
 import hashlib
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -73,16 +75,55 @@ ROW_LIMIT = 2**30
 CHUNK = 8 << 20
 
 
-def _streamed(batches):
-    """Digests of files read chunk by chunk; only the hash states are carried."""
+def _store(path):
+    """The file system of a path or URI, and the path there."""
     from pyarrow import fs
 
+    plain = path.removeprefix("file:")
+    local = plain != path or "://" not in path
+    return (fs.LocalFileSystem(), "/" + plain.lstrip("/")) if local else fs.FileSystem.from_uri(path)
+
+
+def _written(batches, folder):
+    """Write a file per row; a file appears whole, and a task that runs twice writes it again."""
+    store, root = _store(folder)
+    for batch in batches:
+        for name, part, text in zip(*[batch.column(c).to_pylist() for c in ("name", "part", "text")]):
+            store.create_dir(f"{root}/{part}", recursive=True)
+            held = f"{root}/{part}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(held, compression=None) as stream:
+                stream.write(text.encode())
+            store.move(held, f"{root}/{part}/{name}")
+        yield pa.RecordBatch.from_pydict({"files": pa.array([batch.num_rows], pa.int64())})
+
+
+def write_files(lines, folder, parts=256):
+    """A text file per `name` with the `value` lines of that name; returns how many.
+
+    The tasks write the files themselves: a folder per name and a commit that moves each on
+    the driver would cost far more than the files. They lie in `parts` folders, as
+    `f-<url-encoded name>.txt`.
+    """
+    text = F.concat(F.array_join(F.array_sort(F.collect_list("value")), "\n"), F.lit("\n"))
+    files = lines.groupBy("name").agg(text.alias("text")).select(
+        F.concat(F.lit("f-"), F.url_encode("name"), F.lit(".txt")).alias("name"),
+        F.pmod(F.xxhash64("name"), F.lit(parts).cast("long")).alias("part"), "text",
+    )
+    done = files.mapInArrow(functools.partial(_written, folder=folder), "files long")
+    return done.agg(F.sum("files")).first()[0] or 0
+
+
+def file_name(path):
+    """The name that `write_files` made a file's path from."""
+    return F.url_decode(F.regexp_extract(path, r"/f-([^/]*)\.txt$", 1))
+
+
+def _streamed(batches):
+    """Digests of files read chunk by chunk; only the hash states are carried."""
     for batch in batches:
         marks = []
         for path in batch.column("path").to_pylist():
-            plain = path.removeprefix("file:")
-            local = plain != path or "://" not in path
-            store, at = (fs.LocalFileSystem(), "/" + plain.lstrip("/")) if local else fs.FileSystem.from_uri(path)
+            store, at = _store(path)
             sha, md5 = hashlib.sha256(), hashlib.md5()
             with store.open_input_stream(at, compression=None) as stream:
                 while chunk := stream.read(CHUNK):

@@ -340,3 +340,13 @@ def test_fingerprints_digest_each_row_once(spark):
     plan = watched._jdf.queryExecution().optimizedPlan().toString()
     spark.conf.unset("spark.sql.debug.maxToStringFields")
     assert plan.count("sha2(") == 1
+
+
+def test_files_are_written_by_the_tasks(spark, tmp_path):
+    lines = [("a b/%#é", "x"), ("a b/%#é", "y"), ("_c", "z")]
+    table = spark.createDataFrame(lines, "name string, value string")
+    assert bundle.write_files(table, str(tmp_path / "files"), 4) == 2
+    found = bundle.file_digests(spark, str(tmp_path / "files"), "*.txt", bundle.file_name, 3)
+    assert {(r["name"], r["size"]) for r in found.collect()} == {("a b/%#é", 4), ("_c", 2)}
+    assert {p.read_text() for p in (tmp_path / "files").rglob("*.txt")} == {"x\ny\n", "z\n"}
+    assert not [p for p in (tmp_path / "files").rglob("*") if p.name.startswith(("name=", "."))]
