@@ -215,31 +215,40 @@ def _at(array, step):
 
 
 def lead_error(step):
-    """The absolute error at a lead of a row whose `points` and `target` are arrays.
-
-    A point or an error that is not finite stops the job; beyond the arrays it is null.
-    """
-    point = _at("points", step)
-    error = finite(F.abs(point - _at("target", step)), "a loss is not a finite number")
-    unfit = F.raise_error(F.lit("forecast point is not finite")).cast("double")
-    inside = F.lit(step) <= F.greatest(F.size("points"), F.size("target"))
-    return F.when(inside, F.when(F.abs(point) < F.lit(float("inf")), error).otherwise(unfit))
+    """The absolute error at a lead of a row whose `points` and `target` are arrays; null beyond them."""
+    return F.abs(_at("points", step) - _at("target", step))
 
 
 def lead_coverage(step):
     """1 if the target at a lead lies in the interval that `with_interval` laid about its point."""
-    point, target = _at("points", step), _at("target", step)
-    low, high = (
-        point + required(F.col(f"_{side}{step}"), "a prediction has no residual offsets") for side in ("low", "high")
+    point = _at("points", step)
+    low, high = (point + F.col(f"_{side}{step}") for side in ("low", "high"))
+    return _at("target", step).between(low, high).cast("double")
+
+
+def _longest():
+    return F.greatest(F.size("points"), F.size("target"))
+
+
+def _finite_points():
+    """True where every lead has a finite point; otherwise the job stops.
+
+    One test of the whole arrays: a test per lead makes the rows' generated method so long
+    that the JVM does not compile it. `array_contains` is null if the array holds a null.
+    """
+    infinite = F.lit(float("inf"))
+    given = ~F.array_contains("points", infinite) & (F.array_max("points") < infinite)
+    given = given & (F.array_min("points") > -infinite) & (F.size("points") >= F.size("target"))
+    return F.when(F.coalesce(given | (_longest() <= 0), F.lit(False)), F.lit(True)).otherwise(
+        F.raise_error(F.lit("forecast point is not finite"))
     )
-    finite_point = F.abs(point) < F.lit(float("inf"))
-    unfit = F.raise_error(F.lit("forecast point is not finite")).cast("double")
-    inside = F.lit(step) <= F.greatest(F.size("points"), F.size("target"))
-    return F.when(inside, F.when(finite_point, target.between(low, high).cast("double")).otherwise(unfit))
 
 
 def with_interval(points, offsets, levels, interval, leads):
-    """Window rows with the interval's offsets of every lead; offsets that decrease stop the job."""
+    """Window rows with the interval's offsets of every lead.
+
+    Offsets that decrease and leads without offsets stop the job.
+    """
     series = ["model", *CELL, "feature_id"]
     ordered = F.when(F.array_sort("offsets") == F.col("offsets"), F.col("offsets")).otherwise(
         F.raise_error(F.lit("a row's quantiles decrease, so it has no intervals"))
@@ -251,7 +260,14 @@ def with_interval(points, offsets, levels, interval, leads):
             for step in range(1, leads + 1) for side, offset in sides.items()
         ]
     )
-    return points.join(bounded(wide), series, "left")
+    lost = [
+        F.when(F.col(f"_low{step}").isNull() | F.col(f"_high{step}").isNull(), step - 1) for step in range(1, leads + 1)
+    ]
+    wide = wide.withColumn("_given", F.least(*lost, F.lit(leads)))
+    known = F.when(F.coalesce("_given", F.lit(0)) >= F.least(_longest(), F.lit(leads)), F.lit(True)).otherwise(
+        F.raise_error(F.lit("a prediction has no residual offsets"))
+    )
+    return points.join(bounded(wide), series, "left").filter(known).drop("_given")
 
 
 def group_steps(points, element, leads, scaler=None):
@@ -260,7 +276,8 @@ def group_steps(points, element, leads, scaler=None):
     `element(step)` is a loss at one lead of a row that holds a window's leads as arrays;
     windows, trajectories, systems and groups are averaged with a column per lead, so no
     row per lead is made or shuffled. `leads` is the grid's longest horizon; a longer one
-    stops the job. With a scaler, a feature without a scale stops it too.
+    stops the job, as do a point that is not finite and a trajectory whose mean is not. With
+    a scaler, a feature without a scale stops it too.
     """
     base = ["model", *CELL, "feature_id"]
     names = [f"_s{step}" for step in range(1, leads + 1)]
@@ -273,11 +290,12 @@ def group_steps(points, element, leads, scaler=None):
     fits = F.when(F.col("horizon_frames") <= leads, F.lit(True)).otherwise(
         F.raise_error(F.lit("a horizon is longer than the declared leads"))
     )
-    rows = points.filter(fits).select(
+    rows = points.filter(fits).filter(_finite_points()).select(
         *base, "trajectory_id", "system_id", "group_id",
         *[element(step).alias(n) for step, n in enumerate(names, start=1)],
     )
     trajectory = _means(rows, [*base, "trajectory_id", "system_id", "group_id"], names)
+    trajectory = trajectory.withColumns({n: finite(F.col(n), "a loss is not a finite number") for n in names})
     total = functools.reduce(lambda a, b: a + b, [F.coalesce(n, F.lit(0.0)) for n in names])
     known = functools.reduce(lambda a, b: a + b, [F.col(n).isNotNull().cast("double") for n in names])
     trajectory = trajectory.withColumn("_s0", total / F.nullif(known, F.lit(0.0)))

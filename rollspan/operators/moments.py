@@ -24,7 +24,7 @@ SUMS = ("s", "t", "q", "p")
 
 
 def running_moments(frames, features, chunk, span):
-    """One row per (trajectory, block): value arrays and running sums, `span` frames ahead."""
+    """One row per (trajectory, block): its frames' values and running sums in order, `span` frames ahead."""
     rows = with_blocks(frames.select("trajectory_id", "frame", *features), after=span - 1)
     rows = rows.repartition("trajectory_id", "block").withColumn("_chunk", F.floor(F.col("frame") / chunk))
     order = Window.partitionBy("trajectory_id", "block", "_chunk").orderBy("frame")
@@ -56,76 +56,78 @@ def running_moments(frames, features, chunk, span):
         *[F.max(f"_n_{f}").over(block.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_r_{f}") for f in features],
     )
     names = [c for c in summed.columns if c.startswith("_")]
-    packed = summed.groupBy("trajectory_id", "block").agg(
+    return summed.groupBy("trajectory_id", "block").agg(
         F.sort_array(F.collect_list(F.struct("frame", *names))).alias("_rows")
     )
-    return packed.select(
-        "trajectory_id", "block", *[F.col("_rows").getField(n).alias(n) for n in names]
-    )
 
 
-def _pieces(f, chunk):
-    """The one or two pieces of a context: counts, sums and the values at their ends."""
-    at = (F.col("start") - F.col("block") * blk.BLOCK + 1).cast("int")
-    c = F.col("context_frames").cast("int")
-    place = (F.col("start") % chunk).cast("int")
-    first = F.least(c, F.lit(chunk) - place)
-    entry = lambda name, i: F.element_at(F.col(f"_{name}_{f}"), i)
-    # What the first piece's chunk had summed before it; the block may begin inside a chunk.
-    before = F.least(place, at - 1)
-    where = F.struct(
-        at.alias("at"), c.alias("c"), place.alias("place"), first.alias("n1"), before.alias("before")
-    )
+def _placed(rows, chunk):
+    """Places of a context in its block's entries: where it and its one or two pieces begin and end."""
+    at, c = F.col("_at"), F.col("_c")
+    return rows.withColumns({
+        "_at": (F.col("start") - F.col("block") * blk.BLOCK + 1).cast("int"),
+        "_c": F.col("context_frames").cast("int"),
+        "_place": (F.col("start") % chunk).cast("int"),
+    }).withColumn("_n1", F.least(c, F.lit(chunk) - F.col("_place"))).withColumns({
+        "_end": at + F.col("_n1") - 1,
+        "_last": at + c - 1,
+        "_two": F.col("_n1") < c,
+        # What the first piece's chunk had summed before it; the block may begin inside a chunk.
+        "_before": F.least(F.col("_place"), at - 1),
+    })
 
-    def read(w):
-        end = w["at"] + w["n1"] - 1
-        last = w["at"] + w["c"] - 1
-        two = w["n1"] < w["c"]
-        known = lambda name: F.when(w["before"] > 0, entry(name, w["at"] - 1)).otherwise(F.lit(0.0))
-        return F.struct(
-            w["c"].cast("double").alias("n"),
-            w["n1"].cast("double").alias("n1"),
-            w["place"].cast("double").alias("place"),
-            two.alias("two"),
-            entry("x", w["at"] - w["before"]).alias("level"),
-            entry("x", w["at"]).alias("first"),
-            entry("x", end).alias("seam"),
-            F.when(two, entry("x", end + 1)).alias("level2"),
-            entry("x", last).alias("last"),
-            *[(entry(n, end) - known(n)).alias(f"{n}1") for n in ("s", "t", "q")],
-            (entry("p", end) - entry("p", w["at"])).alias("p1"),
-            *[F.when(two, entry(n, last)).otherwise(F.lit(0.0)).alias(f"{n}2") for n in SUMS],
-            (entry("r", F.greatest(last - 1, F.lit(1))) <= F.col("start")).alias("flat"),
-        )
 
-    return let(where, read)
+def _pieces(f):
+    """The one or two pieces of a context: counts, sums and the values at their ends.
 
-
-def _joined(k):
+    Each is one entry of the block's rows, taken out by its place, so a window costs the
+    same whatever the length of its block.
+    """
+    at, end, last, two = F.col("_at"), F.col("_end"), F.col("_last"), F.col("_two")
+    entry = lambda name, i: F.element_at("_rows", i).getField(f"_{name}_{f}")
+    known = lambda name: F.when(F.col("_before") > 0, entry(name, at - 1)).otherwise(F.lit(0.0))
+    return {
+        "level": entry("x", at - F.col("_before")),
+        "first": entry("x", at),
+        "seam": entry("x", end),
+        "level2": F.when(two, entry("x", end + 1)),
+        "last": entry("x", last),
+        **{f"{n}1": entry(n, end) - known(n) for n in ("s", "t", "q")},
+        "p1": entry("p", end) - entry("p", at),
+        **{f"{n}2": F.when(two, entry(n, last)).otherwise(F.lit(0.0)) for n in SUMS},
+        "flat": entry("r", F.greatest(last - 1, F.lit(1))) <= F.col("start"),
+        "target": F.slice("_rows", at + F.col("_c"), F.col("horizon_frames")).getField(f"_x_{f}"),
+    }
+
+
+def _joined(f):
     """Moments of the whole context about the first piece's level."""
-    n1, n2 = k["n1"], k["n"] - k["n1"]
-    shift = F.when(k["two"], k["level2"] - k["level"]).otherwise(F.lit(0.0))
-    last = k["last"] - k["level"] - shift  # about the second piece's own level
+    k = lambda name: F.col(f"_{name}_{f}")
+    n, n1, two = F.col("_c").cast("double"), F.col("_n1").cast("double"), F.col("_two")
+    place = F.col("_place").cast("double")
+    n2 = n - n1
+    shift = F.when(two, k("level2") - k("level")).otherwise(F.lit(0.0))
+    last = k("last") - k("level") - shift  # about the second piece's own level
     seam = F.when(
-        k["two"],
-        (k["seam"] - k["level"]) * shift
-        + k["p2"]
-        + shift * (2 * k["s2"] - last)
+        two,
+        (k("seam") - k("level")) * shift
+        + k("p2")
+        + shift * (2 * k("s2") - last)
         + (n2 - 1) * shift * shift,
     ).otherwise(F.lit(0.0))
     return F.struct(
-        k["n"].alias("n"),
-        k["level"].alias("level"),
-        k["first"].alias("first"),
-        k["last"].alias("last"),
-        (k["s1"] + k["s2"] + n2 * shift).alias("s"),
+        n.alias("n"),
+        k("level").alias("level"),
+        k("first").alias("first"),
+        k("last").alias("last"),
+        (k("s1") + k("s2") + n2 * shift).alias("s"),
         (
-            k["t1"] - k["place"] * k["s1"]
-            + F.when(k["two"], k["t2"] + n1 * k["s2"] + shift * (n1 * n2 + n2 * (n2 - 1) / 2)).otherwise(F.lit(0.0))
+            k("t1") - place * k("s1")
+            + F.when(two, k("t2") + n1 * k("s2") + shift * (n1 * n2 + n2 * (n2 - 1) / 2)).otherwise(F.lit(0.0))
         ).alias("t"),
-        (k["q1"] + k["q2"] + shift * (2 * k["s2"] + n2 * shift)).alias("q"),
-        (k["p1"] + seam).alias("p"),
-        k["flat"].alias("flat"),
+        (k("q1") + k("q2") + shift * (2 * k("s2") + n2 * shift)).alias("q"),
+        (k("p1") + seam).alias("p"),
+        k("flat").alias("flat"),
     )
 
 
@@ -139,17 +141,18 @@ def context_moments(frames, index, features, chunk, span):
     packed = running_moments(frames, features, chunk, span)
     if "block" not in index.columns:
         index = index.withColumn("block", block_of(F.col("start")))
-    at = (F.col("start") - F.col("block") * blk.BLOCK + 1).cast("int")
-    c, h = F.col("context_frames"), F.col("horizon_frames")
-    fits = F.when(c <= chunk, F.lit(True)).otherwise(
+    fits = F.when(F.col("context_frames") <= chunk, F.lit(True)).otherwise(
         F.raise_error(F.lit("a context is longer than the chunk of the running sums"))
     )
     rows = index.withColumn("_fits", fits).join(packed, ["trajectory_id", "block"]).filter("_fits")
+    pieces = {f"_{name}_{f}": value for f in features for name, value in _pieces(f).items()}
+    # Nothing above reads the block's rows: they are not copied for every window.
+    rows = _placed(rows, chunk).withColumns(pieces).drop("_rows")
     channels = [
         F.struct(
             F.lit(f).alias("feature_id"),
-            let(_pieces(f, chunk), _joined).alias("moments"),
-            F.slice(F.col(f"_x_{f}"), at + c, h).alias("target"),
+            _joined(f).alias("moments"),
+            F.col(f"_target_{f}").alias("target"),
         )
         for f in features
     ]

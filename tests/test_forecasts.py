@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -429,3 +430,49 @@ def test_coverage_of_windows_is_that_of_their_rows(spark):
     lost = ls.with_interval(points, offsets.filter("step = 1"), levels, interval, 2)
     with pytest.raises(Exception, match="no residual offsets"):
         ls.group_steps(lost, ls.lead_coverage, 2).collect()
+
+
+def largest_method(df):
+    """Bytes of the largest generated method; HotSpot compiles none above 8,000."""
+    package = getattr(df.sparkSession._jvm.org.apache.spark.sql.execution.debug, "package")
+    text = package.codegenString(df._jdf.queryExecution().executedPlan())
+    return max(int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", text))
+
+
+def test_lead_columns_stay_in_methods_that_are_compiled(spark):
+    points = window_points(spark, [1.0, 4.0]).withColumn("forecasts", F.array(F.struct("model", "points")))
+    sets = points.drop("model", "points").select("*", F.inline_outer("forecasts"))
+    scaler = spark.createDataFrame([("x", 2.0)], "feature_id string, scale double")
+    series = "model string, context_frames int, horizon_frames int, feature_id string, step int, offsets array<double>"
+    offsets = spark.createDataFrame([("m", 3, 2, "x", step, [-1.0, 0.0, 1.0]) for step in (1, 2)], series)
+    inside = ls.with_interval(sets, offsets, [0.1, 0.5, 0.9], (0.1, 0.9), 10)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for rows, element in ((sets, ls.lead_error), (inside, ls.lead_coverage)):
+            assert 0 < largest_method(ls.group_steps(rows, element, 10, scaler)) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+@pytest.mark.parametrize(
+    "unfit, message",
+    [
+        ([None, 1.0], "point is not finite"),
+        ([1.0], "point is not finite"),
+        ([1.0, float("inf")], "point is not finite"),
+        ([1.0, -float("inf")], "point is not finite"),
+    ],
+)
+def test_unfit_points_stop_the_lead_columns(spark, unfit, message):
+    with pytest.raises(Exception, match=message):
+        ls.group_steps(window_points(spark, unfit), ls.lead_error, 2).collect()
+
+
+def test_unfit_targets_stop_the_lead_columns(spark):
+    points = window_points(spark, [1.0, 4.0])
+    unknown = points.withColumn("target", F.array(F.lit(None).cast("double"), F.lit(3.0)))
+    got = {r["step"]: r["value"] for r in ls.group_steps(unknown, ls.lead_error, 2).collect()}
+    assert got == {0: 1.0, 1: None, 2: 1.0}
+    with pytest.raises(Exception, match="a loss is not a finite number"):
+        ls.group_steps(points.withColumn("target", F.array(F.lit(1.0), F.lit(float("nan")))), ls.lead_error, 2).collect()

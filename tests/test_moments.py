@@ -59,6 +59,16 @@ def test_no_context_is_carried(spark):
     assert plan.count("slice") == 1  # the targets
 
 
+def test_a_window_costs_the_same_in_any_block(spark):
+    """Entries are taken by place in generated code.
+
+    A lambda over a block's arrays would have them copied for every window of the block.
+    """
+    frames, index = tables(spark, "noise")
+    rows = mm.context_moments(frames, index, ["v", "w"], 8, 11)
+    assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_short_contexts_and_long_ones_are_refused(spark):
     frames, _ = tables(spark, "noise")
     one = spark.createDataFrame([("a", 0, 1, 1)], "trajectory_id string, start long, context_frames int, horizon_frames int")
