@@ -230,8 +230,12 @@ def forecast_sets(rows, models):
 
 
 def each_model(sets):
-    """A row per model of `forecast_sets`."""
-    return sets.select(*[c for c in sets.columns if c != "forecasts"], F.inline("forecasts"))
+    """A row per model of `forecast_sets`, which holds at least one.
+
+    The outer form: below the plain one Spark tests that the array is not empty, and would
+    work out every model's points a second time for it.
+    """
+    return sets.select(*[c for c in sets.columns if c != "forecasts"], F.inline_outer("forecasts"))
 
 
 def forecast(rows, models):

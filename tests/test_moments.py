@@ -69,6 +69,15 @@ def test_a_window_costs_the_same_in_any_block(spark):
     assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_every_model_is_worked_out_once(spark):
+    frames, index = tables(spark, "noise")
+    rows = mm.context_moments(frames, index, ["v"], 8, 11)
+    out = mm.forecast(rows, {"persistence": mm.persistence, "linear": mm.linear})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter (size(" not in plan and plan.count("array_repeat") == 1
+    assert out.count() == 2 * rows.count()
+
+
 def test_short_contexts_and_long_ones_are_refused(spark):
     frames, _ = tables(spark, "noise")
     one = spark.createDataFrame([("a", 0, 1, 1)], "trajectory_id string, start long, context_frames int, horizon_frames int")
