@@ -1,5 +1,7 @@
 """Result bundles: sinks, scans and integrity."""
 
+import ctypes
+import ctypes.util
 import functools
 import hashlib
 import uuid
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from rollspan.functions.hashing import fingerprint_frame, observed_fingerprint
 from rollspan.operators.contracts import check_coverage, merge, validate_quantiles
 from rollspan.operators.splits import refuse
+from rollspan.session import cut
 from rollspan.tables import CELL
 
 TABLES = ("predictions", "metrics", "comparisons", "runtime")
@@ -71,7 +74,8 @@ def write_acf_csv(curves, path):
     acf_rows(curves).write.mode("errorifexists").option("header", True).csv(path)
 
 
-ROW_LIMIT = 2**30
+SEGMENT = 2**28  # bytes of a file that one task reads
+ROW_LIMIT = SEGMENT
 CHUNK = 8 << 20
 
 
@@ -136,24 +140,121 @@ def _streamed(batches):
         )
 
 
-def file_digests(spark, path, glob="*", name=None, row_limit=ROW_LIMIT):
+# Digest and bytes of its context, the plain structs SHA256_CTX and MD5_CTX of OpenSSL's headers.
+CONTEXTS = {"sha256": ("SHA256", 32, 112), "md5": ("MD5", 16, 92)}
+
+
+def _crypto():
+    """OpenSSL's library, whose hash contexts can be carried on, or None where it has none."""
+    named = ctypes.util.find_library("crypto")
+    library = ctypes.CDLL(named) if named else None
+    steps = [f"{name}_{step}" for name, *_ in CONTEXTS.values() for step in ("Init", "Update", "Final")]
+    return library if library is not None and all(hasattr(library, s) for s in steps) else None
+
+
+class _Hash:
+    """A hash whose context is bytes, so that another task can go on with it."""
+
+    def __init__(self, library, kind, held=None):
+        self.library = library
+        self.name, self.digest_size, size = CONTEXTS[kind]
+        self.context = ctypes.create_string_buffer(held or bytes(size), size)
+        if held is None:
+            self._call("Init", self.context)
+
+    def _call(self, step, *args):
+        if getattr(self.library, f"{self.name}_{step}")(*args) != 1:
+            raise RuntimeError(f"{self.name} failed")
+
+    def update(self, data):
+        self._call("Update", self.context, data, ctypes.c_size_t(len(data)))
+
+    def digest(self):
+        out = ctypes.create_string_buffer(self.digest_size)
+        self._call("Final", out, self.context)
+        return out.raw
+
+    def held(self):
+        return self.context.raw
+
+
+def _advanced(batches, segment):
+    """Files' hashes `segment` bytes further on: contexts, or the digests at a file's end.
+
+    Where contexts cannot be carried on, a file is read whole.
+    """
+    library = _crypto()
+    for batch in batches:
+        rows = batch.to_pylist()
+        for row in rows:
+            left = row["size"] - row["at"]
+            if left == 0:
+                continue
+            if library is not None:
+                left = min(left, segment)
+                hashes = {kind: _Hash(library, kind, row[kind]) for kind in CONTEXTS}
+            else:
+                hashes = {kind: hashlib.new(kind) for kind in CONTEXTS}
+            store, at = _store(row["path"])
+            with store.open_input_file(at) as file:
+                file.seek(row["at"])
+                row["at"] += left
+                while left:
+                    chunk = file.read(min(CHUNK, left))
+                    if not chunk:
+                        raise EOFError(f"{row['path']} is shorter than it was when listed")
+                    left -= len(chunk)
+                    for state in hashes.values():
+                        state.update(chunk)
+            ended = row["at"] == row["size"]
+            row.update({kind: state.digest() if ended else state.held() for kind, state in hashes.items()})
+        yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
+
+
+def _chained(large, segment):
+    """Digests of files above `segment` bytes: in every round a task a file reads the next segment.
+
+    A hash takes a file's bytes in order, so tasks hand its context on, by the shared folder.
+    The rounds follow the longest file.
+    """
+    first = large.withColumns({"at": F.lit(0).cast("long"), **{k: F.lit(None).cast("binary") for k in CONTEXTS}})
+    state = cut(first)
+    files, longest = state.agg(F.count(F.lit(1)), F.max("size")).first()
+    if files == 0:
+        return None
+    columns = "path string, name string, size long, at long, sha256 binary, md5 binary"
+    step = functools.partial(_advanced, segment=segment)
+    for _ in range(-(-longest // segment)):
+        # By range and a fixed number: a task a file; adaptive execution would put the few short rows into one.
+        dealt = state.select("path", "name", "size", "at", *CONTEXTS).repartitionByRange(files, "path")
+        state = cut(dealt.mapInArrow(step, columns))
+    return state.select("name", "size", *[F.lower(F.hex(k)).alias(k) for k in CONTEXTS])
+
+
+def file_digests(spark, path, glob="*", name=None, row_limit=ROW_LIMIT, segment=SEGMENT):
     """Name, size and digests of every file, hashed by the tasks that read them.
 
     A file of at most `row_limit` bytes is one row. A larger one is never a row: a task of
-    its own streams it in chunks. Spark lists no empty file. `name` makes a file's name
-    from its path; the last part is the default.
+    its own streams it in chunks. Of one above `segment` bytes, a task reads a segment and
+    hands the hashes on. Spark lists no empty file. `name` makes a file's name from its
+    path; the last part is the default.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob)
     files = files.option("recursiveFileLookup", True).load(path)
     called = (name or (lambda p: F.element_at(F.split(p, "/"), -1)))(F.col("path")).alias("name")
-    size = F.col("length").alias("size")
-    small = files.filter(F.col("length") <= row_limit).select(
+    size, length = F.col("length").alias("size"), F.col("length")
+    small = files.filter(length <= min(row_limit, segment)).select(
         called, size, F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5")
     )
-    large = files.filter(F.col("length") > row_limit).select("path", called, size)
-    return small.unionByName(
-        large.repartition("path").mapInArrow(_streamed, "name string, size long, sha256 string, md5 string")
-    )
+    parts = [small]
+    if row_limit < segment:
+        middle = files.filter((length > row_limit) & (length <= segment)).select("path", called, size)
+        parts.append(
+            middle.repartition("path").mapInArrow(_streamed, "name string, size long, sha256 string, md5 string")
+        )
+    # By the listing, which opens no file.
+    large = _chained(files.filter(F.col("_metadata.file_size") > segment).select("path", called, size), segment)
+    return merge(*parts) if large is None else merge(*parts, large)
 
 
 def verify_files(digests, manifest):

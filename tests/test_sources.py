@@ -350,3 +350,67 @@ def test_files_are_written_by_the_tasks(spark, tmp_path):
     assert {(r["name"], r["size"]) for r in found.collect()} == {("a b/%#é", 4), ("_c", 2)}
     assert {p.read_text() for p in (tmp_path / "files").rglob("*.txt")} == {"x\ny\n", "z\n"}
     assert not [p for p in (tmp_path / "files").rglob("*") if p.name.startswith(("name=", "."))]
+
+
+def chained(bundle, path, segment):
+    """Bytes read in every round of `_advanced`, and the last round's row."""
+    import pyarrow as pa
+
+    schema = pa.schema({"path": pa.string(), "size": pa.int64(), "at": pa.int64(), "sha256": pa.binary(), "md5": pa.binary()})
+    row, reads = {"path": f"file:{path}", "size": path.stat().st_size, "at": 0}, []
+    while row["at"] < row["size"]:
+        before = row["at"]
+        (out,) = bundle._advanced([pa.RecordBatch.from_pylist([row], schema=schema)], segment)
+        (row,) = out.to_pylist()
+        reads.append(row["at"] - before)
+    return reads, row
+
+
+def test_a_task_reads_a_segment_of_a_large_file(spark, tmp_path, monkeypatch):
+    """Hashes are carried on from task to task, at any place in a block of 64 bytes."""
+    import hashlib
+
+    contents = {f"{n}.bin": bytes(i * 7 % 251 for i in range(n)) for n in (64, 999, 1000, 1001, 4999)}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    want = {n: (len(c), hashlib.sha256(c).hexdigest(), hashlib.md5(c).hexdigest()) for n, c in contents.items()}
+    found = bundle.file_digests(spark, str(tmp_path), "*.bin", row_limit=80, segment=1000)
+    assert {r["name"]: (r["size"], r["sha256"], r["md5"]) for r in found.collect()} == want
+    assert bundle.ROW_LIMIT <= bundle.SEGMENT < 1_500_000_000 / 4
+    for segment in (1000, 64, 4999):
+        reads, row = chained(bundle, tmp_path / "4999.bin", segment)
+        assert max(reads) <= segment and sum(reads) == 4999
+        assert (row["sha256"].hex(), row["md5"].hex()) == want["4999.bin"][1:]
+    # Workers have no copy of the library: what a task calls travels with it.
+    import subprocess
+    import sys
+
+    from pyspark.cloudpickle import dumps
+
+    alone = "import sys, pickle; next(pickle.load(sys.stdin.buffer)([], 1), None)"
+    subprocess.run([sys.executable, "-I", "-c", alone], input=dumps(bundle._advanced), check=True)
+    monkeypatch.setattr(bundle, "_crypto", lambda: None)
+    reads, row = chained(bundle, tmp_path / "4999.bin", 1000)
+    assert reads == [4999] and row["sha256"].hex() == want["4999.bin"][1]
+
+
+def test_large_files_do_not_meet_in_a_task(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    for i in range(6):
+        (tmp_path / f"{i}.bin").write_bytes(bytes([i]) * 100)
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", F.lit("n").alias("name"), F.col("length").alias("size"))
+    rounds = []
+
+    def kept(df):
+        from rollspan.session import cut
+
+        rounds.append(df.withColumn("_p", F.spark_partition_id()).groupBy("_p").count().agg(F.max("count")).first()[0])
+        return cut(df)
+
+    plain, bundle.cut = bundle.cut, kept
+    try:
+        assert bundle._chained(files, 40).count() == 6
+    finally:
+        bundle.cut = plain
+    assert rounds[1:] == [1, 1, 1]
