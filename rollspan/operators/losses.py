@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rollspan.functions.checked import bounded, finite, positive, required
 from rollspan.operators.inference import bootstrap_ci
-from rollspan.session import cut
+from rollspan.session import cut, spread
 from rollspan.tables import CELL, WINDOW_KEY
 
 POINT = (("mae", None, None), ("rmse", None, None), ("scaled-mae", None, None))
@@ -134,15 +134,67 @@ def level_means(losses_rows):
 
     Four levels read the trajectory table, so it is written out once.
     """
-    names = _metric_names(losses_rows)
+    return _levels(cut(trajectory_means(losses_rows)))
+
+
+def _levels(trajectory, keep=lambda df: df):
+    names = _metric_names(trajectory)
     base = ["model", *CELL, "feature_id", "step"]
-    trajectory = cut(trajectory_means(losses_rows))
-    system = _means(trajectory, [*base, "system_id", "group_id"], names)
-    group = _means(system, [*base, "group_id"], names)
+    system = keep(_means(trajectory, [*base, "system_id", "group_id"], names))
+    group = keep(_means(system, [*base, "group_id"], names))
     aggregate = _means(group, base, names)
     return {"trajectory": trajectory, "system": system, "group": group, "aggregate": aggregate}
 
 
+def level_means_of_windows(points, scaler, leads):
+    """`level_means` of the point losses, from window rows that hold a window's leads as arrays.
+
+    Windows are averaged with two columns per lead, so no row per lead is made before the
+    trajectory level, which is written with a row's steps in an array; the levels above are
+    written too, as several tables read them. The scale divides the mean, not every error.
+    What stops `group_steps` stops this.
+    """
+    base = ["model", *CELL, "feature_id"]
+    own = [*base, "trajectory_id", "system_id", "group_id"]
+    steps = range(1, leads + 1)
+    rows = _fitting(points, leads).select(*own, *[lead_error(step).alias(f"_a{step}") for step in steps])
+    means = rows.groupBy(*own).agg(
+        *[F.avg(f"_a{step}").alias(f"_a{step}") for step in steps],
+        *[F.avg(F.col(f"_a{step}") * F.col(f"_a{step}")).alias(f"_q{step}") for step in steps],
+    )
+    entries = [
+        F.struct(F.lit(step).alias("step"), F.col(f"_a{step}").alias("mae"), F.col(f"_q{step}").alias("rmse"))
+        for step in steps
+    ]
+    known = F.slice(F.array(*entries), F.lit(1), F.col("horizon_frames").cast("int"))
+    trajectory = cut(means.select(*own, known.alias("_steps")))
+    whole = F.struct(
+        F.lit(0).alias("step"), *[_array_mean(F.col(f"_steps.{n}")).alias(n) for n in ("mae", "rmse")]
+    )
+    rows = spread(trajectory).select(*own, F.inline(F.concat(F.array(whole), F.col("_steps"))))
+    mae, mse = (finite(F.col(n), "a loss is not a finite number") for n in ("mae", "rmse"))
+    rows = _with_scale(rows, scaler).select(
+        *own, "step", mae.alias("mae"), F.sqrt(mse).alias("rmse"), (mae / _scale()).alias("scaled-mae")
+    )
+    return _levels(rows, keep=cut)
+
+
+def _array_mean(values):
+    given = F.filter(values, lambda x: x.isNotNull())
+    total = F.aggregate(given, F.lit(0.0), lambda a, x: a + x)
+    return total / F.nullif(F.size(given), F.lit(0))
+
+
+def _with_scale(rows, scaler):
+    return rows.join(bounded(scaler.select("feature_id", "scale")), "feature_id", "left")
+
+
+def _scale():
+    return positive(
+        required(F.col("scale"), "a feature has no scale"), "a scale is not finite and positive"
+    )
+
+
 def unpivot_metrics(df, keys, names):
     """Long metric rows; metrics a model does not have are left out."""
     entries = []
@@ -167,7 +219,12 @@ def hierarchy(losses_rows, policy=None):
     With a policy, aggregate rows carry the bootstrap interval over their groups in
     `ci_lower` and `ci_upper`; the other levels have none.
     """
-    names = _metric_names(losses_rows)
+    return hierarchy_of(level_means(losses_rows), policy)
+
+
+def hierarchy_of(levels, policy=None):
+    """G8 from the means of each level."""
+    names = _metric_names(levels["trajectory"])
     identity = {
         "trajectory": F.col("trajectory_id"),
         "system": F.col("system_id"),
@@ -175,36 +232,45 @@ def hierarchy(losses_rows, policy=None):
         "aggregate": F.lit("all"),
     }
     keys = ["model", *CELL, "level", "identity", "feature_id", "step"]
-    tables = [
-        unpivot_metrics(
+    tables = {
+        level: unpivot_metrics(
             df.withColumn("level", F.lit(level)).withColumn("identity", identity[level]),
             keys,
             names,
         )
-        for level, df in level_means(losses_rows).items()
-    ]
-    rows = functools.reduce(lambda a, b: a.unionByName(b), tables)
-    return rows if policy is None else _with_intervals(cut(rows), policy)
+        for level, df in levels.items()
+    }
+    if policy is not None:
+        tables = _with_intervals(tables, policy)
+    return functools.reduce(lambda a, b: a.unionByName(b), tables.values())
 
 
-def _with_intervals(rows, policy):
+def _with_intervals(tables, policy):
+    """The levels' metric rows with interval columns; only the aggregate's few rows are joined."""
     series = ["model", "feature_id", "step", "metric", "lower_q", "upper_q"]
-    groups = rows.filter(F.col("level") == "group").withColumnRenamed("identity", "group_id")
+    groups = tables["group"].withColumnRenamed("identity", "group_id")
     bounds = bootstrap_ci(groups, series, policy).select(
         *CELL, *series, F.lit("aggregate").alias("level"),
         F.col("marginal_lower").alias("ci_lower"), F.col("marginal_upper").alias("ci_upper"),
     )
     keys = [*CELL, *series, "level"]
     matched = [F.col(f"m.{k}").eqNullSafe(F.col(f"i.{k}")) for k in keys]
-    joined = rows.alias("m").join(bounds.alias("i"), functools.reduce(lambda a, b: a & b, matched), "left")
-    return joined.select("m.*", "i.ci_lower", "i.ci_upper")
+    joined = tables["aggregate"].alias("m").join(
+        bounds.alias("i"), functools.reduce(lambda a, b: a & b, matched), "left"
+    ).select("m.*", "i.ci_lower", "i.ci_upper")
+    none = {c: F.lit(None).cast("double") for c in ("ci_lower", "ci_upper")}
+    return {level: joined if level == "aggregate" else df.withColumns(none) for level, df in tables.items()}
 
 
 def group_metric(losses_rows, metric="mae"):
     """Group-level values of one metric: the rows comparisons and bootstraps use."""
     base = ["model", *CELL, "feature_id", "step"]
     system = _means(trajectory_means(losses_rows), [*base, "system_id", "group_id"], [metric])
-    group = _means(system, [*base, "group_id"], [metric])
+    return metric_of(_means(system, [*base, "group_id"], [metric]), metric)
+
+
+def metric_of(group, metric="mae"):
+    """One metric of a group level, as comparisons and bootstraps read it."""
     return group.select(
         "model", *CELL, "feature_id", "step", "group_id", F.col(f"`{metric}`").alias("value")
     )
@@ -244,6 +310,13 @@ def _finite_points():
     )
 
 
+def _fitting(points, leads):
+    fits = F.when(F.col("horizon_frames") <= leads, F.lit(True)).otherwise(
+        F.raise_error(F.lit("a horizon is longer than the declared leads"))
+    )
+    return points.filter(fits).filter(_finite_points())
+
+
 def with_interval(points, offsets, levels, interval, leads):
     """Window rows with the interval's offsets of every lead.
 
@@ -282,15 +355,8 @@ def group_steps(points, element, leads, scaler=None):
     base = ["model", *CELL, "feature_id"]
     names = [f"_s{step}" for step in range(1, leads + 1)]
     if scaler is not None:
-        points = points.join(bounded(scaler.select("feature_id", "scale")), "feature_id", "left")
-        scale = positive(
-            required(F.col("scale"), "a feature has no scale"), "a scale is not finite and positive"
-        )
-        points = points.filter(scale > 0)
-    fits = F.when(F.col("horizon_frames") <= leads, F.lit(True)).otherwise(
-        F.raise_error(F.lit("a horizon is longer than the declared leads"))
-    )
-    rows = points.filter(fits).filter(_finite_points()).select(
+        points = _with_scale(points, scaler).filter(_scale() > 0)
+    rows = _fitting(points, leads).select(
         *base, "trajectory_id", "system_id", "group_id",
         *[element(step).alias(n) for step, n in enumerate(names, start=1)],
     )

@@ -1,16 +1,20 @@
 """Queries over sources, sinks, cohorts and their contracts."""
 
+from urllib.parse import unquote
+
 from pyspark.sql import functions as F
 
 from rollspan.functions.hashing import fingerprint_frame
 from rollspan.operators import cohorts as ch
 from rollspan.operators import contracts as ct
+from rollspan.operators import forecasts as fc
 from rollspan.operators import losses as ls
+from rollspan.operators import moments as mm
 from rollspan.plans import forecast_queries as fq
 from rollspan.plans import testbed as tb
 from rollspan.plans.registry import query, rnd, rounded
 from rollspan.plans.sql import CELL, EVENTS, r
-from rollspan.session import cut, scratch
+from rollspan.session import cut, delete, scratch, spread
 from rollspan.sources import bundle
 from rollspan.sources import series as ss
 from rollspan.tables import FEATURES, conform
@@ -375,14 +379,21 @@ def s13(spark, sf_dir):
 
 
 def bundle_tables(spark, sf_dir):
-    """The four tables of a bundle from the event models."""
-    predictions = fq.rows(spark, sf_dir)
-    losses = cut(ls.losses(predictions, fq.fitted_scaler(spark, sf_dir)))
+    """The four tables of a bundle from the event models.
+
+    Metrics and comparisons come from the stored points of a window; rows per lead are made
+    for the predictions table alone.
+    """
+    sets = fq.point_sets(spark, sf_dir)
+    points = mm.each_model(sets)
+    scaler = cut(fq.fitted_scaler(spark, sf_dir))
+    levels = ls.level_means_of_windows(points, scaler, max(tb.GRID.horizons))
     return {
-        "predictions": predictions,
-        "metrics": ls.hierarchy(losses, fq.POLICY),
-        "comparisons": fq.inf.compare(ls.group_metric(losses), "persistence", fq.POLICY),
-        "runtime": predictions.select("model", "context_frames", "horizon_frames")
+        "predictions": fc.predictions(mm.each_model(spread(sets))),
+        "metrics": ls.hierarchy_of(levels, fq.POLICY),
+        "comparisons": fq.inf.compare(ls.metric_of(levels["group"]), "persistence", fq.POLICY),
+        "runtime": points.filter(F.size("target") > 0)
+        .select("model", "context_frames", "horizon_frames")
         .distinct()
         .withColumn("seconds", F.lit(None).cast("double")),
     }
@@ -398,24 +409,24 @@ def bundle_tables(spark, sf_dir):
 SELECT * FROM n""",
 )
 def s13_altered(spark, sf_dir):
-    """A bundle whose metric table has one value changed after its fingerprint was taken."""
-    tables = bundle_tables(spark, sf_dir)
-    path, other = scratch(spark), scratch(spark)
-    bundle.write_bundle(tables, path)
+    """A bundle whose metric table has one value changed after its fingerprint was taken.
+
+    The file that holds the value is written anew beside itself, with the change, and removed.
+    """
+    path = scratch(spark)
+    bundle.write_bundle(bundle_tables(spark, sf_dir), path)
     kept = spark.read.parquet(f"{path}/metrics")
-    first = kept.filter("level = 'aggregate'").agg(F.min(F.struct("model", "feature_id", "step", "metric", "horizon_frames")).alias("m")).first()["m"]
-    same = [F.col(c) == F.lit(first[c]) for c in first.asDict()] + [F.col("level") == "aggregate"]
-    one = same[0]
-    for test in same[1:]:
-        one = one & test
-    kept.withColumn("value", F.when(one, F.col("value") + 1.0).otherwise(F.col("value"))).write.partitionBy(
-        "context_frames", "horizon_frames"
-    ).parquet(f"{other}/metrics")
-    for name in bundle.TABLES:
-        if name != "metrics":
-            spark.read.parquet(f"{path}/{name}").write.partitionBy("context_frames", "horizon_frames").parquet(f"{other}/{name}")
-    spark.read.parquet(f"{path}/fingerprints").write.parquet(f"{other}/fingerprints")
-    return bundle.check_bundle(spark, other)
+    series = ["model", "feature_id", "step", "metric", "horizon_frames"]
+    first = kept.filter("level = 'aggregate'").agg(F.min(F.struct(*series)).alias("m")).first()["m"]
+    one = F.col("level") == "aggregate"
+    for name in series:
+        one = one & (F.col(name) == F.lit(first[name]))
+    (file,) = [unquote(r[0]) for r in kept.filter(one).select("_metadata.file_path").collect()]
+    rows = spark.read.option("basePath", f"{path}/metrics").parquet(file)
+    changed = rows.withColumn("value", F.when(one, F.col("value") + 1.0).otherwise(F.col("value")))
+    changed.drop("context_frames", "horizon_frames").write.mode("append").parquet(file.rpartition("/")[0])
+    delete(spark, file)
+    return bundle.check_bundle(spark, path)
 
 
 @query(

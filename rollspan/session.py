@@ -80,8 +80,18 @@ def clear_scratch(spark):
         forget(spark)
     folder = spark.sparkContext.getCheckpointDir()
     if folder is not None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, folder)
+
+
+def delete(spark, name):
+    """Delete a file or folder of any store that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df):
+    """Deal out rows that each become many: a scan would pack their few bytes into few tasks."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def scratch(spark):

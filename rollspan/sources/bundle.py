@@ -1,5 +1,6 @@
 """Result bundles: sinks, scans and integrity."""
 
+import contextlib
 import ctypes
 import ctypes.util
 import functools
@@ -18,36 +19,78 @@ from rollspan.tables import CELL
 TABLES = ("predictions", "metrics", "comparisons", "runtime")
 
 
+FILE_ROWS = 2**22  # rows of a bundle's file, so that a task digests it as one row
+OPEN_CELLS = 8  # cells whose files a task writes side by side; with more it sorts its rows
+
+
+@contextlib.contextmanager
+def _side_by_side(spark, writers=OPEN_CELLS):
+    """Let a task write the files of a few cells at once, without sorting its rows by cell."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(writers, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _file_marks(spark, path, declared):
+    """A digest of each table's files, bound to its declared rows and fingerprint."""
+    depth = len(CELL) + 2
+    called = lambda p: F.array_join(F.slice(F.split(p, "/"), -depth, depth), "/")
+    files = file_digests(spark, path, "*.parquet", called).withColumn("table", F.substring_index("name", "/", 1))
+    line = F.concat_ws("|", "name", "size", "sha256")
+    lists = files.filter(F.col("table").isin(*TABLES)).groupBy("table").agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("files")
+    )
+    marks = {}
+    for name, digest in lists.collect():
+        if name in declared:
+            marks[name] = hashlib.sha256("|".join(map(str, (digest, *declared[name]))).encode()).hexdigest()
+    return marks
+
+
 def write_bundle(tables, path):
     """The four tables, partitioned by cell, and their fingerprints.
 
-    The fingerprints are summed up while the rows are written. Every table is refused if
-    it exists; the fingerprints come last, so a bundle without them is incomplete.
+    The fingerprints are summed up while the rows are written; the digests of the written
+    files go beside them. Every table is refused if it exists; the fingerprints come last,
+    so a bundle without them is incomplete.
     """
     if set(tables) != set(TABLES):
         raise ValueError(f"a bundle holds {TABLES}")
-    marks = []
+    spark, marks = tables[TABLES[0]].sparkSession, {}
     for name in TABLES:
         watched, mark = observed_fingerprint(tables[name])
-        watched.write.partitionBy(*CELL).mode("errorifexists").parquet(f"{path}/{name}")
-        marks.append((name, *mark()))
-    spark = tables[TABLES[0]].sparkSession
-    spark.createDataFrame(marks, "table string, rows long, fingerprint string").coalesce(1).write.mode(
-        "errorifexists"
-    ).parquet(f"{path}/fingerprints")
+        writer = watched.write.partitionBy(*CELL).mode("errorifexists").option("maxRecordsPerFile", FILE_ROWS)
+        with _side_by_side(spark):
+            writer.parquet(f"{path}/{name}")
+        marks[name] = mark()
+    files = _file_marks(spark, path, marks)
+    rows = [(name, *marks[name], files.get(name)) for name in TABLES]
+    declared = spark.createDataFrame(rows, "table string, rows long, fingerprint string, files string")
+    declared.coalesce(1).write.mode("errorifexists").parquet(f"{path}/fingerprints")
 
 
 def check_bundle(spark, path):
-    """Per table whether its rows are those that were written (table, rows, intact)."""
+    """Per table whether its rows are those that were written (table, rows, intact).
+
+    A table whose files are byte for byte those that were written is intact. Any other one
+    is judged by its rows, so a copy that Spark laid out anew passes too.
+    """
     declared = spark.read.parquet(f"{path}/fingerprints")
-    found = merge(
-        *[
-            fingerprint_frame(spark.read.parquet(f"{path}/{name}")).select(F.lit(name).alias("table"), "*")
-            for name in TABLES
-        ]
-    )
-    same = F.col("d.rows").eqNullSafe(F.col("f.rows")) & F.col("d.fingerprint").eqNullSafe(F.col("f.fingerprint"))
-    return found.alias("f").join(declared.alias("d"), "table", "left").select("table", "f.rows", same.alias("intact"))
+    held = {r["table"]: r.asDict() for r in declared.collect()}
+    files = _file_marks(spark, path, {name: (r["rows"], r["fingerprint"]) for name, r in held.items()})
+    same = [name for name in TABLES if name in files and files[name] == held[name].get("files")]
+    found = [declared.filter(F.col("table").isin(*same)).select("table", "rows", "fingerprint")] if same else []
+    for name in TABLES:
+        if name not in same:
+            rows = fingerprint_frame(spark.read.parquet(f"{path}/{name}"))
+            found.append(rows.select(F.lit(name).alias("table"), "rows", "fingerprint"))
+    kept = F.col("d.rows").eqNullSafe(F.col("f.rows")) & F.col("d.fingerprint").eqNullSafe(F.col("f.fingerprint"))
+    joined = merge(*found).alias("f").join(declared.alias("d"), "table", "left")
+    return joined.select("table", "f.rows", kept.alias("intact"))
 
 
 def read_bundle(spark, path):

@@ -476,3 +476,52 @@ def test_unfit_targets_stop_the_lead_columns(spark):
     assert got == {0: 1.0, 1: None, 2: 1.0}
     with pytest.raises(Exception, match="a loss is not a finite number"):
         ls.group_steps(points.withColumn("target", F.array(F.lit(1.0), F.lit(float("nan")))), ls.lead_error, 2).collect()
+
+
+def test_levels_of_windows_are_those_of_the_rows(spark):
+    """Means with columns per lead give what a row per lead gives, and no row per lead is made for them."""
+    points = window_points(spark, [1.0, 4.0], [3.0, 2.5], [0.5, 9.0])
+    points = points.unionByName(points.withColumns({"start": F.lit(5), "target": F.array(F.lit(0.5), F.lit(None).cast("double"))}))
+    scaler = spark.createDataFrame([("x", 2.0)], "feature_id string, scale double")
+    want = ls.level_means(ls.losses(fc.predictions(points), scaler))
+    policy = inf.Policy(seed=1, samples=20, min_groups=1, min_tail=0)
+    for leads in (2, 5):
+        got = ls.level_means_of_windows(points, scaler, leads)
+        assert list(got) == list(want)
+        for level, df in got.items():
+            assert sorted(df.columns) == sorted(want[level].columns)
+            values = [
+                {tuple(r[c] for c in ("step", *([f"{level}_id"] if level != "aggregate" else []))):
+                 (r["mae"], r["rmse"], r["scaled-mae"]) for r in rows.collect()} for rows in (df, want[level])
+            ]
+            assert values[0].keys() == values[1].keys()
+            for key, row in values[0].items():
+                assert row == pytest.approx(values[1][key], nan_ok=True)
+        whole = ls.hierarchy_of(got, policy)
+        assert whole.filter("ci_lower IS NOT NULL").select("level").distinct().collect() == [("aggregate",)]
+        assert whole.filter("level = 'aggregate' AND ci_lower IS NULL").count() == 0
+    for unfit, leads, scale, message in (
+        ([float("nan"), 1.0], 2, scaler, "point is not finite"),
+        ([1e200, 1.0], 2, scaler, "a loss is not a finite number"),
+        ([1.0, 1.0], 1, scaler, "longer than the declared leads"),
+        ([1.0, 1.0], 2, scaler.filter("scale < 0"), "no scale"),
+        ([1.0, 1.0], 2, scaler.withColumn("scale", F.lit(0.0)), "not finite and positive"),
+    ):
+        with pytest.raises(Exception, match=message):
+            ls.level_means_of_windows(window_points(spark, unfit), scale, leads)["aggregate"].collect()
+
+
+def test_lead_columns_of_levels_stay_in_methods_that_are_compiled(spark, monkeypatch):
+    points = window_points(spark, [1.0, 4.0]).withColumn("forecasts", F.array(F.struct("model", "points")))
+    sets = points.drop("model", "points").select("*", F.inline_outer("forecasts"))
+    scaler = spark.createDataFrame([("x", 2.0)], "feature_id string, scale double")
+    plans = []
+    monkeypatch.setattr(ls, "cut", lambda df: plans.append(df) or df)
+    ls.level_means_of_windows(sets, scaler, 10)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert "posexplode" not in plans[0]._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 < largest_method(spark.createDataFrame([], plans[0].schema).unionByName(plans[0])) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)

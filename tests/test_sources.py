@@ -414,3 +414,34 @@ def test_large_files_do_not_meet_in_a_task(spark, tmp_path):
     finally:
         bundle.cut = plain
     assert rounds[1:] == [1, 1, 1]
+
+
+def test_files_as_written_need_no_row_digests(spark):
+    """A bundle's untouched files are known by their bytes; any others are judged by their rows."""
+    table = spark.range(6).select(
+        F.concat(F.lit("m"), "id").alias("model"), F.lit(1).alias("context_frames"),
+        (F.col("id") % 2).cast("int").alias("horizon_frames"), (F.col("id") / 4).alias("value"),
+    )
+    path = scratch(spark)
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    bundle.write_bundle({name: table for name in bundle.TABLES}, path)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    whole = lambda df: {(r["table"], r["rows"], r["intact"]) for r in df.collect()}
+    checked = bundle.check_bundle(spark, path)
+    assert "ArrowEvalPython" not in plan(checked) and "to_json" not in plan(checked)
+    assert whole(checked) == {(name, 6, True) for name in bundle.TABLES}
+    table.repartition(3).write.partitionBy("context_frames", "horizon_frames").mode("overwrite").parquet(f"{path}/metrics")
+    checked = bundle.check_bundle(spark, path)
+    assert plan(checked).count("ArrowEvalPython") == 1
+    assert whole(checked) == {(name, 6, True) for name in bundle.TABLES}
+    declared = spark.read.parquet(f"{path}/fingerprints")
+    declared = spark.createDataFrame(declared.collect(), declared.schema)
+    for changed, broken in (
+        (declared.withColumn("fingerprint", F.when(F.col("table") == "runtime", "x").otherwise(F.col("fingerprint"))), ["runtime"]),
+        (declared.withColumn("rows", F.when(F.col("table") == "runtime", 7).otherwise(F.col("rows"))), ["runtime"]),
+        (declared.filter("table != 'runtime'"), ["runtime"]),
+        (declared.drop("files"), []),
+    ):
+        changed.write.mode("overwrite").parquet(f"{path}/fingerprints")
+        assert [r["table"] for r in bundle.check_bundle(spark, path).filter("not intact").collect()] == broken
