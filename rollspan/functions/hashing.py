@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rollspan.functions.blocks import ordered_index
 
@@ -43,21 +42,11 @@ def row_digest(df, keys=None):
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
-WORDS = T.StructType([T.StructField(f"w{i}", T.LongType()) for i in range(4)])
-
-
-@F.arrow_udf(WORDS)
-def _words(digest: pa.Array) -> pa.Array:
-    """A digest's four 64-bit words, as signed numbers."""
-    held = digest.cast(pa.binary(32))
-    words = np.frombuffer(held.buffers()[1], ">i8").reshape(-1, 4)[held.offset : held.offset + len(held)].astype("int64")
-    return pa.StructArray.from_arrays([pa.array(words[:, i]) for i in range(4)], names=["w0", "w1", "w2", "w3"])
-
-
 def _with_words(df, digest):
-    """Add a hexadecimal digest's words, a batch at a time: base conversion costs as much as the digest."""
-    rows = df.withColumn("_words", _words(F.unhex(digest)))
-    return rows.withColumns({f"_w{i}": F.col(f"_words.w{i}") for i in range(4)}).drop("_words")
+    """Add a digest's four 64-bit words, as signed numbers, each converted once per row."""
+    rows = df.withColumn("_digest", digest)
+    words = [F.conv(F.substring("_digest", 16 * i + 1, 16), 16, -10).cast("long") for i in range(4)]
+    return rows.withColumns({f"_w{i}": w for i, w in enumerate(words)}).drop("_digest")
 
 
 def _quarter_sums():
@@ -88,22 +77,34 @@ def observed_fingerprint(df, keys=None):
     return watched, result
 
 
+def _limb_sums(batches):
+    """Per batch its rows and the sums of their digests' eight 32-bit limbs."""
+    for batch in batches:
+        if batch.num_rows:
+            held = batch.column(0).cast(pa.binary(32))
+            limbs = np.frombuffer(held.buffers()[1], ">u4").reshape(-1, 8)[held.offset : held.offset + len(held)]
+            sums = [pa.array([int(total)], pa.int64()) for total in limbs.sum(axis=0, dtype=np.int64)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([len(held)], pa.int64()), *sums], names=["rows", *[f"l{i}" for i in range(8)]]
+            )
+
+
 def fingerprint_frame(df, keys=None):
     """One row: content identity that ignores row order and counts duplicates.
 
-    The row digests are added up limb by limb (eight of 32 bits, each in two halves), so
-    the state is a few numbers however many rows there are, and partial sums merge before
-    the shuffle.
+    The row digests are added up limb by limb (eight of 32 bits), a batch at a time: in
+    Spark's expressions, turning digits to numbers costs as much as the digest. The state
+    is a few numbers however many rows there are, and partial sums merge.
     """
-    rows = _with_words(df, row_digest(df, keys)).select(*[f"_w{i}" for i in range(4)])
-    sums = rows.agg(F.count(F.lit(1)).alias("rows"), *_quarter_sums())
-    exact = lambda name: F.col(name).cast("decimal(20,0)")
-    limbs = [
-        (exact(f"q{2 * i}") * 65536 + exact(f"q{2 * i + 1}")).cast("decimal(38,0)").cast("string") for i in range(8)
-    ]
-    return sums.select(
-        "rows", F.sha2(F.concat_ws("|", F.col("rows").cast("string"), *limbs), 256).alias("fingerprint")
+    digests = df.select(F.unhex(row_digest(df, keys)).alias("digest"))
+    limbs = [f"l{i}" for i in range(8)]
+    parts = digests.mapInArrow(_limb_sums, ", ".join(f"{c} long" for c in ("rows", *limbs)))
+    sums = parts.agg(
+        F.coalesce(F.sum("rows"), F.lit(0).cast("long")).alias("rows"),
+        *[F.coalesce(F.sum(F.col(c).cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)").cast("string").alias(c) for c in limbs],
     )
+    text = F.concat_ws("|", F.col("rows").cast("string"), *limbs)
+    return sums.select("rows", F.sha2(text, 256).alias("fingerprint"))
 
 
 def fingerprint(df, keys=None):
